@@ -21,7 +21,6 @@ pieces worth at most `chunk_overlap`, strip merged chunks and drop empty ones):
 from __future__ import annotations
 
 import time
-from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +110,24 @@ def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
     return F.when(n > 0, F.filter(cut, lambda x: F.length(x) > 0)).otherwise(F.array().cast("array<string>"))
 
 
+def leaves_for(method: str, separators: list[str] | None, text: Column, size: Column) -> Column:
+    """Leaves (len, flags) of a document under one splitter shape."""
+    if method == LINE_MERGE:
+        lens, _ = line_leaves(text)
+        return F.transform(lens, lambda x: F.struct(x.cast("int").alias("len"), F.lit(2).alias("f")))
+    if method == RECURSIVE:
+        return recursive_leaves(text, size, separators)
+    raise ValueError(f"Chunking method: {method} is not supported.")
+
+
+def _explode_chunks(staged: DataFrame, keep: list[str], text_col: str, size_col: str,
+                    overlap_col: str) -> DataFrame:
+    ranged = staged.withColumn(
+        "_ranges", merge_ranges(F.col("_leaves.len"), F.col("_leaves.f"), F.col(size_col), F.col(overlap_col)))
+    return ranged.select(*keep, F.posexplode(_ranges_to_chunks(F.col(text_col), F.col("_ranges")))
+                         .alias("chunk_index", "chunk_text"))
+
+
 def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
                text_col: str = "text", size_col: str = "chunk_size",
                overlap_col: str = "chunk_overlap") -> DataFrame:
@@ -119,66 +136,50 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
     Output: the input columns except the text, plus chunk_index (int) and
     chunk_text (string), one row per chunk.
     """
-    text = F.col(text_col)
-    size = F.col(size_col)
-    if method == LINE_MERGE:
-        lens, flags = line_leaves(text)
-        staged = df.withColumn("_lens", lens).withColumn("_flags", flags)
-    elif method == RECURSIVE:
-        staged = (df.withColumn("_leaves", recursive_leaves(text, size, separators))
-                    .withColumn("_lens", F.col("_leaves.len"))
-                    .withColumn("_flags", F.col("_leaves.f"))
-                    .drop("_leaves"))
-    else:
-        raise ValueError(f"Chunking method: {method} is not supported.")
-    staged = staged.withColumn(
-        "_ranges", merge_ranges(F.col("_lens"), F.col("_flags"), size, F.col(overlap_col)))
     keep = [c for c in df.columns if c != text_col]
-    return (staged
-            .select(*keep, F.posexplode(_ranges_to_chunks(text, F.col("_ranges"))).alias("chunk_index", "chunk_text")))
-
-
-# Registry of splitters (U1): method name -> DataFrame function.
-SPLITTERS: dict[str, Callable[..., DataFrame]] = {
-    LINE_MERGE: lambda df, seps=None, **kw: split_text(df, LINE_MERGE, None, **kw),
-    RECURSIVE: lambda df, seps=None, **kw: split_text(df, RECURSIVE, seps, **kw),
-}
-
+    staged = df.withColumn("_leaves", leaves_for(method, separators, F.col(text_col), F.col(size_col)))
+    return _explode_chunks(staged, keep, text_col, size_col, overlap_col)
 
-def register_splitter(method: str, fn: Callable[..., DataFrame]) -> None:
-    """Add a splitter; fn(df, separators, **columns) -> chunk rows."""
-    SPLITTERS[method] = fn
 
-
-def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text") -> DataFrame:
-    """Chunk (document, strategy) pairs; `pairs` carries strategy columns.
-
-    `strategies_rows` are the (small, configuration) strategy rows that occur in
-    `pairs`; they fix the plan shape: one branch per (method, separators).
-    Branch results are combined with unionByName. `outside` strategies are
-    ingested by `sources.prechunked`, not split here.
-    """
+def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
     shapes = []
     for row in strategies_rows:
         method = row["method"]
         if method == OUTSIDE:
             continue
-        if method not in SPLITTERS:
+        if method not in (LINE_MERGE, RECURSIVE):
             raise ValueError(f"Chunking method: {method} is not supported.")
         seps = tuple(row["separators"]) if row["separators"] else None
+        if method == LINE_MERGE:
+            seps = None
         if (method, seps) not in shapes:
             shapes.append((method, seps))
-    out = None
+    return shapes
+
+
+def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
+                size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
+    """Chunk (document, strategy) rows in one pass over the corpus.
+
+    `pairs` carries the strategy columns (method, separators, chunk_size,
+    chunk_overlap). `strategies_rows` are the configuration rows that may occur
+    in `pairs`; each (method, separators) shape becomes one branch of a CASE
+    that yields the leaves, so the corpus is scanned once whatever the number
+    of strategies. `outside` rows are skipped (see sources.prechunked).
+    """
+    shapes = _shapes(strategies_rows)
+    text, size = F.col(text_col), F.col(size_col)
+    leaves = None
     for method, seps in shapes:
         cond = F.col("method") == method
         if method == RECURSIVE:
-            if seps is None:
-                cond = cond & F.col("separators").isNull()
-            else:
-                cond = cond & (F.col("separators") == F.array(*[F.lit(s) for s in seps]))
-        part = SPLITTERS[method](pairs.filter(cond), list(seps) if seps else None, text_col=text_col)
-        out = part if out is None else out.unionByName(part)
-    return out
+            cond = cond & (F.col("separators").isNull() if seps is None
+                           else F.col("separators") == F.array(*[F.lit(x) for x in seps]))
+        expr = leaves_for(method, list(seps) if seps else None, text, size)
+        leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
+    keep = [c for c in pairs.columns if c != text_col]
+    staged = pairs.filter(F.col("method") != OUTSIDE).withColumn("_leaves", leaves)
+    return _explode_chunks(staged.filter(F.col("_leaves").isNotNull()), keep, text_col, size_col, overlap_col)
 
 
 def timed_count(df: DataFrame) -> tuple[float, int]:

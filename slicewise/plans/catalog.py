@@ -33,3 +33,78 @@ QUERIES: dict[str, Query] = {
     "chunk_recursive_150_15": _chunks(chunking.RECURSIVE, 150, 15),
 }
 FLAGSHIP = "chunk_lines_1000_200"
+
+
+# --------------------------------------------------------------------------- experiments
+RUN_ID = "run0"
+
+
+def resolved_experiments(spark: SparkSession, sf_dir: str):
+    from slicewise.operators.experiments import resolve
+    from slicewise.sources.tables import strategies_table
+    return resolve(testdata.experiments(spark, sf_dir), testdata.file_types(spark, sf_dir),
+                   strategies_table(spark), testdata.corpus(spark, sf_dir), RUN_ID)
+
+
+def q_resolve_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved, _ = resolved_experiments(spark, sf_dir)
+    return resolved.select(
+        "experiment_id", "file_type", "chunking_strategy", "method",
+        F.col("chunk_size").cast("long"), F.col("chunk_overlap").cast("long"), "rerank", "reranker_method",
+        F.col("reranker_top_n").cast("long"), F.col("retrieval_n_results").cast("long"), "collection")
+
+
+def q_experiment_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejects = resolved_experiments(spark, sf_dir)
+    return rejects
+
+
+def collection_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (file type, strategy) pair of the resolved experiments, chunked once.
+
+    Output: collection, file_type, chunking_strategy, doc_id, original_text_length,
+    chunk_index, chunk_text.
+    """
+    from slicewise.functions.sizing import broadcast_if_small
+    from slicewise.sources.tables import SHIPPED_STRATEGIES, STRATEGY_SCHEMA
+    resolved, _ = resolved_experiments(spark, sf_dir)
+    pairs = resolved.filter(F.col("method") != chunking.OUTSIDE).select(
+        "collection", "file_type", "chunking_strategy", "method", "chunk_size", "chunk_overlap",
+        "separators").distinct()
+    docs = testdata.corpus(spark, sf_dir).select(
+        "doc_id", "file_type", "text", F.col("n_chars").alias("original_text_length"))
+    joined = docs.join(broadcast_if_small(pairs), "file_type")
+    rows = [dict(zip(STRATEGY_SCHEMA.fieldNames(), r)) for r in SHIPPED_STRATEGIES]
+    return chunking.chunk_pairs(joined, rows).drop("method", "separators", "chunk_size", "chunk_overlap")
+
+
+def q_chunk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = collection_chunks(spark, sf_dir)
+    per_doc = chunks.groupBy("file_type", "chunking_strategy", "doc_id").agg(
+        F.count("*").alias("n"), F.sum(F.length("chunk_text")).alias("chars"),
+        F.max(F.length("chunk_text")).alias("mx"))
+    return per_doc.groupBy("file_type", "chunking_strategy").agg(
+        F.count("*").cast("long").alias("n_docs"),
+        F.sum("n").cast("long").alias("n_chunks"),
+        F.sum("chars").cast("long").alias("total_chars"),
+        F.max("mx").cast("long").alias("max_chars"),
+        F.round(F.sum("chars") / F.sum("n"), 6).alias("avg_chars"))
+
+
+def q_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P2 + P3: collection name, chunk metadata and deterministic chunk id."""
+    chunks = collection_chunks(spark, sf_dir)
+    return chunks.select(
+        "collection",
+        F.sha2(F.concat_ws("\u0001", F.col("collection"), F.col("doc_id").cast("string"),
+                           F.col("chunk_index").cast("string")), 256).alias("chunk_id"),
+        F.col("file_type").alias("source_file_type"), "chunking_strategy", "doc_id",
+        F.col("chunk_index").cast("long"), F.col("original_text_length").cast("long"))
+
+
+QUERIES.update({
+    "resolve_experiments": q_resolve_experiments,
+    "experiment_rejects": q_experiment_rejects,
+    "chunk_matrix": q_chunk_matrix,
+    "chunk_ids": q_chunk_ids,
+})

@@ -164,8 +164,114 @@ FROM cut WHERE length(chunk_text) > 0
 """
 
 
+def _q(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def collection_sql(ft: str, st: str, run_id: str = "run0") -> str:
+    raw = (f"replace(lower(replace({ft}, ' ', '_')) || '_' || lower(replace({st}, ' ', '_')), '-', '_')"
+           f" || '_' || {_q(run_id)}")
+    clean = f"regexp_replace(substring({raw}, 1, 60), '[^\\p{{L}}\\p{{N}}_.]', '_', 'g')"
+    return (f"(CASE WHEN regexp_matches({clean}, '^[\\p{{L}}\\p{{N}}]') AND regexp_matches({clean}, '[\\p{{L}}\\p{{N}}]$') "
+            f"THEN {clean} ELSE 'c' || substring({clean}, 2, greatest(length({clean}) - 2, 0)) || 'c' END)")
+
+
+def experiments_ctes() -> str:
+    """exps(...) resolved with defaults, strategies and reject reasons."""
+    from slicewise.sources.tables import SHIPPED_STRATEGIES
+    from slicewise.sources.testdata import MISSING_FILE_TYPE, SETTINGS
+    settings = ", ".join(f"({n}, {_q(st)}, {_q(r)}, {_q(m)}, {_q(t)}, {_q(k)})" for n, st, r, m, t, k in SETTINGS)
+    strategies = ", ".join(f"({p}, {_q(nm)}, {_q(me)}, {_q(cs)}, {_q(co)})"
+                           for p, nm, me, cs, co, *_ in SHIPPED_STRATEGIES)
+    return f"""
+ft AS (SELECT DISTINCT source AS file_type FROM documents UNION SELECT {_q(MISSING_FILE_TYPE)}),
+settings(n, chunking_strategy, rerank, reranker_method, reranker_top_n, retrieval_n_results) AS (VALUES {settings}),
+strategies(position, name, method, chunk_size, chunk_overlap) AS (VALUES {strategies}),
+st AS (SELECT name, arg_min(method, position) AS method, arg_min(chunk_size, position) AS chunk_size,
+              arg_min(chunk_overlap, position) AS chunk_overlap FROM strategies GROUP BY name),
+exps0 AS (
+  SELECT ft.file_type || '#' || CAST(s.n AS VARCHAR) AS experiment_id, ft.file_type, s.chunking_strategy,
+         coalesce(s.rerank, false) AS rerank,
+         CASE WHEN coalesce(s.rerank, false) THEN coalesce(s.reranker_method, '') ELSE 'Null' END AS reranker_method,
+         CASE WHEN coalesce(s.rerank, false) THEN coalesce(s.reranker_top_n, 4) ELSE 0 END AS reranker_top_n,
+         coalesce(s.retrieval_n_results, 8) AS retrieval_n_results
+  FROM ft CROSS JOIN settings s),
+exps AS (
+  SELECT e.*, st.method, st.chunk_size, st.chunk_overlap,
+         CASE WHEN e.file_type NOT IN (SELECT DISTINCT source FROM documents) THEN
+                   CASE WHEN e.file_type IN (SELECT file_type FROM ft) THEN 'no text for file type' ELSE 'unknown file type' END
+              WHEN st.name IS NULL THEN 'unknown strategy' END AS reason,
+         {collection_sql('e.file_type', 'e.chunking_strategy')} AS collection
+  FROM exps0 e LEFT JOIN st ON st.name = e.chunking_strategy)"""
+
+
+def resolve_sql() -> str:
+    return f"""WITH {experiments_ctes()}
+SELECT experiment_id, file_type, chunking_strategy, method, CAST(chunk_size AS BIGINT) AS chunk_size,
+       CAST(chunk_overlap AS BIGINT) AS chunk_overlap, rerank, reranker_method,
+       CAST(reranker_top_n AS BIGINT) AS reranker_top_n, CAST(retrieval_n_results AS BIGINT) AS retrieval_n_results,
+       collection
+FROM exps WHERE reason IS NULL"""
+
+
+def rejects_sql() -> str:
+    return f"""WITH {experiments_ctes()}
+SELECT experiment_id, file_type, chunking_strategy, reason FROM exps WHERE reason IS NOT NULL"""
+
+
+def all_chunks_sql() -> str:
+    """Chunks of every resolved (file type, strategy) pair: one SELECT per shipped split strategy."""
+    from slicewise.sources.tables import SHIPPED_STRATEGIES
+    parts = []
+    for _, name, method, size, overlap, seps, *_ in SHIPPED_STRATEGIES:
+        if method == "simple_split":
+            body = line_merge_sql(size, overlap)
+        elif method == "recursive_character_text_splitter":
+            body = recursive_sql(size, overlap, seps)
+        else:
+            continue
+        parts.append(f"SELECT {_q(name)} AS chunking_strategy, c.* FROM ({body}) c")
+    union = "\nUNION ALL\n".join(parts)
+    return f"""(
+WITH {experiments_ctes()},
+pairs AS (SELECT DISTINCT file_type, chunking_strategy, collection FROM exps
+          WHERE reason IS NULL AND method <> 'outside'),
+chunks AS ({union})
+SELECT p.collection, p.file_type, p.chunking_strategy, d.doc_id, d.n_chars AS original_text_length,
+       c.chunk_index, c.chunk_text
+FROM chunks c JOIN documents d ON d.doc_id = c.doc_id
+JOIN pairs p ON p.file_type = d.source AND p.chunking_strategy = c.chunking_strategy)"""
+
+
+def chunk_matrix_sql() -> str:
+    return f"""
+SELECT file_type, chunking_strategy, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs,
+       CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS total_chars,
+       CAST(max(length(chunk_text)) AS BIGINT) AS max_chars,
+       round(sum(length(chunk_text)) / count(*), 6) AS avg_chars
+FROM {all_chunks_sql()} a GROUP BY file_type, chunking_strategy"""
+
+
+def chunk_ids_sql() -> str:
+    return f"""
+SELECT collection, sha256(concat_ws(chr(1), collection, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR))) AS chunk_id,
+       file_type AS source_file_type, chunking_strategy, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index,
+       CAST(original_text_length AS BIGINT) AS original_text_length
+FROM {all_chunks_sql()} a"""
+
+
 ORACLE: dict[str, str] = {
     "chunk_lines_1000_200": line_merge_sql(1000, 200),
     "chunk_lines_100_10": line_merge_sql(100, 10),
     "chunk_recursive_150_15": recursive_sql(150, 15),
+    "resolve_experiments": resolve_sql(),
+    "experiment_rejects": rejects_sql(),
+    "chunk_matrix": chunk_matrix_sql(),
+    "chunk_ids": chunk_ids_sql(),
 }

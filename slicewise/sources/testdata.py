@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slicewise.functions.sizing import spread
 from slicewise.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -36,13 +37,15 @@ N_FILE_TYPES = 20                      # distinct `source` values in the driver
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (read_table(spark, sf_dir, "documents")
-            .select("doc_id", F.col("source").alias("file_type"), "text", "n_chars", "lang"))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("file_type"), "text", "n_chars", "lang")
+    return spread(docs, "doc_id")
 
 
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: one row per file type; `path` names its text (S2 takes the stem)."""
-    names = corpus(spark, sf_dir).select(F.col("file_type").alias("name")).distinct()
+    names = read_table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    names = names.unionByName(spark.range(1).select(F.lit(MISSING_FILE_TYPE).alias("name")))
     return names.select(
         "name",
         F.concat(F.lit("documents of source "), F.col("name")).alias("description"),
@@ -57,7 +60,6 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(k).alias("retrieval_n_results"))
         for n, s, r, m, t, k in SETTINGS])
     types = file_types(spark, sf_dir).select(F.col("name").alias("file_type"))
-    types = types.unionByName(spark.range(1).select(F.lit(MISSING_FILE_TYPE).alias("file_type")))
     exploded = types.select("file_type", F.explode(settings).alias("s"))
     return exploded.select(
         F.concat(F.col("file_type"), F.lit("#"), F.col("s.n")).alias("experiment_id"),
