@@ -108,3 +108,94 @@ QUERIES.update({
     "chunk_matrix": q_chunk_matrix,
     "chunk_ids": q_chunk_ids,
 })
+
+
+# --------------------------------------------------------------------------- sources / QA
+def q_prechunked_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: conversations as a pre-chunked `vectors` table keyed by conv_id."""
+    from slicewise.sources import prechunked
+    from slicewise.sources.tables import read_table
+    rows = read_table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("collection"), F.col("conv_id").alias("id"),
+        F.col("text").alias("pageContent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    out = prechunked.ingest(rows, "id")
+    return out.select("collection", "chunk_id", "chunk_index", "chunk_text", "chunk_times_s")
+
+
+def conversation_qa_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy QA text files rendered from conversations: one file per conversation."""
+    from slicewise.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    line = (F.when(F.col("role") == "user", F.concat(F.lit("Q: "), F.col("text")))
+            .when(F.col("role") == "assistant", F.concat(
+                F.lit("A: ["), F.array_join(F.transform(F.split(F.col("text"), "\n", -1),
+                                                          lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
+                F.lit("]")))
+            .otherwise(F.concat(F.lit("S: "), F.col("text"))))
+    files = conv.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))),
+                                 lambda s: s["line"]), "\n").alias("value"))
+    return files.select(F.concat(F.lit("qa/conv_"), F.col("conv_id").cast("string"), F.lit("_qa_pairs.txt")).alias("path"),
+                        "value")
+
+
+def q_qa_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.sources import qa_text
+    parsed = qa_text.parse(conversation_qa_files(spark, sf_dir))
+    return parsed.select("path", "qa_index", "question",
+                         F.array_join("answers", "\u001f").alias("answers_text"),
+                         F.size("answers").cast("long").alias("n_answers"))
+
+
+def q_qa_sample_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators import qa
+    return qa.sample(testdata.qa_pairs(spark, sf_dir)).select("file_type", "qa_id", "question", "sample_rank")
+
+
+QUERIES.update({
+    "prechunked_ingest": q_prechunked_ingest,
+    "qa_file_parse": q_qa_file_parse,
+    "qa_sample_8": q_qa_sample_8,
+})
+
+
+# --------------------------------------------------------------------------- metrics
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in (standard answers, generated answer) pairs: the generated answer echoes the question."""
+    from slicewise.operators.similarity import joined_answers
+    qa_all = testdata.qa_pairs(spark, sf_dir)
+    return qa_all.select("qa_id", joined_answers(F.col("answers")).alias("std_text"),
+                         F.col("question").alias("final_answer"))
+
+
+def q_answer_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.similarity import text_pair_cosine
+    cos = text_pair_cosine(answer_pairs(spark, sf_dir), "qa_id", "std_text", "final_answer")
+    return cos.select("qa_id", F.round("cosine_similarity", 6).alias("cosine_similarity"))
+
+
+def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.similarity import token_overlap
+    m = answer_pairs(spark, sf_dir).select("qa_id", token_overlap(F.col("std_text"), F.col("final_answer")).alias("m"))
+    return m.select("qa_id", *[F.round(F.col("m." + c), 6).alias(c) for c in ("precision", "recall", "f1", "jaccard")])
+
+
+def q_chunk_vs_original_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + A11: chunks per collection and mean TF-IDF cosine of chunk vs its document."""
+    from slicewise.operators.similarity import pair_cosine, token_counts
+    chunks = collection_chunks(spark, sf_dir).withColumn(
+        "chunk_key", F.concat_ws("/", "collection", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+    left = token_counts(chunks, "chunk_key", "chunk_text")
+    right = token_counts(testdata.corpus(spark, sf_dir), "doc_id", "text")
+    cos = pair_cosine(chunks.select("chunk_key", "doc_id"), "chunk_key", "chunk_key", "doc_id", left, right)
+    per_chunk = chunks.select("collection", "chunk_key").join(cos, "chunk_key")
+    return per_chunk.groupBy("collection").agg(
+        F.count("*").cast("long").alias("n_chunks"),
+        F.round(F.avg("cosine_similarity"), 6).alias("mean_cosine"))
+
+
+QUERIES.update({
+    "answer_cosine": q_answer_cosine,
+    "token_overlap": q_token_overlap,
+    "chunk_vs_original_cosine": q_chunk_vs_original_cosine,
+})

@@ -275,3 +275,13 @@ ORACLE: dict[str, str] = {
     "chunk_matrix": chunk_matrix_sql(),
     "chunk_ids": chunk_ids_sql(),
 }
+
+
+def _extend() -> None:
+    from slicewise.plans.oracle_metrics import ORACLE_METRICS
+    from slicewise.plans.oracle_sources import ORACLE_SOURCES
+    ORACLE.update(ORACLE_SOURCES)
+    ORACLE.update(ORACLE_METRICS)
+
+
+_extend()
