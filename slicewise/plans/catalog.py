@@ -199,3 +199,61 @@ QUERIES.update({
     "token_overlap": q_token_overlap,
     "chunk_vs_original_cosine": q_chunk_vs_original_cosine,
 })
+
+
+# --------------------------------------------------------------------------- retrieval
+def _centroid_queries(spark: SparkSession, sf_dir: str):
+    from slicewise.operators.retrieval import centroids
+    vecs = testdata.chunk_vectors(spark, sf_dir)
+    queries = centroids(vecs, "collection").withColumn("query_id", F.col("collection"))
+    return queries, vecs
+
+
+def _knn_out(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "collection", F.col("rank").cast("long"), "chunk_id", "chunk_index",
+                       F.round("distance", 6).alias("distance"))
+
+
+def q_knn_exact_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.retrieval import knn
+    queries, vecs = _centroid_queries(spark, sf_dir)
+    return _knn_out(knn(queries, vecs, 8))
+
+
+def q_knn_k_exceeds_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.retrieval import knn
+    queries, vecs = _centroid_queries(spark, sf_dir)
+    return _knn_out(knn(queries, vecs, 1_000_000))
+
+
+def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collection holding every vector; each query filters on its own `label` metadata."""
+    from slicewise.operators.retrieval import knn
+    queries, vecs = _centroid_queries(spark, sf_dir)
+    everything = vecs.withColumn("collection", F.lit("all"))
+    q = queries.select("query_id", "query_vector",
+                       F.regexp_extract("collection", r"(\d+)$", 1).cast("int").alias("filter_label"),
+                       F.lit("all").alias("collection"))
+    hits = knn(q, everything, 8, where_query={"label": "filter_label"}, include=("label",))
+    return _knn_out(hits).withColumn("label", F.regexp_extract("query_id", r"(\d+)$", 1).cast("long"))
+
+
+def q_knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours; recall@8 of the LSH top-8 against the exact top-8."""
+    from slicewise.operators.retrieval import knn, knn_lsh
+    queries, vecs = _centroid_queries(spark, sf_dir)
+    exact = knn(queries, vecs, 8).select("query_id", "chunk_id")
+    approx = knn_lsh(queries, vecs, threshold=1.5).filter(F.col("rank") <= 8).select(
+        "query_id", "chunk_id", F.lit(1).alias("hit"))
+    j = exact.join(approx, ["query_id", "chunk_id"], "left")
+    return j.groupBy("query_id").agg(
+        F.count("*").cast("long").alias("n_exact"), F.count("hit").cast("long").alias("n_found"),
+        F.round(F.count("hit") / F.count("*"), 6).alias("recall_at_8"))
+
+
+QUERIES.update({
+    "knn_exact_k8": q_knn_exact_k8,
+    "knn_k_exceeds_size": q_knn_k_exceeds_size,
+    "knn_filtered": q_knn_filtered,
+    "knn_lsh": q_knn_lsh,
+})

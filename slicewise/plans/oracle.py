@@ -282,6 +282,8 @@ def _extend() -> None:
     from slicewise.plans.oracle_sources import ORACLE_SOURCES
     ORACLE.update(ORACLE_SOURCES)
     ORACLE.update(ORACLE_METRICS)
+    from slicewise.plans.oracle_retrieval import ORACLE_RETRIEVAL
+    ORACLE.update(ORACLE_RETRIEVAL)
 
 
 _extend()
