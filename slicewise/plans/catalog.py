@@ -257,3 +257,65 @@ QUERIES.update({
     "knn_filtered": q_knn_filtered,
     "knn_lsh": q_knn_lsh,
 })
+
+
+# --------------------------------------------------------------------------- model replies
+def q_chat_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.functions.replies import chat_envelope
+    from slicewise.sources.model_replies import chat_responses
+    r = chat_responses(spark, sf_dir).select("request_id", chat_envelope(F.col("body")).alias("e"))
+    return r.select("request_id", "e.valid", "e.tokens_used", "e.gen_model", "e.ans_content", "e.thinking_content")
+
+
+def q_embedding_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.functions.replies import embedding_envelope
+    from slicewise.sources.model_replies import embedding_responses
+    r = embedding_responses(spark, sf_dir).select("chunk_id", embedding_envelope(F.col("body")).alias("e"))
+    emb = F.col("e.embedding")
+    return r.select("chunk_id", "e.valid", "e.tokens_used", "e.model",
+                    F.size(emb).cast("long").alias("n_dims"),
+                    F.round(F.aggregate(emb, F.lit(0.0), lambda a, x: a + x), 6).alias("sum_embedding"),
+                    F.round(F.element_at(emb, 1), 6).alias("first_value"))
+
+
+def _qa_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.functions.replies import qa_items
+    from slicewise.sources.model_replies import qa_generation_replies
+    return qa_generation_replies(spark, sf_dir).select("conv_id", qa_items(F.col("reply")).alias("x"))
+
+
+def q_qa_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.functions.replies import qa_answers, qa_question
+    x = _qa_extracted(spark, sf_dir).select("conv_id", F.posexplode("x.items").alias("qa_index", "item"))
+    answers = qa_answers(F.col("item"))
+    return x.select("conv_id", F.col("qa_index").cast("long"), qa_question(F.col("item")).alias("question"),
+                    F.array_join(answers, "\u001f").alias("answers_text"), F.size(answers).cast("long").alias("n_answers"))
+
+
+def q_qa_extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _qa_extracted(spark, sf_dir)
+    return x.select("conv_id", F.col("x.branch").alias("branch"), F.size("x.items").cast("long").alias("n_pairs"))
+
+
+def q_score_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.judge import parse_judgements
+    from slicewise.sources.model_replies import judge_replies
+    return parse_judgements(judge_replies(spark, sf_dir)).select(
+        "qa_id", "attempt", "valid", "score", "justification", "branch")
+
+
+def q_score_pending_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.judge import accept, parse_judgements
+    from slicewise.sources.model_replies import judge_replies
+    return accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id", max_rounds=3).select(
+        "qa_id", "attempts_seen", "accepted_attempt", "score", "resolved")
+
+
+QUERIES.update({
+    "chat_envelope": q_chat_envelope,
+    "embedding_envelope": q_embedding_envelope,
+    "qa_extract": q_qa_extract,
+    "qa_extract_fallback": q_qa_extract_fallback,
+    "score_extract": q_score_extract,
+    "score_pending_retry": q_score_pending_retry,
+})

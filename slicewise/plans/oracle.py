@@ -284,6 +284,8 @@ def _extend() -> None:
     ORACLE.update(ORACLE_METRICS)
     from slicewise.plans.oracle_retrieval import ORACLE_RETRIEVAL
     ORACLE.update(ORACLE_RETRIEVAL)
+    from slicewise.plans.oracle_replies import ORACLE_REPLIES
+    ORACLE.update(ORACLE_REPLIES)
 
 
 _extend()

@@ -18,11 +18,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", None):
         return "∅"
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return "∅"
+        if v.is_integer():
+            return str(int(v))
         return f"{round(v, 6):.6f}"
     if hasattr(v, "tolist"):
         v = v.tolist()
@@ -78,6 +80,15 @@ def main(argv):
               f"spark={ts:.1f}s duck={to:.1f}s")
         if not same and a[1] != b[1]:
             print("   spark cols", a[1], "\n   duck  cols", b[1])
+        elif not same:
+            cols = a[1]
+            rs = set("|".join(_norm(r[c]) for c in cols) for r in sdf[cols].to_dict("records"))
+            ro = set("|".join(_norm(r[c]) for c in cols) for r in odf[cols].to_dict("records"))
+            print("   cols:", cols)
+            for x in sorted(rs - ro)[:3]:
+                print("   spark only:", x[:400])
+            for x in sorted(ro - rs)[:3]:
+                print("   duck  only:", x[:400])
     print(f"{ok} matched")
 
 
