@@ -91,10 +91,64 @@ def _node_leaves(text: Column, seps: list[str], m: int, size: Column, depth: int
 
 
 def recursive_leaves(text: Column, size: Column, separators: list[str] | None = None) -> Column:
+    """Leaves of the recursive splitter, built with the Column API (see recursive_leaves_sql)."""
     seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
     return F.when(F.length(text) > 0, _node_leaves(text, seps, 0, size, 0)).otherwise(F.array().cast(LEAVES))
 
 
+# The same expression as SQL text: one parse instead of thousands of driver-side
+# Column constructions (the nested tree grows with 2^len(separators)).
+_EMPTY_LEAVES_SQL = "CAST(array() AS array<struct<len:int,f:int>>)"
+
+
+def _sql_literal(s: str) -> str:
+    """Spark SQL string literal of any text, written as UTF-16 \\u escapes."""
+    units = s.encode("utf-16-be")
+    return "'" + "".join("\\u%02x%02x" % (units[i], units[i + 1]) for i in range(0, len(units), 2)) + "'"
+
+
+def _flag_sql(depth: int, good: str, first: str) -> str:
+    return f"CAST({depth * 4} + CASE WHEN {good} THEN 2 ELSE 0 END + CASE WHEN {first} THEN 1 ELSE 0 END AS int)"
+
+
+def _children_sql(text: str, seps: list[str], c: int, size: str, depth: int) -> str:
+    sep = seps[c]
+    d = depth + 1
+    if sep == "":
+        return (f"CASE WHEN length({text}) > 0 THEN transform(sequence(0, length({text}) - 1), "
+                f"e{d} -> named_struct('len', 1, 'f', {_flag_sql(d, f'1 < {size}', f'e{d} = 0')})) "
+                f"ELSE {_EMPTY_LEAVES_SQL} END")
+    remaining = c + 1 < len(seps)
+    pieces = (f"filter(transform(split({text}, {_sql_literal(java_literal(sep))}, -1), "
+              f"(p{d}, i{d}) -> CASE WHEN i{d} = 0 THEN p{d} ELSE concat({_sql_literal(sep)}, p{d}) END), "
+              f"p{d} -> length(p{d}) > 0)")
+    leaf = (f"array(named_struct('len', CAST(length(q{d}) AS int), "
+            f"'f', {_flag_sql(d, f'length(q{d}) < {size}', f'k{d} = 0')}))")
+    child = (f"CASE WHEN length(q{d}) < {size} THEN {leaf} ELSE {_node_sql(f'q{d}', seps, c + 1, size, d)} END"
+             if remaining else leaf)
+    return f"flatten(transform({pieces}, (q{d}, k{d}) -> {child}))"
+
+
+def _node_sql(text: str, seps: list[str], m: int, size: str, depth: int) -> str:
+    out = None
+    branches = []
+    for c in range(m, len(seps)):
+        expr = _children_sql(text, seps, c, size, depth)
+        if seps[c] == "" or c == len(seps) - 1:
+            out = expr
+            break
+        branches.append((f"instr({text}, {_sql_literal(seps[c])}) > 0", expr))
+    for cond, expr in reversed(branches):
+        out = f"CASE WHEN {cond} THEN {expr} ELSE {out} END"
+    return out
+
+
+def recursive_leaves_sql(text_col: str, size_col: str, separators: list[str] | None = None) -> Column:
+    seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
+    t, sz = f"`{text_col}`", f"`{size_col}`"
+    return F.expr(f"CASE WHEN length({t}) > 0 THEN {_node_sql(t, seps, 0, sz, 0)} ELSE {_EMPTY_LEAVES_SQL} END")
+
+
 # --------------------------------------------------------------------------- chunks
 def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
     """Cut every range out of the text; strip merged ones; drop empty ones."""
@@ -110,13 +164,13 @@ def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
     return F.when(n > 0, F.filter(cut, lambda x: F.length(x) > 0)).otherwise(F.array().cast("array<string>"))
 
 
-def leaves_for(method: str, separators: list[str] | None, text: Column, size: Column) -> Column:
+def leaves_for(method: str, separators: list[str] | None, text_col: str, size_col: str) -> Column:
     """Leaves (len, flags) of a document under one splitter shape."""
     if method == LINE_MERGE:
-        lens, _ = line_leaves(text)
+        lens, _ = line_leaves(F.col(text_col))
         return F.transform(lens, lambda x: F.struct(x.cast("int").alias("len"), F.lit(2).alias("f")))
     if method == RECURSIVE:
-        return recursive_leaves(text, size, separators)
+        return recursive_leaves_sql(text_col, size_col, separators)
     raise ValueError(f"Chunking method: {method} is not supported.")
 
 
@@ -137,7 +191,7 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
     chunk_text (string), one row per chunk.
     """
     keep = [c for c in df.columns if c != text_col]
-    staged = df.withColumn("_leaves", leaves_for(method, separators, F.col(text_col), F.col(size_col)))
+    staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
     return _explode_chunks(staged, keep, text_col, size_col, overlap_col)
 
 
@@ -168,14 +222,13 @@ def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
     of strategies. `outside` rows are skipped (see sources.prechunked).
     """
     shapes = _shapes(strategies_rows)
-    text, size = F.col(text_col), F.col(size_col)
     leaves = None
     for method, seps in shapes:
         cond = F.col("method") == method
         if method == RECURSIVE:
             cond = cond & (F.col("separators").isNull() if seps is None
                            else F.col("separators") == F.array(*[F.lit(x) for x in seps]))
-        expr = leaves_for(method, list(seps) if seps else None, text, size)
+        expr = leaves_for(method, list(seps) if seps else None, text_col, size_col)
         leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
     keep = [c for c in pairs.columns if c != text_col]
     staged = pairs.filter(F.col("method") != OUTSIDE).withColumn("_leaves", leaves)

@@ -93,7 +93,8 @@ def with_lexical_embedding(df: DataFrame, text_col: str, out_col: str = "embeddi
         "_st", F.when(n > 0, F.filter(F.sequence(F.lit(1), n),
                                       lambda i: (i == 1) | (F.element_at("_b", i) != F.element_at("_b", F.greatest(i - 1, F.lit(1))))))
         .otherwise(F.array().cast("array<int>")))
-    ends = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(n + 1))
+    ends = F.when(F.size("_st") > 0, F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))),
+                                              F.array(n + 1))).otherwise(F.array().cast("array<int>"))
     staged = staged.withColumn(
         "_m", F.map_from_arrays(F.transform("_st", lambda i: F.element_at("_b", i)),
                                 F.zip_with("_st", ends, lambda a, b: (b - a).cast("double"))))

@@ -32,7 +32,7 @@ QUERIES: dict[str, Query] = {
     "chunk_lines_100_10": _chunks(chunking.LINE_MERGE, 100, 10),
     "chunk_recursive_150_15": _chunks(chunking.RECURSIVE, 150, 15),
 }
-FLAGSHIP = "chunk_lines_1000_200"
+FLAGSHIP = "flagship_strategy_ranking"
 
 
 # --------------------------------------------------------------------------- experiments
@@ -319,3 +319,34 @@ QUERIES.update({
     "score_extract": q_score_extract,
     "score_pending_retry": q_score_pending_retry,
 })
+
+
+# --------------------------------------------------------------------------- flagship
+def _fmt_list(c: str) -> "F.Column":
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.6f", x)), ",")
+
+
+def flagship_summary(spark: SparkSession, sf_dir: str, batch=None) -> DataFrame:
+    from slicewise.plans import experiment_batch
+    from slicewise.sources.tables import strategies_table
+    return experiment_batch.run(
+        spark, testdata.corpus(spark, sf_dir), testdata.file_types(spark, sf_dir), strategies_table(spark),
+        testdata.experiments(spark, sf_dir), testdata.qa_pairs(spark, sf_dir), batch)
+
+
+def q_flagship_strategy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All experiments end to end; one row per experiment (timings left out: not deterministic)."""
+    s = flagship_summary(spark, sf_dir)
+    return s.select(
+        "experiment_id", "file_type_name", "chunking_strategy_name", "chunking_method", "chunk_size",
+        "chunk_overlap", "chunk_retrieval_nums", "reranker_model", "reranker_nums", "chunking_params",
+        "n_chunks", "n_questions",
+        _fmt_list("cosine_similaritys").alias("cosine_similaritys"),
+        _fmt_list("llm_evaluation_scores").alias("llm_evaluation_scores"),
+        F.round("llm_score_ratio", 6).alias("llm_score_ratio"),
+        F.round("qa_recall", 6).alias("qa_recall"),
+        F.round("topk_vs_original", 6).alias("topk_vs_original"),
+        "embedder")
+
+
+QUERIES["flagship_strategy_ranking"] = q_flagship_strategy_ranking
