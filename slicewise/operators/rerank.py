@@ -50,7 +50,8 @@ def rerank(hits: DataFrame, top_n_col: str = "reranker_top_n", query_key: str =
     scored = scored.join(has_scores, query_key)
     # unchanged order (and no cut) for blank questions and for questions without scores
     passthrough = blank | (F.col("_scored") == 0)
-    order_key = F.when(passthrough, F.lit(None).cast("double")).otherwise(F.col("score"))
+    # scores are compared at 12 decimals: equal scores summed in another order still tie (then by rank)
+    order_key = F.when(passthrough, F.lit(None).cast("double")).otherwise(F.round(F.col("score"), 12))
     w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last(order_key), F.col("rank"))
     ranked = scored.withColumn("rerank_rank", F.row_number().over(w))
     keep = passthrough | F.col(top_n_col).isNull() | (F.col("rerank_rank") <= F.col(top_n_col))

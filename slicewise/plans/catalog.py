@@ -350,3 +350,164 @@ def q_flagship_strategy_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship_strategy_ranking"] = q_flagship_strategy_ranking
+
+
+def _batch_frames(spark: SparkSession, sf_dir: str):
+    from slicewise.plans import experiment_batch
+    from slicewise.sources.tables import strategies_table
+    b = experiment_batch.Batch()
+    experiment_batch.run(
+        spark, testdata.corpus(spark, sf_dir), testdata.file_types(spark, sf_dir), strategies_table(spark),
+        testdata.experiments(spark, sf_dir), testdata.qa_pairs(spark, sf_dir), b, stop_after="retrieval")
+    return b.frames
+
+
+def q_retrieve_lexical_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X7 + J2 + T1 on chunk texts: hashed-TF vectors, top-8 per sampled question in its collection."""
+    h = _batch_frames(spark, sf_dir)["hits"]
+    return h.select("query_id", "collection", "chunk_id", F.col("rank").cast("long"),
+                    F.round("distance", 6).alias("distance"))
+
+
+def q_rerank_lexical_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: lexical rerank of the top-8 hits, keeping 4, for the experiments that ask for it."""
+    k = _batch_frames(spark, sf_dir)["kept"].filter(F.col("rerank"))
+    return k.select("query_id", "chunk_id", F.col("rank").cast("long"), F.col("rerank_rank").cast("long"),
+                    F.round("score", 6).alias("score"))
+
+
+def q_rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 + J4 + T4 fallback: rerank from a response table; empty or broken responses keep the hits."""
+    from slicewise.operators import rerank as rr
+    frames = _batch_frames(spark, sf_dir)
+    hits = frames["hits"].filter(F.col("rerank"))
+    scores = rr.lexical_scores(hits)
+    ordered = scores.withColumn("qa_id", F.element_at(F.split("query_id", r"\|"), 2).cast("long"))
+    items = ordered.groupBy("query_id", "qa_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.round(F.col("score"), 12)).alias("ns"), F.col("rank").alias("r"),
+                                             F.col("score").alias("s")))),
+        lambda s: F.concat(F.lit('{"index": '), (s["r"] - 1).cast("string"), F.lit(', "relevance_score": '),
+                           F.format_string("%.6f", s["s"]), F.lit("}"))), ", ").alias("items"))
+    body = (F.when(F.col("qa_id") % 3 == 0, F.lit('{"results": []}'))
+            .when(F.col("qa_id") % 3 == 1, F.lit("not json"))
+            .otherwise(F.concat(F.lit('{"results": ['), F.col("items"), F.lit("]}"))))
+    responses = items.select("query_id", body.alias("body"))
+    table_scores = rr.scores_from_results(rr.parse_rerank_response(responses))
+    kept = rr.rerank(hits, "reranker_top_n", scores=table_scores)
+    used = table_scores.select("query_id").distinct().withColumn("from_table", F.lit(True))
+    return (kept.join(used, "query_id", "left")
+            .select("query_id", "chunk_id", F.col("rank").cast("long"), F.col("rerank_rank").cast("long"),
+                    F.coalesce("from_table", F.lit(False)).alias("from_table")))
+
+
+def q_context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + A5 + P14: context per question, counts and status."""
+    c = _batch_frames(spark, sf_dir)["context"]
+    return c.select("query_id", F.size("context").cast("long").alias("n_context"), "retrieved_count",
+                    "reranked_count", "status",
+                    F.md5(F.array_join("context", "\u001f")).alias("context_md5"))
+
+
+def q_prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 + P5 + P6: the RAG prompt of every question, cut to 8192 characters."""
+    p = _batch_frames(spark, sf_dir)["prompts"]
+    return p.select("query_id", F.length("prompt").cast("long").alias("prompt_chars"), "truncated",
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+# --------------------------------------------------------------------------- index and QA policies
+def q_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + A4 (+ P8, D-17): re-embed a collection from parsed envelopes and upsert; vector-less rows rejected."""
+    from slicewise.functions.replies import embedding_envelope
+    from slicewise.sources import vector_index
+    from slicewise.sources.model_replies import embedding_responses
+    old = testdata.chunk_vectors(spark, sf_dir).select(
+        "collection", "chunk_id", "chunk_index", "embedding", F.lit(0).alias("version"))
+    env = embedding_responses(spark, sf_dir).select("chunk_id", embedding_envelope(F.col("body")).alias("e"))
+    new = (env.join(old.select("collection", "chunk_id", "chunk_index"), "chunk_id")
+           .select("collection", "chunk_id", "chunk_index", F.col("e.embedding").cast("array<float>").alias("embedding"),
+                   F.lit(1).alias("version")))
+    merged, rejected = vector_index.upsert_frames(old, new)
+    counts = vector_index.collection_counts(merged)
+    from_new = merged.filter(F.col("version") == 1).groupBy("collection").agg(
+        F.count("*").cast("long").alias("n_from_new"))
+    rej = rejected.groupBy("collection").agg(F.count("*").cast("long").alias("n_rejected"))
+    return (counts.join(from_new, "collection", "left").join(rej, "collection", "left")
+            .select("collection", "n_chunks", F.coalesce("n_from_new", F.lit(0).cast("long")).alias("n_from_new"),
+                    F.coalesce("n_rejected", F.lit(0).cast("long")).alias("n_rejected")))
+
+
+def q_index_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 + A4: a previous run indexed the line-merge 100/10 collections; only the others are indexed now."""
+    from slicewise.sources import vector_index
+    chunks = collection_chunks(spark, sf_dir)
+    existing = chunks.filter(F.col("chunking_strategy") == "simple_chunk_100_overlap_10")
+    wanted = chunks.select("collection").distinct()
+    todo = vector_index.to_index(wanted, existing).withColumn("action", F.lit("index"))
+    present = vector_index.collection_counts(existing)
+    skipped = wanted.join(present, "collection").select("collection").withColumn("action", F.lit("skip"))
+    return (todo.unionByName(skipped).join(present, "collection", "left")
+            .select("collection", "action", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_existing")))
+
+
+def _generated_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QA pairs parsed from generation replies (P10), keyed by file type."""
+    from slicewise.functions.replies import qa_answers, qa_question
+    x = _qa_extracted(spark, sf_dir).select("conv_id", F.posexplode("x.items").alias("qa_index", "item"))
+    return x.select(F.concat(F.lit("src"), (F.col("conv_id") % testdata.N_FILE_TYPES).cast("string")).alias("file_type"),
+                    (F.col("conv_id") * 1000 + F.col("qa_index")).alias("qa_index"),
+                    qa_question(F.col("item")).alias("question"), qa_answers(F.col("item")).alias("answers"))
+
+
+def _existing_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.qa_pairs(spark, sf_dir).select("file_type", F.col("qa_id").alias("qa_index"), "question", "answers")
+
+
+def q_qa_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under `skip`, only file types without QA pairs are generated."""
+    from slicewise.operators import qa
+    files = testdata.file_types(spark, sf_dir).select(F.col("name").alias("file_type"))
+    return qa.needs_generation(files, _existing_qa(spark, sf_dir), "skip")
+
+
+def _policy(policy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from slicewise.operators import qa
+        out = qa.apply_policy(_generated_qa(spark, sf_dir), _existing_qa(spark, sf_dir), policy)
+        return out.select("file_type", "qa_order", "question",
+                          F.array_join("answers", "\u001f").alias("answers_text"))
+    return run
+
+
+def q_score_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + A3 + A9: accepted judge scores (J7) and answer cosines (A1) rolled up per file type."""
+    from slicewise.operators import summary
+    from slicewise.operators.judge import accept, parse_judgements
+    from slicewise.operators.similarity import text_pair_cosine
+    from slicewise.sources.model_replies import judge_replies
+    acc = accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id", max_rounds=3)
+    cos = text_pair_cosine(answer_pairs(spark, sf_dir), "qa_id", "std_text", "final_answer")
+    m = (testdata.qa_pairs(spark, sf_dir).select("qa_id", F.col("file_type").alias("experiment_id"))
+         .join(cos, "qa_id").join(acc.select("qa_id", F.col("score").cast("double").alias("llm_score")), "qa_id"))
+    r = summary.per_experiment(m)
+    return r.select(F.col("experiment_id").alias("file_type"), "n_questions",
+                    _fmt_list("cosine_similaritys").alias("cosine_similaritys"),
+                    F.array_join(F.transform("llm_evaluation_scores",
+                                             lambda x: F.coalesce(F.format_string("%.0f", x), F.lit("null"))), ",")
+                    .alias("llm_evaluation_scores"),
+                    F.round("llm_score_ratio", 6).alias("llm_score_ratio"))
+
+
+QUERIES.update({
+    "retrieve_lexical_k8": q_retrieve_lexical_k8,
+    "rerank_lexical_top4": q_rerank_lexical_top4,
+    "rerank_fallback": q_rerank_fallback,
+    "context_assembly": q_context_assembly,
+    "prompt_render": q_prompt_render,
+    "index_upsert": q_index_upsert,
+    "index_skip_existing": q_index_skip_existing,
+    "qa_skip": q_qa_skip,
+    "qa_append": _policy("append"),
+    "qa_rebuild": _policy("rebuild"),
+    "score_ratio": q_score_ratio,
+})

@@ -77,8 +77,12 @@ class Batch:
 
 def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategies: DataFrame,
         experiments: DataFrame, qa_pairs: DataFrame, batch: Batch | None = None,
-        checkpoint_index: bool = True) -> DataFrame:
-    """Summary rows of every resolvable experiment; intermediate frames land in batch.frames."""
+        checkpoint_index: bool = True, stop_after: str | None = None) -> DataFrame | None:
+    """Summary rows of every resolvable experiment; intermediate frames land in batch.frames.
+
+    stop_after="retrieval" returns None once hits, reranked hits, contexts and
+    prompts are in batch.frames (for callers that need only those).
+    """
     b = batch or Batch()
     resolved, rejects = resolve(experiments, file_types, strategies, corpus, b.run_id)
     # configuration-sized, read by every later step: materialise once
@@ -126,12 +130,18 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     plain = hits.filter(~F.col("rerank")).withColumn("rerank_rank", F.col("rank")).withColumn(
         "score", F.lit(None).cast("double"))
     kept = rr.unionByName(plain)
+    b.frames["kept"] = kept
+    b.frames["questions"] = questions
 
     # A6 + A5 + P14, then X5
     ctx = assemble_context(questions.select("query_id", "experiment_id", "qa_id", "question", "std_text", "rerank"),
                            hits, kept, ["query_id"], "rerank_rank")
+    b.frames["context"] = ctx
     prompts = render(ctx, templates_table(spark), "RAGAnswer",
                      {"question": ("question", False), "document": ("context", True)})
+    b.frames["prompts"] = prompts
+    if stop_after == "retrieval":
+        return None
     answers = b.answerer(prompts)
     b.frames["answers"] = answers
 

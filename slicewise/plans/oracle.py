@@ -286,6 +286,10 @@ def _extend() -> None:
     ORACLE.update(ORACLE_RETRIEVAL)
     from slicewise.plans.oracle_replies import ORACLE_REPLIES
     ORACLE.update(ORACLE_REPLIES)
+    from slicewise.plans.oracle_flagship import ORACLE_FLAGSHIP
+    from slicewise.plans.oracle_more import ORACLE_MORE
+    ORACLE.update(ORACLE_FLAGSHIP)
+    ORACLE.update(ORACLE_MORE)
 
 
 _extend()

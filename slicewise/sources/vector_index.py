@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX_COLUMNS = ["collection", "chunk_id", "chunk_index", "chunk_text", "embedding", "version"]
+INDEX_COLUMNS = ["collection", "chunk_id", "doc_id", "chunk_index", "chunk_text", "embedding", "version"]
 
 
 def upsert_frames(existing: DataFrame, new: DataFrame, key=("collection", "chunk_id")) -> tuple[DataFrame, DataFrame]:
