@@ -52,6 +52,8 @@ def upsert(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     before the overwrite because it reads the partitions it replaces.
     """
     from slicewise.session import cut_lineage
+    # the new rows are computed once (chunking, embedding) and read twice below
+    new = cut_lineage(new)
     touched = new.select("collection").distinct()
     try:
         stored = spark.read.parquet(path).join(touched, "collection", "left_semi")

@@ -12,6 +12,8 @@ idempotent and the stream checkpoint lives in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,7 +50,9 @@ def start(spark: SparkSession, source_dir: str, pairs: DataFrame, strategy_rows:
     """Start the incremental indexer; `pairs` = resolved (collection, file_type, strategy columns)."""
     stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-streams/incremental-index"
+    # one stream state per (source, index) pair, in the shared checkpoint folder
+    key = hashlib.sha256(f"{source_dir}|{index_path}".encode()).hexdigest()[:16]
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-streams/incremental-index-{key}"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         index_batch(spark, batch, pairs, strategy_rows, index_path, int(batch_id))
