@@ -58,6 +58,33 @@ def pair_cosine(pairs: DataFrame, key: str, left_id: str, right_id: str,
     return scored.select(key, cos.alias("cosine_similarity"))
 
 
+def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[str],
+                          doc_key: str = "doc_id") -> DataFrame:
+    """TF-IDF cosine of every chunk with its own document, chunks read once.
+
+    chunks: chunk_keys (including doc_key) + chunk_text; docs: doc_key + text.
+    Token counts are aggregated per (chunk, token) and per (document, token);
+    the document norm is a per-document total corrected over the tokens the
+    chunk shares, so a document is never copied per chunk. Chunks without a
+    token are kept (explode_outer) and score 0.
+    Output: chunk_keys + cosine_similarity.
+    """
+    i2 = IDF_ONE * IDF_ONE
+    ct = (chunks.select(*chunk_keys, F.explode_outer(tokens(F.col("chunk_text"))).alias("token"))
+          .groupBy(*chunk_keys, "token").agg(F.count("token").cast("double").alias("fa")))
+    dt = (docs.select(doc_key, F.explode(tokens(F.col("text"))).alias("token"))
+          .groupBy(doc_key, "token").agg(F.count("*").cast("double").alias("fb")))
+    per_chunk = (ct.join(dt, [doc_key, "token"], "left").groupBy(*chunk_keys).agg(
+        F.sum(F.coalesce(F.col("fa") * F.col("fb"), F.lit(0.0))).alias("dot"),
+        F.sum(F.when(F.col("fb").isNull(), F.col("fa") * F.col("fa") * i2)
+               .otherwise(F.col("fa") * F.col("fa"))).alias("na"),
+        F.sum(F.coalesce(F.col("fb") * F.col("fb"), F.lit(0.0))).alias("shared")))
+    totals = dt.groupBy(doc_key).agg(F.sum(F.col("fb") * F.col("fb")).alias("sb"))
+    nb = F.lit(i2) * F.coalesce(F.col("sb"), F.lit(0.0)) + F.lit(1.0 - i2) * F.col("shared")
+    cos = F.when((F.col("na") > 0) & (nb > 0), F.col("dot") / F.sqrt(F.col("na") * nb)).otherwise(F.lit(0.0))
+    return per_chunk.join(totals, doc_key, "left").select(*chunk_keys, cos.alias("cosine_similarity"))
+
+
 def text_pair_cosine(df: DataFrame, key: str, text_a: str, text_b: str) -> DataFrame:
     """A1 where each row carries both texts: (key, text_a, text_b) -> (key, cosine_similarity)."""
     a = token_counts(df.select(F.col(key).alias("_l"), text_a), "_l", text_a)

@@ -182,14 +182,10 @@ def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_vs_original_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 + A11: chunks per collection and mean TF-IDF cosine of chunk vs its document."""
-    from slicewise.operators.similarity import pair_cosine, token_counts
-    chunks = collection_chunks(spark, sf_dir).withColumn(
-        "chunk_key", F.concat_ws("/", "collection", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    left = token_counts(chunks, "chunk_key", "chunk_text")
-    right = token_counts(testdata.corpus(spark, sf_dir), "doc_id", "text")
-    cos = pair_cosine(chunks.select("chunk_key", "doc_id"), "chunk_key", "chunk_key", "doc_id", left, right)
-    per_chunk = chunks.select("collection", "chunk_key").join(cos, "chunk_key")
-    return per_chunk.groupBy("collection").agg(
+    from slicewise.operators.similarity import chunk_document_cosine
+    chunks = collection_chunks(spark, sf_dir).select("collection", "doc_id", "chunk_index", "chunk_text")
+    cos = chunk_document_cosine(chunks, testdata.corpus(spark, sf_dir), ["collection", "doc_id", "chunk_index"])
+    return cos.groupBy("collection").agg(
         F.count("*").cast("long").alias("n_chunks"),
         F.round(F.avg("cosine_similarity"), 6).alias("mean_cosine"))
 
