@@ -25,15 +25,27 @@ LEXICAL_EMBEDDER = "hashed-tf-md5-64"
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two float/double arrays, accumulated in double."""
+    """Squared Euclidean distance of two float/double arrays of any length (higher-order functions)."""
     diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def squared_l2_fixed(a: str, b: str, dims: int) -> Column:
+    """The same distance for a known dimension, unrolled into element arithmetic.
+
+    Plain `a[i]` accesses and arithmetic compile into whole-stage codegen, where
+    the higher-order form is interpreted per element. Summation order is the
+    same left-to-right order, so both forms give identical doubles.
+    """
+    terms = " + ".join(f"(CAST(`{a}`[{i}] AS DOUBLE) - CAST(`{b}`[{i}] AS DOUBLE)) * "
+                       f"(CAST(`{a}`[{i}] AS DOUBLE) - CAST(`{b}`[{i}] AS DOUBLE))" for i in range(dims))
+    return F.expr(f"0.0D + {terms}")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "query_id",
         join_keys: tuple[str, ...] = ("collection",), where: dict | None = None,
         where_query: dict[str, str] | None = None, vector_col: str = "embedding", query_vector_col: str = "query_vector",
-        order_tiebreak: str = "chunk_index", include: tuple[str, ...] = ()) -> DataFrame:
+        order_tiebreak: str = "chunk_index", include: tuple[str, ...] = (), dims: int | None = None) -> DataFrame:
     """Exact top-k nearest chunks per query (ascending squared L2, ties by chunk_index).
 
     queries: query_key, join_keys..., query_vector[, k column]
@@ -43,6 +55,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "
     k is a number or the name of a query column; k larger than the collection
     returns the whole collection (T2).
     include (P17): extra vector-side columns to return.
+    dims: vector length when all vectors share it (unrolled, codegen'd distance);
+    None -> read from the (small) query side; mixed lengths use the generic form.
     """
     v = vectors
     for col, value in (where or {}).items():
@@ -57,8 +71,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "
     keep = [F.col("_q_" + query_key).alias(query_key)] + [F.col(c) for c in join_keys] + \
         [F.col("chunk_id"), F.col(order_tiebreak)] + [F.col(c) for c in include]
     kcol = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
-    scored = joined.select(*keep, squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)).alias("distance"),
-                           kcol.alias("_k"))
+    if dims is None:
+        lo, hi = queries.select(F.min(F.size(query_vector_col)), F.max(F.size(query_vector_col))).first()
+        dims = lo if lo == hi and lo is not None and lo > 0 else None
+    dist = (squared_l2_fixed(vector_col, "_q_" + query_vector_col, dims) if dims
+            else squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)))
+    scored = joined.select(*keep, dist.alias("distance"), kcol.alias("_k"))
     w = Window.partitionBy(query_key).orderBy("distance", order_tiebreak)
     return (scored.withColumn("rank", F.row_number().over(w))
                   .filter(F.col("rank") <= F.col("_k")).drop("_k"))
@@ -100,13 +118,14 @@ def with_lexical_embedding(df: DataFrame, text_col: str, out_col: str = "embeddi
                                 F.zip_with("_st", ends, lambda a, b: (b - a).cast("double"))))
     # `_m` is referenced twice so Catalyst keeps it materialised instead of
     # inlining the map construction into the per-dimension lambda
-    staged = staged.withColumn(
-        "_v", F.when(F.size("_m") >= 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                                                   lambda d: F.coalesce(F.element_at("_m", d.cast("long")), F.lit(0.0)))))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
-    return (staged.withColumn("_n", norm)
-                  .withColumn(out_col, F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n")))
-                              .otherwise(F.col("_v")))
+    # dense vector, norm and normalisation unrolled over the fixed dimension (codegen'd);
+    # `_m` is referenced more than once so it stays materialised
+    dense = ", ".join(f"coalesce(element_at(`_m`, {d}L), 0.0D)" for d in range(dims))
+    staged = staged.withColumn("_v", F.expr(f"CASE WHEN size(`_m`) >= 0 THEN array({dense}) END"))
+    squares = " + ".join(f"`_v`[{d}] * `_v`[{d}]" for d in range(dims))
+    staged = staged.withColumn("_n", F.expr(f"sqrt(0.0D + {squares})"))
+    scaled = ", ".join(f"`_v`[{d}] / `_n`" for d in range(dims))
+    return (staged.withColumn(out_col, F.expr(f"CASE WHEN `_n` > 0 THEN array({scaled}) ELSE `_v` END"))
                   .drop("_b", "_st", "_m", "_v", "_n"))
 
 

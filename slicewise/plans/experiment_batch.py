@@ -32,7 +32,7 @@ from slicewise.functions.sizing import broadcast_if_small
 from slicewise.operators import chunking, qa as qa_ops, rerank as rerank_ops, summary
 from slicewise.operators.experiments import resolve
 from slicewise.operators.prompts import assemble_context, render, templates_table
-from slicewise.operators.retrieval import LEXICAL_EMBEDDER, knn, with_lexical_embedding
+from slicewise.operators.retrieval import LEXICAL_DIMS, LEXICAL_EMBEDDER, knn, with_lexical_embedding
 from slicewise.operators.similarity import joined_answers, pair_cosine, text_pair_cosine, token_counts, token_overlap
 from slicewise.session import cut_lineage
 
@@ -117,7 +117,8 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
 
     # J2 + T1: top-k per question inside its collection
     # hits are bounded by questions x k: materialise them so the many readers below do not re-run the search
-    hit_keys = cut_lineage(knn(qvec, index, "retrieval_n_results", order_tiebreak="chunk_id")
+    hit_keys = cut_lineage(knn(qvec, index, "retrieval_n_results", order_tiebreak="chunk_id",
+                               dims=LEXICAL_DIMS if b.embedder is lexical_embedder else None)
                            .select("query_id", "collection", "chunk_id", "rank", "distance"))
     hits = (index.select("collection", "chunk_id", "doc_id", "chunk_text")
             .join(broadcast_if_small(hit_keys), ["collection", "chunk_id"]))
