@@ -476,15 +476,17 @@ def _policy(policy: str) -> Query:
 
 
 def q_score_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 + A3 + A9: accepted judge scores (J7) and answer cosines (A1) rolled up per file type."""
+    """A2 + A3: accepted judge scores (J7) and answer cosines (A1) of the sampled QAs, per file type."""
     from slicewise.operators import summary
     from slicewise.operators.judge import accept, parse_judgements
     from slicewise.operators.similarity import text_pair_cosine
     from slicewise.sources.model_replies import judge_replies
     acc = accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id", max_rounds=3)
     cos = text_pair_cosine(answer_pairs(spark, sf_dir), "qa_id", "std_text", "final_answer")
-    m = (testdata.qa_pairs(spark, sf_dir).select("qa_id", F.col("file_type").alias("experiment_id"))
-         .join(cos, "qa_id").join(acc.select("qa_id", F.col("score").cast("double").alias("llm_score")), "qa_id"))
+    from slicewise.operators import qa as qa_ops
+    # lists are built over the sampled QA set of each file type (at most 8), as per experiment
+    sampled = qa_ops.sample(testdata.qa_pairs(spark, sf_dir)).select("qa_id", F.col("file_type").alias("experiment_id"))
+    m = (sampled.join(cos, "qa_id").join(acc.select("qa_id", F.col("score").cast("double").alias("llm_score")), "qa_id"))
     r = summary.per_experiment(m)
     return r.select(F.col("experiment_id").alias("file_type"), "n_questions",
                     _fmt_list("cosine_similaritys").alias("cosine_similaritys"),

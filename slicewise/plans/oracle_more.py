@@ -52,8 +52,10 @@ WITH {judge_ctes()},
 acc AS (SELECT qa_id, arg_min(score, attempt) FILTER (WHERE valid) AS score FROM judged WHERE attempt < 3 GROUP BY qa_id),
 {ANSWER_PAIRS.replace('qa AS (', 'qa2 AS (').replace('FROM qa)', 'FROM qa2)')},
 {cosine_ctes('s', 'ap')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY file_type ORDER BY md5('seed0' || question), qa_id) AS sample_rank
+           FROM qa),
 m AS (SELECT q.file_type, q.qa_id, c.cosine_similarity, CAST(a.score AS DOUBLE) AS llm_score
-      FROM qa q JOIN scos c ON c.k = q.qa_id JOIN acc a ON a.qa_id = q.qa_id)
+      FROM ranked q JOIN scos c ON c.k = q.qa_id JOIN acc a ON a.qa_id = q.qa_id WHERE q.sample_rank <= 8)
 SELECT file_type, CAST(count(*) AS BIGINT) AS n_questions,
        string_agg(printf('%.6f', cosine_similarity), ',' ORDER BY qa_id) AS cosine_similaritys,
        string_agg(coalesce(printf('%.0f', llm_score), 'null'), ',' ORDER BY qa_id) AS llm_evaluation_scores,
