@@ -164,8 +164,21 @@ def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
     return F.when(n > 0, F.filter(cut, lambda x: F.length(x) > 0)).otherwise(F.array().cast("array<string>"))
 
 
+# Extra splitters by method name. A splitter is a function
+# (text_col, size_col, separators) -> Column of array<struct<len:int, f:int>>:
+# the leaves that tile the text (len in characters, f = depth*4 + good*2 + first)
+# which the shared merge walk then merges into chunks.
+CUSTOM_SPLITTERS: dict = {}
+
+
+def register_splitter(method: str, leaves_builder) -> None:
+    CUSTOM_SPLITTERS[method] = leaves_builder
+
+
 def leaves_for(method: str, separators: list[str] | None, text_col: str, size_col: str) -> Column:
     """Leaves (len, flags) of a document under one splitter shape."""
+    if method in CUSTOM_SPLITTERS:
+        return CUSTOM_SPLITTERS[method](text_col, size_col, separators)
     if method == LINE_MERGE:
         lens, _ = line_leaves(F.col(text_col))
         return F.transform(lens, lambda x: F.struct(x.cast("int").alias("len"), F.lit(2).alias("f")))
@@ -201,7 +214,7 @@ def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
         method = row["method"]
         if method == OUTSIDE:
             continue
-        if method not in (LINE_MERGE, RECURSIVE):
+        if method not in (LINE_MERGE, RECURSIVE) and method not in CUSTOM_SPLITTERS:
             raise ValueError(f"Chunking method: {method} is not supported.")
         seps = tuple(row["separators"]) if row["separators"] else None
         if method == LINE_MERGE:

@@ -48,3 +48,24 @@ def apply_policy(new: DataFrame, existing: DataFrame, policy: str, key: str = "f
         raise ValueError(f"unknown QA build policy: {policy}")
     w = Window.partitionBy(key).orderBy("_src", "_pos")
     return both.withColumn("qa_order", (F.row_number().over(w) - 1).cast("long")).drop("_src", "_pos")
+
+
+def generate(documents: DataFrame, templates: DataFrame, responder, key: str = "file_type") -> tuple[DataFrame, DataFrame]:
+    """GenQAs prompt per document -> responder hook -> P10 -> QA rows.
+
+    documents: key + text. responder: DataFrame(key, prompt) -> DataFrame(key, reply),
+    e.g. `mapInPandas` over a model client. The document fills `{document}` and the
+    prompt is cut to 8192 characters (`truncated` says when). Returns (qa rows
+    (key, qa_index, question, answers), skipped keys with no pairs).
+    """
+    from slicewise.functions.replies import qa_answers, qa_items, qa_question
+    from slicewise.operators.prompts import render
+
+    prompts = render(documents, templates, "GenQAs", {"document": ("text", False)})
+    replies = responder(prompts.select(key, "prompt", "truncated"))
+    items = replies.select(key, qa_items(F.col("reply"))["items"].alias("items"))
+    qa_rows = items.select(key, F.posexplode("items").alias("qa_index", "item")).select(
+        key, F.col("qa_index").cast("long"), qa_question(F.col("item")).alias("question"),
+        qa_answers(F.col("item")).alias("answers"))
+    skipped = items.filter(F.size("items") == 0).select(key)
+    return qa_rows, skipped

@@ -21,6 +21,7 @@ take and return DataFrames (for example `mapInPandas` over a model client).
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -72,7 +73,10 @@ class Batch:
     answerer: Answerer = extractive_answerer
     judge: Judge = lexical_judge
     embedder_name: str = LEXICAL_EMBEDDER
+    # Extra metrics, each answers -> DataFrame(query_id, <one metric column>), averaged per experiment
+    metrics: list = field(default_factory=list)
     frames: dict = field(default_factory=dict)
+    timings: dict = field(default_factory=dict)   # A15 / C4: wall seconds of the batch's actions
 
 
 def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategies: DataFrame,
@@ -101,7 +105,10 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
                            F.col("chunk_index").cast("string")), 256).alias("chunk_id"))
     index = b.embedder(chunks, "chunk_text")
     if checkpoint_index:
+        t0 = time.perf_counter()
         index = cut_lineage(index)          # written once, read by retrieval, hit text and metrics
+        # C4: one pass chunks (and embeds) every strategy of the batch; its wall time is shared
+        b.timings["chunk_and_index_s"] = time.perf_counter() - t0
     b.frames["index"] = index
 
     # T5 + J8: sampled questions of each file type, joined to that type's experiments
@@ -171,10 +178,18 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     # A2 + A3 + A8
     rolled = summary.per_experiment(metrics.select("experiment_id", "qa_id", "cosine_similarity", "llm_score"))
     extra = metrics.groupBy("experiment_id").agg(F.avg(F.col("covered").cast("double")).alias("qa_recall"))
+    for fn in b.metrics:                     # U3: user metrics joined on the question key
+        m = fn(answers)
+        col = [c for c in m.columns if c != "query_id"][0]
+        per = (m.join(answers.select("query_id", "experiment_id"), "query_id")
+               .groupBy("experiment_id").agg(F.avg(col).alias(col)))
+        extra = extra.join(per, "experiment_id", "left")
     n_chunks = index.groupBy("collection").agg(F.count("*").cast("long").alias("n_chunks"))
     out = summary.assemble(resolved, rolled)
     out = (out.join(extra, "experiment_id", "left").join(topk, "experiment_id", "left")
               .join(resolved.select("experiment_id", "collection"), "experiment_id")
               .join(n_chunks, "collection", "left").drop("collection")
               .withColumn("embedder", F.lit(b.embedder_name)))
+    if "chunk_and_index_s" in b.timings:
+        out = out.withColumn("chunk_times_s", F.lit(round(b.timings["chunk_and_index_s"], 3)))
     return out
