@@ -34,7 +34,7 @@ from slicewise.operators import chunking, qa as qa_ops, rerank as rerank_ops, su
 from slicewise.operators.experiments import resolve
 from slicewise.operators.prompts import assemble_context, render, templates_table
 from slicewise.operators.retrieval import LEXICAL_DIMS, LEXICAL_EMBEDDER, knn, with_lexical_embedding
-from slicewise.operators.similarity import joined_answers, pair_cosine, text_pair_cosine, token_counts, token_overlap
+from slicewise.operators.similarity import chunk_document_cosine, joined_answers, text_pair_cosine, token_overlap
 from slicewise.session import cut_lineage
 
 # Recall threshold of A12 and the lexical judge's score bands (token recall).
@@ -150,7 +150,8 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     b.frames["prompts"] = prompts
     if stop_after == "retrieval":
         return None
-    answers = b.answerer(prompts)
+    # answers are bounded by the questions and read by every metric below: materialise once
+    answers = cut_lineage(b.answerer(prompts))
     b.frames["answers"] = answers
 
     # A1 + X6/P11/P12
@@ -166,12 +167,9 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     b.frames["metrics"] = metrics
 
     # Retrieved chunks against their documents (only documents that were hit are tokenised)
-    hit_chunks = hits.select(F.concat_ws("#", "query_id", F.col("rank").cast("string")).alias("hk"), "query_id",
-                             "doc_id", "chunk_text")
-    hit_docs = corpus.join(hit_chunks.select("doc_id").distinct(), "doc_id", "left_semi")
-    topk_cos = pair_cosine(hit_chunks.select("hk", "doc_id"), "hk", "hk", "doc_id",
-                           token_counts(hit_chunks, "hk", "chunk_text"), token_counts(hit_docs, "doc_id", "text"))
-    topk = (hit_chunks.select("hk", "query_id").join(topk_cos, "hk")
+    hit_chunks = hits.select("query_id", "rank", "doc_id", "chunk_text")
+    hit_docs = corpus.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    topk = (chunk_document_cosine(hit_chunks, hit_docs, ["query_id", "rank", "doc_id"])
             .join(questions.select("query_id", "experiment_id"), "query_id")
             .groupBy("experiment_id").agg(F.avg("cosine_similarity").alias("topk_vs_original")))
 
