@@ -22,9 +22,14 @@ PROMPT_MAX_CHARS = 8192
 # ---------------------------------------------------------------------------
 
 
+# The same characters as a set, for trim(BOTH <set> FROM ...): no regex, codegen'd.
+STRIP_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                       *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def py_strip(col: Column) -> Column:
-    """Python `str.strip()` semantics (Spark's trim only removes U+0020)."""
-    return F.regexp_replace(F.regexp_replace(col, "^" + STRIP_CLASS + "+", ""), STRIP_CLASS + "+$", "")
+    """Python `str.strip()` semantics (Spark's default trim only removes U+0020)."""
+    return F.trim(col, F.lit(STRIP_CHARS))
 
 
 def java_literal(sep: str) -> str:

@@ -21,8 +21,8 @@ the document, in document order.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,31 +45,27 @@ def merge_run(cs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def walk_document(lens, flags, size: int, overlap: int) -> list[int]:
+    """Run boundaries and prefix sums with numpy; Python loops only over runs and chunks."""
     n = len(lens)
     if n == 0:
         return []
+    ln = np.asarray(lens, dtype=np.int64)
+    fl = np.asarray(flags, dtype=np.int64)
+    good = (fl & 2) != 0
+    depth = fl >> 2
+    starts = np.ones(n, dtype=bool)
+    starts[1:] = ~good[1:] | ~good[:-1] | ((fl[1:] & 1) != 0) | (depth[1:] != depth[:-1])
+    bounds = np.flatnonzero(starts).tolist() + [n]
+    offsets = np.concatenate(([0], np.cumsum(ln)))
     out: list[int] = []
-    offset = 0
-    k = 0
-    while k < n:
-        f = int(flags[k])
-        if not f & 2:                                 # oversize leaf: emitted whole
-            out += (offset, offset + int(lens[k]), 0)
-            offset += int(lens[k])
-            k += 1
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        base = int(offsets[a])
+        if not good[a]:                              # oversize leaf: emitted whole, unstripped
+            out += (base, int(offsets[b]), 0)
             continue
-        depth = f >> 2
-        r = k + 1
-        while r < n:
-            g = int(flags[r])
-            if (not g & 2) or (g & 1) or (g >> 2) != depth:
-                break
-            r += 1
-        cs = [0, *accumulate(int(x) for x in lens[k:r])]
+        cs = (offsets[a:b + 1] - base).tolist()
         for s, e in merge_run(cs, size, overlap):
-            out += (offset + cs[s], offset + cs[e], 1)
-        offset += cs[-1]
-        k = r
+            out += (base + cs[s], base + cs[e], 1)
     return out
 
 
