@@ -70,7 +70,12 @@ def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[s
     Output: chunk_keys + cosine_similarity.
     """
     i2 = IDF_ONE * IDF_ONE
+    # Chunk token occurrences are hash-partitioned by (document, token) once: that layout serves
+    # both the per-(chunk, token) count and the join with the document's counts (which are
+    # grouped by exactly those keys), so the join adds no second exchange of the chunk side.
+    # Tokens repeat little inside a short chunk, so the lost map-side combine costs little.
     ct = (chunks.select(*chunk_keys, F.explode_outer(tokens(F.col("chunk_text"))).alias("token"))
+          .repartition(doc_key, "token")
           .groupBy(*chunk_keys, "token").agg(F.count("token").cast("double").alias("fa")))
     dt = (docs.select(doc_key, F.explode(tokens(F.col("text"))).alias("token"))
           .groupBy(doc_key, "token").agg(F.count("*").cast("double").alias("fb")))

@@ -56,7 +56,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="slicewise-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            # a machine-local folder would not survive the loss of an executor
+            raise ValueError("spark.checkpoint.dir must name a shared folder (e.g. on the cluster's "
+                             "distributed file system) for materialised tables and stream state")
+        current = tempfile.mkdtemp(prefix="slicewise-ckpt-")   # local mode only (tests, laptops)
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
