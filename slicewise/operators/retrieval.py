@@ -67,7 +67,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "
     cond = [F.col(c) == F.col("_q_" + c) for c in join_keys]
     for col, qcol in (where_query or {}).items():
         cond.append(F.col(col) == F.col("_q_" + qcol))
-    joined = v.join(q, cond) if cond else v.crossJoin(q)
+    if not cond:
+        raise ValueError("knn needs a join key (collection) or a per-query filter: all-pairs scoring is not offered")
+    joined = v.join(q, cond)
     keep = [F.col("_q_" + query_key).alias(query_key)] + [F.col(c) for c in join_keys] + \
         [F.col("chunk_id"), F.col(order_tiebreak)] + [F.col(c) for c in include]
     kcol = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
