@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from slicewise.functions.text import DEFAULT_SEPARATORS, java_literal, py_strip
 from slicewise.operators.merge_walk import merge_ranges
 
-LEAF = T.StructType([T.StructField("len", T.IntegerType()), T.StructField("f", T.IntegerType())])
-LEAVES = T.ArrayType(LEAF)
+# A leaf is one bigint: length * 64 + flags, flags = depth*4 + good*2 + first (depth < 16).
+LEAF_SHIFT = 64
 
 LINE_MERGE = "simple_split"
 RECURSIVE = "recursive_character_text_splitter"
@@ -46,59 +46,9 @@ def line_leaves(text: Column) -> tuple[Column, Column]:
     return lens, F.array_repeat(F.lit(2), F.size(lens))
 
 
-def _flag(depth: int, good: Column, first: Column) -> Column:
-    return (F.lit(depth * 4) + F.when(good, 2).otherwise(0) + F.when(first, 1).otherwise(0)).cast("int")
-
-
-def _split_children(text: Column, seps: list[str], c: int, size: Column, depth: int) -> Column:
-    sep = seps[c]
-    remaining = sep != "" and c + 1 < len(seps)
-    d = depth + 1
-    if sep == "":
-        n = F.length(text)
-        chars = F.transform(F.sequence(F.lit(0), n - 1),
-                            lambda j: F.struct(F.lit(1).alias("len"), _flag(d, F.lit(1) < size, j == 0).alias("f")))
-        return F.when(n > 0, chars).otherwise(F.array().cast(LEAVES))
-    pieces = F.filter(
-        F.transform(F.split(text, java_literal(sep), -1),
-                    lambda p, j: F.when(j == 0, p).otherwise(F.concat(F.lit(sep), p))),
-        lambda p: F.length(p) > 0)
-
-    def child(p: Column, j: Column) -> Column:
-        ln = F.length(p)
-        leaf = F.array(F.struct(ln.cast("int").alias("len"), _flag(d, ln < size, j == 0).alias("f")))
-        if remaining:
-            return F.when(ln < size, leaf).otherwise(_node_leaves(p, seps, c + 1, size, d))
-        return leaf
-
-    return F.flatten(F.transform(pieces, child))
-
-
-def _node_leaves(text: Column, seps: list[str], m: int, size: Column, depth: int) -> Column:
-    """Leaves of one node whose remaining separators are seps[m:]."""
-    branches = []
-    default = None
-    for c in range(m, len(seps)):
-        expr = _split_children(text, seps, c, size, depth)
-        if seps[c] == "" or c == len(seps) - 1:
-            default = expr
-            break
-        branches.append((F.instr(text, seps[c]) > 0, expr))
-    out = default
-    for cond, expr in reversed(branches):
-        out = F.when(cond, expr).otherwise(out)
-    return out
-
-
-def recursive_leaves(text: Column, size: Column, separators: list[str] | None = None) -> Column:
-    """Leaves of the recursive splitter, built with the Column API (see recursive_leaves_sql)."""
-    seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
-    return F.when(F.length(text) > 0, _node_leaves(text, seps, 0, size, 0)).otherwise(F.array().cast(LEAVES))
-
-
 # The same expression as SQL text: one parse instead of thousands of driver-side
 # Column constructions (the nested tree grows with 2^len(separators)).
-_EMPTY_LEAVES_SQL = "CAST(array() AS array<struct<len:int,f:int>>)"
+_EMPTY_LEAVES_SQL = "CAST(array() AS array<bigint>)"
 
 
 def _sql_literal(s: str) -> str:
@@ -108,7 +58,7 @@ def _sql_literal(s: str) -> str:
 
 
 def _flag_sql(depth: int, good: str, first: str) -> str:
-    return f"CAST({depth * 4} + CASE WHEN {good} THEN 2 ELSE 0 END + CASE WHEN {first} THEN 1 ELSE 0 END AS int)"
+    return f"({depth * 4} + CASE WHEN {good} THEN 2 ELSE 0 END + CASE WHEN {first} THEN 1 ELSE 0 END)"
 
 
 def _children_sql(text: str, seps: list[str], c: int, size: str, depth: int) -> str:
@@ -116,14 +66,14 @@ def _children_sql(text: str, seps: list[str], c: int, size: str, depth: int) ->
     d = depth + 1
     if sep == "":
         return (f"CASE WHEN length({text}) > 0 THEN transform(sequence(0, length({text}) - 1), "
-                f"e{d} -> named_struct('len', 1, 'f', {_flag_sql(d, f'1 < {size}', f'e{d} = 0')})) "
+                f"e{d} -> CAST({LEAF_SHIFT} + {_flag_sql(d, f'1 < {size}', f'e{d} = 0')} AS BIGINT)) "
                 f"ELSE {_EMPTY_LEAVES_SQL} END")
     remaining = c + 1 < len(seps)
     pieces = (f"filter(transform(split({text}, {_sql_literal(java_literal(sep))}, -1), "
               f"(p{d}, i{d}) -> CASE WHEN i{d} = 0 THEN p{d} ELSE concat({_sql_literal(sep)}, p{d}) END), "
               f"p{d} -> length(p{d}) > 0)")
-    leaf = (f"array(named_struct('len', CAST(length(q{d}) AS int), "
-            f"'f', {_flag_sql(d, f'length(q{d}) < {size}', f'k{d} = 0')}))")
+    leaf = (f"array(CAST(length(q{d}) AS BIGINT) * {LEAF_SHIFT} + "
+            f"{_flag_sql(d, f'length(q{d}) < {size}', f'k{d} = 0')})")
     child = (f"CASE WHEN length(q{d}) < {size} THEN {leaf} ELSE {_node_sql(f'q{d}', seps, c + 1, size, d)} END"
              if remaining else leaf)
     return f"flatten(transform({pieces}, (q{d}, k{d}) -> {child}))"
@@ -167,7 +117,7 @@ def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
 # Extra splitters by method name. A splitter is a function
 # (text_col, size_col, separators) -> Column of array<struct<len:int, f:int>>:
 # the leaves that tile the text (len in characters, f = depth*4 + good*2 + first)
-# which the shared merge walk then merges into chunks.
+# which the shared merge walk then merges into chunks (converted to leaf codes here).
 CUSTOM_SPLITTERS: dict = {}
 
 
@@ -176,12 +126,13 @@ def register_splitter(method: str, leaves_builder) -> None:
 
 
 def leaves_for(method: str, separators: list[str] | None, text_col: str, size_col: str) -> Column:
-    """Leaves (len, flags) of a document under one splitter shape."""
+    """Leaves (bigint codes length*64 + flags) of a document under one splitter shape."""
     if method in CUSTOM_SPLITTERS:
-        return CUSTOM_SPLITTERS[method](text_col, size_col, separators)
+        custom = CUSTOM_SPLITTERS[method](text_col, size_col, separators)
+        return F.transform(custom, lambda x: x["len"].cast("bigint") * LEAF_SHIFT + x["f"])
     if method == LINE_MERGE:
         lens, _ = line_leaves(F.col(text_col))
-        return F.transform(lens, lambda x: F.struct(x.cast("int").alias("len"), F.lit(2).alias("f")))
+        return F.transform(lens, lambda x: x.cast("bigint") * LEAF_SHIFT + 2)
     if method == RECURSIVE:
         return recursive_leaves_sql(text_col, size_col, separators)
     raise ValueError(f"Chunking method: {method} is not supported.")
@@ -189,8 +140,7 @@ def leaves_for(method: str, separators: list[str] | None, text_col: str, size_co
 
 def _explode_chunks(staged: DataFrame, keep: list[str], text_col: str, size_col: str,
                     overlap_col: str) -> DataFrame:
-    ranged = staged.withColumn(
-        "_ranges", merge_ranges(F.col("_leaves.len"), F.col("_leaves.f"), F.col(size_col), F.col(overlap_col)))
+    ranged = staged.withColumn("_ranges", merge_ranges(F.col("_leaves"), F.col(size_col), F.col(overlap_col)))
     return ranged.select(*keep, F.posexplode(_ranges_to_chunks(F.col(text_col), F.col("_ranges")))
                          .alias("chunk_index", "chunk_text"))
 

@@ -8,8 +8,8 @@ document, or with a shuffle of every piece plus pointer jumping. Here it runs
 once per document, O(k log n), on int arrays shipped by Arrow; no text crosses
 into Python.
 
-Input per document: `lens` (code-point length of every leaf, in document
-order; leaves tile the text) and `flags` (depth*4 + good*2 + first_child).
+Input per document: one int64 code per leaf, in document order (leaves tile
+the text): code-point length * 64 + flags, flags = depth*4 + good*2 + first_child.
 A good leaf joins the merge run of its predecessor when the predecessor is a
 good leaf of the same parent; every other good leaf starts a new run. A leaf
 that is not good is emitted whole and unstripped.
@@ -44,13 +44,17 @@ def merge_run(cs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
         s = min(i, bisect_left(cs, max(cs[i] - overlap, cs[i + 1] - size)))
 
 
-def walk_document(lens, flags, size: int, overlap: int) -> list[int]:
-    """Run boundaries and prefix sums with numpy; Python loops only over runs and chunks."""
-    n = len(lens)
+def walk_document(leaves, size: int, overlap: int) -> list[int]:
+    """Run boundaries and prefix sums with numpy; Python loops only over runs and chunks.
+
+    leaves: int64 codes length * 64 + flags (flags = depth*4 + good*2 + first).
+    """
+    n = len(leaves)
     if n == 0:
         return []
-    ln = np.asarray(lens, dtype=np.int64)
-    fl = np.asarray(flags, dtype=np.int64)
+    codes = np.asarray(leaves, dtype=np.int64)
+    ln = codes >> 6
+    fl = codes & 63
     good = (fl & 2) != 0
     depth = fl >> 2
     starts = np.ones(n, dtype=bool)
@@ -70,10 +74,10 @@ def walk_document(lens, flags, size: int, overlap: int) -> list[int]:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def merge_ranges(lens: pd.Series, flags: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
+def merge_ranges(leaves: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([
-        walk_document(ln if ln is not None else [], fl if fl is not None else [], int(sz), int(ov))
-        for ln, fl, sz, ov in zip(lens, flags, size, overlap)
+        walk_document(lv if lv is not None else [], int(sz), int(ov))
+        for lv, sz, ov in zip(leaves, size, overlap)
     ])
 
 
