@@ -78,4 +78,22 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MATERIALISED.append(path)
     return spark.read.parquet(path)
+
+
+_MATERIALISED: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables this process materialised; call once their results are consumed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MATERIALISED:
+        p = jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            n += 1
+    return n

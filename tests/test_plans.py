@@ -38,3 +38,11 @@ def test_chunk_document_cosine_shuffles_chunk_tokens_once(static):
     plan = _plan(catalog.QUERIES["chunk_vs_original_cosine"](static, SMALL))
     assert plan.count("REPARTITION_BY_COL") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_release_materialised_tables(spark):
+
+    from slicewise.session import cut_lineage, release_tables
+    t = cut_lineage(spark.range(10))
+    assert t.count() == 10
+    assert release_tables(spark) >= 1
