@@ -24,7 +24,6 @@ import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slicewise.functions.text import DEFAULT_SEPARATORS, java_literal, py_strip
 from slicewise.operators.merge_walk import merge_ranges
