@@ -31,7 +31,8 @@ def needs_generation(files: DataFrame, existing: DataFrame, policy: str, key: st
 def apply_policy(new: DataFrame, existing: DataFrame, policy: str, key: str = "file_type") -> DataFrame:
     """Combine freshly generated pairs with the stored ones.
 
-    append  -> new pairs first, then the existing ones (no dedupe), `qa_order` keeps that order;
+    append  -> new pairs first, then the existing ones (no dedupe), `qa_order` keeps that order
+               (positions are non-negative and below 2**52);
     rebuild -> new pairs replace the stored ones of the files that were regenerated;
     skip    -> stored pairs stay; new pairs only for files that had none.
     """
@@ -46,8 +47,11 @@ def apply_policy(new: DataFrame, existing: DataFrame, policy: str, key: str = "f
         both = old_t.unionByName(new_t.join(old_t.select(key).distinct(), key, "left_anti"))
     else:
         raise ValueError(f"unknown QA build policy: {policy}")
-    w = Window.partitionBy(key).orderBy("_src", "_pos")
-    return both.withColumn("qa_order", (F.row_number().over(w) - 1).cast("long")).drop("_src", "_pos")
+    # position within a file type without one window over the whole (possibly hot) file type:
+    # a unique integer order (source first, then position) numbered in bounded buckets
+    from slicewise.functions.indexing import dense_index
+    ordered = both.withColumn("_ord", F.col("_src").cast("long") * F.lit(1 << 52) + F.col("_pos").cast("long"))
+    return dense_index(ordered, [key], "_ord", "qa_order").drop("_src", "_pos", "_ord")
 
 
 def generate(documents: DataFrame, templates: DataFrame, responder, key: str = "file_type") -> tuple[DataFrame, DataFrame]:
