@@ -6,9 +6,9 @@ in two bounded steps: rows are bucketed by `order_col div width`; a small
 table of bucket counts gives each bucket its offset (running sum over buckets);
 rows are then numbered inside their bucket. Every window partition holds at
 most `width` rows when `order_col` values are unique integers. The running sum
-runs over one row per non-empty bucket, which is width times fewer rows than
-the input when the order values are dense (row positions), and still one per
-bucket, never per row, when they are sparse.
+runs over one row per non-empty bucket: up to `width` times fewer rows than
+the input when the order values are dense (row positions); with very sparse
+values it approaches one row per input row, so dense positions are preferred.
 """
 
 from __future__ import annotations
