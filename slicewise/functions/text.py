@@ -41,7 +41,7 @@ def java_literal(sep: str) -> str:
 
 def tokens(col: Column) -> Column:
     """Lower-cased word tokens as the default TF-IDF vectoriser sees them."""
-    return F.regexp_extract_all(F.lower(col), F.lit("(" + TOKEN_PATTERN + ")"), 1)
+    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), 0)
 
 
 def collection_name(file_type: Column, strategy: Column, run_id: Column) -> Column:

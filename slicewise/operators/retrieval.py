@@ -94,7 +94,14 @@ def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding",
 
 # --------------------------------------------------------------------------- lexical embedder (X7 default)
 def token_buckets(text: Column, dims: int = LEXICAL_DIMS) -> Column:
-    """Bucket of every token: first 32 bits of md5(token) modulo dims (reproducible in SQL)."""
+    """Bucket of every token: first 32 bits of md5(token) modulo dims (reproducible in SQL).
+
+    For dims dividing 256 only the 4th byte of those 32 bits matters (256 = 0 mod dims),
+    so just its two hex digits are parsed.
+    """
+    if 256 % dims == 0:
+        return F.transform(tokens(text),
+                           lambda t: F.pmod(F.conv(F.substring(F.md5(t), 7, 2), 16, 10).cast("long"), F.lit(dims)))
     return F.transform(tokens(text),
                        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)))
 
