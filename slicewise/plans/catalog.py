@@ -67,10 +67,12 @@ def collection_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from slicewise.functions.sizing import broadcast_if_small
     from slicewise.sources.tables import SHIPPED_STRATEGIES, STRATEGY_SCHEMA
+    from slicewise.session import cut_lineage
     resolved, _ = resolved_experiments(spark, sf_dir)
-    pairs = resolved.filter(F.col("method") != chunking.OUTSIDE).select(
+    # configuration-sized: materialised once, so the size check and the query do not both resolve
+    pairs = cut_lineage(resolved.filter(F.col("method") != chunking.OUTSIDE).select(
         "collection", "file_type", "chunking_strategy", "method", "chunk_size", "chunk_overlap",
-        "separators").distinct()
+        "separators").distinct())
     docs = testdata.corpus(spark, sf_dir).select(
         "doc_id", "file_type", "text", F.col("n_chars").alias("original_text_length"))
     joined = docs.join(broadcast_if_small(pairs), "file_type")
