@@ -37,10 +37,25 @@ def parse(files: DataFrame, path_col: str = "path", value_col: str = "value") ->
          .otherwise(F.array(answer)).alias("answers"))
 
 
+def py_repr_str(item):
+    """A string rendered as Python's repr does: single quotes, or double quotes when the text
+    has an apostrophe and no double quote; backslash, the chosen quote and \\n \\r \\t escaped."""
+    esc = F.replace(item, F.lit("\\"), F.lit("\\\\"))
+    for ch, rep in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(ch), F.lit(rep))
+    dq = F.contains(item, F.lit("'")) & ~F.contains(item, F.lit('"'))
+    return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def render(qa: DataFrame, path_col: str = "path", order_col: str = "qa_index") -> DataFrame:
-    """One text row per file: `Q: question`, `A: ['a', 'b']`, blank line, in QA order."""
+    """One text row per file: `Q: question`, `A: <Python list repr>`, blank line, in QA order.
+
+    Items with an apostrophe are double-quoted as Python prints them, and the
+    reader (single-quoted items only) loses them, as the legacy format does.
+    """
     block = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: ["),
-                     F.array_join(F.transform("answers", lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ", "),
+                     F.array_join(F.transform("answers", py_repr_str), ", "),
                      F.lit("]\n\n"))
     return (qa.groupBy(path_col)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), block.alias("b")))),

@@ -62,3 +62,10 @@ def test_chat_envelope(spark):
         chat_envelope(F.col("b")).alias("e")).collect()
     assert (rows[0].e.valid, rows[0].e.tokens_used, rows[0].e.ans_content, rows[0].e.thinking_content) == (True, 5, "hi", None)
     assert rows[1].e.valid is False and rows[2].e.ans_content is None
+
+
+def test_duplicate_keys_keep_the_last_value(spark):
+    # Python's json keeps the last of repeated keys; the session allows duplicates with the same rule
+    reply = '{"question": "old", "question": "new", "answers": ["a"]}'
+    assert _qa(spark, reply)[1] == [("new", ["a"])]
+    assert _judge(spark, '{"score": 0, "score": 2, "justification": "x"}') == (True, 2)

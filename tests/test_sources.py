@@ -109,3 +109,11 @@ def test_generate_qa_with_responder(spark):
     rows, skipped = qa.generate(docs, templates_table(spark), responder)
     assert [(r.file_type, r.question, list(r.answers)) for r in rows.collect()] == [("a", "Q?", ["A1", "A2"])]
     assert [r.file_type for r in skipped.collect()] == ["b"]
+
+
+def test_render_matches_python_list_repr(spark):
+    items = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash", "two\nlines"]
+    qa_rows = spark.createDataFrame([("f", 0, "Q?", items)],
+                                    "path string, qa_index long, question string, answers array<string>")
+    text = qa_text.render(qa_rows).collect()[0].value
+    assert text == f"Q: Q?\nA: {items!r}\n\n"
