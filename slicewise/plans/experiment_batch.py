@@ -190,4 +190,4 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
               .withColumn("embedder", F.lit(b.embedder_name)))
     if "chunk_and_index_s" in b.timings:
         out = out.withColumn("chunk_times_s", F.lit(round(b.timings["chunk_and_index_s"], 3)))
-    return out
+    return summary.order_columns(out)        # A9: configured columns first, extras after
