@@ -46,3 +46,11 @@ def test_release_materialised_tables(spark):
     t = cut_lineage(spark.range(10))
     assert t.count() == 10
     assert release_tables(spark) >= 1
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from slicewise.functions.sizing import spread
+    few = spark.range(100).coalesce(1)
+    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(many, "id") is many
