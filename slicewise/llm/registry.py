@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, pii, topk, url_filter
+from . import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, pii, topk, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_threshold_topk": topk.op2_threshold_topk,
     "op3_power_of_two_packing": packing.op3_power_of_two_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_feistel_pseudonyms": pii.op5_feistel_pseudonyms,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_threshold_topk": topk.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op8_source_mix": mixing.OP8_SQL,
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
