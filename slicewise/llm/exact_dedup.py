@@ -111,6 +111,23 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, all columns: those whose (doc_id, digest) stays, each once."""
+    result = dedup(docs)
+    stay = result.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    keyed = docs.withColumn("_digest_here", sha256(normalised(F.col("text"))))
+    # a kept row that is repeated word for word comes once: rows with its id and digest are numbered
+    again = result.filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = keyed.join(stay, (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if again.isEmpty():
+        return rows.select(*docs.columns)
+    once = rows.join(again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")),
+                     (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rest = rows.join(again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")),
+                     (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return rest.unionByName(once.dropDuplicates(["doc_id", "_digest_here"])).select(*docs.columns)
+
+
 def _by_text(rows: DataFrame, full: DataFrame, bad: DataFrame) -> DataFrame:
     """The rows of digests that stand for several texts, grouped by the texts themselves."""
     named = (full.join(bad, "digest", "left_semi").select("doc_id", "digest", "norm", sha256(F.col("norm")).alias("text_sha256")).distinct())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, pii, topk, url_filter
+from . import exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, packing, pii, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
@@ -21,5 +22,6 @@ ORACLE = {
     "op2_threshold_topk": topk.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op8_source_mix": mixing.OP8_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
