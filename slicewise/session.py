@@ -46,6 +46,11 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
         except Exception:  # static or locked settings on managed clusters
             pass
+    # Python workers look for this package where the driver found it (on a cluster: also ship it with --py-files)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     checkpoint_dir(spark)
     return spark
 
