@@ -3,7 +3,8 @@
 Templates are licence sentences. Their words (function words aside) form the
 index vocabulary. One pass over the texts keeps, per file, the number of
 words and the places of vocabulary words. Document frequencies over all files give
-each word's IDF; a template's `ANCHORS` words of highest IDF are its anchors.
+each word's IDF; the `ANCHORS` words of highest IDF in a template's mandatory key
+phrase are its anchors.
 
 A file is looked up by its anchor words: files without any drop out. The places of the
 others join the template postings word by word, and each pair of places votes for
@@ -13,7 +14,8 @@ of the template's mandatory key phrase stands at its place; its score is the
 share of the template's indexed words that do. So words may be changed or
 missing around the key phrase, which itself must stand whole.
 
-The base phrases are templates that are all key phrase.
+The base phrases are templates that are all key phrase. A key phrase holds no function
+words.
 
 Counting by (file, template, start) is a plain grouped aggregation with
 map-side sums: neither a frequent word nor a long file is gathered anywhere.
@@ -42,10 +44,10 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
     ("gpl", "licensed under the gnu general public license version", "gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
     ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
 ]
 # Function words: counted as places, but not indexed.
@@ -64,8 +66,8 @@ def _templates(templates: list, base: list) -> list[tuple[int, str, bool, list[t
             raise ValueError(f"key phrase {key!r} is not in its template")
         indexed = [(w, i) for i, w in enumerate(words) if is_base or w not in _COMMON]
         keys = {i for _, i in indexed if at <= i < at + len(phrase)}
-        if not keys:
-            raise ValueError(f"key phrase {key!r} has function words only")
+        if len(keys) < len(phrase) or not phrase:
+            raise ValueError(f"key phrase {key!r} is empty or holds function words")
         out.append((len(out), label, is_base, indexed, keys))
     return out
 
@@ -95,12 +97,12 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE, anchor
     n = max(1, files.count())
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
     rows, marks = [], set()
-    for tid, _, is_base, indexed, keys in known:
-        distinct = sorted({w for w, i in indexed if not is_base or i in keys}, key=lambda w: (-idf[w], w))
+    for tid, _, _, indexed, keys in known:
+        distinct = sorted({w for w, i in indexed if i in keys}, key=lambda w: (-idf[w], w))
         best = set(distinct[:anchors])
         marks |= best
         rows += [(tid, w, i, int(w in best), int(i in keys)) for w, i in indexed]
-    names = [(tid, label, int(b), len(indexed), len(keys), min(2, len({w for w, _ in indexed}), anchors)) for tid, label, b, indexed, keys in known]
+    names = [(tid, label, int(b), len(indexed), len(keys), min(2, len({w for w, i in indexed if i in keys}), anchors)) for tid, label, b, indexed, keys in known]
     index = F.broadcast(spark.sql(_values(rows, "tid, w, at, anchor, is_key")))     # configuration
     meta = F.broadcast(spark.sql(_values(names, "tid, label, base, n_indexed, n_keys, least_votes")))
     found = files.filter(F.exists("post", lambda x: x["w"].isin(*sorted(marks)))).select("rid", F.explode("post").alias("x"))
@@ -125,3 +127,33 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE, anchor
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql(templates: list = TEMPLATES, base: list = BASE) -> str:
+    """The DuckDB statement: every phrase looked for at every place."""
+    cols, labels, scores = [], [], []
+    for tid, label, is_base, indexed, keys in _templates(templates, base):
+        at = min(keys)
+        phrase = [w for w, i in indexed if i in keys]
+        same = " AND ".join(f"w[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase))
+        cols.append(f"list_filter(range(0, len(w)), lambda i: coalesce({same}, false)) AS p{tid}")
+        labels.append((tid, label, is_base))
+        if not is_base:
+            hits = " + ".join(f"(CASE WHEN i + {k - at} >= 0 AND w[greatest(i + {k - at + 1}, 1)] = '{w}' THEN 1 ELSE 0 END)" for w, k in indexed)
+            scores.append(f"coalesce(list_max(list_transform(p{tid}, lambda i: ({hits}) / {len(indexed)})), 0)")
+    found = lambda which: "list_filter([" + ", ".join(f"CASE WHEN len(p{t}) > 0 THEN '{la}' END" for t, la, b in labels if which(b)) + "], lambda x: x IS NOT NULL)"
+    own = [f"p{t}" for t, _, b in labels if b]
+    return f"""
+WITH a AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PLAIN_WORD}') AS w FROM documents),
+b AS (SELECT doc_id, w, {", ".join(cols)} FROM a),
+c AS (SELECT *, flatten([{", ".join(own)}]) AS base_at FROM b)
+SELECT doc_id, len(w) AS n_words, len(base_at) AS n_base, list_min(base_at) AS first_word, list_max(base_at) AS last_word,
+  array_to_string(list_sort(list_distinct({found(lambda b: b)})), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct({found(lambda b: True)})), ',') AS labels,
+  greatest({", ".join(scores)}, CASE WHEN len(base_at) > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM c
+"""
+
+
+OP7_SQL = _sql()

@@ -265,7 +265,7 @@ def _blockwise(links: Links, mixed: DataFrame, k: int) -> DataFrame:
     own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = rows.filter("comp <> main").withColumn("sb", own("sb_n", 1)).withColumn("mb", every("mb_n")).select(*cols)
-    members = rows.withColumn("mb", own("mb_n", 2)).withColumn("sb", every("sb_n")).select(*cols)
+    members = rows.withColumn("mb", own("mb_n", 2)).withColumn("sb", every("sb_n")).select(*[F.col(c).alias(c) for c in cols])
 
     def compare(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -215,7 +215,6 @@ class Pseudonyms:
         self.number = [(k, re.compile(p), f) for k, p, f in KINDS if k != "email"]
         self.email = next((k, re.compile(p), f) for k, p, f in KINDS if k == "email")
         self.start = re.compile(r"[0-9]")
-        self.month = re.compile(rf"(?<!\w)(?:{_MONTH}) [0-9]")
 
     def _spans(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         """Valid values from left to right, none overlapping: start, end, kind, pseudonym."""
@@ -244,9 +243,11 @@ class Pseudonyms:
             end = None
             back = 1 if i and text[i - 1] == "+" else 2 if i > 1 and text[i - 2:i].isalpha() else 0
             begins = [i - back, i] if back else [i]
-            space = text.rfind(" ", max(taken, i - 11), i)
-            if space == i - 1 and i > 1 and text[i - 2].isalpha():      # a month's name before its day
-                begins.insert(0, max(taken, text.rfind(" ", 0, space) + 1, text.rfind("\n", 0, space) + 1))
+            if i > 1 and text[i - 1] == " " and text[i - 2].isalpha():   # a month's name before its day
+                begin = i - 1
+                while begin > max(taken, i - 11) and text[begin - 1].isalpha():
+                    begin -= 1
+                begins.insert(0, begin)
             for begin in dict.fromkeys(b for b in begins if b >= taken):
                 for kind, pattern, write in self.number:
                     if (v := pattern.match(text, begin)) and v.end() > i and (new := write(v.group(), self.permute)) is not None:

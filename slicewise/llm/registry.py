@@ -21,6 +21,7 @@ ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_threshold_topk": topk.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op7_license_scan": license_scan.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
