@@ -1,9 +1,9 @@
 """Chunking: one document row -> many chunk rows.
 
-Plan shape: map-side only. A document never leaves its partition: leaf
-lengths come from native `split`/`transform`, the greedy merge walk returns
-character ranges, chunk texts are cut with `substring` and stripped natively,
-and `posexplode` yields the rows. No exchange is needed, so skew in file types
+Plan shape: map-side only. A document never leaves its partition: pieces
+come from native `split`/`transform`, the greedy merge walk returns ranges of
+pieces, chunk texts are joined from their pieces (so the time is linear in the
+document) and stripped natively, and `posexplode` yields the rows. No exchange is needed, so skew in file types
 or strategies costs nothing here.
 
 Semantics (both splitters keep the separator at the start of the following
@@ -20,16 +20,15 @@ pieces worth at most `chunk_overlap`, strip merged chunks and drop empty ones):
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions.text import DEFAULT_SEPARATORS, java_literal, py_strip
 from slicewise.operators.merge_walk import merge_ranges
 
-# A leaf is one bigint: length * 64 + flags, flags = depth*4 + good*2 + first (depth < 16).
-LEAF_SHIFT = 64
+# The walk reads one bigint per leaf: length * LEAF_SHIFT + flags, flags = depth*4 + good*2 + first.
+LEAF_SHIFT = 1 << 12
+MAX_SEPARATORS = 20                       # levels of one expression that the analyzer resolves
 
 LINE_MERGE = "simple_split"
 RECURSIVE = "recursive_character_text_splitter"
@@ -37,17 +36,11 @@ OUTSIDE = "outside"
 
 
 # --------------------------------------------------------------------------- leaves
-def line_leaves(text: Column) -> tuple[Column, Column]:
-    """Piece lengths for the line-merge splitter (no sentinel: lengths only)."""
-    lens = F.filter(
-        F.transform(F.split(text, "\n", -1), lambda p, j: F.length(p) + F.when(j == 0, 0).otherwise(1)),
-        lambda x: x > 0)
-    return lens, F.array_repeat(F.lit(2), F.size(lens))
-
-
-# The same expression as SQL text: one parse instead of thousands of driver-side
-# Column constructions (the nested tree grows with 2^len(separators)).
-_EMPTY_LEAVES_SQL = "CAST(array() AS array<bigint>)"
+# Leaves are array<struct<p string, f int>>: the pieces that tile the text, in order, and their flags.
+def line_leaves(text: Column) -> Column:
+    """Pieces of the line-merge splitter: one run, all good."""
+    pieces = F.transform(F.split(text, "\n", -1), lambda p, j: F.when(j == 0, p).otherwise(F.concat(F.lit("\n"), p)))
+    return F.transform(F.filter(pieces, lambda p: F.length(p) > 0), lambda p: F.struct(p.alias("p"), F.lit(2).alias("f")))
 
 
 def _sql_literal(s: str) -> str:
@@ -56,67 +49,55 @@ def _sql_literal(s: str) -> str:
     return "'" + "".join("\\u%02x%02x" % (units[i], units[i + 1]) for i in range(0, len(units), 2)) + "'"
 
 
-def _flag_sql(depth: int, good: str, first: str) -> str:
-    return f"({depth * 4} + CASE WHEN {good} THEN 2 ELSE 0 END + CASE WHEN {first} THEN 1 ELSE 0 END)"
-
-
-def _children_sql(text: str, seps: list[str], c: int, size: str, depth: int) -> str:
-    sep = seps[c]
-    d = depth + 1
-    if sep == "":
-        return (f"CASE WHEN length({text}) > 0 THEN transform(sequence(0, length({text}) - 1), "
-                f"e{d} -> CAST({LEAF_SHIFT} + {_flag_sql(d, f'1 < {size}', f'e{d} = 0')} AS BIGINT)) "
-                f"ELSE {_EMPTY_LEAVES_SQL} END")
-    remaining = c + 1 < len(seps)
-    pieces = (f"filter(transform(split({text}, {_sql_literal(java_literal(sep))}, -1), "
-              f"(p{d}, i{d}) -> CASE WHEN i{d} = 0 THEN p{d} ELSE concat({_sql_literal(sep)}, p{d}) END), "
-              f"p{d} -> length(p{d}) > 0)")
-    leaf = (f"array(CAST(length(q{d}) AS BIGINT) * {LEAF_SHIFT} + "
-            f"{_flag_sql(d, f'length(q{d}) < {size}', f'k{d} = 0')})")
-    child = (f"CASE WHEN length(q{d}) < {size} THEN {leaf} ELSE {_node_sql(f'q{d}', seps, c + 1, size, d)} END"
-             if remaining else leaf)
-    return f"flatten(transform({pieces}, (q{d}, k{d}) -> {child}))"
-
-
-def _node_sql(text: str, seps: list[str], m: int, size: str, depth: int) -> str:
-    out = None
-    branches = []
-    for c in range(m, len(seps)):
-        expr = _children_sql(text, seps, c, size, depth)
-        if seps[c] == "" or c == len(seps) - 1:
-            out = expr
-            break
-        branches.append((f"instr({text}, {_sql_literal(seps[c])}) > 0", expr))
-    for cond, expr in reversed(branches):
-        out = f"CASE WHEN {cond} THEN {expr} ELSE {out} END"
-    return out
-
-
 def recursive_leaves_sql(text_col: str, size_col: str, separators: list[str] | None = None) -> Column:
+    """Leaves of the recursive splitter, one level of the expression per separator.
+
+    The state is an array of segments (p text, f flags, o open). A level cuts every
+    open segment that holds its separator (the last level: every open segment); pieces
+    shorter than chunk_size are closed as good leaves, longer ones stay open
+    for the separators that remain. The expression grows linearly with the list.
+    """
     seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
-    t, sz = f"`{text_col}`", f"`{size_col}`"
-    return F.expr(f"CASE WHEN length({t}) > 0 THEN {_node_sql(t, seps, 0, sz, 0)} ELSE {_EMPTY_LEAVES_SQL} END")
+    seps = seps[:seps.index("") + 1] if "" in seps else seps
+    if len(seps) > MAX_SEPARATORS:
+        raise ValueError(f"{len(seps)} separators; at most {MAX_SEPARATORS} are supported")
+    t, size = f"`{text_col}`", f"`{size_col}`"
+    state = (f"CASE WHEN length({t}) > 0 THEN array(named_struct('p', {t}, 'f', 0, 'o', true)) "
+             f"ELSE CAST(array() AS array<struct<p string, f int, o boolean>>) END")
+    for c, sep in enumerate(seps):
+        last = c == len(seps) - 1
+        x, q = f"x{c}", f"q{c}"
+        if sep == "":
+            pieces = f"split({x}.p, '')"
+        else:
+            pieces = (f"filter(transform(split({x}.p, {_sql_literal(java_literal(sep))}, -1), "
+                      f"({q}, i{c}) -> CASE WHEN i{c} = 0 THEN {q} ELSE concat({_sql_literal(sep)}, {q}) END), {q} -> length({q}) > 0)")
+        flags = f"(shiftright({x}.f, 2) + 1) * 4 + CASE WHEN length({q}) < {size} THEN 2 ELSE 0 END + CASE WHEN k{c} = 0 THEN 1 ELSE 0 END"
+        is_open = "false" if last else f"length({q}) >= {size}"
+        cut = f"transform({pieces}, ({q}, k{c}) -> named_struct('p', {q}, 'f', {flags}, 'o', {is_open}))"
+        cond = f"{x}.o" if last or sep == "" else f"{x}.o AND instr({x}.p, {_sql_literal(sep)}) > 0"
+        state = f"flatten(transform({state}, {x} -> CASE WHEN {cond} THEN {cut} ELSE array({x}) END))"
+    return F.expr(state)
 
 
 # --------------------------------------------------------------------------- chunks
-def _ranges_to_chunks(text: Column, ranges: Column) -> Column:
-    """Cut every range out of the text; strip merged ones; drop empty ones."""
+def _ranges_to_chunks(pieces: Column, ranges: Column) -> Column:
+    """Join every range of pieces; strip merged ones; drop empty ones. Linear in the text."""
     n = (F.size(ranges) / 3).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.when(
-            F.element_at(ranges, k * 3 + 3) == 1,
-            py_strip(F.substring(text, F.element_at(ranges, k * 3 + 1) + 1,
-                                 F.element_at(ranges, k * 3 + 2) - F.element_at(ranges, k * 3 + 1))))
-        .otherwise(F.substring(text, F.element_at(ranges, k * 3 + 1) + 1,
-                               F.element_at(ranges, k * 3 + 2) - F.element_at(ranges, k * 3 + 1))))
+
+    def chunk(k: Column) -> Column:
+        start = F.element_at(ranges, k * 3 + 1)
+        joined = F.array_join(F.slice(pieces, start + 1, F.element_at(ranges, k * 3 + 2) - start), "")
+        return F.when(F.element_at(ranges, k * 3 + 3) == 1, py_strip(joined)).otherwise(joined)
+
+    cut = F.transform(F.sequence(F.lit(0), n - 1), chunk)
     return F.when(n > 0, F.filter(cut, lambda x: F.length(x) > 0)).otherwise(F.array().cast("array<string>"))
 
 
 # Extra splitters by method name. A splitter is a function
-# (text_col, size_col, separators) -> Column of array<struct<len:int, f:int>>:
-# the leaves that tile the text (len in characters, f = depth*4 + good*2 + first)
-# which the shared merge walk then merges into chunks (converted to leaf codes here).
+# (text_col, size_col, separators) -> Column of array<struct<p:string, f:int>>:
+# the pieces that tile the text (f = depth*4 + good*2 + first)
+# which the shared merge walk then merges into chunks.
 CUSTOM_SPLITTERS: dict = {}
 
 
@@ -124,23 +105,28 @@ def register_splitter(method: str, leaves_builder) -> None:
     CUSTOM_SPLITTERS[method] = leaves_builder
 
 
+def known_methods() -> list[str]:
+    return [LINE_MERGE, RECURSIVE, OUTSIDE, *CUSTOM_SPLITTERS]
+
+
 def leaves_for(method: str, separators: list[str] | None, text_col: str, size_col: str) -> Column:
-    """Leaves (bigint codes length*64 + flags) of a document under one splitter shape."""
+    """Leaves of a document under one splitter shape."""
     if method in CUSTOM_SPLITTERS:
         custom = CUSTOM_SPLITTERS[method](text_col, size_col, separators)
-        return F.transform(custom, lambda x: x["len"].cast("bigint") * LEAF_SHIFT + x["f"])
+        return F.transform(custom, lambda x: F.struct(x["p"].alias("p"), x["f"].cast("int").alias("f")))
     if method == LINE_MERGE:
-        lens, _ = line_leaves(F.col(text_col))
-        return F.transform(lens, lambda x: x.cast("bigint") * LEAF_SHIFT + 2)
+        return line_leaves(F.col(text_col))
     if method == RECURSIVE:
-        return recursive_leaves_sql(text_col, size_col, separators)
-    raise ValueError(f"Chunking method: {method} is not supported.")
+        return F.transform(recursive_leaves_sql(text_col, size_col, separators),
+                           lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f")))
+    raise ValueError(f"no splitter is registered for method {method!r}")
 
 
-def _explode_chunks(staged: DataFrame, keep: list[str], text_col: str, size_col: str,
-                    overlap_col: str) -> DataFrame:
-    ranged = staged.withColumn("_ranges", merge_ranges(F.col("_leaves"), F.col(size_col), F.col(overlap_col)))
-    return ranged.select(*keep, F.posexplode(_ranges_to_chunks(F.col(text_col), F.col("_ranges")))
+def _explode_chunks(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str) -> DataFrame:
+    codes = F.transform("_leaves", lambda x: F.length(x["p"]).cast("bigint") * LEAF_SHIFT + x["f"])
+    ranged = (staged.withColumn("_codes", codes).withColumn("_pieces", F.col("_leaves.p"))
+              .withColumn("_ranges", merge_ranges(F.col("_codes"), F.col(size_col), F.col(overlap_col))))
+    return ranged.select(*keep, F.posexplode(_ranges_to_chunks(F.col("_pieces"), F.col("_ranges")))
                          .alias("chunk_index", "chunk_text"))
 
 
@@ -150,21 +136,19 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
     """Chunk every row of `df` with one splitter; parameters are per-row columns.
 
     Output: the input columns except the text, plus chunk_index (int) and
-    chunk_text (string), one row per chunk.
+    chunk_text (string), one row per chunk. A null or empty text has no chunks.
     """
     keep = [c for c in df.columns if c != text_col]
     staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
-    return _explode_chunks(staged, keep, text_col, size_col, overlap_col)
+    return _explode_chunks(staged, keep, size_col, overlap_col)
 
 
 def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
     shapes = []
     for row in strategies_rows:
         method = row["method"]
-        if method == OUTSIDE:
+        if method == OUTSIDE or method not in known_methods():     # resolve() rejects unknown ones
             continue
-        if method not in (LINE_MERGE, RECURSIVE) and method not in CUSTOM_SPLITTERS:
-            raise ValueError(f"Chunking method: {method} is not supported.")
         seps = tuple(row["separators"]) if row["separators"] else None
         if method == LINE_MERGE:
             seps = None
@@ -181,24 +165,21 @@ def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
     chunk_overlap). `strategies_rows` are the configuration rows that may occur
     in `pairs`; each (method, separators) shape becomes one branch of a CASE
     that yields the leaves, so the corpus is scanned once whatever the number
-    of strategies. `outside` rows are skipped (see sources.prechunked).
+    of strategies. `outside` rows are skipped (see sources.prechunked), and an
+    empty separator list means the default one, as null does.
     """
     shapes = _shapes(strategies_rows)
     leaves = None
     for method, seps in shapes:
         cond = F.col("method") == method
-        if method == RECURSIVE:
-            cond = cond & (F.col("separators").isNull() if seps is None
-                           else F.col("separators") == F.array(*[F.lit(x) for x in seps]))
+        if method != LINE_MERGE:
+            cond = cond & ((F.coalesce(F.size("separators"), F.lit(0)) <= 0) if seps is None
+                           else (F.col("separators") == F.array(*[F.lit(x) for x in seps])))
         expr = leaves_for(method, list(seps) if seps else None, text_col, size_col)
         leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
     keep = [c for c in pairs.columns if c != text_col]
-    staged = pairs.filter(F.col("method") != OUTSIDE).withColumn("_leaves", leaves)
-    return _explode_chunks(staged.filter(F.col("_leaves").isNotNull()), keep, text_col, size_col, overlap_col)
-
-
-def timed_count(df: DataFrame) -> tuple[float, int]:
-    """C4: wall time of materialising a chunk frame (the per-strategy action)."""
-    t0 = time.perf_counter()
-    n = df.count()
-    return time.perf_counter() - t0, n
+    chunkable = pairs.filter(F.col("method").isin([m for m, _ in shapes]))
+    if leaves is None:
+        leaves = F.lit(None).cast("array<struct<p: string, f: int>>")
+    staged = chunkable.withColumn("_leaves", leaves)
+    return _explode_chunks(staged.filter(F.col("_leaves").isNotNull()), keep, size_col, overlap_col)

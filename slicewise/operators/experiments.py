@@ -1,7 +1,7 @@
 """Resolve experiments against file types and strategies.
 
-An experiment whose file type is unknown or has no text, or whose strategy is
-unknown, is rejected with a reason; the rest continue. When a name is defined
+An experiment whose file type is unknown or has no text, or whose strategy or
+chunking method is unknown, is rejected with a reason; the rest continue. When a name is defined
 twice, the first definition (lowest `position`) wins. All inputs are
 configuration-sized except the corpus, which contributes only the distinct
 set of file types that have text (a map-side partial aggregate).
@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions.text import collection_name
+from slicewise.operators.chunking import known_methods
 from slicewise.sources.tables import with_experiment_defaults
 
 # Reject reasons.
 REASON_UNKNOWN_TYPE = "unknown file type"
 REASON_NO_TEXT = "no text for file type"
 REASON_UNKNOWN_STRATEGY = "unknown strategy"
+REASON_UNKNOWN_METHOD = "unknown chunking method"
 
 
 def first_definition(df: DataFrame, key: str, order: str = "position") -> DataFrame:
@@ -46,15 +48,17 @@ def resolve(experiments: DataFrame, file_types: DataFrame, strategies: DataFrame
     st = st.withColumnRenamed("name", "chunking_strategy").drop("position")
     known = ft.select("file_type", "has_text")
     tagged = (exps.join(known, "file_type", "left")
-                  .join(st.select("chunking_strategy", F.lit(True).alias("known_strategy")),
+                  .join(st.select("chunking_strategy", F.lit(True).alias("known_strategy"),
+                                  F.coalesce(F.col("method").isin(known_methods()), F.lit(False)).alias("known_method")),
                         "chunking_strategy", "left"))
     reason = (F.when(F.col("has_text").isNull(), F.lit(REASON_UNKNOWN_TYPE))
               .when(~F.col("has_text"), F.lit(REASON_NO_TEXT))
-              .when(F.col("known_strategy").isNull(), F.lit(REASON_UNKNOWN_STRATEGY)))
+              .when(F.col("known_strategy").isNull(), F.lit(REASON_UNKNOWN_STRATEGY))
+              .when(~F.col("known_method"), F.lit(REASON_UNKNOWN_METHOD)))
     tagged = tagged.withColumn("reason", reason)
     rejects = tagged.filter(F.col("reason").isNotNull()).select(
         "experiment_id", "file_type", "chunking_strategy", "reason")
-    resolved = (tagged.filter(F.col("reason").isNull()).drop("reason", "has_text", "known_strategy")
+    resolved = (tagged.filter(F.col("reason").isNull()).drop("reason", "has_text", "known_strategy", "known_method")
                 .join(st, "chunking_strategy")
                 .withColumn("collection", collection_name(F.col("file_type"), F.col("chunking_strategy"),
                                                           F.lit(run_id))))

@@ -9,13 +9,13 @@ once per document, O(k log n), on int arrays shipped by Arrow; no text crosses
 into Python.
 
 Input per document: one int64 code per leaf, in document order (leaves tile
-the text): code-point length * 64 + flags, flags = depth*4 + good*2 + first_child.
+the text): code-point length * 4096 + flags, flags = depth*4 + good*2 + first_child.
 A good leaf joins the merge run of its predecessor when the predecessor is a
 good leaf of the same parent; every other good leaf starts a new run. A leaf
 that is not good is emitted whole and unstripped.
 
-Output: flat int array of triples (start, end, strip) in character offsets of
-the document, in document order.
+Output: flat int array of triples (start, end, strip): ranges of leaves, in
+document order.
 """
 
 from __future__ import annotations
@@ -47,14 +47,14 @@ def merge_run(cs: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
 def walk_document(leaves, size: int, overlap: int) -> list[int]:
     """Run boundaries and prefix sums with numpy; Python loops only over runs and chunks.
 
-    leaves: int64 codes length * 64 + flags (flags = depth*4 + good*2 + first).
+    leaves: int64 codes length * 4096 + flags (flags = depth*4 + good*2 + first).
     """
     n = len(leaves)
     if n == 0:
         return []
     codes = np.asarray(leaves, dtype=np.int64)
-    ln = codes >> 6
-    fl = codes & 63
+    ln = codes >> 12
+    fl = codes & 4095
     good = (fl & 2) != 0
     depth = fl >> 2
     starts = np.ones(n, dtype=bool)
@@ -63,13 +63,12 @@ def walk_document(leaves, size: int, overlap: int) -> list[int]:
     offsets = np.concatenate(([0], np.cumsum(ln)))
     out: list[int] = []
     for a, b in zip(bounds[:-1], bounds[1:]):
-        base = int(offsets[a])
         if not good[a]:                              # oversize leaf: emitted whole, unstripped
-            out += (base, int(offsets[b]), 0)
+            out += (a, b, 0)
             continue
-        cs = (offsets[a:b + 1] - base).tolist()
+        cs = (offsets[a:b + 1] - offsets[a]).tolist()
         for s, e in merge_run(cs, size, overlap):
-            out += (base + cs[s], base + cs[e], 1)
+            out += (a + s, a + e, 1)
     return out
 
 

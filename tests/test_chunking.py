@@ -64,3 +64,45 @@ def test_plan_is_map_side(spark):
         "chunk_size", F.lit(10)).withColumn("chunk_overlap", F.lit(2))
     plan = chunking.split_text(df, chunking.RECURSIVE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_time_grows_with_the_document(spark):
+    """One long document: chunk texts are joined from pieces, not cut out of the whole text again and again."""
+    import time
+    for method in (chunking.LINE_MERGE, chunking.RECURSIVE):
+        took = []
+        for mb in (1, 2, 8):
+            text = "some words in a line of text\n" * (mb * 35_000)
+            df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn(
+                "chunk_size", F.lit(100)).withColumn("chunk_overlap", F.lit(10))
+            t0 = time.perf_counter()
+            assert chunking.split_text(df, method).count() > mb * 10_000
+            took.append(time.perf_counter() - t0)
+        assert took[2] < 12 * max(took[1], 0.5), took       # 4 times the text; a quadratic cut takes 16 times
+
+
+def test_many_separators_keep_the_plan_small():
+    from pyspark.sql import SparkSession
+    SparkSession.active()
+    size = [len(str(chunking.recursive_leaves_sql("t", "n", [f"<{i}>" for i in range(n)])._jc.toString())) for n in (5, 10, 20)]
+    assert size[2] < 5 * size[0]
+
+
+def test_depth_beyond_sixteen(spark):
+    seps = [f"<{i}>" for i in range(20)]
+    text = "".join(f"{'x' * 9}{s}" for s in seps) * 3
+    assert _run(spark, [text], chunking.RECURSIVE, 12, 3, seps) == [rules.recursive(text, 12, 3, seps)]
+
+
+def test_empty_separator_list_and_custom_shapes(spark):
+    chunking.register_splitter("by_first", lambda t, n, seps: F.expr(
+        f"transform(split(`{t}`, '{(seps or ['-'])[0]}', -1), p -> named_struct('p', p, 'f', 2))"))
+    rows = [{"method": chunking.RECURSIVE, "separators": []}, {"method": "by_first", "separators": ["a"]},
+            {"method": "by_first", "separators": ["b"]}, {"method": "unheard_of", "separators": None}]
+    text = "1a2b3 4"
+    df = spark.createDataFrame([(i, r["method"], r["separators"], text, 1, 0) for i, r in enumerate(rows)],
+                               "i int, method string, separators array<string>, text string, chunk_size int, chunk_overlap int")
+    got = {}
+    for r in chunking.chunk_pairs(df, rows).orderBy("chunk_index").collect():
+        got.setdefault(r.i, []).append(r.chunk_text)
+    assert got == {0: rules.recursive(text, 1, 0), 1: ["1", "2b3 4"], 2: ["1a2", "3 4"]}

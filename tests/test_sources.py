@@ -90,8 +90,7 @@ def test_index_upsert_and_clear(spark):
 
 def test_custom_splitter_registry(spark):
     def chars(text_col, size_col, seps):
-        return F.expr(f"transform(sequence(1, greatest(length(`{text_col}`), 1)), i -> "
-                      f"named_struct('len', 1, 'f', 2))")
+        return F.expr(f"transform(split(`{text_col}`, ''), c -> named_struct('p', c, 'f', 2))")
     chunking.register_splitter("every_char", chars)
     df = spark.createDataFrame([(1, "abcdefghij klmno")], "doc_id long, text string").withColumn(
         "chunk_size", F.lit(5)).withColumn("chunk_overlap", F.lit(2))
