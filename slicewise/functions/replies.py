@@ -1,9 +1,10 @@
 """Model replies -> columns (P7, P8, P10, P11, P12), all native expressions.
 
 JSON is parsed with VARIANT functions. Python's json.loads accepts exactly
-one value; Spark's parsers accept trailing text, so a value is parsed wrapped
-in `[`...`]` and accepted only when that array has exactly one element
-(`{..} {..}` and `{..} junk` then fail as in Python). Duplicate keys keep the
+one value; Spark's parsers accept trailing text, so a value is parsed as the
+first of two elements of an array and accepted only when that array has
+exactly two and ends with the marker (`{..} {..}`, `{..} junk` and `{..}],[{..}`
+then fail as in Python). Duplicate keys keep the
 last value (`spark.sql.variant.allowDuplicateKeys`, set by the session).
 """
 
@@ -27,11 +28,14 @@ JUSTIFICATION_PATTERN = r'(?s)"justification"' + _WS + r'*:' + _WS + r'*"(.*?)"'
 VALID_SCORES = (0, 1, 2)
 # ---------------------------------------------------------------------------
 
+_MARKER = "end of value 5f0c6b1e"       # closes the array that a value is parsed in
+
 
 def one_json(text: Column) -> Column:
     """Parse exactly one JSON value (as Python's json.loads); SQL NULL if it does not parse."""
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(arr) == 1, F.element_at(arr, 1))
+    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARKER}"]'))), "$", "array<variant>")
+    whole = (F.size(arr) == 2) & (F.try_variant_get(F.try_element_at(arr, F.lit(2)), "$", "string") == _MARKER)
+    return F.when(whole, F.element_at(arr, 1))
 
 
 def vtype(v: Column) -> Column:
@@ -53,7 +57,7 @@ def has_key(v: Column, key: str) -> Column:
 # --------------------------------------------------------------------------- P7 / P8
 def chat_envelope(body: Column) -> Column:
     """Chat response body -> struct(valid, tokens_used, gen_model, ans_content, thinking_content)."""
-    v = F.try_parse_json(body)
+    v = one_json(body)
     return F.struct(
         v.isNotNull().alias("valid"),
         F.try_variant_get(v, "$.usage.total_tokens", "bigint").alias("tokens_used"),
@@ -64,7 +68,7 @@ def chat_envelope(body: Column) -> Column:
 
 def embedding_envelope(body: Column) -> Column:
     """Embedding response body -> struct(valid, tokens_used, model, embedding array<double>)."""
-    v = F.try_parse_json(body)
+    v = one_json(body)
     return F.struct(
         v.isNotNull().alias("valid"),
         F.try_variant_get(v, "$.usage.total_tokens", "bigint").alias("tokens_used"),

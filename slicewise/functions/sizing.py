@@ -1,35 +1,27 @@
-"""Size-checked broadcast: broadcast a side only when a bounded count proves it small."""
+"""Layout of small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Above this many rows a side is joined by shuffle instead of broadcast.
-MAX_BROADCAST_ROWS = 200_000
+#: Tables above this size (bytes, as Spark estimates the scan) are never dealt anew.
+SPREAD_BYTES = 1 << 30
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it has at most `max_rows` rows, else return it unchanged.
-
-    The check is a bounded action (`limit(max_rows + 1).count()`), so it never
-    scans more than needed to prove the bound. Beyond the bound the caller's
-    join falls back to a shuffle join (and AQE may still pick broadcast at run
-    time from real shuffle sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def scan_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of the plan; file sizes for a scan, so nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition `df` by `keys` only when its scan yields too few splits.
+    """Hash-repartition a small `df` by `keys` when its scan yields fewer splits than there are cores.
 
-    Per-document work (splitting, merging, tokenising) is CPU-heavy per byte;
-    a corpus stored as a few large row groups would otherwise run on a few
-    cores. On a large table the scan already has far more splits than cores
-    and nothing is shuffled.
+    Per-document work (splitting, merging, tokenising) is CPU-heavy per byte; a
+    corpus of a few row groups would run on a few cores. Only inputs below
+    SPREAD_BYTES are dealt anew, however many cores the cluster has: a large corpus keeps
+    its splits and is never shuffled. The rows are the same either way.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if scan_bytes(df) >= SPREAD_BYTES:
         return df
-    return df.repartition(target, *keys)
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target, *keys)

@@ -62,6 +62,16 @@ def collection_name(file_type: Column, strategy: Column, run_id: Column) -> Colu
         F.concat(F.lit("c"), F.substring(clean, F.lit(2), F.greatest(F.length(clean) - 2, F.lit(0))), F.lit("c")))
 
 
+def collection_id(file_type: Column, strategy: Column, run_id: Column) -> Column:
+    """Key of a collection: a hash of the whole triple, so long names that are cut alike stay apart."""
+    return F.sha2(F.concat_ws("\u0001", file_type, strategy, run_id), 256)
+
+
+def chunk_id(collection: Column, doc_id: Column, chunk_index: Column) -> Column:
+    """Deterministic chunk id from its collection's key, document and position."""
+    return F.sha2(F.concat_ws("\u0001", collection, doc_id.cast("string"), chunk_index.cast("string")), 256)
+
+
 def file_stem(path: Column) -> Column:
     """File name without directory and last extension."""
     base = F.regexp_extract(path, r"([^/\\]+)$", 1)

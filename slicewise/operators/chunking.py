@@ -122,12 +122,15 @@ def leaves_for(method: str, separators: list[str] | None, text_col: str, size_co
     raise ValueError(f"no splitter is registered for method {method!r}")
 
 
-def _explode_chunks(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str) -> DataFrame:
+def _chunk_lists(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str) -> DataFrame:
     codes = F.transform("_leaves", lambda x: F.length(x["p"]).cast("bigint") * LEAF_SHIFT + x["f"])
     ranged = (staged.withColumn("_codes", codes).withColumn("_pieces", F.col("_leaves.p"))
               .withColumn("_ranges", merge_ranges(F.col("_codes"), F.col(size_col), F.col(overlap_col))))
-    return ranged.select(*keep, F.posexplode(_ranges_to_chunks(F.col("_pieces"), F.col("_ranges")))
-                         .alias("chunk_index", "chunk_text"))
+    return ranged.select(*keep, _ranges_to_chunks(F.col("_pieces"), F.col("_ranges")).alias("chunks"))
+
+
+def _exploded(lists: DataFrame, keep: list[str]) -> DataFrame:
+    return lists.select(*keep, F.posexplode("chunks").alias("chunk_index", "chunk_text"))
 
 
 def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
@@ -140,7 +143,7 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
     """
     keep = [c for c in df.columns if c != text_col]
     staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
-    return _explode_chunks(staged, keep, size_col, overlap_col)
+    return _exploded(_chunk_lists(staged, keep, size_col, overlap_col), keep)
 
 
 def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
@@ -159,7 +162,14 @@ def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
 
 def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
                 size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
-    """Chunk (document, strategy) rows in one pass over the corpus.
+    """Chunk (document, strategy) rows in one pass over the corpus, one row per chunk."""
+    keep = [c for c in pairs.columns if c != text_col]
+    return _exploded(pair_chunk_lists(pairs, strategies_rows, text_col, size_col, overlap_col), keep)
+
+
+def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
+                     size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
+    """The input columns (text included) and `chunks`, the list of a row's chunk texts.
 
     `pairs` carries the strategy columns (method, separators, chunk_size,
     chunk_overlap). `strategies_rows` are the configuration rows that may occur
@@ -177,9 +187,8 @@ def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
                            else (F.col("separators") == F.array(*[F.lit(x) for x in seps])))
         expr = leaves_for(method, list(seps) if seps else None, text_col, size_col)
         leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
-    keep = [c for c in pairs.columns if c != text_col]
     chunkable = pairs.filter(F.col("method").isin([m for m, _ in shapes]))
     if leaves is None:
         leaves = F.lit(None).cast("array<struct<p: string, f: int>>")
     staged = chunkable.withColumn("_leaves", leaves)
-    return _explode_chunks(staged.filter(F.col("_leaves").isNotNull()), keep, size_col, overlap_col)
+    return _chunk_lists(staged.filter(F.col("_leaves").isNotNull()), pairs.columns, size_col, overlap_col)

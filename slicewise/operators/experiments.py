@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewise.functions.text import collection_name
+from slicewise.functions.text import collection_id, collection_name
 from slicewise.operators.chunking import known_methods
 from slicewise.sources.tables import with_experiment_defaults
 
@@ -34,7 +34,7 @@ def resolve(experiments: DataFrame, file_types: DataFrame, strategies: DataFrame
             corpus: DataFrame, run_id: str = "run0") -> tuple[DataFrame, DataFrame]:
     """Return (resolved, rejects).
 
-    resolved: experiment columns with defaults + strategy columns + collection.
+    resolved: experiment columns with defaults + strategy columns + collection (a name) and collection_id (the key).
     rejects: experiment_id, file_type, chunking_strategy, reason.
     """
     exps = with_experiment_defaults(experiments)
@@ -61,5 +61,7 @@ def resolve(experiments: DataFrame, file_types: DataFrame, strategies: DataFrame
     resolved = (tagged.filter(F.col("reason").isNull()).drop("reason", "has_text", "known_strategy", "known_method")
                 .join(st, "chunking_strategy")
                 .withColumn("collection", collection_name(F.col("file_type"), F.col("chunking_strategy"),
-                                                          F.lit(run_id))))
+                                                          F.lit(run_id)))
+                # names are cut to a length and may collide; the id is what rows are joined on
+                .withColumn("collection_id", collection_id(F.col("file_type"), F.col("chunking_strategy"), F.lit(run_id))))
     return resolved, rejects

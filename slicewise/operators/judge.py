@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions.replies import judgement
+from slicewise.session import cut_lineage
 
 DEFAULT_MAX_ROUNDS = 3
 
@@ -24,11 +25,9 @@ def parse_judgements(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     return j.select(*[c for c in replies.columns], "_j.valid", "_j.score", "_j.justification", "_j.branch")
 
 
-def accept(parsed: DataFrame, key: str, max_rounds: int = DEFAULT_MAX_ROUNDS,
-           attempt_col: str = "attempt") -> DataFrame:
-    """First valid attempt per request within max_rounds; unresolved requests keep a null score."""
-    within = parsed.filter(F.col(attempt_col) < max_rounds)
-    best = within.groupBy(key).agg(
+def accept(parsed: DataFrame, key: str, attempt_col: str = "attempt") -> DataFrame:
+    """First valid attempt per request; unresolved requests keep a null score."""
+    best = parsed.groupBy(key).agg(
         F.count("*").cast("long").alias("attempts_seen"),
         F.min(F.when(F.col("valid"), F.struct(F.col(attempt_col), F.col("score"), F.col("justification")))).alias("first"))
     return best.select(key, "attempts_seen",
@@ -43,7 +42,7 @@ def pending(requests: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
 
 
 def run_rounds(requests: DataFrame, ask: Callable[[DataFrame, int], DataFrame], key: str,
-               max_rounds: int = DEFAULT_MAX_ROUNDS) -> DataFrame:
+               max_rounds: int = DEFAULT_MAX_ROUNDS, tables: list | None = None) -> DataFrame:
     """Drive a judge hook round by round: ask(pending_requests, attempt) -> replies (key, attempt, reply).
 
     Each round's replies are parsed and unioned; the loop ends when nothing is
@@ -52,9 +51,10 @@ def run_rounds(requests: DataFrame, ask: Callable[[DataFrame, int], DataFrame],
     parsed = None
     todo = requests
     for attempt in range(max_rounds):
-        got = parse_judgements(ask(todo, attempt))
+        # materialised: the model is asked once per request and round, and the reply tested is the one kept
+        got = cut_lineage(parse_judgements(ask(todo, attempt)), owner=tables)
         parsed = got if parsed is None else parsed.unionByName(got)
         todo = pending(requests, parsed, key)
         if todo.limit(1).count() == 0:
             break
-    return accept(parsed, key, max_rounds)
+    return accept(parsed, key)

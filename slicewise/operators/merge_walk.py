@@ -80,6 +80,11 @@ def merge_ranges(leaves: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.S
     ])
 
 
+# Filters on the chunks (such as the one that `explode` infers) must not be pushed below the walk:
+# the optimizer would copy it into them.
+merge_ranges = merge_ranges.asNondeterministic()
+
+
 try:  # ship this module by value so executors need not have the package installed
     from pyspark import cloudpickle as _cp
     import sys as _sys

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.functions.sizing import broadcast_if_small
 from slicewise.functions.text import PROMPT_MAX_CHARS
 
 # ---------------------------------------------------------------------------
@@ -62,7 +61,7 @@ def render(df: DataFrame, templates: DataFrame, task: str, fields: dict[str, tup
            original_col: str | None = None, out_col: str = "prompt") -> DataFrame:
     """P4 + P5 + P6 over a frame: adds `prompt` (cut to 8192 characters) and `truncated`."""
     # templates are configuration rows: broadcast after the bounded size check, equi-join on task
-    t = broadcast_if_small(templates.groupBy(F.col("task").alias("_task")).agg(F.first("template").alias("_tpl")))
+    t = templates.groupBy(F.col("task").alias("_task")).agg(F.first("template").alias("_tpl"))
     joined = df.withColumn("_task", F.lit(task)).join(t, "_task", "left").drop("_task")
     full = render_column(F.coalesce(F.col("_tpl"), F.lit(" ")),
                          {k: (F.col(c), is_list) for k, (c, is_list) in fields.items()},

@@ -44,16 +44,17 @@ def rerank(hits: DataFrame, top_n_col: str = "reranker_top_n", query_key: str =
     """
     if scores is None:
         scores = lexical_scores(hits, query_key)
-    blank = (F.col("question").isNull()) | (F.trim(F.col("question")) == "")
+    empty = F.col("question").isNull() | (F.col("question") == "")
     scored = hits.join(scores, [query_key, "rank"], "left")
     has_scores = scored.groupBy(query_key).agg(F.count("score").alias("_scored"))
     scored = scored.join(has_scores, query_key)
-    # unchanged order (and no cut) for blank questions and for questions without scores
-    passthrough = blank | (F.col("_scored") == 0)
+    # unchanged order (and no cut) for empty questions and for questions without scores
+    passthrough = empty | (F.col("_scored") == 0)
     # scores are compared at 12 decimals: equal scores summed in another order still tie (then by rank)
     order_key = F.when(passthrough, F.lit(None).cast("double")).otherwise(F.round(F.col("score"), 12))
     w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last(order_key), F.col("rank"))
-    ranked = scored.withColumn("rerank_rank", F.row_number().over(w))
+    # a scorer that lists some hits of a question leaves the others out
+    ranked = scored.filter(passthrough | F.col("score").isNotNull()).withColumn("rerank_rank", F.row_number().over(w))
     keep = passthrough | F.col(top_n_col).isNull() | (F.col("rerank_rank") <= F.col(top_n_col))
     return ranked.filter(keep).drop("_scored")
 

@@ -2,13 +2,14 @@
 returned columns (P17), approximate search (T3), and the built-in lexical
 embedder used when no model vectors are supplied (X7).
 
-Plan: the query side (at most a few questions per experiment) is broadcast
-after a bounded size check; the chunk-vector side is never shuffled. The join
-key is the collection, so each chunk meets only the questions of its own
-collection. Distances are native array expressions inside whole-stage
-codegen. `row_number() <= k` over (query) becomes a WindowGroupLimit that
-keeps k rows per query per partition before the shuffle, so skewed
-collections send only k candidates each.
+Plan: the query side (at most a few questions per experiment, materialised by
+the callers) is joined on the collection, so each chunk meets only the questions of its own
+collection; Spark broadcasts it while its size is below
+`spark.sql.autoBroadcastJoinThreshold` and splits skewed collections otherwise.
+Distances are native array expressions inside whole-stage codegen.
+`row_number() <= max_k` over (query) becomes a WindowGroupLimit that
+keeps max_k rows per query per partition before the shuffle, so skewed
+collections send only max_k candidates each, also when k is a column.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicewise.functions.sizing import broadcast_if_small
 from slicewise.functions.text import tokens
 
 # Dimensions of the built-in lexical embedding; name written to output metadata.
@@ -42,46 +42,59 @@ def squared_l2_fixed(a: str, b: str, dims: int) -> Column:
     return F.expr(f"0.0D + {terms}")
 
 
+def unscorable(vectors: DataFrame, vector_col: str = "embedding", dims: int | None = None) -> DataFrame:
+    """D-17: rows that take no part in a search, with the reason."""
+    v = F.col(vector_col)
+    reason = (F.when(v.isNull(), "no vector").when(F.exists(v, lambda x: x.isNull()), "vector with a missing component")
+              .when(F.size(v) != F.lit(dims if dims is not None else -1), "vector of another length" if dims is not None else None))
+    return vectors.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "query_id",
         join_keys: tuple[str, ...] = ("collection",), where: dict | None = None,
         where_query: dict[str, str] | None = None, vector_col: str = "embedding", query_vector_col: str = "query_vector",
-        order_tiebreak: str = "chunk_index", include: tuple[str, ...] = (), dims: int | None = None) -> DataFrame:
+        order_tiebreak: str = "chunk_index", include: tuple[str, ...] = (), dims: int | None = None,
+        max_k: int | None = None) -> DataFrame:
     """Exact top-k nearest chunks per query (ascending squared L2, ties by chunk_index).
 
     queries: query_key, join_keys..., query_vector[, k column]
     vectors: join_keys..., chunk_id, chunk_index, embedding, metadata...
     where (P15): {metadata column: value} equality filter applied before scoring;
     where_query: {metadata column: query column} per-query equality filter.
-    k is a number or the name of a query column; k larger than the collection
-    returns the whole collection (T2).
+    k is a number or the name of a query column (then max_k bounds it, by default the
+    largest k of the queries); k larger than the collection returns the whole collection (T2).
     include (P17): extra vector-side columns to return.
-    dims: vector length when all vectors share it (unrolled, codegen'd distance);
-    None -> read from the (small) query side; mixed lengths use the generic form.
+    dims: vector length, for the unrolled, codegen'd distance; None uses the generic form.
+    Vectors that are null, hold a null or have another length than the query's (or dims)
+    have no distance and take no part; `unscorable` lists them.
     """
     v = vectors
     for col, value in (where or {}).items():
         v = v.filter(F.col(col) == F.lit(value))
     # rename the query side so a query set derived from the vectors joins unambiguously
     q = queries.select(*[F.col(c).alias("_q_" + c) for c in queries.columns])
-    q = broadcast_if_small(q)
     cond = [F.col(c) == F.col("_q_" + c) for c in join_keys]
     for col, qcol in (where_query or {}).items():
         cond.append(F.col(col) == F.col("_q_" + qcol))
     if not cond:
         raise ValueError("knn needs a join key (collection) or a per-query filter: all-pairs scoring is not offered")
+    lengths = F.size(vector_col), F.size("_q_" + query_vector_col)
+    if dims is None:
+        cond.append(lengths[0] == lengths[1])
+    else:
+        v, q = v.filter(lengths[0] == dims), q.filter(lengths[1] == dims)
     joined = v.join(q, cond)
     keep = [F.col("_q_" + query_key).alias(query_key)] + [F.col(c) for c in join_keys] + \
         [F.col("chunk_id"), F.col(order_tiebreak)] + [F.col(c) for c in include]
     kcol = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
-    if dims is None:
-        lo, hi = queries.select(F.min(F.size(query_vector_col)), F.max(F.size(query_vector_col))).first()
-        dims = lo if lo == hi and lo is not None and lo > 0 else None
+    if max_k is None:
+        max_k = (queries.agg(F.max(k)).first()[0] or 0) if isinstance(k, str) else k
     dist = (squared_l2_fixed(vector_col, "_q_" + query_vector_col, dims) if dims
             else squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)))
-    scored = joined.select(*keep, dist.alias("distance"), kcol.alias("_k"))
+    scored = joined.select(*keep, dist.alias("distance"), kcol.alias("_k")).filter(F.col("distance").isNotNull())
     w = Window.partitionBy(query_key).orderBy("distance", order_tiebreak)
     return (scored.withColumn("rank", F.row_number().over(w))
-                  .filter(F.col("rank") <= F.col("_k")).drop("_k"))
+                  .filter((F.col("rank") <= F.lit(int(max_k))) & (F.col("rank") <= F.col("_k"))).drop("_k"))
 
 
 def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding", digits: int = 6) -> DataFrame:
@@ -126,8 +139,6 @@ def with_lexical_embedding(df: DataFrame, text_col: str, out_col: str = "embeddi
         "_m", F.map_from_arrays(F.transform("_st", lambda i: F.element_at("_b", i)),
                                 F.zip_with("_st", ends, lambda a, b: (b - a).cast("double"))))
     # `_m` is referenced twice so Catalyst keeps it materialised instead of
-    # inlining the map construction into the per-dimension lambda
-    # `_m` is referenced twice so Catalyst keeps it materialised instead of
     # inlining the map construction into the per-dimension lambda. (Unrolling
     # these 64-wide steps into element arithmetic measured 2.5x slower: the
     # generated methods grow past the JIT's size limit.)
@@ -142,26 +153,47 @@ def with_lexical_embedding(df: DataFrame, text_col: str, out_col: str = "embeddi
 
 
 # --------------------------------------------------------------------------- approximate
-def knn_lsh(queries: DataFrame, vectors: DataFrame, threshold: float, bucket_length: float = 0.5,
-            num_tables: int = 4, seed: int = 7, query_key: str = "query_id",
-            join_keys: tuple[str, ...] = ("collection",)) -> DataFrame:
-    """Approximate neighbours within a Euclidean `threshold` (BucketedRandomProjectionLSH).
+# The numbers that make up the projection planes, so that SQL computes the same ones.
+PLANE_SQL = "(({i} * {i} * 31 + {i} * ({t} * 97 + 13) + {t} * 7919) % 1009) / 504.5 - 1"
+
+
+def plane(t: int, dims: int) -> list[float]:
+    """Projection t: components in [-1, 1) by a fixed rule."""
+    return [((i * i * 31 + i * (t * 97 + 13) + t * 7919) % 1009) / 504.5 - 1 for i in range(dims)]
+
+
+def _buckets(vector_col: str, dims: int, num_tables: int, bucket_length: float) -> Column:
+    """array<struct<t, bucket>>: one bucket per projection, unrolled for whole-stage codegen."""
+    parts = []
+    for t in range(num_tables):
+        dot = " + ".join(f"CAST(`{vector_col}`[{i}] AS DOUBLE) * CAST({w!r} AS DOUBLE)" for i, w in enumerate(plane(t, dims)))
+        parts.append(f"named_struct('t', {t}, 'bucket', CAST(floor((0.0D + {dot}) / {bucket_length}D) AS BIGINT))")
+    return F.expr(f"array({', '.join(parts)})")
+
+
+def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, dims: int, bucket_length: float = 0.5, num_tables: int = 4,
+            probes: int = 1, query_key: str = "query_id", join_keys: tuple[str, ...] = ("collection",)) -> DataFrame:
+    """Approximate top-k: exact distances to the vectors that share a bucket of some random projection.
+
+    A vector has one bucket per table; a query looks into its own and `probes` neighbours on
+    either side. Collection, table and bucket are the join key, only ids are carried through it,
+    and vectors are joined back once the candidates are known and distinct. Fewer than k
+    candidates give fewer rows; `probes` and `num_tables` trade work for recall.
 
-    Returns query_key, chunk_id, chunk_index, distance (squared, as T1), rank.
+    Output: query_key, join_keys, chunk_id, chunk_index, distance (squared), rank.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    va = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    qa = queries.withColumn("features", array_to_vector(F.col("query_vector").cast("array<double>")))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(va)
-    pairs = model.approxSimilarityJoin(va, qa, threshold, distCol="euclid")
-    cond = F.lit(True)
-    for c in join_keys:
-        cond = cond & (F.col(f"datasetA.{c}") == F.col(f"datasetB.{c}"))
-    found = pairs.filter(cond).select(
-        F.col(f"datasetB.{query_key}").alias(query_key), F.col("datasetA.chunk_id").alias("chunk_id"),
-        F.col("datasetA.chunk_index").alias("chunk_index"), (F.col("euclid") * F.col("euclid")).alias("distance"))
+    keys = list(join_keys)
+    ok = lambda c: (F.size(c) == dims) & F.forall(c, lambda x: x.isNotNull())
+    v = vectors.filter(ok("embedding"))
+    q = queries.filter(ok("query_vector"))
+    stored = (v.withColumn("_b", F.explode(_buckets("embedding", dims, num_tables, bucket_length)))
+              .select(*keys, F.col("_b.t").alias("_t"), F.col("_b.bucket").alias("_bucket"), "chunk_id"))
+    near = F.explode(F.sequence(F.col("_b.bucket") - probes, F.col("_b.bucket") + probes))
+    asked = (q.withColumn("_b", F.explode(_buckets("query_vector", dims, num_tables, bucket_length)))
+             .select(*keys, F.col("_b.t").alias("_t"), near.alias("_bucket"), query_key))
+    found = stored.join(asked, [*keys, "_t", "_bucket"]).select(query_key, *keys, "chunk_id").distinct()
+    scored = (found.join(q.select(query_key, *keys, "query_vector"), [query_key, *keys])
+              .join(v.select(*keys, "chunk_id", "chunk_index", "embedding"), [*keys, "chunk_id"])
+              .select(query_key, *keys, "chunk_id", "chunk_index", squared_l2_fixed("embedding", "query_vector", dims).alias("distance")))
     w = Window.partitionBy(query_key).orderBy("distance", "chunk_index")
-    return found.withColumn("rank", F.row_number().over(w))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -16,9 +16,13 @@ and a correction over the shared tokens, which the join already has.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicewise.functions.text import tokens
 
@@ -60,7 +64,8 @@ def pair_cosine(pairs: DataFrame, key: str, left_id: str, right_id: str,
 
 def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[str],
                           doc_key: str = "doc_id") -> DataFrame:
-    """TF-IDF cosine of every chunk with its own document, chunks read once.
+    """A11 for chunk rows apart from their documents (such as retrieved ones); `chunk_cosines`
+    scores the chunks of a whole corpus without a shuffle. Chunks are read once.
 
     chunks: chunk_keys (including doc_key) + chunk_text; docs: doc_key + text.
     Token counts are aggregated per (chunk, token) and per (document, token);
@@ -90,6 +95,39 @@ def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[s
     return per_chunk.join(totals, doc_key, "left").select(*chunk_keys, cos.alias("cosine_similarity"))
 
 
+_WORD = re.compile(r"\w{2,}")          # the vectoriser's tokens, as functions.text.TOKEN_PATTERN
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def chunk_cosines(texts: pd.Series, chunk_lists: pd.Series) -> pd.Series:
+    """A11 inside a document's row: the cosine of each of its chunks with the whole text.
+
+    A chunk is born in its document's row, so no token row is ever shuffled.
+    """
+    i2, out = IDF_ONE * IDF_ONE, []
+    last, doc, total = None, Counter(), 0.0
+    for text, chunks in zip(texts, chunk_lists):
+        if text is not last and text != last:       # rows of one document (one per strategy) come together
+            last, doc = text, Counter(_WORD.findall((text or "").lower()))
+            total = float(sum(n * n for n in doc.values()))
+        scores = []
+        for chunk in chunks if chunks is not None else []:
+            dot = na = shared = 0.0
+            for token, n in Counter(_WORD.findall(chunk.lower())).items():
+                m = doc.get(token, 0)
+                if m:
+                    dot, na, shared = dot + n * m, na + n * n, shared + m * m
+                else:
+                    na += n * n * i2
+            nb = i2 * total + (1.0 - i2) * shared
+            scores.append(dot / math.sqrt(na * nb) if na > 0 and nb > 0 else 0.0)
+        out.append(scores)
+    return pd.Series(out)
+
+
+chunk_cosines = chunk_cosines.asNondeterministic()       # run once, not copied into filters on its result
+
+
 def text_pair_cosine(df: DataFrame, key: str, text_a: str, text_b: str) -> DataFrame:
     """A1 where each row carries both texts: (key, text_a, text_b) -> (key, cosine_similarity)."""
     a = token_counts(df.select(F.col(key).alias("_l"), text_a), "_l", text_a)

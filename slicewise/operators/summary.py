@@ -8,6 +8,8 @@ keeps its row with a null ratio.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +75,28 @@ def order_columns(df: DataFrame, configured: list[str] | None = None) -> DataFra
     configured = configured if configured is not None else SUMMARY_COLUMNS
     missing = [c for c in configured if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns in experiment result: {', '.join(missing)}.")
+        raise ValueError(f"the summary lacks configured columns: {', '.join(missing)}")
     return df.select(*configured, *[c for c in df.columns if c not in configured])
 
 
-def write_csv(summary: DataFrame, path: str) -> None:
-    """One CSV per batch, header, arrays as JSON text (CSV has no array type)."""
+def result_name(when: datetime.datetime) -> str:
+    """The name of a batch's result, with the time at which the batch began."""
+    return f"experiment_results_{when:%Y%m%d_%H%M%S_%f}"
+
+
+def write_csv(summary: DataFrame, path: str, when: datetime.datetime | None = None) -> str:
+    """One CSV per batch under `path`, named by time; header with byte-order mark, arrays as JSON text.
+
+    The rows (one per experiment) are dealt to one task by an exchange, so the stages
+    before keep their parallelism. Returns the folder written.
+    """
     flat = summary.select(*[F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "array"
                             else F.col(f.name) for f in summary.schema.fields])
-    flat.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    # Spark has no byte-order mark option: the mark is the first character of the header
+    flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
+    target = f"{path.rstrip('/')}/{result_name(when or datetime.datetime.now())}"
+    flat.repartition(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(target)
+    return target
 
 
 def union_results(frames: list[DataFrame]) -> DataFrame:

@@ -59,32 +59,42 @@ def q_experiment_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects
 
 
-def collection_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def collection_chunks(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> DataFrame:
     """Every (file type, strategy) pair of the resolved experiments, chunked once.
 
-    Output: collection, file_type, chunking_strategy, doc_id, original_text_length,
-    chunk_index, chunk_text.
+    Output: collection, collection_id, file_type, chunking_strategy, doc_id, original_text_length,
+    chunk_index, chunk_text. strategies: only these.
     """
-    from slicewise.functions.sizing import broadcast_if_small
+    lists = collection_chunk_lists(spark, sf_dir, strategies)
+    return lists.select("collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "original_text_length",
+                        F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+
+
+def collection_chunk_lists(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> DataFrame:
+    """The same before the chunks become rows: one row per (collection, document) with its text and `chunks`."""
     from slicewise.sources.tables import SHIPPED_STRATEGIES, STRATEGY_SCHEMA
     from slicewise.session import cut_lineage
     resolved, _ = resolved_experiments(spark, sf_dir)
-    # configuration-sized: materialised once, so the size check and the query do not both resolve
+    if strategies:
+        resolved = resolved.filter(F.col("chunking_strategy").isin(strategies))
+    # configuration-sized: materialised once, so Spark knows its size when it plans the join
     pairs = cut_lineage(resolved.filter(F.col("method") != chunking.OUTSIDE).select(
-        "collection", "file_type", "chunking_strategy", "method", "chunk_size", "chunk_overlap",
+        "collection", "collection_id", "file_type", "chunking_strategy", "method", "chunk_size", "chunk_overlap",
         "separators").distinct())
     docs = testdata.corpus(spark, sf_dir).select(
         "doc_id", "file_type", "text", F.col("n_chars").alias("original_text_length"))
-    joined = docs.join(broadcast_if_small(pairs), "file_type")
+    joined = docs.join(pairs, "file_type")
     rows = [dict(zip(STRATEGY_SCHEMA.fieldNames(), r)) for r in SHIPPED_STRATEGIES]
-    return chunking.chunk_pairs(joined, rows).drop("method", "separators", "chunk_size", "chunk_overlap")
+    return chunking.pair_chunk_lists(joined, rows).drop("method", "separators", "chunk_size", "chunk_overlap")
 
 
 def q_chunk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = collection_chunks(spark, sf_dir)
-    per_doc = chunks.groupBy("file_type", "chunking_strategy", "doc_id").agg(
-        F.count("*").alias("n"), F.sum(F.length("chunk_text")).alias("chars"),
-        F.max(F.length("chunk_text")).alias("mx"))
+    # a document's chunks are counted in its row; only one row per document and strategy is grouped
+    sizes = F.transform("chunks", lambda c: F.length(c))
+    per_doc = (collection_chunk_lists(spark, sf_dir).select("file_type", "chunking_strategy", sizes.alias("s"))
+               .filter(F.size("s") > 0)
+               .select("file_type", "chunking_strategy", F.size("s").alias("n"), F.array_max("s").alias("mx"),
+                       F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars")))
     return per_doc.groupBy("file_type", "chunking_strategy").agg(
         F.count("*").cast("long").alias("n_docs"),
         F.sum("n").cast("long").alias("n_chunks"),
@@ -95,11 +105,11 @@ def q_chunk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 + P2 + P3: collection name, chunk metadata and deterministic chunk id."""
+    from slicewise.functions.text import chunk_id
     chunks = collection_chunks(spark, sf_dir)
     return chunks.select(
         "collection",
-        F.sha2(F.concat_ws("\u0001", F.col("collection"), F.col("doc_id").cast("string"),
-                           F.col("chunk_index").cast("string")), 256).alias("chunk_id"),
+        chunk_id(F.col("collection_id"), F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
         F.col("file_type").alias("source_file_type"), "chunking_strategy", "doc_id",
         F.col("chunk_index").cast("long"), F.col("original_text_length").cast("long"))
 
@@ -119,7 +129,7 @@ def q_prechunked_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.sources.tables import read_table
     rows = read_table(spark, sf_dir, "conversations").select(
         F.lit("conversations").alias("collection"), F.col("conv_id").alias("id"),
-        F.col("text").alias("pageContent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+        F.col("text").alias("pageContent"), testdata.turn_key(F.col("conv_id"), F.col("turn")).alias("ord"))
     out = prechunked.ingest(rows, "id")
     return out.select("collection", "chunk_id", "chunk_index", "chunk_text", "chunk_times_s")
 
@@ -184,12 +194,13 @@ def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_vs_original_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 + A11: chunks per collection and mean TF-IDF cosine of chunk vs its document."""
-    from slicewise.operators.similarity import chunk_document_cosine
-    chunks = collection_chunks(spark, sf_dir).select("collection", "doc_id", "chunk_index", "chunk_text")
-    cos = chunk_document_cosine(chunks, testdata.corpus(spark, sf_dir), ["collection", "doc_id", "chunk_index"])
-    return cos.groupBy("collection").agg(
-        F.count("*").cast("long").alias("n_chunks"),
-        F.round(F.avg("cosine_similarity"), 6).alias("mean_cosine"))
+    from slicewise.operators.similarity import chunk_cosines
+    cos = collection_chunk_lists(spark, sf_dir).select("collection", chunk_cosines("text", "chunks").alias("c"))
+    per_doc = cos.filter(F.size("c") > 0).select("collection", F.size("c").alias("n"),
+                                                 F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return per_doc.groupBy("collection").agg(
+        F.sum("n").cast("long").alias("n_chunks"),
+        F.round(F.sum("s") / F.sum("n"), 6).alias("mean_cosine"))
 
 
 QUERIES.update({
@@ -202,26 +213,28 @@ QUERIES.update({
 # --------------------------------------------------------------------------- retrieval
 def _centroid_queries(spark: SparkSession, sf_dir: str):
     from slicewise.operators.retrieval import centroids
+    from slicewise.session import cut_lineage
     vecs = testdata.chunk_vectors(spark, sf_dir)
-    queries = centroids(vecs, "collection").withColumn("query_id", F.col("collection"))
+    # one row per collection, materialised: computed once and of known size
+    queries = cut_lineage(centroids(vecs, "collection").withColumn("query_id", F.col("collection")))
     return queries, vecs
 
 
-def _knn_out(hits: DataFrame) -> DataFrame:
+def _knn_out(hits: DataFrame, *included) -> DataFrame:
     return hits.select("query_id", "collection", F.col("rank").cast("long"), "chunk_id", "chunk_index",
-                       F.round("distance", 6).alias("distance"))
+                       F.round("distance", 6).alias("distance"), *included)
 
 
 def q_knn_exact_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.operators.retrieval import knn
     queries, vecs = _centroid_queries(spark, sf_dir)
-    return _knn_out(knn(queries, vecs, 8))
+    return _knn_out(knn(queries, vecs, 8, dims=testdata.VECTOR_DIMS))
 
 
 def q_knn_k_exceeds_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.operators.retrieval import knn
     queries, vecs = _centroid_queries(spark, sf_dir)
-    return _knn_out(knn(queries, vecs, 1_000_000))
+    return _knn_out(knn(queries, vecs, 1_000_000, dims=testdata.VECTOR_DIMS))
 
 
 def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,24 +245,48 @@ def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queries.select("query_id", "query_vector",
                        F.regexp_extract("collection", r"(\d+)$", 1).cast("int").alias("filter_label"),
                        F.lit("all").alias("collection"))
-    hits = knn(q, everything, 8, where_query={"label": "filter_label"}, include=("label",))
-    return _knn_out(hits).withColumn("label", F.regexp_extract("query_id", r"(\d+)$", 1).cast("long"))
+    hits = knn(q, everything, 8, where_query={"label": "filter_label"}, include=("label",), dims=testdata.VECTOR_DIMS)
+    return _knn_out(hits, F.col("label").cast("long").alias("label"))
 
 
 def q_knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate neighbours; recall@8 of the LSH top-8 against the exact top-8."""
     from slicewise.operators.retrieval import knn, knn_lsh
     queries, vecs = _centroid_queries(spark, sf_dir)
-    exact = knn(queries, vecs, 8).select("query_id", "chunk_id")
-    approx = knn_lsh(queries, vecs, threshold=1.5).filter(F.col("rank") <= 8).select(
-        "query_id", "chunk_id", F.lit(1).alias("hit"))
+    exact = knn(queries, vecs, 8, dims=testdata.VECTOR_DIMS).select("query_id", "chunk_id")
+    approx = knn_lsh(queries, vecs, 8, testdata.VECTOR_DIMS).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     j = exact.join(approx, ["query_id", "chunk_id"], "left")
     return j.groupBy("query_id").agg(
         F.count("*").cast("long").alias("n_exact"), F.count("hit").cast("long").alias("n_found"),
         F.round(F.count("hit") / F.count("*"), 6).alias("recall_at_8"))
 
 
+def q_knn_mixed_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 with a k of its own per query; every seventh vector is missing, every eleventh misses a component."""
+    from slicewise.operators.retrieval import knn
+    queries, vecs = _centroid_queries(spark, sf_dir)
+    e = F.col("embedding")
+    holes = (F.when(F.col("chunk_id") % 7 == 0, F.lit(None).cast("array<float>"))
+             .when(F.col("chunk_id") % 11 == 0, F.concat(F.slice(e, 1, testdata.VECTOR_DIMS - 1), F.array(F.lit(None).cast("float"))))
+             .when(F.col("chunk_id") % 13 == 0, F.slice(e, 1, testdata.VECTOR_DIMS - 1)).otherwise(e))
+    q = queries.withColumn("k", F.regexp_extract("query_id", r"(\d+)$", 1).cast("int") % 8 + 1)
+    return _knn_out(knn(q, vecs.withColumn("embedding", holes), "k", dims=testdata.VECTOR_DIMS))
+
+
+def q_knn_unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-17: the vectors that the search above leaves out, with the reason."""
+    from slicewise.operators.retrieval import unscorable
+    e = F.col("embedding")
+    holes = (F.when(F.col("chunk_id") % 7 == 0, F.lit(None).cast("array<float>"))
+             .when(F.col("chunk_id") % 11 == 0, F.concat(F.slice(e, 1, testdata.VECTOR_DIMS - 1), F.array(F.lit(None).cast("float"))))
+             .when(F.col("chunk_id") % 13 == 0, F.slice(e, 1, testdata.VECTOR_DIMS - 1)).otherwise(e))
+    v = testdata.chunk_vectors(spark, sf_dir).withColumn("embedding", holes)
+    return unscorable(v, dims=testdata.VECTOR_DIMS).select("collection", "chunk_id", "reason")
+
+
 QUERIES.update({
+    "knn_mixed_k": q_knn_mixed_k,
+    "knn_unscorable": q_knn_unscorable,
     "knn_exact_k8": q_knn_exact_k8,
     "knn_k_exceeds_size": q_knn_k_exceeds_size,
     "knn_filtered": q_knn_filtered,
@@ -305,11 +342,22 @@ def q_score_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_score_pending_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.operators.judge import accept, parse_judgements
     from slicewise.sources.model_replies import judge_replies
-    return accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id", max_rounds=3).select(
+    return accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id").select(
         "qa_id", "attempts_seen", "accepted_attempt", "score", "resolved")
 
 
+def q_judge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds driven against a table of replies: only pending requests are asked again."""
+    from slicewise.operators.judge import run_rounds
+    from slicewise.sources.model_replies import judge_replies
+    replies = judge_replies(spark, sf_dir)
+    requests = replies.select("qa_id").distinct()
+    ask = lambda todo, attempt: replies.filter(F.col("attempt") == attempt).join(todo, "qa_id", "left_semi")
+    return run_rounds(requests, ask, "qa_id").select("qa_id", "attempts_seen", "accepted_attempt", "score", "resolved")
+
+
 QUERIES.update({
+    "judge_rounds": q_judge_rounds,
     "chat_envelope": q_chat_envelope,
     "embedding_envelope": q_embedding_envelope,
     "qa_extract": q_qa_extract,
@@ -438,9 +486,13 @@ def q_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_index_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + A4: a previous run indexed the line-merge 100/10 collections; only the others are indexed now."""
     from slicewise.sources import vector_index
-    chunks = collection_chunks(spark, sf_dir)
-    existing = chunks.filter(F.col("chunking_strategy") == "simple_chunk_100_overlap_10")
-    wanted = chunks.select("collection").distinct()
+    from slicewise.session import cut_lineage
+    resolved, _ = resolved_experiments(spark, sf_dir)
+    wanted = cut_lineage(resolved.filter(F.col("method") != chunking.OUTSIDE).select("collection", "chunking_strategy").distinct())
+    # what the previous run stored; which collections to index is decided from their names alone, before any chunking
+    chunks = collection_chunks(spark, sf_dir, strategies=["simple_chunk_100_overlap_10"])
+    existing = cut_lineage(chunks.select("collection", "doc_id", "chunk_index"))
+    wanted = wanted.select("collection").distinct()
     todo = vector_index.to_index(wanted, existing).withColumn("action", F.lit("index"))
     present = vector_index.collection_counts(existing)
     skipped = wanted.join(present, "collection").select("collection").withColumn("action", F.lit("skip"))
@@ -453,7 +505,7 @@ def _generated_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.functions.replies import qa_answers, qa_question
     x = _qa_extracted(spark, sf_dir).select("conv_id", F.posexplode("x.items").alias("qa_index", "item"))
     return x.select(F.concat(F.lit("src"), (F.col("conv_id") % testdata.N_FILE_TYPES).cast("string")).alias("file_type"),
-                    (F.col("conv_id") * 1000 + F.col("qa_index")).alias("qa_index"),
+                    testdata.turn_key(F.col("conv_id"), F.col("qa_index")).alias("qa_index"),
                     qa_question(F.col("item")).alias("question"), qa_answers(F.col("item")).alias("answers"))
 
 
@@ -483,7 +535,7 @@ def q_score_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.operators.judge import accept, parse_judgements
     from slicewise.operators.similarity import text_pair_cosine
     from slicewise.sources.model_replies import judge_replies
-    acc = accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id", max_rounds=3)
+    acc = accept(parse_judgements(judge_replies(spark, sf_dir)), "qa_id")
     cos = text_pair_cosine(answer_pairs(spark, sf_dir), "qa_id", "std_text", "final_answer")
     from slicewise.operators import qa as qa_ops
     # lists are built over the sampled QA set of each file type (at most 8), as per experiment
@@ -511,3 +563,73 @@ QUERIES.update({
     "qa_rebuild": _policy("rebuild"),
     "score_ratio": q_score_ratio,
 })
+
+
+# --------------------------------------------------------------------------- files, names, results
+def q_text_files_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written as text files, one folder per type, and loaded by globs; one declared type has no file."""
+    import uuid
+
+    from slicewise.session import _MATERIALISED, checkpoint_dir
+    from slicewise.sources import text_files
+    base = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-tables/{uuid.uuid4().hex}"
+    testdata.corpus(spark, sf_dir).select("file_type", "text").write.partitionBy("file_type").text(base)
+    _MATERIALISED.append(base)
+    types = testdata.file_types(spark, sf_dir).select("name", F.concat(F.lit("file_type="), F.col("name"), F.lit("/*.txt")).alias("path"))
+    docs, rejects = text_files.load_documents(spark, types, base)
+    loaded = docs.groupBy("file_type").agg(F.sum("n_chars").alias("n_chars"))
+    return (loaded.withColumn("reason", F.lit(None).cast("string"))
+            .unionByName(rejects.select("file_type", F.lit(None).cast("long").alias("n_chars"), "reason")))
+
+
+def q_file_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every page's address and of every type's path."""
+    from slicewise.functions.text import file_stem
+    from slicewise.sources.tables import read_table
+    urls = read_table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+    return (urls.unionByName(testdata.file_types(spark, sf_dir).select("path"))
+            .select("path", file_stem(F.col("path")).alias("stem")).distinct())
+
+
+def q_qa_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QA sets named by the stem of their document, joined to the file types by path."""
+    from slicewise.functions.text import file_stem
+    qa = testdata.qa_pairs(spark, sf_dir).withColumnRenamed("file_type", "stem")
+    types = testdata.file_types(spark, sf_dir).select(F.col("name").alias("file_type"), file_stem(F.col("path")).alias("stem"))
+    return types.join(qa, "stem").groupBy("file_type").agg(F.count("*").cast("long").alias("n_pairs"), F.min("qa_id").alias("first_qa"))
+
+
+def q_long_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type names longer than a collection name; names collide, keys and chunk ids do not."""
+    from slicewise.functions.text import chunk_id
+    from slicewise.operators.experiments import resolve
+    from slicewise.session import cut_lineage
+    from slicewise.sources.tables import SHIPPED_STRATEGIES, STRATEGY_SCHEMA, strategies_table
+    long = lambda c: F.concat(F.repeat(F.lit("x"), F.lit(60)), c)
+    corpus = testdata.corpus(spark, sf_dir).withColumn("file_type", long(F.col("file_type")))
+    types = testdata.file_types(spark, sf_dir).withColumn("name", long(F.col("name")))
+    experiments = testdata.experiments(spark, sf_dir).withColumn("file_type", long(F.col("file_type")))
+    resolved, _ = resolve(experiments, types, strategies_table(spark), corpus, RUN_ID)
+    pairs = cut_lineage(resolved.filter(F.col("method") != chunking.OUTSIDE).select(
+        "collection", "collection_id", "file_type", "method", "chunk_size", "chunk_overlap", "separators").distinct())
+    rows = [dict(zip(STRATEGY_SCHEMA.fieldNames(), r)) for r in SHIPPED_STRATEGIES]
+    chunks = chunking.chunk_pairs(corpus.select("doc_id", "file_type", "text").join(pairs, "file_type"), rows)
+    ids = chunks.select("collection", "collection_id", chunk_id(F.col("collection_id"), F.col("doc_id"), F.col("chunk_index")).alias("id"))
+    return ids.groupBy("collection", "collection_id").agg(F.count("*").cast("long").alias("n_chunks"), F.min("id").alias("first_id"))
+
+
+def q_union_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two kinds, whose columns differ, in one table."""
+    from slicewise.operators.summary import union_results
+    cosine = q_answer_cosine(spark, sf_dir).withColumn("kind", F.lit("cosine"))
+    overlap = q_token_overlap(spark, sf_dir).select("qa_id", "f1", F.lit("overlap").alias("kind"))
+    return union_results([cosine, overlap])
+
+
+QUERIES.update({
+    "text_files_load": q_text_files_load,
+    "file_stems": q_file_stems,
+    "qa_by_stem": q_qa_by_stem,
+    "long_type_names": q_long_type_names,
+    "union_results": q_union_results,
+})

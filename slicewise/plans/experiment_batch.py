@@ -1,20 +1,21 @@
 """A whole batch of experiments as one set of Spark jobs (the flagship).
 
-resolve (J1) -> chunk every (file type, strategy) pair once (C5) -> embed chunks
-(X7) and checkpoint them as the index (S8) -> sample questions per file type (T5)
+resolve (J1) -> leave out collections that are indexed already (J5) -> chunk every
+other (file type, strategy) pair once (C5), add chunks cut elsewhere (S3) -> embed
+chunks (X7) and store them as the index (S8) -> sample questions per file type (T5)
 and join them to their experiments (J8) -> nearest chunks per question (J2, T1)
--> rerank where asked (T4) -> context and guards (A6, A5, P14) -> answer (X5)
--> cosine (A1) and judge (X6, P11, P12) -> recall of the context (A12), top-k vs
-original (A14) -> one summary row per experiment (A2, A3, A8).
+-> rerank where asked, by the named method (T4) -> context and guards (A6, A5, P14)
+-> answer (X5) -> cosine (A1) and judge in rounds (X6, J7, P11, P12) -> recall of the
+context (A12), top-k vs original (A14) -> one summary row per experiment (A2, A3, A8).
 
-Shuffle budget: chunking is map-side; the chunk index is written once and read
-by retrieval (broadcast join of the few questions, per-partition top-k), by the
-hit-text join (broadcast of at most k hits per question) and by the metrics.
-Everything after retrieval is bounded by (questions x k).
+Shuffle budget: chunking is map-side; the chunk index is written once, partitioned by
+nothing but read by column; retrieval keeps max(k) rows per question and partition before its
+shuffle. Everything after retrieval is bounded by (questions x k). Question vectors, hits,
+answers and every round of judgements are materialised, so each model is asked once.
 
 Model steps are hooks. The defaults are deterministic and local to Spark:
-hashed term-frequency vectors, an extractive answerer (the top context chunk)
-and a lexical judge that writes its verdict as a JSON reply, which then goes
+hashed term-frequency vectors, a lexical reranker, an extractive answerer (the top
+context chunk) and a lexical judge that writes its verdict as a JSON reply, which then goes
 through the same reply parser as a model's. Replace them with functions that
 take and return DataFrames (for example `mapInPandas` over a model client).
 """
@@ -28,14 +29,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewise.functions.replies import judgement
-from slicewise.functions.sizing import broadcast_if_small
-from slicewise.operators import chunking, qa as qa_ops, rerank as rerank_ops, summary
+from slicewise.functions.text import chunk_id, file_stem
+from slicewise.operators import chunking, judge as judge_ops, qa as qa_ops, rerank as rerank_ops, summary
 from slicewise.operators.experiments import resolve
 from slicewise.operators.prompts import assemble_context, render, templates_table
-from slicewise.operators.retrieval import LEXICAL_DIMS, LEXICAL_EMBEDDER, knn, with_lexical_embedding
+from slicewise.operators.retrieval import LEXICAL_DIMS, LEXICAL_EMBEDDER, knn, unscorable, with_lexical_embedding
 from slicewise.operators.similarity import chunk_document_cosine, joined_answers, text_pair_cosine, token_overlap
-from slicewise.session import cut_lineage
+from slicewise.session import cut_lineage, release_tables
+from slicewise.sources import prechunked, vector_index
 
 # Recall threshold of A12 and the lexical judge's score bands (token recall).
 RECALL_THRESHOLD = 0.5
@@ -43,7 +44,12 @@ JUDGE_BANDS = (0.5, 0.2)   # recall >= 0.5 -> 2, >= 0.2 -> 1, else 0
 
 Embedder = Callable[[DataFrame, str], DataFrame]        # (df, text column) -> df + embedding
 Answerer = Callable[[DataFrame], DataFrame]              # contexts -> + final_answer
-Judge = Callable[[DataFrame], DataFrame]                 # answers -> + reply
+Reranker = Callable[[DataFrame], DataFrame]              # hits -> (query_id, rank, score) of the hits it lists
+Judge = Callable[[DataFrame], DataFrame]                 # requests (JudgeAs prompt, question, context, ...) -> + reply
+
+REASON_UNKNOWN_RERANKER = "unknown reranker"
+REASON_NO_PRECHUNKED = "no pre-chunked rows"
+LEXICAL_RERANKER = "lexical"
 
 
 def lexical_embedder(df: DataFrame, text_col: str) -> DataFrame:
@@ -72,11 +78,32 @@ class Batch:
     embedder: Embedder = lexical_embedder
     answerer: Answerer = extractive_answerer
     judge: Judge = lexical_judge
+    judge_rounds: int = judge_ops.DEFAULT_MAX_ROUNDS
+    # reranker by method name; an experiment that names another one is rejected
+    rerankers: dict[str, Reranker] = field(default_factory=lambda: {LEXICAL_RERANKER: rerank_ops.lexical_scores})
+    # chunks cut elsewhere, for `outside` strategies: (file_type, chunking_strategy, id, pageContent, ord)
+    prechunked: DataFrame | None = None
+    # a stored index (vector_index): its collections are used as they are, new ones are added to it
+    index_path: str | None = None
     embedder_name: str = LEXICAL_EMBEDDER
     # Extra metrics, each answers -> DataFrame(query_id, <one metric column>), averaged per experiment
     metrics: list = field(default_factory=list)
     frames: dict = field(default_factory=dict)
     timings: dict = field(default_factory=dict)   # A15 / C4: wall seconds of the batch's actions
+    tables: list = field(default_factory=list)    # materialised tables of this batch
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df, owner=self.tables)
+
+    def timed(self, name: str, df: DataFrame) -> DataFrame:
+        t0 = time.perf_counter()
+        out = self.keep(df)
+        self.timings[name] = self.timings.get(name, 0.0) + time.perf_counter() - t0
+        return out
+
+    def release(self, spark: SparkSession) -> int:
+        """Delete this batch's tables; call once its result is consumed."""
+        return release_tables(spark, self.tables)
 
 
 def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategies: DataFrame,
@@ -88,53 +115,93 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     prompts are in batch.frames (for callers that need only those).
     """
     b = batch or Batch()
+    began = time.perf_counter()
     resolved, rejects = resolve(experiments, file_types, strategies, corpus, b.run_id)
     # configuration-sized, read by every later step: materialise once
-    resolved = cut_lineage(resolved.filter(F.col("method") != chunking.OUTSIDE))
+    resolved = b.keep(resolved)
+    method = F.when(F.col("reranker_method") == "", LEXICAL_RERANKER).otherwise(F.col("reranker_method"))
+    resolved = resolved.withColumn("reranker_method", method)
+    outside = F.col("method") == chunking.OUTSIDE
+    reason = F.when(F.col("rerank") & ~F.col("reranker_method").isin(list(b.rerankers)), F.lit(REASON_UNKNOWN_RERANKER))
+    if b.prechunked is None:
+        reason = reason.when(outside, F.lit(REASON_NO_PRECHUNKED))
+    resolved = resolved.withColumn("reason", reason)
+    rejects = rejects.unionByName(resolved.filter(F.col("reason").isNotNull()).select(*rejects.columns))
+    resolved = b.keep(resolved.filter(F.col("reason").isNull()).drop("reason"))
     b.frames["rejects"] = rejects
 
-    # Every (file type, strategy) pair once
-    pairs = resolved.select("collection", "file_type", "chunking_strategy", "method", "chunk_size",
+    # Collections that the stored index holds are neither chunked nor embedded again
+    pairs = resolved.select("collection", "collection_id", "file_type", "chunking_strategy", "method", "chunk_size",
                             "chunk_overlap", "separators").distinct()
+    old = vector_index.stored(spark, b.index_path) if b.index_path else None
+    if old is not None:
+        old = old.withColumnRenamed("collection", "collection_id")
+        present = b.keep(old.select("collection_id").distinct())
+        pairs, skipped = pairs.join(present, "collection_id", "left_anti"), pairs.join(present, "collection_id", "left_semi")
+        b.frames["skipped"] = skipped
+    pairs = b.keep(pairs)
+
+    # Every other (file type, strategy) pair once
     docs = corpus.select("doc_id", "file_type", "text")
     strategy_rows = [r.asDict() for r in strategies.select("method", "separators").distinct().collect()]
-    chunks = chunking.chunk_pairs(docs.join(broadcast_if_small(pairs), "file_type"), strategy_rows)
-    chunks = chunks.select(
-        "collection", "file_type", "chunking_strategy", "doc_id", F.col("chunk_index").cast("long"), "chunk_text",
-        F.sha2(F.concat_ws("\u0001", "collection", F.col("doc_id").cast("string"),
-                           F.col("chunk_index").cast("string")), 256).alias("chunk_id"))
+    cols = ["collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "chunk_index", "chunk_text"]
+    chunks = (chunking.chunk_pairs(docs.join(pairs, "file_type"), strategy_rows)
+              .withColumn("chunk_index", F.col("chunk_index").cast("long")).select(*cols))
+    if b.prechunked is not None:
+        rows = b.prechunked.join(pairs.filter(outside).select("collection", "collection_id", "file_type", "chunking_strategy"),
+                                 ["file_type", "chunking_strategy"])
+        cut = prechunked.ingest(rows, "id", collection_col="collection_id").withColumnRenamed("collection", "collection_id")
+        cut = cut.join(pairs.select("collection", "collection_id", "file_type", "chunking_strategy"), "collection_id")
+        chunks = chunks.unionByName(cut.withColumn("doc_id", F.lit(None).cast("long")).select(*cols))
+    chunks = chunks.withColumn("chunk_id", chunk_id(F.col("collection_id"), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("chunk_index")))
     index = b.embedder(chunks, "chunk_text")
     if checkpoint_index:
-        t0 = time.perf_counter()
-        index = cut_lineage(index)          # written once, read by retrieval, hit text and metrics
         # C4: one pass chunks (and embeds) every strategy of the batch; its wall time is shared
-        b.timings["chunk_and_index_s"] = time.perf_counter() - t0
+        index = b.timed("chunk_and_index_s", index)      # written once, read by retrieval, hit text and metrics
+    dims = LEXICAL_DIMS if b.embedder is lexical_embedder else None
+    b.frames["unscorable"] = unscorable(index, dims=dims).select("collection", "chunk_id", "reason")
+    if b.index_path:
+        new = index.withColumn("version", F.lit(0)).drop("collection").withColumnRenamed("collection_id", "collection")
+        vector_index.upsert(spark, b.index_path, new)
+        names = resolved.select("collection", "collection_id", "file_type", "chunking_strategy").distinct()
+        index = (vector_index.stored(spark, b.index_path).withColumnRenamed("collection", "collection_id")
+                 .drop("file_type", "chunking_strategy", "version").join(names, "collection_id"))
     b.frames["index"] = index
 
     # T5 + J8: sampled questions of each file type, joined to that type's experiments
+    if "file_type" not in qa_pairs.columns:          # QA files are tied to a type by the stem of its document
+        stems = file_types.select(F.col("name").alias("file_type"), file_stem(F.col("path")).alias("stem"))
+        qa_pairs = qa_pairs.join(stems, "stem").drop("stem")
     sampled = qa_ops.sample(qa_pairs, b.qa_per_file, b.seed)
-    exp_cols = resolved.select("experiment_id", "file_type", "collection", "retrieval_n_results", "rerank",
-                               "reranker_top_n")
-    questions = cut_lineage(
-        sampled.join(broadcast_if_small(exp_cols), "file_type")
+    exp_cols = resolved.select("experiment_id", "file_type", "collection", "collection_id", "retrieval_n_results", "rerank",
+                               "reranker_method", "reranker_top_n")
+    questions = b.keep(
+        sampled.join(exp_cols, "file_type")
         .withColumn("query_id", F.concat_ws("|", "experiment_id", F.col("qa_id").cast("string")))
         .withColumn("std_text", joined_answers(F.col("answers"))))
-    qvec = b.embedder(questions.select("query_id", "collection", "retrieval_n_results", "question"), "question")
-    qvec = qvec.withColumnRenamed("embedding", "query_vector")
+    qvec = b.embedder(questions.select("query_id", "collection_id", "retrieval_n_results", "question"), "question")
+    qvec = b.keep(qvec.withColumnRenamed("embedding", "query_vector"))
+    max_k = resolved.agg(F.max("retrieval_n_results")).first()[0] or 0     # settings: one number
 
     # J2 + T1: top-k per question inside its collection
     # hits are bounded by questions x k: materialise them so the many readers below do not re-run the search
-    hit_keys = cut_lineage(knn(qvec, index, "retrieval_n_results", order_tiebreak="chunk_id",
-                               dims=LEXICAL_DIMS if b.embedder is lexical_embedder else None)
-                           .select("query_id", "collection", "chunk_id", "rank", "distance"))
-    hits = (index.select("collection", "chunk_id", "doc_id", "chunk_text")
-            .join(broadcast_if_small(hit_keys), ["collection", "chunk_id"]))
-    hits = cut_lineage(hits.join(broadcast_if_small(questions.select("query_id", "question", "rerank",
-                                                                     "reranker_top_n")), "query_id"))
+    search = knn(qvec, index, "retrieval_n_results", order_tiebreak="chunk_id", join_keys=("collection_id",), dims=dims, max_k=max_k)
+    b.frames["search"] = search
+    hit_keys = b.keep(search.select("query_id", "collection_id", "chunk_id", "rank", "distance"))
+    # only chunks that were hit are joined back to their texts
+    texts = (index.select("collection", "collection_id", "chunk_id", "doc_id", "chunk_text")
+             .join(hit_keys.select("collection_id", "chunk_id").distinct(), ["collection_id", "chunk_id"], "left_semi"))
+    hits = texts.join(hit_keys, ["collection_id", "chunk_id"])
+    hits = b.keep(hits.join(questions.select("query_id", "question", "rerank", "reranker_method", "reranker_top_n"), "query_id"))
     b.frames["hits"] = hits
 
     # T4: rerank where asked, keep everything otherwise
-    rr = rerank_ops.rerank(hits.filter(F.col("rerank")), "reranker_top_n")
+    asked = hits.filter(F.col("rerank"))
+    scores = None
+    for name, scorer in b.rerankers.items():
+        got = scorer(asked.filter(F.col("reranker_method") == name)).select("query_id", "rank", "score")
+        scores = got if scores is None else scores.unionByName(got)
+    rr = rerank_ops.rerank(asked, "reranker_top_n", scores=b.keep(scores))
     plain = hits.filter(~F.col("rerank")).withColumn("rerank_rank", F.col("rank")).withColumn(
         "score", F.lit(None).cast("double"))
     kept = rr.unionByName(plain)
@@ -151,18 +218,26 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     if stop_after == "retrieval":
         return None
     # answers are bounded by the questions and read by every metric below: materialise once
-    answers = cut_lineage(b.answerer(prompts))
+    answers = b.timed("answer_s", b.answerer(prompts))
     b.frames["answers"] = answers
 
     # A1 + X6/P11/P12
     cos = text_pair_cosine(answers.select("query_id", "std_text", "final_answer"), "query_id",
                            "std_text", "final_answer")
-    judged = b.judge(answers.select("query_id", "std_text", "final_answer")).select(
-        "query_id", judgement(F.col("reply")).alias("j"))
+    requests = render(answers.select("query_id", "question", "context", "std_text", "final_answer"), templates_table(spark), "JudgeAs",
+                      {"question": ("question", False), "document": ("context", True), "std": ("std_text", False),
+                       "judge": ("final_answer", False)})
+    b.frames["judge_requests"] = requests
+    t0 = time.perf_counter()
+    judged = b.keep(judge_ops.run_rounds(
+        b.keep(requests), lambda todo, attempt: b.judge(todo).select("query_id", F.lit(attempt).cast("long").alias("attempt"), "reply"),
+        "query_id", b.judge_rounds, b.tables))
+    b.timings["evaluate_s"] = time.perf_counter() - t0
+    b.frames["judged"] = judged
     covered = token_overlap(F.col("std_text"), F.array_join("context", "\n"))["recall"] >= RECALL_THRESHOLD
     metrics = (answers.select("query_id", "experiment_id", "qa_id", covered.alias("covered"),
                               F.length("prompt").alias("prompt_chars"))
-               .join(cos, "query_id").join(judged.select("query_id", F.col("j.score").cast("double").alias("llm_score")),
+               .join(cos, "query_id").join(judged.select("query_id", F.col("score").cast("double").alias("llm_score")),
                                            "query_id"))
     b.frames["metrics"] = metrics
 
@@ -182,12 +257,17 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
         per = (m.join(answers.select("query_id", "experiment_id"), "query_id")
                .groupBy("experiment_id").agg(F.avg(col).alias(col)))
         extra = extra.join(per, "experiment_id", "left")
-    n_chunks = index.groupBy("collection").agg(F.count("*").cast("long").alias("n_chunks"))
+    n_chunks = index.groupBy("collection_id").agg(F.count("*").cast("long").alias("n_chunks"))
     out = summary.assemble(resolved, rolled)
     out = (out.join(extra, "experiment_id", "left").join(topk, "experiment_id", "left")
-              .join(resolved.select("experiment_id", "collection"), "experiment_id")
-              .join(n_chunks, "collection", "left").drop("collection")
+              .join(resolved.select("experiment_id", "collection_id"), "experiment_id")
+              .join(n_chunks, "collection_id", "left").drop("collection_id")
               .withColumn("embedder", F.lit(b.embedder_name)))
     if "chunk_and_index_s" in b.timings:
-        out = out.withColumn("chunk_times_s", F.lit(round(b.timings["chunk_and_index_s"], 3)))
+        # chunks cut elsewhere report no time
+        shared = F.lit(round(b.timings["chunk_and_index_s"], 3))
+        out = out.withColumn("chunk_times_s", F.when(F.col("chunking_method") == chunking.OUTSIDE, F.lit(0.0)).otherwise(shared))
+    b.timings["total_s"] = time.perf_counter() - began      # A15: until the summary is defined; its own action comes after
+    out = (out.withColumn("evaluation_times_s", F.lit(round(b.timings["evaluate_s"], 3)))
+              .withColumn("total_times_s", F.lit(round(b.timings["total_s"], 3))))
     return summary.order_columns(out)        # A9: configured columns first, extras after

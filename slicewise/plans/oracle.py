@@ -207,7 +207,8 @@ exps AS (
          CASE WHEN e.file_type NOT IN (SELECT DISTINCT source FROM documents) THEN
                    CASE WHEN e.file_type IN (SELECT file_type FROM ft) THEN 'no text for file type' ELSE 'unknown file type' END
               WHEN st.name IS NULL THEN 'unknown strategy' END AS reason,
-         {collection_sql('e.file_type', 'e.chunking_strategy')} AS collection
+         {collection_sql('e.file_type', 'e.chunking_strategy')} AS collection,
+         sha256(concat_ws(chr(1), e.file_type, e.chunking_strategy, 'run0')) AS collection_id
   FROM exps0 e LEFT JOIN st ON st.name = e.chunking_strategy)"""
 
 
@@ -240,10 +241,10 @@ def all_chunks_sql() -> str:
     union = "\nUNION ALL\n".join(parts)
     return f"""(
 WITH {experiments_ctes()},
-pairs AS (SELECT DISTINCT file_type, chunking_strategy, collection FROM exps
+pairs AS (SELECT DISTINCT file_type, chunking_strategy, collection, collection_id FROM exps
           WHERE reason IS NULL AND method <> 'outside'),
 chunks AS ({union})
-SELECT p.collection, p.file_type, p.chunking_strategy, d.doc_id, d.n_chars AS original_text_length,
+SELECT p.collection, p.collection_id, p.file_type, p.chunking_strategy, d.doc_id, d.n_chars AS original_text_length,
        c.chunk_index, c.chunk_text
 FROM chunks c JOIN documents d ON d.doc_id = c.doc_id
 JOIN pairs p ON p.file_type = d.source AND p.chunking_strategy = c.chunking_strategy)"""
@@ -260,7 +261,7 @@ FROM {all_chunks_sql()} a GROUP BY file_type, chunking_strategy"""
 
 def chunk_ids_sql() -> str:
     return f"""
-SELECT collection, sha256(concat_ws(chr(1), collection, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR))) AS chunk_id,
+SELECT collection, sha256(concat_ws(chr(1), collection_id, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR))) AS chunk_id,
        file_type AS source_file_type, chunking_strategy, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index,
        CAST(original_text_length AS BIGINT) AS original_text_length
 FROM {all_chunks_sql()} a"""

@@ -64,7 +64,7 @@ def retrieval_ctes() -> str:
     return f"""
 {experiments_ctes()},
 ch AS {all_chunks_sql()},
-ch2 AS (SELECT *, sha256(concat_ws(chr(1), collection, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR)))
+ch2 AS (SELECT *, sha256(concat_ws(chr(1), collection_id, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR)))
                AS chunk_id FROM ch),
 {lexvec_ctes('c', 'ch2', 'chunk_id', 'chunk_text')},
 {qa_sample_ctes()},

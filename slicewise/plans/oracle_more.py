@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from slicewise.plans.oracle import all_chunks_sql
 from slicewise.plans.oracle_flagship import cosine_ctes
-from slicewise.plans.oracle_metrics import ANSWER_PAIRS
+from slicewise.plans.oracle_metrics import ANSWER_PAIRS, ORACLE_METRICS
 from slicewise.plans.oracle_replies import judge_ctes, qa_replies_ctes
 from slicewise.plans.oracle_sources import QA_POOL_SQL
 
@@ -39,7 +39,7 @@ def _policy_sql(policy: str) -> str:
 WITH {qa_replies_ctes()},
 ex AS (SELECT conv_id, unnest(xs) AS item, generate_subscripts(xs, 1) - 1 AS qi FROM items),
 new_t AS (SELECT 'src' || CAST(conv_id % 20 AS VARCHAR) AS file_type, json_extract_string(item, '$.question') AS question,
-                 json_extract_string(item, '$.answers[*]') AS answers, 0 AS src, conv_id * 1000 + qi AS pos FROM ex),
+                 json_extract_string(item, '$.answers[*]') AS answers, 0 AS src, conv_id * 4294967296 + qi AS pos FROM ex),
 old_t AS (SELECT file_type, question, answers, 1 AS src, qa_id AS pos FROM qa),
 both_t AS ({both})
 SELECT file_type, CAST(row_number() OVER (PARTITION BY file_type ORDER BY src, pos) - 1 AS BIGINT) AS qa_order,
@@ -62,7 +62,38 @@ SELECT file_type, CAST(count(*) AS BIGINT) AS n_questions,
        round(sum(llm_score) / (2 * count(llm_score)), 6) AS llm_score_ratio
 FROM m GROUP BY file_type"""
 
+TEXT_FILES_SQL = """
+SELECT source AS file_type, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, NULL::VARCHAR AS reason FROM documents GROUP BY source
+UNION ALL SELECT 'rules_complex', NULL, 'text file not found'"""
+
+FILE_STEMS_SQL = r"""
+WITH p AS (SELECT DISTINCT url AS path FROM pages UNION SELECT 'data/' || source || '.txt' FROM documents UNION SELECT 'data/rules_complex.txt'),
+b AS (SELECT path, CASE WHEN contains(path, '/') THEN list_extract(string_split(path, '/'), -1) ELSE path END AS base FROM p)
+SELECT path, CASE WHEN base NOT LIKE '_%.%' THEN base
+                  ELSE array_to_string(list_slice(string_split(base, '.'), 1, len(string_split(base, '.')) - 1), '.') END AS stem FROM b"""
+
+QA_BY_STEM_SQL = f"""
+WITH qa AS ({QA_POOL_SQL})
+SELECT file_type, CAST(count(*) AS BIGINT) AS n_pairs, min(qa_id) AS first_qa FROM qa
+WHERE file_type IN (SELECT source FROM documents) GROUP BY file_type"""
+
+LONG_NAMES_SQL = f"""
+WITH c AS (SELECT repeat('x', 60) AS collection, sha256(concat_ws(chr(1), repeat('x', 60) || file_type, chunking_strategy, 'run0')) AS collection_id,
+                  doc_id, chunk_index FROM {all_chunks_sql()} a)
+SELECT collection, collection_id, CAST(count(*) AS BIGINT) AS n_chunks,
+       min(sha256(concat_ws(chr(1), collection_id, CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR)))) AS first_id
+FROM c GROUP BY ALL"""
+
+UNION_SQL = f"""
+SELECT qa_id, cosine_similarity, NULL::DOUBLE AS f1, 'cosine' AS kind FROM ({ORACLE_METRICS['answer_cosine']})
+UNION ALL SELECT qa_id, NULL, f1, 'overlap' FROM ({ORACLE_METRICS['token_overlap']})"""
+
 ORACLE_MORE = {
+    "text_files_load": TEXT_FILES_SQL,
+    "file_stems": FILE_STEMS_SQL,
+    "qa_by_stem": QA_BY_STEM_SQL,
+    "long_type_names": LONG_NAMES_SQL,
+    "union_results": UNION_SQL,
     "index_upsert": INDEX_UPSERT_SQL,
     "index_skip_existing": INDEX_SKIP_SQL,
     "qa_skip": QA_SKIP_SQL,

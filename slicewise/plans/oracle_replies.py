@@ -27,14 +27,14 @@ def is_qa(x: str) -> str:
 
 CHAT_SQL = r"""
 WITH src AS (
-  SELECT conv_id * 1000 + turn AS request_id,
+  SELECT conv_id * 4294967296 + turn AS request_id,
          CASE WHEN role = 'system' THEN text
               WHEN role = 'user' THEN '{"model": "chat-m", "usage": {"total_tokens": ' || CAST(length(text) AS VARCHAR) || '}, "choices": []}'
               WHEN turn % 4 = 1 THEN '{"model": "chat-m", "usage": {"total_tokens": ' || CAST(length(text) AS VARCHAR) || '}, '
                    || '"choices": [{"message": {"content": "' || replace(text, chr(10), '\n') || '"}}]}'
               ELSE '{"model": "chat-m", "usage": {"total_tokens": ' || CAST(length(text) AS VARCHAR) || '}, '
                    || '"choices": [{"message": {"content": "' || replace(text, chr(10), '\n') || '"'
-                   || ', "reasoning_content": "' || replace(substring(text, 1, 20), chr(10), '\n') || '"}}]}'
+                   || ', "reasoning_content": "' || replace(text, chr(10), '\n') || '"}}]}'
          END AS body
   FROM conversations),
 v AS (SELECT request_id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body END AS j FROM src)
@@ -65,18 +65,18 @@ FROM e"""
 def qa_replies_ctes() -> str:
     return f"""
 qa AS ({QA_POOL_SQL}),
-objs AS (SELECT CAST(floor(qa_id / 1000) AS BIGINT) AS conv_id, qa_id,
-                '{{"question": "' || question || '", "answers": [' || '"' || array_to_string(answers, '", "') || '"' || ']}}' AS o
+objs AS (SELECT qa_id // 4294967296 AS conv_id, qa_id,
+                '{{"question": "' || question || '", "answers": [' || '"' || array_to_string(answers, '", "') || '"' || ']}}' AS o, question
          FROM qa),
-per AS (SELECT conv_id, list(o ORDER BY qa_id) AS os FROM objs GROUP BY conv_id),
+per AS (SELECT conv_id, list(o ORDER BY qa_id) AS os, list(question ORDER BY qa_id) AS qs FROM objs GROUP BY conv_id),
 replies AS (
   SELECT conv_id,
          CASE conv_id % 5
            WHEN 0 THEN '```json' || chr(10) || '[' || array_to_string(os, ',' || chr(10)) || ', {{"question": "incomplete"}}]' || chr(10) || '```'
-           WHEN 1 THEN 'Here you go: ' || os[1]
+           WHEN 1 THEN 'Here you go: ' || array_to_string(os, ' and ')
            WHEN 2 THEN '[' || array_to_string(list_transform(os, lambda o: replace(o, '"', '\\"')), ', ') || ']'
            WHEN 3 THEN array_to_string(os, ' ')
-           ELSE 'No questions could be generated.' END AS reply
+           ELSE 'No pairs here: ' || array_to_string(qs, ', ') END AS reply
   FROM per),
 spans AS (
   SELECT conv_id, reply,
@@ -120,12 +120,12 @@ tries AS (SELECT qa_id, question, unnest(range(0, 3)) AS attempt FROM qa),
 src AS (
   SELECT qa_id, CAST(attempt AS BIGINT) AS attempt,
          CASE (qa_id + attempt) % 6
-           WHEN 0 THEN '{{"score": ' || CAST(length(question) % 3 AS VARCHAR) || ', "justification": "' || substring(question, 1, 30) || ' it\\''s fine"}}'
-           WHEN 1 THEN '{{"score": ' || CAST(length(question) % 3 AS VARCHAR) || '.0, "justification": "' || substring(question, 1, 30) || '"}}'
-           WHEN 2 THEN 'Verdict: {{"score": ' || CAST(length(question) % 3 AS VARCHAR) || '.0, "justification": "' || substring(question, 1, 30) || '" and more'
-           WHEN 3 THEN '{{"score": "' || CAST(length(question) % 3 AS VARCHAR) || '", "justification": "' || substring(question, 1, 30) || '"}}'
-           WHEN 4 THEN '{{"score": true, "justification": "' || substring(question, 1, 30) || '"}}'
-           ELSE '{{"score": ' || CAST(length(question) % 3 + 3 AS VARCHAR) || ', "justification": "' || substring(question, 1, 30) || '"}}'
+           WHEN 0 THEN '{{"score": ' || CAST(length(question) % 3 AS VARCHAR) || ', "justification": "' || question || ' it\\''s fine"}}'
+           WHEN 1 THEN '{{"score": ' || CAST(length(question) % 3 AS VARCHAR) || '.0, "justification": "' || question || '"}}'
+           WHEN 2 THEN 'Verdict: {{"score": ' || CAST(length(question) % 3 AS VARCHAR) || '.0, "justification": "' || question || '" and more'
+           WHEN 3 THEN '{{"score": "' || CAST(length(question) % 3 AS VARCHAR) || '", "justification": "' || question || '"}}'
+           WHEN 4 THEN '{{"score": true, "justification": "' || question || '"}}'
+           ELSE '{{"score": ' || CAST(length(question) % 3 + 3 AS VARCHAR) || ', "justification": "' || question || '"}}'
          END AS reply
   FROM tries),
 sp AS (
@@ -178,7 +178,17 @@ SELECT qa_id, CAST(count(*) AS BIGINT) AS attempts_seen,
 FROM judged WHERE attempt < 3 GROUP BY qa_id"""
 
 
+def judge_rounds_sql() -> str:
+    """As score_retry_sql, but a request is asked no more once a reply was valid."""
+    return f"""WITH {judge_ctes()},
+first AS (SELECT qa_id, min(attempt) FILTER (WHERE valid) AS a FROM judged WHERE attempt < 3 GROUP BY qa_id)
+SELECT f.qa_id, CAST(coalesce(f.a + 1, 3) AS BIGINT) AS attempts_seen, CAST(f.a AS BIGINT) AS accepted_attempt,
+       j.score, f.a IS NOT NULL AS resolved
+FROM first f LEFT JOIN judged j ON j.qa_id = f.qa_id AND j.attempt = f.a"""
+
+
 ORACLE_REPLIES = {
+    "judge_rounds": judge_rounds_sql(),
     "chat_envelope": CHAT_SQL,
     "embedding_envelope": EMBEDDING_SQL,
     "qa_extract": qa_extract_sql(),

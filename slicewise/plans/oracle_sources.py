@@ -5,7 +5,7 @@ from __future__ import annotations
 from slicewise.plans.oracle import strip
 
 PRECHUNKED_SQL = """
-WITH v AS (SELECT 'conversations' AS collection, conv_id AS id, text AS pageContent, conv_id * 1000 + turn AS ord
+WITH v AS (SELECT 'conversations' AS collection, conv_id AS id, text AS pageContent, conv_id * 4294967296 + turn AS ord
            FROM conversations),
 g AS (SELECT collection, id, arg_max(pageContent, ord) AS chunk_text, min(ord) AS first_ord FROM v GROUP BY collection, id)
 SELECT collection, id AS chunk_id, CAST(row_number() OVER (PARTITION BY collection ORDER BY first_ord) - 1 AS BIGINT)
@@ -59,7 +59,7 @@ FROM parsed"""
 
 
 QA_POOL_SQL = """
-SELECT q.conv_id * 1000 + q.turn AS qa_id, 'src' || CAST(q.conv_id % 20 AS VARCHAR) AS file_type,
+SELECT q.conv_id * 4294967296 + q.turn AS qa_id, 'src' || CAST(q.conv_id % 20 AS VARCHAR) AS file_type,
        q.text AS question, string_split(a.text, chr(10)) AS answers
 FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
 WHERE q.role = 'user' AND a.role = 'assistant'"""

@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # texts are long: batches by rows alone would take much memory in the Python workers
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
     # JSON replies from models may repeat a key; the last one wins (as in Python's json).
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -40,12 +42,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply engine defaults that are safe to set on an existing session."""
+    """Fill in engine defaults that the session leaves unset."""
+    given = spark.conf.getAll
     for key, value in _DEFAULTS.items():
-        try:
+        if key not in given and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
-        except Exception:  # static or locked settings on managed clusters
-            pass
     # Python workers look for this package where the driver found it (on a cluster: also ship it with --py-files)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -73,30 +74,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+_MATERIALISED: list[str] = []
+
+
+def cut_lineage(df: DataFrame, eager: bool = True, owner: list[str] | None = None) -> DataFrame:
     """Materialise `df` as a Parquet table in the shared checkpoint folder and read it back.
 
     One computation (RDD checkpointing without persist computes the plan twice),
     columnar and compressed, and on shared storage, so it survives the loss of
-    any executor. Never a local checkpoint.
+    any executor. Never a local checkpoint. owner: the list that the table's path is
+    noted in (by default the process's), for `release_tables`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _MATERIALISED.append(path)
+    (_MATERIALISED if owner is None else owner).append(path)
     return spark.read.parquet(path)
 
 
-_MATERIALISED: list[str] = []
-
-
-def release_tables(spark: SparkSession) -> int:
-    """Delete the tables this process materialised; call once their results are consumed."""
+def release_tables(spark: SparkSession, owner: list[str] | None = None) -> int:
+    """Delete the tables noted in `owner` (by default those noted for the process); call once their results are consumed."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _MATERIALISED:
-        p = jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
+    paths, n = _MATERIALISED if owner is None else owner, 0
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             fs.delete(p, True)

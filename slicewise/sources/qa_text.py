@@ -25,7 +25,7 @@ def parse(files: DataFrame, path_col: str = "path", value_col: str = "value") ->
     pairs = F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("_qa") - 1, F.lit(1))),
                     lambda i: F.struct(F.try_element_at("_qa", i).alias("q"), F.try_element_at("_qa", i + 1).alias("a"))),
-        lambda p: p["q"].startswith("Q:") & p["a"].startswith("A:"))
+        lambda p: p["q"].startswith("Q:") & p["a"].startswith("A:") & (F.length(py_strip(F.substring(p["q"], 4, 1 << 30))) > 0))
     exploded = staged.select("path", F.posexplode(pairs).alias("qa_index", "p"))
     answer = py_strip(F.expr("substring(p.a, 4)"))
     listed = (answer.startswith("[") & answer.endswith("]"))

@@ -32,10 +32,19 @@ SETTINGS = [
     (4, "simple_chunk_100_overlap_0", False, None, None, 8),   # unknown strategy -> reject
 ]
 MISSING_FILE_TYPE = "rules_complex"   # declared, no text -> reject
+VECTOR_DIMS = 64                       # length of the driver's embeddings
 N_FILE_TYPES = 20                      # distinct `source` values in the driver corpus
 # ---------------------------------------------------------------------------
 
 
+#: One id per (conversation, turn): turns stay below this step.
+TURN_KEY_STEP = 1 << 32
+
+
+def turn_key(conv_id, turn):
+    return conv_id * F.lit(TURN_KEY_STEP) + turn
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("file_type"), "text", "n_chars", "lang")
@@ -75,7 +84,7 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer_text"))
     return (q.join(a, ["conv_id", "turn"])
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("qa_id"),
+            .select(turn_key(F.col("conv_id"), F.col("turn")).alias("qa_id"),
                     F.concat(F.lit("src"), (F.col("conv_id") % N_FILE_TYPES).cast("string")).alias("file_type"),
                     "question",
                     F.split(F.col("answer_text"), "\n", -1).alias("answers")))

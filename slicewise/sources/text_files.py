@@ -7,7 +7,7 @@ is missing or unreadable becomes a reject row instead of failing the batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicewise.functions.text import file_stem
@@ -23,37 +23,48 @@ def load_documents(spark: SparkSession, file_types: DataFrame, base_dir: str = "
     the driver, while the texts are read by the executors.
     """
     prefix = base_dir.rstrip("/") + "/" if base_dir else ""
-    types = file_types.select(F.col("name").alias("file_type"),
-                              F.concat(F.lit(prefix), F.col("path")).alias("path"))
-    paths = [r.path for r in types.select("path").distinct().collect()]
-    existing = []
-    jvm = spark.sparkContext._jvm
+    named = file_types if "position" in file_types.columns else file_types.withColumn("position", F.monotonically_increasing_id())
+    types = (named.groupBy(F.col("name").alias("file_type")).agg(F.min_by("path", "position").alias("path"))   # first definition wins
+             .withColumn("path", F.concat(F.lit(prefix), F.col("path"))))
+    found = _matches(spark, [r.path for r in types.select("path").distinct().collect()])
+    files = spark.createDataFrame(found, "path string, full_path string")
+    docs = spark.createDataFrame([], "full_path string, text string")
+    if found:
+        docs = spark.read.text(sorted({f for _, f in found}), wholetext=True).select(
+            _plain_path(_decoded(F.col("_metadata.file_path"))).alias("full_path"), F.col("value").alias("text"))
+    docs = (types.join(files, "path").withColumn("full_path", _plain_path(F.col("full_path"))).join(docs, "full_path")
+            .select(F.xxhash64("file_type", "full_path").alias("doc_id"), "file_type", "text",
+                    F.length("text").cast("long").alias("n_chars"), "path"))
+    rejects = types.join(files.select("path").distinct(), "path", "left_anti").select(
+        "file_type", F.lit(REASON_MISSING_FILE).alias("reason"))
+    return docs, rejects
+
+
+def _matches(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(configured path or glob, qualified path of a file it names); one listing per configured path."""
+    jvm, out = spark.sparkContext._jvm, []
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            existing.append(p)
-    if existing:
-        texts = spark.read.text(existing, wholetext=True).select(
-            F.col("_metadata.file_path").alias("full_path"), F.col("value").alias("text"))
-    else:
-        texts = spark.createDataFrame([], "full_path string, text string")
-    # Spark reports absolute URIs; match them to configured paths by suffix-free normalisation
-    norm = F.regexp_replace(F.col("full_path"), r"^file:(//)?", "")
-    texts = texts.withColumn("path_key", norm)
-    types = types.withColumn("path_key", F.regexp_replace(F.col("path"), r"^file:(//)?", ""))
-    docs = types.join(texts, "path_key").select(
-        F.xxhash64("file_type", "path").alias("doc_id"), "file_type", "text",
-        F.length("text").cast("long").alias("n_chars"), "path")
-    rejects = types.join(texts.select("path_key"), "path_key", "left_anti").select(
-        "file_type", F.lit(REASON_MISSING_FILE).alias("reason"))
-    return docs, rejects
+        fs = hp.getFileSystem(conf)
+        out += [(p, s.getPath().toString()) for s in (fs.globStatus(fs.makeQualified(hp)) or []) if s.isFile()]
+    return out
+
+
+def _decoded(uri: Column) -> Column:
+    """Spark's metadata gives URL-encoded paths; listings don't."""
+    return F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri)
+
+
+def _plain_path(path: Column) -> Column:
+    """`file:///a` and `file:/a` are one file."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def qa_jobs(spark: SparkSession, input_glob: str, output_dir: str) -> DataFrame:
     """One QA-generation job per regular file: (path, stem, text, output_path `{stem}_qa_pairs.txt`)."""
     files = spark.read.text(input_glob, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        _decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     stem = file_stem(F.col("path"))
     return files.select("path", stem.alias("stem"), "text",
                         F.concat(F.lit(output_dir.rstrip("/") + "/"), stem, F.lit("_qa_pairs.txt")).alias("output_path"))

@@ -21,10 +21,10 @@ def upsert_frames(existing: DataFrame, new: DataFrame, key=("collection", "chunk
     rejected = new.filter(F.col("embedding").isNull())
     good = new.filter(F.col("embedding").isNotNull())
     both = existing.unionByName(good, allowMissingColumns=True)
-    others = [c for c in both.columns if c not in key and c != "version"]
-    merged = both.groupBy(*key).agg(
-        *[F.max_by(F.col(c), F.col("version")).alias(c) for c in others], F.max("version").alias("version"))
-    return merged, rejected
+    others = [c for c in both.columns if c not in key]
+    # one struct per row, so rows of one version never mix their columns
+    merged = both.groupBy(*key).agg(F.max_by(F.struct(*others), F.col("version")).alias("_row"))
+    return merged.select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]), rejected
 
 
 def collection_counts(index: DataFrame) -> DataFrame:
@@ -40,9 +40,18 @@ def to_index(resolved_collections: DataFrame, index: DataFrame) -> DataFrame:
 
 def write(index_rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S8/S9 on disk: rewrite only the partitions (collections) present in `index_rows`."""
-    spark = index_rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    index_rows.write.mode(mode).partitionBy("collection").parquet(path)
+    index_rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored index, or None if nothing was ever written there. Unreadable files raise."""
+    fs, hpath = _file_system(spark, path)
+    return spark.read.parquet(path) if fs.exists(hpath) and len(fs.listStatus(hpath)) else None
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
@@ -55,25 +64,22 @@ def upsert(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     # the new rows are computed once (chunking, embedding) and read twice below
     new = cut_lineage(new)
     touched = new.select("collection").distinct()
-    try:
-        stored = spark.read.parquet(path).join(touched, "collection", "left_semi")
-    except Exception:  # first write: nothing stored yet
-        stored = spark.createDataFrame([], new.select(*[c for c in INDEX_COLUMNS if c in new.columns]).schema)
-    merged, rejected = upsert_frames(stored, new)
+    old = stored(spark, path)
+    old = (spark.createDataFrame([], new.select(*[c for c in INDEX_COLUMNS if c in new.columns]).schema) if old is None
+           else old.join(touched, "collection", "left_semi"))
+    merged, rejected = upsert_frames(old, new)
     write(cut_lineage(merged), path)
     return rejected
 
 
 def clear(spark: SparkSession, path: str, collection: str) -> None:
     """Drop a collection and leave it empty (its partition is removed)."""
-    target = f"{path.rstrip('/')}/collection={collection}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(target)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _file_system(spark, f"{path.rstrip('/')}/collection={collection}")
     if fs.exists(hpath):
         fs.delete(hpath, True)
 
 
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunk text per experiment collection, for inspection."""
     write(chunks.select("collection", "doc_id", "chunk_index", "chunk_text"), path)

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slicewise.functions.sizing import broadcast_if_small
 from slicewise.operators import chunking
 from slicewise.operators.retrieval import with_lexical_embedding
 from slicewise.session import checkpoint_dir
@@ -30,13 +29,10 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 def index_batch(spark: SparkSession, docs: DataFrame, pairs: DataFrame, strategy_rows: list, index_path: str,
                 version: int) -> None:
     """Chunk, embed and upsert one batch of documents; documents already in a collection are skipped."""
-    joined = docs.select("doc_id", F.col("source").alias("file_type"), "text").join(broadcast_if_small(pairs),
-                                                                                     "file_type")
-    try:
-        present = spark.read.parquet(index_path).select("collection", "doc_id").distinct()
-        joined = joined.join(present, ["collection", "doc_id"], "left_anti")
-    except Exception:  # empty index
-        pass
+    joined = docs.select("doc_id", F.col("source").alias("file_type"), "text").join(pairs, "file_type")
+    old = vector_index.stored(spark, index_path)
+    if old is not None:
+        joined = joined.join(old.select("collection", "doc_id").distinct(), ["collection", "doc_id"], "left_anti")
     chunks = chunking.chunk_pairs(joined, strategy_rows).select(
         "collection", "doc_id", F.col("chunk_index").cast("long"), "chunk_text",
         F.sha2(F.concat_ws("\u0001", "collection", F.col("doc_id").cast("string"),

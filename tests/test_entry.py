@@ -1,5 +1,7 @@
 """Driver contract: entry() runs on sf0.001; a sample of registered queries agrees with DuckDB."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -18,7 +20,8 @@ def test_entry_runs(spark):
 def test_registry_complete():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"knn_lsh"}      # rows-only by design (approximate search)
+    # the optional training-data queries hold those without SQL against plain Python in their own tests
+    assert not [name for name in set(q) - set(o) if name != "pipeline" and not re.match(r"op\d+_", name)]
 
 
 @pytest.mark.parametrize("name", ["chunk_lines_100_10", "chunk_recursive_150_15", "qa_file_parse", "knn_exact_k8",

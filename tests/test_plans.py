@@ -34,9 +34,12 @@ def test_knn_top_k_is_limited_before_the_shuffle(static):
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_chunk_document_cosine_shuffles_chunk_tokens_once(static):
+def test_chunk_document_cosine_shuffles_no_tokens(static):
     plan = _plan(catalog.QUERIES["chunk_vs_original_cosine"](static, SMALL))
-    assert plan.count("REPARTITION_BY_COL") == 1
+    exchanges = [ln for ln in plan.split("\n") if "Exchange hash" in ln]
+    # one exchange of per-collection sums; the other may deal a small corpus to all cores
+    assert len([ln for ln in exchanges if "hashpartitioning(collection" in ln]) == 1
+    assert all("hashpartitioning(collection" in ln or "REPARTITION_BY_NUM" in ln for ln in exchanges)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
@@ -48,9 +51,27 @@ def test_release_materialised_tables(spark):
     assert release_tables(spark) >= 1
 
 
-def test_spread_only_when_too_few_splits(spark):
+def test_batch_search_is_limited_before_the_shuffle(static):
+    """k is a column of the batch's settings; its largest value limits the candidates of every task."""
+    from slicewise.plans import experiment_batch
+    from slicewise.sources import testdata
+    from slicewise.sources.tables import strategies_table
+    b = experiment_batch.Batch()
+    experiment_batch.run(static, testdata.corpus(static, SMALL), testdata.file_types(static, SMALL), strategies_table(static),
+                         testdata.experiments(static, SMALL), testdata.qa_pairs(static, SMALL), b, stop_after="retrieval")
+    lines = _plan(b.frames["search"]).split("\n")
+    limits = [i for i, ln in enumerate(lines) if "WindowGroupLimit" in ln]
+    ex = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(query_id" in ln]
+    assert len(limits) == 2 and len(ex) == 1 and limits[0] < ex[0] < limits[1]
+    assert b.release(static) > 5 and not b.tables
+
+
+def test_spread_only_when_too_few_splits(spark, monkeypatch):
+    from slicewise.functions import sizing
     from slicewise.functions.sizing import spread
     few = spark.range(100).coalesce(1)
     assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
     assert spread(many, "id") is many
+    monkeypatch.setattr(sizing, "SPREAD_BYTES", 100)          # a large table keeps its splits, however few
+    assert spread(few, "id") is few

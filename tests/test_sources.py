@@ -1,10 +1,12 @@
 """S1, S4/S5, S6, S7, S8/S9, U1, X4 on small hand-made files and frames."""
 
 import csv
+import datetime
 import glob
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 import rules
@@ -42,6 +44,48 @@ def test_load_documents_and_rejects(spark):
     assert flat == rules.line_merge(FLAT, 100, 10) == [FLAT]       # no newline -> one chunk
 
 
+def test_load_documents_paths(spark):
+    """Relative folders, names with blanks, globs, and a type that is defined twice."""
+    tmp = tempfile.mkdtemp(prefix="slicewise-files-")
+    os.makedirs(f"{tmp}/my data")
+    _files(f"{tmp}/my data")
+    os.rename(f"{tmp}/my data/plain_short.txt", f"{tmp}/my data/plain + short.txt")
+    relative = os.path.relpath(f"{tmp}/my data", spark.sparkContext._jvm.System.getProperty("user.dir"))
+    ft = spark.createDataFrame([("short", "plain + short.txt", 0), ("short", "santi_1.txt", 1), ("both", "[cr]*.txt", 2), ("none", "x*.txt", 3)],
+                               "name string, path string, position int")
+    for base in (relative, f"{tmp}/my data", f"file://{tmp}/my data"):
+        docs, rejects = text_files.load_documents(spark, ft, base)
+        assert sorted((r.file_type, r.text) for r in docs.collect()) == sorted([("short", SHORT), ("both", CHAPTER), ("both", RULES)])
+        assert [r.file_type for r in rejects.collect()] == ["none"]
+
+
+def test_unreadable_index_keeps_its_rows(spark):
+    path = tempfile.mkdtemp(prefix="slicewise-index-") + "/index"
+    schema = "collection string, chunk_id string, doc_id long, chunk_index int, chunk_text string, embedding array<double>, version int"
+    vector_index.upsert(spark, path, spark.createDataFrame([("c", "a", 1, 0, "t", [1.0], 0)], schema))
+    part = glob.glob(path + "/collection=c/*.parquet")[0]
+    with open(part, "rb") as f:
+        good = f.read()
+    with open(part, "wb") as f:
+        f.write(b"not parquet")
+    crc = part.replace("part-", ".part-") + ".crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    with pytest.raises(Exception):
+        vector_index.upsert(spark, path, spark.createDataFrame([("c", "b", 1, 1, "u", [2.0], 1)], schema))
+    assert glob.glob(path + "/collection=c/*.parquet") == [part]
+    with open(part, "wb") as f:
+        f.write(good)
+    assert [r.chunk_id for r in spark.read.parquet(path).collect()] == ["a"]
+
+
+def test_rows_of_one_version_never_mix(spark):
+    new = spark.createDataFrame([("c", "a", None, [1.0], 1), ("c", "a", "t", [2.0], 1)],
+                                "collection string, chunk_id string, chunk_text string, embedding array<double>, version int")
+    merged, _ = vector_index.upsert_frames(new.limit(0), new)
+    assert [(r.chunk_text, r.embedding) for r in merged.collect()] in ([(None, [1.0])], [("t", [2.0])])
+
+
 def test_qa_jobs_stems(spark):
     tmp = tempfile.mkdtemp(prefix="slicewise-files-")
     _files(tmp)
@@ -58,7 +102,7 @@ def test_qa_text_roundtrip_and_legacy_cases(spark):
     legacy = "A: orphan\nQ: first\nQ: second\nnoise\nA: plain answer\nA: ignored\nQ:x\nA: ['it''s', 'b']\n"
     files = spark.createDataFrame([("g", legacy)], "path string, value string")
     got = [(r.question, list(r.answers)) for r in qa_text.parse(files).orderBy("qa_index").collect()]
-    assert got == [("second", ["plain answer"]), ("", ["it", "s", "b"])]
+    assert got == [("second", ["plain answer"])]            # a question without text takes no answer
 
 
 def test_summary_csv(spark):
@@ -66,9 +110,12 @@ def test_summary_csv(spark):
                                "file_type_name string, chunking_strategy_name string, cosine_similaritys array<double>, "
                                "llm_score_ratio double")
     out = tempfile.mkdtemp(prefix="slicewise-csv-") + "/summary"
-    write_csv(df, out)
-    with open(glob.glob(out + "/*.csv")[0], encoding="utf-8") as f:
-        rows = list(csv.DictReader(f))
+    target = write_csv(df, out, datetime.datetime(2024, 5, 6, 7, 8, 9, 10))
+    assert target == out + "/experiment_results_20240506_070809_000010"
+    with open(glob.glob(target + "/*.csv")[0], "rb") as f:
+        raw = f.read()
+    assert raw.startswith(b"\xef\xbb\xbffile_type_name,")       # byte-order mark, then the header
+    rows = list(csv.DictReader(raw.decode("utf-8-sig").splitlines()))
     assert rows[0]["cosine_similaritys"] == "[0.5,0.25]" and rows[0]["llm_score_ratio"] == "0.75"
 
 
