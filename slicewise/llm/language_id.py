@@ -43,6 +43,7 @@ MAX_ORDER = 4
 SAMPLE_DOCS = 250
 CACHE_WORDS = 400_000
 MAX_MODEL_BYTES = 256 << 20
+MAX_LANGS = 1000
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -172,9 +173,14 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_order: int = MAX_
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     key = F.abs(F.xxhash64("doc_id") % (1 << 30)) / (1 << 30)
-    per = rows.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_lang")
-    near = (rows.withColumn("_u", key).join(per, F.col("lang") == F.col("_lang"))
-            .filter(F.col("_u") * F.col("_n") < 2 * sample_docs))       # about twice the rows wanted
+    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if not counts:
+        return Model(pd.DataFrame({"lang": [], "word": [], "n": []}), max_order)
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # about twice the rows wanted, picked in the scan: only they are shuffled
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2 * sample_docs / r["count"])])
+    near = rows.withColumn("_u", key).filter(F.col("_u") < share[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", "text"))
     words = (near.withColumn("_r", rank).filter(F.col("_r") <= sample_docs)
              .select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
