@@ -5,7 +5,7 @@ renders from a blank template. Placeholders are `{document}`, `{question}`,
 `{std}`, `{judge}`; a null field leaves its placeholder as it is; `document`
 is substituted last so retrieved text is never rescanned. A list field is
 joined with newlines. The raw text, if any, follows after two newlines, and
-the whole prompt is cut to 8192 characters (`truncated` tells when).
+the whole prompt is cut to a number of characters (8192 by default; `truncated` tells when).
 """
 
 from __future__ import annotations
@@ -58,17 +58,17 @@ def render_column(template: Column, fields: dict[str, tuple[Column, bool]], orig
 
 
 def render(df: DataFrame, templates: DataFrame, task: str, fields: dict[str, tuple[str, bool]],
-           original_col: str | None = None, out_col: str = "prompt") -> DataFrame:
-    """P4 + P5 + P6 over a frame: adds `prompt` (cut to 8192 characters) and `truncated`."""
-    # templates are configuration rows: broadcast after the bounded size check, equi-join on task
+           original_col: str | None = None, out_col: str = "prompt", max_chars: int = PROMPT_MAX_CHARS) -> DataFrame:
+    """P4 + P5 + P6 over a frame: adds `prompt` (cut to max_chars) and `truncated`, which tells when it was cut."""
+    # templates are configuration rows, joined on their task
     t = templates.groupBy(F.col("task").alias("_task")).agg(F.first("template").alias("_tpl"))
     joined = df.withColumn("_task", F.lit(task)).join(t, "_task", "left").drop("_task")
     full = render_column(F.coalesce(F.col("_tpl"), F.lit(" ")),
                          {k: (F.col(c), is_list) for k, (c, is_list) in fields.items()},
                          F.col(original_col) if original_col else None)
     return (joined.withColumn("_full", full)
-                  .withColumn(out_col, F.substring("_full", 1, PROMPT_MAX_CHARS))
-                  .withColumn("truncated", F.length("_full") > PROMPT_MAX_CHARS)
+                  .withColumn(out_col, F.substring("_full", 1, max_chars))
+                  .withColumn("truncated", F.length("_full") > max_chars)
                   .drop("_tpl", "_full"))
 
 

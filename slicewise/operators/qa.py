@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicewise.functions.text import PROMPT_MAX_CHARS
+from slicewise.session import cut_lineage
+
 DEFAULT_QA_PER_FILE = 8
 
 
@@ -50,26 +53,30 @@ def apply_policy(new: DataFrame, existing: DataFrame, policy: str, key: str = "f
     # position within a file type without one window over the whole (possibly hot) file type:
     # a unique integer order (source first, then position) numbered in bounded buckets
     from slicewise.functions.indexing import dense_index
-    ordered = both.withColumn("_ord", F.col("_src").cast("long") * F.lit(1 << 52) + F.col("_pos").cast("long"))
+    ordered = both.withColumn("_ord", F.col("_src").cast("long") * F.lit(1 << 62) + F.col("_pos").cast("long"))
     return dense_index(ordered, [key], "_ord", "qa_order").drop("_src", "_pos", "_ord")
 
 
-def generate(documents: DataFrame, templates: DataFrame, responder, key: str = "file_type") -> tuple[DataFrame, DataFrame]:
+def generate(documents: DataFrame, templates: DataFrame, responder, key: str = "file_type",
+             max_chars: int = PROMPT_MAX_CHARS) -> tuple[DataFrame, DataFrame]:
     """GenQAs prompt per document -> responder hook -> P10 -> QA rows.
 
     documents: key + text. responder: DataFrame(key, prompt) -> DataFrame(key, reply),
     e.g. `mapInPandas` over a model client. The document fills `{document}` and the
-    prompt is cut to 8192 characters (`truncated` says when). Returns (qa rows
-    (key, qa_index, question, answers), skipped keys with no pairs).
+    prompt is cut to max_chars; `truncated` says in both results which documents the
+    model did not see whole. Returns (qa rows (key, qa_index, question, answers, truncated),
+    skipped keys with no pairs).
     """
     from slicewise.functions.replies import qa_answers, qa_items, qa_question
     from slicewise.operators.prompts import render
 
-    prompts = render(documents, templates, "GenQAs", {"document": ("text", False)})
-    replies = responder(prompts.select(key, "prompt", "truncated"))
-    items = replies.select(key, qa_items(F.col("reply"))["items"].alias("items"))
-    qa_rows = items.select(key, F.posexplode("items").alias("qa_index", "item")).select(
+    prompts = render(documents, templates, "GenQAs", {"document": ("text", False)}, max_chars=max_chars)
+    prompts = prompts.select(key, "prompt", "truncated")
+    # read twice below, asked once
+    replies = cut_lineage(responder(prompts).select(key, "reply").join(prompts.select(key, "truncated"), key))
+    items = replies.select(key, "truncated", qa_items(F.col("reply"))["items"].alias("items"))
+    qa_rows = items.select(key, "truncated", F.posexplode("items").alias("qa_index", "item")).select(
         key, F.col("qa_index").cast("long"), qa_question(F.col("item")).alias("question"),
-        qa_answers(F.col("item")).alias("answers"))
-    skipped = items.filter(F.size("items") == 0).select(key)
+        qa_answers(F.col("item")).alias("answers"), "truncated")
+    skipped = items.filter(F.size("items") == 0).select(key, "truncated")
     return qa_rows, skipped

@@ -11,18 +11,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from slicewise.functions.replies import one_json
 from slicewise.operators.similarity import text_pair_cosine
 
-RERANK_RESULTS = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
-    T.StructField("index", T.LongType()), T.StructField("relevance_score", T.DoubleType())])))])
+RERANK_RESULTS = "array<struct<index: bigint, relevance_score: double>>"
 
 
 def parse_rerank_response(responses: DataFrame, query_key: str = "query_id", body_col: str = "body") -> DataFrame:
     """(query_key, body) -> (query_key, position, index, relevance_score); bad JSON -> no rows."""
-    parsed = responses.select(query_key, F.from_json(F.col(body_col), RERANK_RESULTS).alias("r"))
-    return parsed.select(query_key, F.posexplode(F.col("r.results")).alias("position", "res")).select(
+    results = F.try_variant_get(one_json(F.col(body_col)), "$.results", RERANK_RESULTS)
+    return responses.select(query_key, F.posexplode(results).alias("position", "res")).select(
         query_key, F.col("position").cast("long"), F.col("res.index").alias("index"),
         F.col("res.relevance_score").alias("relevance_score"))
 

@@ -24,7 +24,7 @@ def ingest(rows: DataFrame, id_col: str, content_col: str = "pageContent", order
         F.max_by(F.col(content_col), F.col(order_col)).alias("chunk_text"),
         F.min(order_col).alias("_first"))
     kept = by_id.filter(F.col("chunk_text").isNotNull() & (F.col("chunk_text") != ""))
-    indexed = dense_index(kept, [collection_col], "_first", "chunk_index")
+    indexed = dense_index(kept, [collection_col], "_first", "chunk_index", orders=rows.select(F.col(order_col).alias("_first")))
     return indexed.select(F.col(collection_col).alias("collection"), F.col(id_col).alias("chunk_id"),
                           "chunk_index", "chunk_text", F.lit(0.0).alias("chunk_times_s"))
 

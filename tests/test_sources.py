@@ -86,6 +86,24 @@ def test_rows_of_one_version_never_mix(spark):
     assert [(r.chunk_text, r.embedding) for r in merged.collect()] in ([(None, [1.0])], [("t", [2.0])])
 
 
+def test_dense_index_of_one_hot_collection(spark):
+    """One collection, sparse and skewed order values, duplicates of none: positions are dense and in order."""
+    from slicewise.functions.indexing import dense_index
+    orders = [i * i * 1_000_003 + (1 << 40) * (i % 3) for i in range(3000)]
+    df = spark.createDataFrame([("hot", x) for x in orders] + [("cold", x) for x in orders[:7]], "c string, o long").repartition(5)
+    got = {(r.c, r.o): r["index"] for r in dense_index(df, ["c"], "o", buckets=16).collect()}
+    for name, values in (("hot", orders), ("cold", orders[:7])):
+        assert [got[name, x] for x in sorted(values)] == list(range(len(values)))
+    assert dense_index(df.limit(0), ["c"], "o").count() == 0
+
+
+def test_chunk_texts_for_inspection(spark, tmp_path):
+    chunks = spark.createDataFrame([("c1", 1, 0, "a"), ("c2", 1, 0, "b")], "collection string, doc_id long, chunk_index int, chunk_text string")
+    vector_index.write_chunks(chunks, str(tmp_path / "x"))
+    vector_index.write_chunks(chunks.filter("collection = 'c2'").withColumn("chunk_text", F.lit("new")), str(tmp_path / "x"))
+    assert {(r.collection, r.chunk_text) for r in spark.read.parquet(str(tmp_path / "x")).collect()} == {("c1", "a"), ("c2", "new")}
+
+
 def test_qa_jobs_stems(spark):
     tmp = tempfile.mkdtemp(prefix="slicewise-files-")
     _files(tmp)
