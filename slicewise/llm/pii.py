@@ -2,7 +2,7 @@
 
 Found and validated values: payment cards (13 to 19 digits, Luhn), IBANs (mod 97),
 US social security numbers (area, group and serial ranges), telephone numbers
-(international form), IPv4 addresses (octet ranges) and calendar dates. Each value is
+(international or North American form), IPv4 addresses (octet ranges) and calendar dates. Each value is
 mapped to its rank within its format (all cards of that length, all dates
 of two centuries, ...), the rank is permuted by a balanced Feistel network over its
 bits, walked until it falls into the format again, and the new rank is
@@ -151,6 +151,17 @@ def _phone(v: str, p: Callable) -> str | None:
     return m.group() + _fill(v[m.end():], str(low + p(int(rest) - low, size, f"phone{m.group()}:{len(rest)}")))
 
 
+def _local_phone(v: str, p: Callable) -> str | None:
+    """North American numbers without a country code: area and exchange start with 2 to 9."""
+    d = re.sub(r"\D", "", v)
+    if d[0] < "2" or d[3] < "2" or (v[0] == "(") != (")" in v):
+        return None
+    rank = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
+    rank, line = divmod(p(rank, 800 * 800 * 10_000, "phone local"), 10_000)
+    area, exchange = divmod(rank, 800)
+    return _fill(v, f"{area + 200}{exchange + 200}{line:04d}")
+
+
 def _ipv4(v: str, p: Callable) -> str | None:
     parts = v.split(".")
     if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
@@ -203,6 +214,7 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("date", rf"(?<!\w)(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{_MONTH}) \d{{4}})(?!\w)", _date),
     ("ssn", r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])", _ssn),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,5}(?!\w)", _phone),
+    ("phone", r"(?<![\w+.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])", _local_phone),
     ("ipv4", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w)", _ipv4),
     ("card", r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}(?:[ -]?\d{1,4}){1,2}(?![\w-])|(?<![\w-])\d{13,19}(?![\w-])|(?<![\w-])\d{4}[ -]\d{6}[ -]\d{5}(?![\w-])", _card),
 ]
@@ -241,7 +253,7 @@ class Pseudonyms:
                 m = self.start.search(text, i)
                 continue
             end = None
-            back = 1 if i and text[i - 1] == "+" else 2 if i > 1 and text[i - 2:i].isalpha() else 0
+            back = 1 if i and text[i - 1] in "+(" else 2 if i > 1 and text[i - 2:i].isalpha() else 0
             begins = [i - back, i] if back else [i]
             if i > 1 and text[i - 1] == " " and text[i - 2].isalpha():   # a month's name before its day
                 begin = i - 1
