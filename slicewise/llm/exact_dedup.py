@@ -79,12 +79,13 @@ def advance(spark: SparkSession, source: str, schema, state: str) -> DataFrame:
                       F.col("value").getField(keeper).alias("keeper"), F.col("value").getField(size).alias("group_size"))
 
 
-def _differing(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+def _differing(scratch: Scratch, docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, digest, norm) of groups, and the digests under which not all bytes are the keeper's."""
     norm = normalised(F.col("text"))
     rows = (docs.select("doc_id", norm.alias("norm"), digest(norm).alias("digest"))
             .withColumn("short", F.xxhash64("digest"))
             .join(groups.select(F.xxhash64("digest").alias("short")).distinct(), "short", "left_semi").drop("short"))
+    rows = scratch.keep(rows, "hits")                   # read twice below; the corpus only once
     mine = groups.select("digest", F.col("keeper.doc_id").alias("keep_id"))
     first = (rows.join(mine, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
              .select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"]))
@@ -102,7 +103,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     rows = spark.read.parquet(source)
     state = advance(spark, source, rows.schema, scratch.path("state"))
     groups = scratch.keep(state.filter("group_size > 1").select("digest", "keeper", "group_size"), "groups")
-    full, bad = _differing(docs, groups, digest)
+    full, bad = _differing(scratch, docs, groups, digest)
     bad = scratch.keep(bad, "bad")
     out = (rows.join(groups, "digest", "left")
            .select("doc_id", "rid", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
