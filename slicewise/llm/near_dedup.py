@@ -13,16 +13,21 @@ J = 0.8 and two positions a pair survives any depth of one tree with probability
 probability under 2e-5, and nearer pairs far less often.
 
 Recursion ends in small nodes (up to `SMALL` members), which are compared exhaustively, token
-vector by token vector; pairs with at least `AGREE` equal tokens (a pair of J = 0.8 has
+vector by token vector (4 bits a token); pairs with at least `AGREE` equal tokens (a pair of J = 0.8 has
 fewer with probability about 1e-5) are candidates. A node that a branching hardly made smaller
-(or of depth `MAX_DEPTH`) is dense: its members are alike. There each member is compared
-with a pivot; members that the confirmed links do not join to the node's
-largest component are then compared with the whole node, in blocks, until no candidate
-between different components is left. So a group of copies costs rows in proportion to
-its size, not its square, and still no link between components is given up.
-
-Every candidate is confirmed on the full shingle sets, computed again from the texts
-of the documents concerned. Components come from alternating large-star and small-star
+(or of depth `MAX_DEPTH`) is dense: its members are alike, and each is compared with `PIVOTS` pivots.
+Documents that candidates connect form a cluster. Dense nodes that hold several clusters make up the family
+of their largest one, in which each straggler (a member outside that cluster) is compared
+with all members, block by block; a candidate joins the two clusters.
+
+Clusters are confirmed on the full shingle sets, computed again from the texts of their
+documents. The sets of a cluster meet in
+blocks of about `BLOCK`, so each set travels once and not once per pair; inside a block all pairs are
+compared (through an inverted index) and only links that join components are emitted. A
+larger cluster has several blocks, each with the same pivots, so a group of copies becomes one
+component but for stragglers, which are then compared with all members of their cluster, again
+in blocks. So a group of copies costs rows in proportion to
+its size and stragglers, and no link between components is given up. Components come from alternating large-star and small-star
 rounds; links, components and sets stay distributed.
 
 Defined cases: null, empty or blank texts have no shingles and stand alone; a text of one
@@ -47,11 +52,16 @@ TOKENS = 64
 TREES = 4
 BRANCHES = 2
 SMALL = 32
-AGREE = 36
+AGREE = 38
 MAX_DEPTH = 8
 #: A node with more than this share of its parent's members counts as hardly smaller.
 ALIKE = 0.7
-BLOCK = 1024
+PIVOTS = 3
+#: Members of a cluster, or members and stragglers of a family, that share a task.
+BLOCK = 512
+BLOCK_PIVOTS = 16
+#: Ids up to this number (8 bytes each) are broadcast to pick texts in the scan; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1 << 20
 SIMILARITY = 80          # per cent
 
 
@@ -59,15 +69,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .shingles import MinHash, Powers, digest, shingle_sets
     powers, tokens = Powers(), MinHash(TOKENS)
     for batch in batches:
-        n, d1, d2, sig = [], [], [], []
+        n, d1, d2, sig, brief = [], [], [], [], []
         for s in shingle_sets(batch.column("text"), powers):
             n.append(len(s))
             a, b = digest(s) if len(s) else (0, 0)
             d1.append(a)
             d2.append(b)
             sig.append(tokens(s) if len(s) else None)
+            brief.append(_brief(sig[-1]) if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                                          pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
+                                          pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())],
+                                         ["doc_id", "n", "d1", "d2", "sig", "brief"])
+
+
+def _brief(sig: bytes) -> bytes:
+    """4 bits of every token, two to a byte."""
+    low = np.frombuffer(sig, "<u2") & 15
+    return (low[::2] << 4 | low[1::2]).astype(np.uint8).tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +97,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary())], ["d1", "d2", "set"])
 
 
-def _matrix(column: pa.Array | pd.Series, kind: str = "<u2") -> np.ndarray:
+def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1)
+    packed = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+    return np.concatenate([packed >> 4, packed & 15], axis=1)
 
 
 def _alike(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -109,7 +128,7 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in ("node", "rep", "n")] + [_matrix(batch.column("sig"))]
+        now = [batch.column(c).to_numpy() for c in ("node", "rep", "n")] + [_matrix(batch.column("brief"))]
         if left is not None:
             now = [np.concatenate(x) for x in zip(left, now, strict=True)]
         last = np.searchsorted(now[0], now[0][-1])        # the last node may go on in the next batch
@@ -122,21 +141,11 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keep = _alike(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")),
+            keep = _alike(_matrix(batch.column("brief_a")), _matrix(batch.column("brief_b")),
                           batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _children(rows: DataFrame) -> DataFrame:
     """node, tree, rep, up (the parent's size): every member once per position that its node picks."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
@@ -174,49 +183,33 @@ class Links:
 
     def __init__(self, scratch: Scratch, docs: DataFrame, signed: DataFrame, reps: DataFrame):
         self.scratch, self.docs, self.signed, self.reps = scratch, docs, signed, reps
-        self.tested: DataFrame | None = None
         self.edges: DataFrame | None = None
         self.component: DataFrame | None = None             # rep, comp (only reps with a link)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         r = self.reps
-        return (pairs.join(r.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
-                .join(r.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-                .select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_alike_rows, "a long, b long"))
-
-    def propose(self, pairs: DataFrame) -> int:
-        """Confirm pairs (a < b) not yet tested; how many were new."""
-        new = pairs.select("a", "b").distinct()
-        if self.tested is not None:
-            new = new.join(self.tested, ["a", "b"], "left_anti")
-        new = self.scratch.keep(new, "candidates")
-        count = new.count()
-        if not count:
-            return 0
-        self.tested = new if self.tested is None else self.tested.unionByName(new)
-        wanted = (new.select(F.col("a").alias("rep")).union(new.select("b")).distinct()
-                  .join(self.signed.select(F.col("rid").alias("rep"), F.col("doc_id").alias("id"), "d1", "d2"), "rep"))
-        wanted = self.scratch.keep(wanted, "wanted")
+        return (pairs.join(r.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("brief").alias("brief_a")), "a")
+                .join(r.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("brief").alias("brief_b")), "b")
+                .select("a", "b", "n_a", "n_b", "brief_a", "brief_b").mapInArrow(_alike_rows, "a long, b long"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """rep and its full shingle set, from the texts of the reps in `wanted`."""
+        wanted = self.scratch.keep(wanted.select("rep").distinct().join(
+            self.signed.select(F.col("rid").alias("rep"), F.col("doc_id").alias("id"), "d1", "d2"), "rep"), "wanted")
         ids = wanted.select("id").distinct()
+        if ids.count() <= MAX_BROADCAST_IDS:
+            ids = F.broadcast(ids)
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
         sets = (texts.mapInArrow(_sets, "d1 long, d2 long, set binary").join(wanted.select("rep", "d1", "d2"), ["d1", "d2"])
                 .select("rep", "set").dropDuplicates(["rep"]))
         sets = self.scratch.keep(sets, "sets")
-        linked = (new.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-                  .join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-                  .select("a", "b", "set_a", "set_b").mapInArrow(_linked_rows, "a long, b long"))
+        self.scratch.drop(wanted)
+        return sets
+
+    def add(self, linked: DataFrame) -> None:
         linked = self.scratch.keep(linked, "links")
-        self.scratch.drop(sets, wanted)
         self.edges = linked if self.edges is None else self.edges.unionByName(linked)
         self.component = components(self.scratch, self.edges)
-        return count
-
-    def named(self, rows: DataFrame) -> DataFrame:
-        """rows with comp; a rep without links is its own component."""
-        if self.component is None:
-            return rows.withColumn("comp", F.col("rep"))
-        return rows.join(self.component, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """rep, comp (the smallest rep of its component), by alternating large-star and small-star rounds."""
@@ -246,46 +239,109 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _stragglers(links: Links, dense: DataFrame) -> DataFrame:
-    """Members of dense nodes that hold more than one component; main: the node's largest one."""
-    named = links.scratch.keep(links.named(dense), "named")
+def _named(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """rows with comp; a rep that no pair connects is its own component."""
+    if component is None:
+        return rows.withColumn("comp", F.col("rep"))
+    return rows.join(component, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _stragglers(scratch: Scratch, groups: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Members (node, rep) of groups that hold more than one component, with comp, and main: the group's largest one."""
+    named = scratch.keep(_named(groups.select("node", "rep"), component), "named")
     per = named.groupBy("node", "comp").agg(F.count("*").alias("n"))
     mixed = (per.groupBy("node").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
              .filter("comps > 1").select("node", F.col("top.comp").alias("main")))
     return named.join(mixed, "node")
 
 
-def _blockwise(links: Links, mixed: DataFrame, k: int) -> DataFrame:
-    """Candidates between stragglers and all members of other components: the k most alike per straggler and component."""
-    most = 1 << 30
-    nodes = (mixed.groupBy("node").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("m"))
-             .select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb_n"), F.ceil(F.col("m") / BLOCK).cast("int").alias("sb_n")))
-    rows = mixed.join(nodes, "node").join(links.reps.select("rep", "n", "sig"), "rep")
-    cols = ["node", "sb", "mb", "rep", "comp", "n", "sig"]
+class _Block:
+    """Full sets of a block's members, with an inverted index."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.sets = [np.frombuffer(v, dtype=np.uint64) for v in rows["set"]]
+        self.n, self.rep = np.array([len(x) for x in self.sets]), rows["rep"].to_numpy()
+        every = np.concatenate(self.sets)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], np.repeat(np.arange(len(self.sets)), self.n)[order]
+
+    def linked(self, x: np.ndarray) -> np.ndarray:
+        """Which members are similar enough to the set x."""
+        low, high = np.searchsorted(self.every, x, "left"), np.searchsorted(self.every, x, "right")
+        size = high - low
+        at = np.repeat(high - np.cumsum(size), size) + np.arange(size.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sets))
+        return 100 * both >= SIMILARITY * (len(x) + self.n - both)
+
+
+def _pairs_frame(out: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+
+
+def _block_links(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of a block: every member against all, one link per component met."""
+    out, block, top = [], _Block(rows), np.arange(len(rows))
+    for i, x in enumerate(block.sets):
+        if (top == top[0]).all():
+            break
+        near = np.flatnonzero(block.linked(x) & (top != top[i]))
+        first = near[np.unique(top[near], return_index=True)[1]]
+        if len(first):
+            out.append(pd.DataFrame({"a": np.minimum(block.rep[i], block.rep[first]), "b": np.maximum(block.rep[i], block.rep[first])}))
+            top[np.isin(top, top[first])] = top[i]
+    return _pairs_frame(out)
+
+
+def _family(compare):
+    """For each straggler the members that `compare` finds, one per other component, as pairs."""
+    def links(key, asks: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asks) and len(members):
+            comp, rep = members["comp"].to_numpy(), members["rep"].to_numpy()
+            for r, c, hits in zip(asks["rep"], asks["comp"], compare(asks, members), strict=True):
+                near = np.flatnonzero((comp != c) & hits)
+                if len(near):
+                    first = near[np.unique(comp[near], return_index=True)[1]]
+                    out.append(pd.DataFrame({"a": np.minimum(r, rep[first]), "b": np.maximum(r, rep[first])}))
+        return _pairs_frame(out)
+    return links
+
+
+def _by_set(asks: pd.DataFrame, members: pd.DataFrame) -> Iterator[np.ndarray]:
+    block = _Block(members)
+    return (block.linked(np.frombuffer(v, dtype=np.uint64)) for v in asks["set"])
+
+
+def _by_tokens(asks: pd.DataFrame, members: pd.DataFrame) -> Iterator[np.ndarray]:
+    matrix, n = _matrix(members["brief"]), members["n"].to_numpy()
+    return (_alike(matrix, x, n, m) for x, m in zip(_matrix(asks["brief"]), asks["n"], strict=True))
+
+
+def _blocks(clusters: DataFrame) -> DataFrame:
+    """cluster, nb, rep and block of every member; pivots stand in all blocks of their cluster."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+    rows = clusters.join(sizes, "cluster").withColumn("h", F.xxhash64("rep", F.lit(3)))
+    rows = rows.withColumn("block", F.pmod("h", F.col("nb")).cast("int"))
+    # pivots: the smallest hashes of a cluster, found as the smallest of its first blocks' members
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("h", "rep"))
+    pivots = (rows.filter("nb > 1").withColumn("r", rank).filter(F.col("r") <= BLOCK_PIVOTS)
+              .select("cluster", "nb", "rep", "h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")))
+    return rows.select("cluster", "nb", "rep", "block").unionByName(pivots.select("cluster", "nb", "rep", "block")).distinct()
+
+
+def _families(scratch: Scratch, mixed: DataFrame, payload: DataFrame, compare) -> DataFrame:
+    """Pairs of stragglers and members of their families (named by main component); payload: rep and what `compare` reads."""
+    family = scratch.keep(mixed.select(F.col("main").alias("family"), "rep", "comp").distinct(), "families")
+    per = (family.groupBy("family").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("family")).cast("long")).alias("m"))
+           .select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb_n"), F.ceil(F.col("m") / BLOCK).cast("int").alias("sb_n")))
+    rows = family.join(per, "family").join(payload, "rep")
+    cols = ["family", "sb", "mb", "rep", "comp", *[c for c in payload.columns if c != "rep"]]
     own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = rows.filter("comp <> main").withColumn("sb", own("sb_n", 1)).withColumn("mb", every("mb_n")).select(*cols)
+    asks = rows.filter("comp <> family").withColumn("sb", own("sb_n", 1)).withColumn("mb", every("mb_n")).select(*cols)
     members = rows.withColumn("mb", own("mb_n", 2)).withColumn("sb", every("sb_n")).select(*[F.col(c).alias(c) for c in cols])
-
-    def compare(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            sig, n, comp, rep = _matrix(y["sig"]), y["n"].to_numpy(), y["comp"].to_numpy(), y["rep"].to_numpy()
-            for r, c, m, s in zip(x["rep"], x["comp"], x["n"], _matrix(x["sig"]), strict=True):
-                at = np.flatnonzero((comp != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY))
-                same = (sig[at] == s).sum(axis=1)
-                at, same = at[same >= AGREE], same[same >= AGREE]
-                if len(at):
-                    out.append(pd.DataFrame({"rep": r, "other": rep[at], "comp": comp[at], "same": same}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("rep", "other", "comp", "same")})
-
-    keys = ["node", "sb", "mb"]
-    found = asks.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, "rep long, other long, comp long, same long")
-    pairs = found.groupBy(*_ordered("rep", "other"), "rep", "comp").agg(F.max("same").alias("same"))
-    if links.tested is not None:
-        pairs = pairs.join(links.tested, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("rep", "comp").orderBy(F.desc("same"), "a", "b"))
-    return pairs.withColumn("r", rank).filter(F.col("r") <= min(k, most)).select("a", "b")
+    keys = ["family", "sb", "mb"]
+    return asks.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_family(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -294,35 +350,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = scratch.keep(docs.mapInArrow(_signed, f"doc_id {kind}, n long, d1 long, d2 long, sig binary")
+    signed = scratch.keep(docs.mapInArrow(_signed, f"doc_id {kind}, n long, d1 long, d2 long, sig binary, brief binary")
                           .withColumn("rid", F.monotonically_increasing_id()), "signed")
     groups = scratch.keep(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")), "groups")
-    reps = scratch.keep(signed.join(groups.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "sig"), "reps")
+    reps = scratch.keep(signed.join(groups.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "sig", "brief"), "reps")
     links = Links(scratch, docs, signed, reps)
     small, dense = _nodes(scratch, reps, reps.count())
-    rows = small.join(reps, "rep").select("node", "rep", "n", "sig").repartition("node").sortWithinPartitions("node")
+    rows = small.join(reps.drop("sig"), "rep").select("node", "rep", "n", "brief").repartition("node").sortWithinPartitions("node")
     pairs = rows.mapInArrow(_small_pairs, "a long, b long")
     has_dense = not dense.isEmpty()
     if has_dense:
-        # one pivot per node, one node (its largest) per member
-        pivot = dense.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "rep"), "rep")).alias("p")).select("node", F.col("p.rep").alias("pivot"))
+        # pivots of a node: the members with the smallest hashes; a member meets those of its largest node
+        least = [F.min(F.struct(F.xxhash64("node", "rep", F.lit(i)), "rep")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = dense.groupBy("node").agg(*least).select("node", F.explode(F.array(*[F.col(f"p{i}.rep") for i in range(PIVOTS)])).alias("pivot"))
         mine = dense.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x")).select("rep", "x.node")
-        stars = mine.join(pivot, "node").filter("rep <> pivot").select(*_ordered("rep", "pivot"))
+        stars = mine.join(pivots, "node").filter("rep <> pivot").select(*_ordered("rep", "pivot"))
         pairs = pairs.unionByName(links.alike(stars.distinct()))
-    links.propose(pairs)
+    pairs = scratch.keep(pairs.distinct(), "candidates")
+    clusters = components(scratch, pairs)
     if has_dense:
-        mixed = scratch.keep(_stragglers(links, dense), "mixed")
-        # stragglers meet a pivot of the largest component first, then whatever the node holds
-        pivot = (mixed.filter("comp = main").groupBy("node")
-                 .agg(F.min(F.struct(F.xxhash64("node", "rep", F.lit(2)), "rep")).alias("p")).select("node", F.col("p.rep").alias("pivot")))
-        links.propose(links.alike(mixed.filter("comp <> main").join(pivot, "node").select(*_ordered("rep", "pivot")).distinct()))
-        k = 1
-        while True:
-            mixed = scratch.keep(_stragglers(links, dense), "mixed")
-            if not links.propose(_blockwise(links, mixed, k)):
-                break
-            k *= 4
-    named = links.named(groups.select("d1", "d2", "rep", "least"))
+        mixed = _stragglers(scratch, dense, clusters)
+        more = scratch.keep(_families(scratch, mixed, reps.drop("sig"), _by_tokens), "more")
+        if not more.isEmpty():
+            clusters = components(scratch, pairs.unionByName(more))
+    blocks = scratch.keep(_blocks(clusters.withColumnRenamed("comp", "cluster")), "blocks")
+    sets = links.sets(blocks)
+    links.add(blocks.join(sets, "rep").groupBy("cluster", "block").applyInPandas(_block_links, "a long, b long"))
+    # what the blocks of one cluster keep apart
+    large = scratch.keep(blocks.filter("nb > 1").select(F.col("cluster").alias("node"), "rep").distinct(), "large")
+    if not large.isEmpty():
+        apart = _stragglers(scratch, large, links.component)
+        more = scratch.keep(_families(scratch, apart, sets, _by_set), "more")
+        if not more.isEmpty():
+            links.add(more)
+    named = _named(groups.select("d1", "d2", "rep", "least"), links.component)
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     known = named.join(smallest, "comp").select("d1", "d2", "component_id", F.lit(True).alias("in_set"))
     alone = F.col("in_set").isNull()

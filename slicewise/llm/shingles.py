@@ -17,7 +17,7 @@ _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _STEP = np.uint64(0x9E3779B97F4A7C17)               # odd, so it has an inverse modulo 2^64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _LONE = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mixed(h: np.ndarray, times: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
