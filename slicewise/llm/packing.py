@@ -10,8 +10,8 @@ length).
 Ids come from the tokenizer named in `vocabulary`, with id `END` after each
 document. Texts of plain Latin characters are split by the vocabulary's own
 word pattern and each distinct word is encoded once per worker (at most
-`CACHE_WORDS` are held, then the table is emptied); any other text goes through
-the tokenizer whole. Both ways give the tokenizer's ids.
+`CACHE_WORDS` words, and as many runs between white space, are held, then the table is emptied);
+any other text goes through the tokenizer whole. Both ways give the tokenizer's ids.
 
 Sequence ids: (partition << 33) + running number, unique in a run and equal in
 reruns over the same splits; no shuffle, and memory is bounded by one batch of texts.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ from .common import table
 
 MAX_LEN = 2048
 END = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
 VOCABULARY = "word_bpe_49k.json"
 
 # Characters for which this module splits words itself; fixed by the vocabulary's own pattern and lower-casing.
@@ -52,23 +53,62 @@ class Encoder:
     """Little-endian 32-bit ids of whole texts."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As `_encode` of each word, but a text of many words at a time, parted where a word's last piece ends."""
+        import numpy as np
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:
+                out += self._encode(part)
+        return out
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs without white space: each is split into words, each new word encoded once."""
+        split = list(map(_WORD.findall, runs))
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = list(dict.fromkeys(chain.from_iterable(split)))
+        self.words.update(zip(new, self._encode_words(new), strict=True))
+        look = self.words.__getitem__
+        return [look(s[0]) if len(s) == 1 else b"".join(map(look, s)) for s in split]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        words = set().union(*(s for s in split if s is not None))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self._encode(new), strict=True))
+        # words never reach over white space, so what stands between it is looked up as one
+        split = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        runs, stops = [], [0]
+        for s in split:
+            runs += s or ()
+            stops.append(len(runs))
+        parts = list(map(self.known.get, runs))
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if missing:
+            new = list(dict.fromkeys([runs[i] for i in missing]))
+            codes = dict(zip(new, self._encode_runs(new), strict=True))
+            for i in missing:
+                parts[i] = codes[runs[i]]
+            if len(self.known) + len(codes) > CACHE_WORDS:
+                self.known.clear()
+            self.known.update(codes)
         rest = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        look = self.known.__getitem__
-        return [next(rest) if s is None else b"".join(map(look, s)) for s in split]
+        return [next(rest) if s is None else b"".join(parts[a:b]) for s, a, b in zip(split, stops, stops[1:], strict=False)]
 
 
 def cuts(n: int, max_len: int = MAX_LEN) -> list[int]:
