@@ -163,10 +163,8 @@ def _nodes(scratch: Scratch, reps: DataFrame, total: int) -> tuple[DataFrame | N
     small, dense, depth = None, None, 1
     add = lambda x, y: y if x is None else x.unionByName(y)
     while True:
-        rows = scratch.keep(rows, f"depth{depth}")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         live = scratch.keep(rows.join(sizes, "node"), f"live{depth}")
-        scratch.drop(rows)
         # a node that holds nearly all of its parent is alike only if it isn't the parent of unrelated documents at the top
         is_dense = (F.col("size") > SMALL) & ((F.col("size") > ALIKE * F.col("up")) | F.lit(depth >= MAX_DEPTH))
         small = add(small, live.filter(F.col("size") <= SMALL).select("node", "rep"))
@@ -183,7 +181,6 @@ class Links:
 
     def __init__(self, scratch: Scratch, docs: DataFrame, signed: DataFrame, reps: DataFrame):
         self.scratch, self.docs, self.signed, self.reps = scratch, docs, signed, reps
-        self.edges: DataFrame | None = None
         self.component: DataFrame | None = None             # rep, comp (only reps with a link)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
@@ -208,13 +205,15 @@ class Links:
 
     def add(self, linked: DataFrame) -> None:
         linked = self.scratch.keep(linked, "links")
-        self.edges = linked if self.edges is None else self.edges.unionByName(linked)
-        self.component = components(self.scratch, self.edges)
+        self.component = components(self.scratch, linked if self.component is None else _stars(self.component).unionByName(linked))
+
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """rep, comp (the smallest rep of its component), by alternating large-star and small-star rounds."""
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
+    """rep, comp (the smallest rep of its component), by alternating large-star and small-star rounds.
+
+    It ends when the graph is a set of stars: every end hangs on one smallest rep that hangs on none.
+    """
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
         # large star: every larger neighbour of u hangs on u's smallest neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -224,17 +223,21 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
-        after = scratch.keep(small, "stars")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
-        now = after
-        if mark == before:
+        before, now = now, scratch.keep(small, "stars")
+        scratch.drop(before)
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(
+            now.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("top")))
+        if ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).filter("child + top > 1").isEmpty():
             break
-        before = mark
     tops = now.select(F.col("v").alias("rep")).distinct().select("rep", F.col("rep").alias("comp"))
     return scratch.keep(now.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(tops), "components")
 
 
+def _stars(component: DataFrame) -> DataFrame:
+    """Components as links to their smallest reps, to go on from when links are added."""
+    return component.filter("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -372,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = _stragglers(scratch, dense, clusters)
         more = scratch.keep(_families(scratch, mixed, reps.drop("sig"), _by_tokens), "more")
         if not more.isEmpty():
-            clusters = components(scratch, pairs.unionByName(more))
+            clusters = components(scratch, _stars(clusters).unionByName(more))
     blocks = scratch.keep(_blocks(clusters.withColumnRenamed("comp", "cluster")), "blocks")
     sets = links.sets(blocks)
     links.add(blocks.join(sets, "rep").groupBy("cluster", "block").applyInPandas(_block_links, "a long, b long"))
@@ -395,7 +398,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is its component's smallest, all columns."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    gone = Scratch(docs.sparkSession).keep(
+        near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    if gone.count() <= MAX_BROADCAST_IDS:                  # else both sides are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
