@@ -7,7 +7,8 @@ the columns of documents.
 * language: documents without a letter (`und`) go; so do those whose best language
   explains them no better than the others (posterior under one half).
 * exact: of equal texts (A-Z lower-cased) the row with the largest doc_id stays.
-* near: of each near-duplicate component the document with the smallest doc_id stays.
+* near: of each near-duplicate component (5-word shingles, similarity 0.8) the document with the
+  smallest doc_id stays.
 * mix: a row per document and pass of the mix, with the words that the pass takes.
 * pack: power-of-two pieces with their ids' digest.
 
@@ -25,6 +26,7 @@ from slicewise.llm.common import Scratch
 from slicewise.session import configure
 
 MIN_POSTERIOR = 0.5
+NEAR_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return near_dedup.kept_rows(docs)
+    return near_dedup.kept_rows(docs, NEAR_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-deduplication by a chosen-path set similarity join.
 
-A document's set are its distinct 2-word shingles. Equal sets (by a 128-bit digest)
+A document's set are its distinct shingles of `width` words (2 in op9, 5 in the pipeline). Equal sets (by a 128-bit digest)
 become one representative, so exact copies never meet. Each representative
 has `TOKENS` minwise tokens.
 
@@ -30,15 +30,15 @@ in blocks. So a group of copies costs rows in proportion to
 its size and stragglers, and no link between components is given up. Components come from alternating large-star and small-star
 rounds; links, components and sets stay distributed.
 
-Defined cases: null, empty or blank texts have no shingles and stand alone; a text of one
-word has that word as its only shingle; repeated rows and ids are copies; null
+Defined cases: null, empty or blank texts have no shingles and stand alone; a text of fewer
+words than a shingle is its only shingle; repeated rows and ids are copies; null
 ids are never the smallest unless a component has no other; empty table: empty
 result; only doc_id and text are read, so further columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,21 +65,23 @@ MAX_BROADCAST_IDS = 1 << 20
 SIMILARITY = 80          # per cent
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .shingles import MinHash, Powers, digest, shingle_sets
-    powers, tokens = Powers(), MinHash(TOKENS)
-    for batch in batches:
-        n, d1, d2, sig, brief = [], [], [], [], []
-        for s in shingle_sets(batch.column("text"), powers):
-            n.append(len(s))
-            a, b = digest(s) if len(s) else (0, 0)
-            d1.append(a)
-            d2.append(b)
-            sig.append(tokens(s) if len(s) else None)
-            brief.append(_brief(sig[-1]) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                                          pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())],
-                                         ["doc_id", "n", "d1", "d2", "sig", "brief"])
+def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .shingles import MinHash, Powers, digest, shingle_sets
+        powers, tokens = Powers(), MinHash(TOKENS)
+        for batch in batches:
+            n, d1, d2, sig, brief = [], [], [], [], []
+            for s in shingle_sets(batch.column("text"), powers, width):
+                n.append(len(s))
+                a, b = digest(s) if len(s) else (0, 0)
+                d1.append(a)
+                d2.append(b)
+                sig.append(tokens(s) if len(s) else None)
+                brief.append(_brief(sig[-1]) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
+                                              pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())],
+                                             ["doc_id", "n", "d1", "d2", "sig", "brief"])
+    return signed
 
 
 def _brief(sig: bytes) -> bytes:
@@ -88,13 +90,15 @@ def _brief(sig: bytes) -> bytes:
     return (low[::2] << 4 | low[1::2]).astype(np.uint8).tobytes()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .shingles import Powers, digest, shingle_sets
-    powers = Powers()
-    for batch in batches:
-        rows = [(*digest(s), s.tobytes()) for s in shingle_sets(batch.column("text"), powers) if len(s)]
-        d1, d2, sets = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary())], ["d1", "d2", "set"])
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .shingles import Powers, digest, shingle_sets
+        powers = Powers()
+        for batch in batches:
+            rows = [(*digest(s), s.tobytes()) for s in shingle_sets(batch.column("text"), powers, width) if len(s)]
+            d1, d2, sets = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.binary())], ["d1", "d2", "set"])
+    return found
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -179,8 +183,8 @@ def _nodes(scratch: Scratch, reps: DataFrame, total: int) -> tuple[DataFrame | N
 class Links:
     """Confirmed links and their components, both as tables."""
 
-    def __init__(self, scratch: Scratch, docs: DataFrame, signed: DataFrame, reps: DataFrame):
-        self.scratch, self.docs, self.signed, self.reps = scratch, docs, signed, reps
+    def __init__(self, scratch: Scratch, docs: DataFrame, signed: DataFrame, reps: DataFrame, width: int):
+        self.scratch, self.docs, self.signed, self.reps, self.width = scratch, docs, signed, reps, width
         self.component: DataFrame | None = None             # rep, comp (only reps with a link)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
@@ -197,7 +201,7 @@ class Links:
         if ids.count() <= MAX_BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-        sets = (texts.mapInArrow(_sets, "d1 long, d2 long, set binary").join(wanted.select("rep", "d1", "d2"), ["d1", "d2"])
+        sets = (texts.mapInArrow(_sets(self.width), "d1 long, d2 long, set binary").join(wanted.select("rep", "d1", "d2"), ["d1", "d2"])
                 .select("rep", "set").dropDuplicates(["rep"]))
         sets = self.scratch.keep(sets, "sets")
         self.scratch.drop(wanted)
@@ -347,17 +351,17 @@ def _families(scratch: Scratch, mixed: DataFrame, payload: DataFrame, compare) -
     return asks.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_family(compare), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `docs`."""
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of `docs`, over shingles of `width` words."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = scratch.keep(docs.mapInArrow(_signed, f"doc_id {kind}, n long, d1 long, d2 long, sig binary, brief binary")
+    signed = scratch.keep(docs.mapInArrow(_signed(width), f"doc_id {kind}, n long, d1 long, d2 long, sig binary, brief binary")
                           .withColumn("rid", F.monotonically_increasing_id()), "signed")
     groups = scratch.keep(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")), "groups")
     reps = scratch.keep(signed.join(groups.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "sig", "brief"), "reps")
-    links = Links(scratch, docs, signed, reps)
+    links = Links(scratch, docs, signed, reps, width)
     small, dense = _nodes(scratch, reps, reps.count())
     rows = small.join(reps.drop("sig"), "rep").select("node", "rep", "n", "brief").repartition("node").sortWithinPartitions("node")
     pairs = rows.mapInArrow(_small_pairs, "a long, b long")
@@ -396,17 +400,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, width: int = 2) -> DataFrame:
     """The rows of `docs` whose doc_id is its component's smallest, all columns."""
     gone = Scratch(docs.sparkSession).keep(
-        near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "gone")
+        near_duplicates(docs, width).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "gone")
     if gone.count() <= MAX_BROADCAST_IDS:                  # else both sides are shuffled
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 OP9_SQL = r"""

@@ -60,8 +60,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, powers: Powers) -> tuple[n
     return hashes, np.searchsorted(starts, begins, side="right") - 1
 
 
-def shingle_sets(texts: pa.Array, powers: Powers) -> Iterator[np.ndarray]:
-    """Per text the ascending distinct hashes of its 2-word shingles; a lone word is its own; null or blank: empty."""
+def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash per run of `width` words; a lone word's differs from those of longer runs."""
+    if width == 1:
+        return mixed(hashes * _LONE)
+    n = len(hashes) - width + 1
+    out = hashes[:max(n, 0)]
+    for k in range(1, width):
+        out = mixed(out * _STEP + hashes[k:k + max(n, 0)])
+    return out
+
+
+def shingle_sets(texts: pa.Array, powers: Powers, width: int = 2) -> Iterator[np.ndarray]:
+    """Per text the ascending distinct hashes of its `width`-word shingles; a text of fewer words is one; null or blank: empty."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -73,11 +84,11 @@ def shingle_sets(texts: pa.Array, powers: Powers) -> Iterator[np.ndarray]:
         part, starts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         if len(part):
             hashes, doc = word_hashes(part, starts, powers)
-            pairs = mixed(hashes[:-1] * _STEP + hashes[1:])
+            grams = _grams(hashes, width)
             bounds = np.searchsorted(doc, np.arange(j - i + 1))
             for k in range(j - i):
                 a, b = bounds[k], bounds[k + 1]
-                yield np.unique(pairs[a:b - 1]) if b - a > 1 else mixed(hashes[a:b] * _LONE) if b - a == 1 else none
+                yield np.unique(grams[a:b - width + 1]) if b - a >= width else _grams(hashes[a:b], b - a) if b > a else none
         else:
             for _ in range(j - i):
                 yield none

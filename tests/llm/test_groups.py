@@ -128,6 +128,22 @@ def test_dense_nodes_lose_no_link(spark, monkeypatch):
     assert near_rows(spark, data) == sorted(brute.near_components(data), key=key)
 
 
+def five_words(text):
+    w = brute.SPACED.findall((text or "").translate(brute.UP))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_near_stage_equals_five_word_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brute, "shingles", five_words)
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda k: " ".join(f"e{k}x{i}" if i % 11 == 5 and i // 11 < k else w for i, w in enumerate(base))
+    texts = [" ".join(base), edited(2), edited(3), edited(4), edited(5), "a b c d", "A b  c D", "a b c", "a b c d e", "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(d for d, _, _, kept in brute.near_components(list(enumerate(texts))) if kept)
+    assert want == [0, 2, 3, 4, 5, 7, 8, 9]
+    assert [d for d, in rows(corpus_pipeline.near(spark, docs, ""), "doc_id")] == want
+
+
 def test_near_dedup_cases(spark):
     docs = brute.odd(spark)
     assert near_dedup.kept_rows(docs).schema == docs.schema
