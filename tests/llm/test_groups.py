@@ -144,6 +144,22 @@ def test_near_stage_equals_five_word_brute_force(spark, monkeypatch):
     assert [d for d, in rows(corpus_pipeline.near(spark, docs, ""), "doc_id")] == want
 
 
+def test_near_kept_rows_equal_brute_force(spark):
+    """Of each component one row stays, whatever ids its rows share with others."""
+    copy = " ".join(f"k{i}" for i in range(40))
+    data = [(r[0], r[1]) for r in brute.odd_rows()] + [(None, "only here"), (None, copy), (None, copy + " x"), (20, copy), (20, copy), (20, "nothing alike"),
+                                                       (21, copy + " y"), (22, None), (22, "z z z"), (None, "null ids alone"), (None, "null ids  ALONE")]
+    docs = spark.createDataFrame([(*d, 1, "x") for d in data], "doc_id long, text string, n int, row string").repartition(3)
+    got = near_dedup.kept_rows(docs)
+    want = [(d, t) for d, t in data if not brute.shingles(t)]
+    want += [(1, "The quick brown fox\njumps over"), (4, brute.LONG), (6, "12 345 !!"), (7, "einwort"), (1, "ein ganz anderer Text"), (10, "é ß 日本語 \U0001F600"),
+             (None, "only here"), (20, copy), (20, "nothing alike"), (22, "z z z")]
+    found = rows(got, "doc_id", "text")
+    alone = [x for x in found if x[1] and x[1].startswith("null ids")]
+    assert got.schema == docs.schema and len(alone) == 1 and alone[0][0] is None
+    assert [x for x in found if x not in alone] == sorted(want, key=key)
+
+
 def test_near_dedup_cases(spark):
     docs = brute.odd(spark)
     assert near_dedup.kept_rows(docs).schema == docs.schema
