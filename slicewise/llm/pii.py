@@ -42,6 +42,9 @@ _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _DAY0 + 1
 # English month names.
 _MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+# ITU country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                             "81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 class Feistel:
@@ -142,13 +145,19 @@ def _ssn(v: str, p: Callable) -> str | None:
     return f"{a:03d}{v[3]}{g + 1:02d}{v[6]}{s + 1:04d}"
 
 
+def _country(digits: str) -> str:
+    """The country code that an international number starts with, however it is written."""
+    return digits[:1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
 def _phone(v: str, p: Callable) -> str | None:
-    m = re.match(r"\+\d{1,3}", v)
-    rest = re.sub(r"\D", "", v[m.end():])
-    if not 7 <= len(rest) <= 12 or rest[0] == "0":
+    digits = re.sub(r"\D", "", v)
+    code = _country(digits)
+    rest = digits[len(code):]
+    if not 8 <= len(digits) <= 15 or rest[0] == "0":
         return None
     low, size = 10 ** (len(rest) - 1), 9 * 10 ** (len(rest) - 1)        # the first digit stays above 0
-    return m.group() + _fill(v[m.end():], str(low + p(int(rest) - low, size, f"phone{m.group()}:{len(rest)}")))
+    return _fill(v, code + str(low + p(int(rest) - low, size, f"phone+{code}:{len(rest)}")))
 
 
 def _local_phone(v: str, p: Callable) -> str | None:

@@ -238,6 +238,17 @@ def test_equal_values_stay_linked():
     assert len({tuple(sorted(re.findall(r"\d+", d))) for d in day}) == 1
 
 
+@pytest.mark.parametrize("spellings", [
+    ["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "+1-415-555-2671", "+1415 555 2671"], ["+49 30 1234567", "+49301234567", "+493 01234567"],
+    ["+7 495 123 45 67", "+74951234567"], ["+358 40 1234567", "+358401234567", "+35 840 1234567"], ["+44 20 7946 0958", "+442079460958"]])
+def test_equal_phones_stay_linked(spellings):
+    p = pii.Pseudonyms(b"k")
+    new = [p.apply(f"x {s} y")[0][2:-2] for s in spellings]
+    assert len({re.sub(r"\D", "", n) for n in new}) == 1 and not set(new) & set(spellings)
+    assert [re.sub(r"\d", "0", n) for n in new] == [re.sub(r"\d", "0", s) for s in spellings]
+    assert [pii.Pseudonyms(b"k", back=True).apply(n)[0] for n in new] == spellings
+
+
 def test_pseudonym_cases(spark):
     docs = brute.odd(spark)
     got = pii.pseudonymise(docs, b"k")
