@@ -153,11 +153,16 @@ def _country(digits: str) -> str:
 def _phone(v: str, p: Callable) -> str | None:
     digits = re.sub(r"\D", "", v)
     code = _country(digits)
-    rest = digits[len(code):]
-    if not 8 <= len(digits) <= 15 or rest[0] == "0":
+    trunk = re.match(rf"\+{code}[ .-]?\(0\)", v)          # a zero that is only dialled inside the country
+    rest = digits[len(code) + bool(trunk):]
+    if not 8 <= len(code) + len(rest) <= 15:
         return None
-    low, size = 10 ** (len(rest) - 1), 9 * 10 ** (len(rest) - 1)        # the first digit stays above 0
-    return _fill(v, code + str(low + p(int(rest) - low, size, f"phone+{code}:{len(rest)}")))
+    if rest[0] == "0":                                    # part of the number (Italy); it stays
+        new = "0" + str(p(int(rest), 10 ** (len(rest) - 1), f"phone+{code}:0{len(rest)}")).zfill(len(rest) - 1)
+    else:
+        low, size = 10 ** (len(rest) - 1), 9 * 10 ** (len(rest) - 1)    # the first digit stays above 0
+        new = str(low + p(int(rest) - low, size, f"phone+{code}:{len(rest)}"))
+    return _fill(v, code + "0" * bool(trunk) + new)
 
 
 def _local_phone(v: str, p: Callable) -> str | None:
@@ -219,7 +224,7 @@ _MONTH = "|".join(_MONTHS)
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,200}\.[A-Za-z]{2,24}(?![\w@])", _email),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
-    ("date", r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w-])", _date),
+    ("date", r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w-]))", _date),
     ("date", rf"(?<!\w)(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{_MONTH}) \d{{4}})(?!\w)", _date),
     ("ssn", r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])", _ssn),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,5}(?!\w)", _phone),

@@ -240,7 +240,8 @@ def test_equal_values_stay_linked():
 
 @pytest.mark.parametrize("spellings", [
     ["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "+1-415-555-2671", "+1415 555 2671"], ["+49 30 1234567", "+49301234567", "+493 01234567"],
-    ["+7 495 123 45 67", "+74951234567"], ["+358 40 1234567", "+358401234567", "+35 840 1234567"], ["+44 20 7946 0958", "+442079460958"]])
+    ["+7 495 123 45 67", "+74951234567"], ["+358 40 1234567", "+358401234567", "+35 840 1234567"], ["+44 20 7946 0958", "+442079460958"],
+    ["+44 (0)20 7946 0958", "+44(0)2079460958"], ["+39 06 1234 5678", "+390612345678"]])
 def test_equal_phones_stay_linked(spellings):
     p = pii.Pseudonyms(b"k")
     new = [p.apply(f"x {s} y")[0][2:-2] for s in spellings]
@@ -249,6 +250,19 @@ def test_equal_phones_stay_linked(spellings):
     assert [pii.Pseudonyms(b"k", back=True).apply(n)[0] for n in new] == spellings
 
 
+def test_common_forms_are_found():
+    p, digits = pii.Pseudonyms(b"k"), lambda s: re.sub(r"\D", "", s)
+    day = p.apply("2024-01-02")[0]
+    for tail in ("T10:00:00", "T10:00:00.123+02:00", "t1000Z", "T10"):
+        new, spans = p.apply(f"at 2024-01-02{tail}, then")
+        assert new == f"at {day}{tail}, then" and spans == [("date", 3, 10)]
+        assert pii.Pseudonyms(b"k", back=True).apply(new)[0] == f"at 2024-01-02{tail}, then"
+    assert p.apply("2024-01-02Tuesday 2024-02-30T10:00")[1] == []
+    trunk, plain = p.apply("+44 (0)20 7946 0958")[0], p.apply("+44 20 7946 0958")[0]
+    assert trunk.startswith("+44 (0)") and trunk.replace("(0)", "") == plain    # the zero in brackets is not part of the number
+    assert digits(p.apply("+39 06 1234 5678")[0])[:3] == "390"
+
+
 def test_pseudonym_cases(spark):
     docs = brute.odd(spark)
     got = pii.pseudonymise(docs, b"k")
