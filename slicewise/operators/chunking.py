@@ -129,8 +129,11 @@ def _chunk_lists(staged: DataFrame, keep: list[str], size_col: str, overlap_col:
     return ranged.select(*keep, _ranges_to_chunks(F.col("_pieces"), F.col("_ranges")).alias("chunks"))
 
 
-def _exploded(lists: DataFrame, keep: list[str]) -> DataFrame:
-    return lists.select(*keep, F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+def exploded(lists: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per chunk of the list column `chunks`."""
+    # outer, for the plain form infers a filter on `chunks`; pushed below, it would cut and join every chunk once more
+    rows = lists.select(*keep, F.posexplode_outer("chunks").alias("chunk_index", "chunk_text"))
+    return rows.filter(F.col("chunk_index").isNotNull())
 
 
 def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
@@ -143,7 +146,7 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
     """
     keep = [c for c in df.columns if c != text_col]
     staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
-    return _exploded(_chunk_lists(staged, keep, size_col, overlap_col), keep)
+    return exploded(_chunk_lists(staged, keep, size_col, overlap_col), keep)
 
 
 def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
@@ -164,7 +167,7 @@ def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
                 size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
     """Chunk (document, strategy) rows in one pass over the corpus, one row per chunk."""
     keep = [c for c in pairs.columns if c != text_col]
-    return _exploded(pair_chunk_lists(pairs, strategies_rows, text_col, size_col, overlap_col), keep)
+    return exploded(pair_chunk_lists(pairs, strategies_rows, text_col, size_col, overlap_col), keep)
 
 
 def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "text",

@@ -66,8 +66,7 @@ def collection_chunks(spark: SparkSession, sf_dir: str, strategies: list[str] |
     chunk_index, chunk_text. strategies: only these.
     """
     lists = collection_chunk_lists(spark, sf_dir, strategies)
-    return lists.select("collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "original_text_length",
-                        F.posexplode("chunks").alias("chunk_index", "chunk_text"))
+    return chunking.exploded(lists, ["collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "original_text_length"])
 
 
 def collection_chunk_lists(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> DataFrame:

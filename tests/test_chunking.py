@@ -66,6 +66,16 @@ def test_plan_is_map_side(spark):
     assert "Exchange" not in plan
 
 
+def test_chunks_are_cut_once(spark):
+    """No filter below the explode evaluates the chunk list (a `slice` of pieces) a second time."""
+    df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").withColumn(
+        "chunk_size", F.lit(10)).withColumn("chunk_overlap", F.lit(2))
+    for method in (chunking.LINE_MERGE, chunking.RECURSIVE):
+        plan = chunking.split_text(df, method)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("slice(") == 2, plan              # the stripped and the unstripped branch of one expression
+        assert not any("slice(" in line for line in plan.splitlines() if "Filter " in line)
+
+
 def test_time_grows_with_the_document(spark):
     """One long document: chunk texts are joined from pieces, not cut out of the whole text again and again."""
     import time
