@@ -12,8 +12,9 @@ A document's set are its distinct shingles (`width` words); two documents link w
    combinations of k neighbouring tokens of class k (neighbours among the set's tokens of that class). One differing token undoes at
    most k combinations, so D of them leave one that both sides hold: of two prefixes the one that ends
    first in the common order has all its tokens within reach of the other.
-3. Representatives that share a signature are candidates: all pairs of lists of up to `SMALL`; in longer lists each member
-   with `PIVOTS` pivots, then members outside the list's largest cluster with all members, block by block.
+3. Representatives that share a signature are candidates. In lists longer than `SMALL` each member meets `PIVOTS`
+   pivots; in shorter ones all pairs meet but those that pivots have already connected; last, members outside
+   a long list's largest cluster meet all its members, block by block.
    A candidate must pass a bound on full sets: both sides' tokens counted in about n / 4 buckets, the
    overlap is at most the sum of the smaller counts.
 4. Verification: candidates' clusters meet in blocks on their full shingle sets, computed from the whole texts. In a
@@ -274,14 +275,14 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _list_pairs(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All pairs, of sizes that allow a link, inside lists of at most SMALL members; rows come sorted by signature."""
-    def pairs(sig, rep, n):
+    """Pairs, of sizes that allow a link and not of one cluster, inside lists of at most SMALL members; rows come sorted by signature."""
+    def pairs(sig, rep, n, comp):
         a, b = [], []
         for d in range(1, SMALL):
             at = np.flatnonzero(sig[d:] == sig[:-d]) if len(sig) > d else ()
             if not len(at):
                 break
-            at = at[100 * np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d])]
+            at = at[(comp[at] != comp[at + d]) & (100 * np.minimum(n[at], n[at + d]) >= similarity * np.maximum(n[at], n[at + d]))]
             a.append(np.minimum(rep[at], rep[at + d]))
             b.append(np.maximum(rep[at], rep[at + d]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -293,7 +294,7 @@ def _list_pairs(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy() for c in ("sig", "rep", "n")]
+            now = [batch.column(c).to_numpy() for c in ("sig", "rep", "n", "comp")]
             if left is not None:
                 now = [np.concatenate(x) for x in zip(left, now, strict=True)]
             last = np.searchsorted(now[0], now[0][-1])        # the last list may go on in the next batch
@@ -316,17 +317,18 @@ def _candidates(scratch: Scratch, reps: DataFrame, similarity: int) -> DataFrame
     rows = reps.select(F.explode("sigs").alias("sig"), "rep", "n")
     sizes = rows.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     live = scratch.keep(rows.join(sizes, "sig"), "lists")
-    small = live.filter(F.col("size") <= SMALL).select("sig", "rep", "n").repartition("sig").sortWithinPartitions("sig")
-    pairs = small.mapInArrow(_list_pairs(similarity), "a long, b long")
     dense = live.filter(F.col("size") > SMALL).select(F.col("sig").alias("node"), "rep", "size")
-    has_dense = not dense.isEmpty()
+    clusters, has_dense = None, not dense.isEmpty()
     if has_dense:
         least = [F.min(F.struct(F.xxhash64("node", "rep", F.lit(i)), "rep")).alias(f"p{i}") for i in range(PIVOTS)]
         pivots = dense.groupBy("node").agg(*least).select("node", F.explode(F.array(*[F.col(f"p{i}.rep") for i in range(PIVOTS)])).alias("pivot"))
         mine = dense.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x")).select("rep", "x.node")
-        pairs = pairs.unionByName(mine.join(pivots, "node").filter("rep <> pivot").select(*_ordered("rep", "pivot")))
-    pairs = scratch.keep(possible(pairs.distinct()), "pairs")
-    clusters = components(scratch, pairs)
+        stars = mine.join(pivots, "node").filter("rep <> pivot").select(*_ordered("rep", "pivot"))
+        clusters = components(scratch, possible(stars.distinct()))
+    small = (_named(live.filter(F.col("size") <= SMALL).select("sig", "rep", "n"), clusters).select("sig", "rep", "n", "comp")
+             .repartition("sig").sortWithinPartitions("sig"))
+    pairs = scratch.keep(possible(small.mapInArrow(_list_pairs(similarity), "a long, b long").distinct()), "pairs")
+    clusters = components(scratch, pairs if clusters is None else _stars(clusters).unionByName(pairs))
     scratch.drop(pairs)
     if has_dense:
         mixed = _stragglers(scratch, dense, clusters)
