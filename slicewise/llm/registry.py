@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, ngram_join, packing, pii, topk, url_filter, whitening
+from . import alignment, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, ngram_join, packing, pii, topk, url_filter, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_ngram_jaccard_join": ngram_join.op12_ngram_jaccard_join,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
