@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, table
+from .common import Scratch, located, lower_ascii, table
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -55,8 +55,9 @@ def sha256(text: Column) -> Column:
 def digest_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, rid, locator, digest, sha256: what the stream reads. `docs` may itself be a stream's micro-batch."""
     norm = normalised(F.col("text"))
+    place = [c for c in docs.columns if c == "place"]
     return docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.input_file_name().alias("locator"),
-                       digest(norm).alias("digest"), sha256(norm).alias("text_sha256"))
+                       digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), *place)
 
 
 def advance(spark: SparkSession, source: str, schema, state: str) -> DataFrame:
@@ -95,12 +96,16 @@ def _differing(scratch: Scratch, docs: DataFrame, groups: DataFrame, digest: Cal
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`."""
+    return _decided(Scratch(docs.sparkSession), docs.select("doc_id", "text"), digest)
+
+
+def _decided(scratch: Scratch, docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """The columns of `dedup`, and place where `docs` (doc_id, text) has it."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
     source = scratch.path("digests")
     digest_rows(docs, digest).write.parquet(source)
     rows = spark.read.parquet(source)
+    place = [c for c in docs.columns if c == "place"]
     state = advance(spark, source, rows.schema, scratch.path("state"))
     groups = scratch.keep(state.filter("group_size > 1").select("digest", "keeper", "group_size"), "groups")
     full, bad = _differing(scratch, docs, groups, digest)
@@ -108,27 +113,19 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     out = (rows.join(groups, "digest", "left")
            .select("doc_id", "rid", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
                    F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                   (F.col("group_size").isNull() | (F.col("keeper.rid") == F.col("rid"))).alias("kept"), "text_sha256", "digest"))
+                   (F.col("group_size").isNull() | (F.col("keeper.rid") == F.col("rid"))).alias("kept"), "text_sha256", "digest", *place))
     if not bad.isEmpty():
         out = out.join(bad, "digest", "left_anti").unionByName(_by_text(rows, full, bad), allowMissingColumns=True)
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-
-
-def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns: those whose (doc_id, digest) stays, each once."""
-    result = dedup(docs)
-    stay = result.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    keyed = docs.withColumn("_digest_here", sha256(normalised(F.col("text"))))
-    # a kept row that is repeated word for word comes once: rows with its id and digest are numbered
-    again = result.filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(stay, (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if again.isEmpty():
-        return rows.select(*docs.columns)
-    once = rows.join(again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")),
-                     (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rest = rows.join(again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")),
-                     (F.col("_digest_here") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return rest.unionByName(once.dropDuplicates(["doc_id", "_digest_here"])).select(*docs.columns)
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *place)
+
+
+def kept_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of `docs` that stay, all columns. Only the places of rows that go are kept and joined."""
+    scratch = Scratch(docs.sparkSession)
+    rows = located(scratch, docs, "doc_id", "text")
+    gone = scratch.keep(_decided(scratch, rows.select("doc_id", "text", "place"), digest).filter("NOT kept").select("place"), "gone")
+    scratch.only(gone, *scratch.stored(rows))
+    return rows.select("row", "place").join(gone, "place", "left_anti").select("row.*")
 
 
 def _by_text(rows: DataFrame, full: DataFrame, bad: DataFrame) -> DataFrame:
@@ -139,9 +136,10 @@ def _by_text(rows: DataFrame, full: DataFrame, bad: DataFrame) -> DataFrame:
     keyed = keyed.join(named.withColumnRenamed("digest", "g").withColumnRenamed("text_sha256", "t"),
                        (F.col("digest") == F.col("g")) & (F.col("text_sha256") == F.col("t")) & F.col("d").eqNullSafe(F.col("doc_id")))
     groups = keyed.groupBy("norm").agg(F.max(F.struct("doc_id", "rid")).alias("keeper"), F.count("*").alias("group_size"))
-    return (keyed.select("doc_id", "rid", "norm", "text_sha256", "digest").join(groups, "norm")
+    place = [c for c in rows.columns if c == "place"]
+    return (keyed.select("doc_id", "rid", "norm", "text_sha256", "digest", *place).join(groups, "norm")
             .select("doc_id", "rid", F.col("keeper.doc_id").alias("keep_id"), "group_size",
-                    (F.col("keeper.rid") == F.col("rid")).alias("kept"), "text_sha256", "digest"))
+                    (F.col("keeper.rid") == F.col("rid")).alias("kept"), "text_sha256", "digest", *place))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

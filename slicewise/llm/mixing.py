@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, Scratch, table
+from .common import SPACED_WORD, Scratch, located, table
 
 BLOCK_WORDS = 64
 MAX_REPEAT = 3
@@ -145,45 +145,43 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_R
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
-def _first_words(rows):
+def _word_ends(rows):
+    """end: characters up to the end of word number `words` of the text."""
     import re
     word = re.compile(SPACED_WORD)
     for pdf in rows:
-        cut = []
-        for text, n in zip(pdf["text"], pdf["_words"], strict=True):
-            end = 0
-            for k, m in enumerate(word.finditer(text), 1):
-                end = m.end()
-                if k == n:
-                    break
-            cut.append(text[:end])
-        pdf["text"] = cut
-        yield pdf.drop(columns=["_words"])
+        pdf["end"] = [next((m.end() for k, m in enumerate(word.finditer(text), 1) if k == n), len(text))
+                      for text, n in zip(pdf["text"], pdf["words"], strict=True)]
+        yield pdf[["rid", "pass", "end"]]
 
 
 def apply_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = "mix") -> DataFrame:
     """The mixed corpus: a row per document and pass, with the words that the pass takes.
 
     Columns and types of `docs`; n_chars, if there, is the length of the new text.
-    At most one document per source and pass is cut, the others come whole.
+    At most one document per source and pass is cut, the others come whole. Texts are shuffled once,
+    at every size of the input: rows meet the list of their passes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     cols = docs.columns
-    rows = scratch.keep(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    sized = scratch.keep(_sized(rows.select("doc_id", "text", "source", F.col("_rid").alias("rid"))).drop("text"), "sized")
+    rows = located(scratch, docs, "doc_id", "text", "source")
+    sized = scratch.keep(_sized(rows.select("place", "doc_id", "text", "source")).drop("text").withColumn("rid", F.monotonically_increasing_id()), "sized")
     per = scratch.keep(targets(sized, max_repeat), "targets")
     total = int(per.agg(F.max("total")).first()[0] or 0)
-    took = (takes(spark, sized, per, total, block_words, max_repeat, seed)
-            .join(sized.select("rid", "size"), "rid").select(F.col("rid").alias("_rid"), F.col("words").alias("_words"), "size"))
-    took = scratch.keep(took, "took")
-    whole = rows.join(took.filter("_words = size").select("_rid"), "_rid").select(*cols)
-    cut = rows.join(took.filter("_words < size").select("_rid", "_words"), "_rid").select(*cols, "_words")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = whole.unionByName(cut.mapInPandas(_first_words, schema))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    took = scratch.keep(takes(spark, sized, per, total, block_words, max_repeat, seed)
+                        .join(sized.select("rid", "place", "size"), "rid"), "took")
+    # documents that a pass takes a part of: the last one of a source in each pass
+    parts = rows.select("place", "text").join(took.filter("words < size").select("place", "rid", "pass", "words"), "place")
+    ends = parts.select("rid", "pass", "text", "words").mapInPandas(_word_ends, "rid long, pass long, end int")
+    passes = (took.join(ends, ["rid", "pass"], "left").groupBy("rid").agg(F.first("place").alias("place"), F.collect_list(F.struct("pass", "end")).alias("passes")))
+    passes = scratch.keep(passes.select("place", "passes"), "passes")               # at most max_repeat + 1 passes a document
+    scratch.only(passes, *scratch.stored(rows))
+    out = rows.select("row", "place").join(passes.hint("shuffle_hash"), "place").select("row", F.explode("passes").alias("taken"))
+    text = F.when(F.col("taken.end").isNull(), F.col("row.text")).otherwise(F.substring(F.col("row.text"), F.lit(1), F.col("taken.end")))
+    new = {"text": text, "n_chars": F.length(text)}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return out.select(*[(new[c].cast(kinds[c]) if c in new else F.col("row").getField(c)).alias(c) for c in cols])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, table
+from .common import Scratch, located, table
 
 TOKENS = 64
 TREES = 4
@@ -66,7 +65,8 @@ MAX_BROADCAST_IDS = 1 << 20
 SIMILARITY = 80          # per cent
 
 
-def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signed(width: int, passed: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Set size, digest and tokens of every text, behind the columns `passed`."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import MinHash, Powers, digest, shingle_sets
         powers, tokens = Powers(), MinHash(TOKENS)
@@ -79,9 +79,9 @@ def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 d2.append(b)
                 sig.append(tokens(s) if len(s) else None)
                 brief.append(_brief(sig[-1]) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
                                               pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())],
-                                             ["doc_id", "n", "d1", "d2", "sig", "brief"])
+                                             [*passed, "n", "d1", "d2", "sig", "brief"])
     return signed
 
 
@@ -352,22 +352,12 @@ def _families(scratch: Scratch, mixed: DataFrame, payload: DataFrame, compare) -
     return asks.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_family(compare), "a long, b long").distinct()
 
 
-def _keyed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import Powers, digest, shingle_sets
-        powers = Powers()
-        for batch in batches:
-            found = [(len(s), *(digest(s) if len(s) else (0, 0))) for s in shingle_sets(batch.column("text"), powers, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))],
-                                             ["row", "n", "d1", "d2"])
-    return keyed
-
-
 def _decided(scratch: Scratch, docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, rid, n, d1, d2, component_id, comp of every row of `docs`; comp is null for rows without shingles."""
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = scratch.keep(docs.mapInArrow(_signed(width), f"doc_id {kind}, n long, d1 long, d2 long, sig binary, brief binary")
+    """doc_id, rid, n, component_id, comp of every row of `docs`, and file, file2, at where it has them; comp is null for rows without shingles."""
+    passed = [c for c in ("doc_id", "file", "file2", "at") if c in docs.columns]
+    docs = docs.select(*passed, "text")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in passed)
+    signed = scratch.keep(docs.mapInArrow(_signed(width, passed), f"{kinds}, n long, d1 long, d2 long, sig binary, brief binary")
                           .withColumn("rid", F.monotonically_increasing_id()), "signed")
     groups = scratch.keep(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")), "groups")
     reps = scratch.keep(signed.join(groups.select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), "n", "sig", "brief"), "reps")
@@ -407,41 +397,28 @@ def _decided(scratch: Scratch, docs: DataFrame, width: int) -> DataFrame:
     return (signed.join(known, ["d1", "d2"], "left")
             .withColumn("in_set", F.when(F.col("n") > 0, F.col("in_set")))
             .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-            .select("doc_id", "rid", "n", "d1", "d2", "component_id", F.when(~alone, F.col("comp")).alias("comp")))
+            .select(*passed, "rid", "n", "component_id", F.when(~alone, F.col("comp")).alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`, over shingles of `width` words."""
-    return (_decided(Scratch(docs.sparkSession), docs, width)
+    return (_decided(Scratch(docs.sparkSession), docs.select("doc_id", "text"), width)
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def kept_rows(docs: DataFrame, width: int = 2) -> DataFrame:
-    """One row of each component (smallest doc_id, then row number) and every row without shingles, all columns."""
+    """One row of each component (smallest doc_id, then row number) and every row without shingles, all columns.
+
+    Only the places of rows that go are kept and joined.
+    """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_decided(scratch, docs, width).select("doc_id", "rid", "n", "d1", "d2", "comp"), "decided")
-    first = (rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-             .select("first.rid", F.lit(True).alias("first")))
-    rows = scratch.keep(rows.join(first, "rid", "left").withColumn("stays", F.col("comp").isNull() | F.col("first").isNotNull()), "rows")
-    # the ids of rows that go; those with `stays` also have rows that stay, which are told apart by their sets
-    ids = scratch.keep(rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("stays").alias("all"), F.max("stays").alias("stays"))
-                       .filter("NOT all").select("_id", "stays"), "ids")
-    some = ids.filter("stays").select("_id")
-    small = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df  # noqa: E731   else both sides are shuffled
-    has = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rest = docs.join(small(ids.select("_id")), has, "left_anti")
-    if some.isEmpty():
-        return rest
-    some = small(some)
-    keys = (rows.filter("stays AND n > 0").join(some, has, "left_semi")
-            .select(F.col("doc_id").alias("_id"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2")))
-    shape = StructType([StructField("row", docs.schema, False), *(StructField(c, LongType()) for c in ("n", "d1", "d2"))])
-    again = scratch.keep(docs.join(some, has, "left_semi").select(F.struct(*docs.columns).alias("row"), "text").mapInArrow(_keyed(width), shape), "again")
-    # rows that repeat an id and a set are copies: the first of them stays
-    again = again.withColumn("doc_id", F.col("row.doc_id")).withColumn("at", F.monotonically_increasing_id())
-    once = (again.filter("n > 0").join(keys, has & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi")
-            .groupBy("doc_id", "d1", "d2").agg(F.min_by("row", "at").alias("row")))
-    return rest.unionByName(again.filter("n = 0").select("row.*")).unionByName(once.select("row.*"))
+    rows = located(scratch, docs, "doc_id", "text")
+    decided = _decided(scratch, rows.select("doc_id", "text", "place.file", "place.file2", "place.at"), width)
+    decided = scratch.keep(decided.filter("comp IS NOT NULL").select("doc_id", "rid", "comp", F.struct("file", "file2", "at").alias("place")), "decided")
+    first = decided.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid")
+    gone = scratch.keep(decided.join(first, "rid", "left_anti").select("place"), "gone")
+    scratch.only(gone, *scratch.stored(rows))
+    return rows.select("row", "place").join(gone, "place", "left_anti").select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

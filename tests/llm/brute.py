@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
 
@@ -27,14 +29,14 @@ def odd(spark, rows: list[tuple] | None = None):
     return spark.createDataFrame(odd_rows() if rows is None else rows, SCHEMA).repartition(3)
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, width: int = 2) -> frozenset:
     w = SPACED.findall((text or "").translate(UP))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w)
+    return frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def near_components(rows: list[tuple]) -> list[tuple]:
+def near_components(rows: list[tuple], width: int = 2) -> list[tuple]:
     """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     top = list(range(len(rows)))
 
     def find(i):
@@ -83,3 +85,54 @@ def near_copies(n: int, edits: int, seed: int, base_words: int = 120) -> list[st
             words[rng.randrange(base_words)] = f"e{rng.randrange(10 ** 6)}"
         out.append(" ".join(words))
     return out
+
+
+def mix_targets(sizes: list[int]) -> list[float]:
+    """Targets of sources in code point order by filling up: weights 1, 2, 3, at most 3 times a source's size."""
+    total, target = sum(sizes), [0.0] * len(sizes)
+    free, left = set(range(len(sizes))), float(sum(sizes))
+    while free and total:
+        level = left / sum(i % 3 + 1 for i in free)
+        full = {i for i in free if level * (i % 3 + 1) >= 3 * sizes[i]}
+        if not full:
+            for i in free:
+                target[i] = level * (i % 3 + 1)
+            break
+        for i in full:
+            target[i] = 3.0 * sizes[i]
+            left -= target[i]
+        free -= full
+    return target
+
+
+def mixed_rows(rows: list[tuple], block: int = 64, golden: int = 1327217885, period: int = 1 << 31) -> list[tuple]:
+    """(doc_id, text) of every pass of the mix over (doc_id, text, source) rows with distinct ids, slot by slot."""
+    size = {d: len(SPACED.findall(t)) for d, t, _ in rows}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    members = [[(d, t) for d, t, s in rows if s == x] for x in sources]
+    sizes = [sum(size[d] for d, _ in m) for m in members]
+    target, total, cuts, at = mix_targets(sizes), sum(sizes), [], 0.0
+    for i, x in enumerate(target):
+        low, high = math.floor(at / total * period), math.floor((at + x) / total * period)
+        at += x
+        if x > 0:
+            cuts.append([i, low, high])
+    cuts[-1][2] = period
+    used: dict = {}
+    taken = [0] * len(sources)
+    for j in range(-(-total // block)):
+        point = j * golden % period
+        i = next(i for i, low, high in cuts if low <= point < high)
+        n = -(-sizes[i] // block)
+        used.setdefault((i, taken[i] // n), set()).add(taken[i] % n)
+        taken[i] += 1
+    out = []
+    for i, m in enumerate(members):
+        at = 0
+        for d, t in sorted(((d, t) for d, t in m if size[d]), key=lambda x: (hashlib.md5(f"mix:{x[0]}".encode()).hexdigest(), x[0])):
+            for turn in range(3):
+                n = sum(k // block in used.get((i, turn), ()) for k in range(at, at + size[d]))
+                if n:
+                    out.append((d, t if n == size[d] else t[:[w.end() for w in SPACED.finditer(t)][n - 1]]))
+            at += size[d]
+    return sorted(out)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slicewise.llm import exact_dedup, license_scan, line_dedup, near_dedup, topk
+from slicewise.llm import exact_dedup, license_scan, line_dedup, near_dedup, packing, topk
 from slicewise.llm.common import Scratch
 
 
@@ -128,18 +129,12 @@ def test_dense_nodes_lose_no_link(spark, monkeypatch):
     assert near_rows(spark, data) == sorted(brute.near_components(data), key=key)
 
 
-def five_words(text):
-    w = brute.SPACED.findall((text or "").translate(brute.UP))
-    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def test_near_stage_equals_five_word_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(brute, "shingles", five_words)
+def test_near_stage_equals_five_word_brute_force(spark):
     base = [f"w{i}" for i in range(100)]
     edited = lambda k: " ".join(f"e{k}x{i}" if i % 11 == 5 and i // 11 < k else w for i, w in enumerate(base))
     texts = [" ".join(base), edited(2), edited(3), edited(4), edited(5), "a b c d", "A b  c D", "a b c", "a b c d e", "a b c d e f"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = sorted(d for d, _, _, kept in brute.near_components(list(enumerate(texts))) if kept)
+    want = sorted(d for d, _, _, kept in brute.near_components(list(enumerate(texts)), 5) if kept)
     assert want == [0, 2, 3, 4, 5, 7, 8, 9]
     assert [d for d, in rows(corpus_pipeline.near(spark, docs, ""), "doc_id")] == want
 
@@ -237,6 +232,19 @@ def test_license_templates(spark):
 
 # pipeline
 
+def packed_rows(mixed):
+    """(doc_id, start, length, ids_crc32, ids) of every piece of (doc_id, text) rows, whole texts through the tokenizer."""
+    from tokenizers import Tokenizer
+    plain, out = Tokenizer.from_file(packing.vocabulary_path()), []
+    for d, t in mixed:
+        ids, at = [*plain.encode(t, add_special_tokens=False).ids, packing.END], 0
+        while at < len(ids):
+            n = min(packing.MAX_LEN, 1 << (len(ids) - at).bit_length() - 1)
+            out.append((d, at, n, zlib.crc32(np.array(ids[at:at + n], "<u4").tobytes()), ids[at:at + n]))
+            at += n
+    return sorted(out)
+
+
 def test_pipeline_equals_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -246,24 +254,22 @@ def test_pipeline_equals_brute_force(spark):
         frames.append(docs)
     start = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert all(f.columns == start.columns for f in frames[:-1])
-    data = [(r["doc_id"], r["text"]) for r in start.collect()]
-    seen = [(d, t) for d, t in data if any(c.isalpha() for c in t)]
-    assert rows(frames[0], "doc_id", "text") == sorted(seen)
-    norm, best, _ = plain_exact(seen)
-    seen = [(d, t) for (d, t), x in zip(seen, norm, strict=True) if best[x] == d]
-    assert rows(frames[1], "doc_id", "text") == sorted(seen)
-    keep = {d for d, _, _, kept in brute.near_components(seen) if kept}
-    seen = [(d, t) for d, t in seen if d in keep]
-    assert rows(frames[2], "doc_id", "text") == sorted(seen)
-    whole = dict(seen)
-    mixed = frames[3].collect()
-    assert all(whole[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in mixed)
-    size = lambda t: len(brute.SPACED.findall(t))
-    assert abs(sum(size(r["text"]) for r in mixed) - sum(size(t) for _, t in seen)) <= 64 * 25
-    packed = frames[4].toPandas()
-    assert packed["sequence_id"].is_unique and packed["length"].sum() == packed[packed["start"] == 0]["doc_tokens"].sum()
-    assert (packed["start"] == 0).sum() == len(mixed)
-    assert rows(corpus_pipeline.run(spark, sf_dir), "doc_id", "start", "ids_crc32") == rows(frames[4], "doc_id", "start", "ids_crc32")
+    data = [(r["doc_id"], r["text"], r["source"]) for r in start.collect()]
+    seen = [(d, t, s) for d, t, s in data if any(c.isalpha() for c in t)]
+    assert rows(frames[0], "doc_id", "text", "source") == sorted(seen)
+    norm, best, _ = plain_exact([(d, t) for d, t, _ in seen])
+    seen = [x for x, n in zip(seen, norm, strict=True) if best[n] == x[0]]
+    assert rows(frames[1], "doc_id", "text", "source") == sorted(seen)
+    keep = {d for d, _, _, kept in brute.near_components([(d, t) for d, t, _ in seen], corpus_pipeline.NEAR_WORDS) if kept}
+    seen = [x for x in seen if x[0] in keep]
+    assert rows(frames[2], "doc_id", "text", "source") == sorted(seen)
+    mixed = brute.mixed_rows(seen)
+    assert rows(frames[3], "doc_id", "text") == mixed
+    assert frames[3].filter("n_chars <> length(text)").count() == 0
+    pieces = packed_rows(mixed)
+    assert frames[4].select("sequence_id").distinct().count() == frames[4].count()
+    assert sorted((*r[:4], list(r[4])) for r in frames[4].select("doc_id", "start", "length", "ids_crc32", "ids").collect()) == pieces
+    assert rows(corpus_pipeline.run(spark, sf_dir), "doc_id", "start", "ids_crc32") == sorted((d, a, c) for d, a, _, c, _ in pieces)
 
 
 def test_pipeline_passes_empty_tables(spark):
@@ -271,3 +277,38 @@ def test_pipeline_passes_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and out.count() == 0
+
+
+CLASHES = ["_id", "_rid", "_words", "_digest", "_digest_here", "_metadata", "row", "place", "file", "at", "rid", "taken", "passes", "end", "pass", "gone", "comp", "n", "d", "size", "words", "kept"]
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Every stage gives its rows back with whatever columns they have, from files or not."""
+    data = [(i, f"some words of text number {i % 7} that stay in English, more or less {i % 7}", "en", f"s{i % 2}", 3, *[f"{c}{i}" for c in CLASHES]) for i in range(20)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "lang", "source", "n_chars", *CLASHES])
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, "").collect()
+            assert out and all(tuple(r)[5:] == data[r["doc_id"]][5:] for r in out)
+
+
+def test_exact_stage_keeps_the_largest_row_number(spark):
+    """Rows that repeat an id and a text differ in other columns only: the last one stays, in every run."""
+    docs = spark.createDataFrame([(1, "a b", 7), (1, "A b", 8), (2, "z", 1), (None, "z", 2)], "doc_id long, text string, x int").coalesce(1)
+    for _ in range(2):
+        assert rows(exact_dedup.kept_rows(docs), "doc_id", "text", "x") == [(1, "A b", 8), (2, "z", 1)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_kept_rows_with_any_digest(spark, weak):
+    data = [(r[0], r[1]) for r in brute.odd_rows()]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = rows(exact_dedup.kept_rows(docs, (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else exact_dedup.sha256), "doc_id", "text")
+    norm, best, _ = plain_exact(data)
+    assert sorted(((d, (t or "").translate(brute.UP)) for d, t in got), key=key) == sorted({(best[t], t) for t in norm}, key=key)
+
+
+def test_language_stage_without_labels_keeps_documents(spark):
+    docs = spark.createDataFrame([(1, "words in some language", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert rows(corpus_pipeline.language(spark, docs, ""), "doc_id") == [(1,)]
