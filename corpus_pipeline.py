@@ -5,12 +5,13 @@ stages the rows are written as Parquet and read again. All but the last return
 the columns of documents.
 
 * language: documents without a letter (`und`) go; so do those whose best language
-  explains them no better than the others (posterior under one half).
+  explains them no better than the others (posterior under one half). Without labelled texts to learn
+  from every document with a letter stays.
 * exact: of equal texts (A-Z lower-cased) the row with the largest doc_id stays.
 * near: of each near-duplicate component (5-word shingles, similarity 0.8) the document with the
   smallest doc_id stays.
 * mix: a row per document and pass of the mix, with the words that the pass takes.
-* pack: power-of-two pieces with their ids' digest.
+* pack: power-of-two pieces with their ids and the ids' digest.
 
 Defined cases (each stage): those of its operator; an empty table passes through
 as an empty table of the same columns.
@@ -31,7 +32,10 @@ NEAR_WORDS = 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    predicted = language_id.with_language(docs.select(F.struct(*docs.columns).alias("d"), "text"), language_id.learn(docs))
+    model = language_id.learn(docs)
+    if not model.langs:                                  # no labelled text to learn from: nothing is rejected but texts without a letter
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    predicted = language_id.with_language(docs.select(F.struct(*docs.columns).alias("d"), "text"), model)
     return predicted.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_POSTERIOR)).select("d.*")
 
 
@@ -52,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
