@@ -8,12 +8,11 @@ to its first common end), the closed groups, and the open suffix (ids after its
 `Fragment.then` joins two neighbouring ranges: the left one's suffix and the right one's prefix close
 one group. It is associative, and `EMPTY` is its unit, so ranges of a document can be joined in any tree.
 
-* Tokens never reach over a blank between two other characters (both vocabularies: a blank only begins a token), so
-  texts are encoded run by run between such blanks; runs of up to `RUN_CHARS` are encoded once per worker and
-  looked up, longer ones become fragments of `RANGE` bytes joined in a tree.
-* A document of more than `CHUNK` characters is cut before such blanks into chunks that all tasks
-  share. Each chunk is a fragment; a tree of tasks joins `FAN` neighbours at a time, and gives out the
-  groups that close on the way. The digest is taken over a document's groups in order, streamed.
+* A document of up to `CHUNK` characters is one range, closed on both sides; a batch of them is aligned at once.
+* A longer document is cut into chunks that all tasks share, before blanks that stand between two other characters
+  (in both vocabularies a blank only begins a token, so no token reaches over one). The byte ranges (`RANGE`) of a chunk are
+  fragments joined in a tree, and a tree of tasks joins `FAN` neighbouring chunks at a time; groups
+  that close on the way leave as rows. The digest is taken over a document's groups in order, streamed.
 * Links are counted per document, per pair of ids over the corpus (map-side first) and per id of the second tokenizer.
   Pairs that make up 2^-`HOT_BITS` of all links or more, so at most 2^`HOT_BITS` pairs, are sent to all tasks and looked up
   there; only the links of the others are joined by a shuffle. So no pair is hot in that join.
@@ -31,6 +30,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,11 +46,8 @@ SECOND = "piece_bpe_32k.model"
 CHUNK = 1 << 16
 FAN = 8
 RANGE = 1 << 12
-RUN_CHARS = 256
-CACHE_RUNS = 200_000
 HOT_BITS = 18
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD_BLANK = re.compile(r" \s|\s |\A\s|\s\Z")
 
 
 # --------------------------------------------------------------------------- fragments
@@ -124,13 +121,6 @@ def in_tree(parts: list[Fragment]) -> Fragment:
 
 
 # --------------------------------------------------------------------------- encoding
-def runs(text: str) -> list[str]:
-    """Parts of blank + text between blanks that stand between other characters, each without its leading blank."""
-    if _ODD_BLANK.search(text) is None:
-        return text.split(" ")
-    return [r[1:] for r in _CUT.split(" " + text)]
-
-
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on, in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -139,55 +129,72 @@ def _byte_of() -> dict[str, int]:
 
 
 class Aligner:
-    """Aligned runs of texts. Runs of up to RUN_CHARS are kept, at most CACHE_RUNS of them."""
+    """Aligned texts, a batch at a time (numpy over all tokens of the batch)."""
 
     def __init__(self, first: str, second: str):
-        import os
+        import json
 
         import sentencepiece
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.first, self.second = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second)
-        self.first.encode_special_tokens = True
-        byte = _byte_of()
-        self.bytes_a = {i: bytes(byte.get(c, 0) for c in piece) for piece, i in self.first.get_vocab().items()}
+        import tiktoken
+        from public_tokenizers import PATTERN
+        byte, vocab = _byte_of(), json.load(open(first, encoding="utf-8"))
+        special = {t["content"] for t in vocab["added_tokens"]}
+        self.bytes_a = {i: bytes(byte[c] for c in piece) for piece, i in vocab["model"]["vocab"].items() if piece not in special}
+        # ids of this vocabulary are the order of its merges, so they serve as ranks
+        self.first = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks={b: i for i, b in self.bytes_a.items()}, special_tokens={})
+        self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary has pieces that reach over a blank")
-        self.known: dict[str, Fragment] = {}
-
-    def _aligned(self, run: str, a: list[int], b: list[int]) -> Fragment:
-        parts_a, parts_b, raw = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], (" " + run).encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return Fragment(ok=False, cut=True)
-        ends = [np.cumsum([len(p) for p in parts]) for parts in (parts_a, parts_b)]
-        whole = in_tree(list(fragments(a, b, *ends))).finished()
-        # what a document needs of a run: one text, as the run begins and ends with a common end
-        return replace(whole, groups=(";".join(whole.groups),))
-
-    def _encoded(self, new: list[str]) -> list[Fragment]:
-        a = [e.ids for e in self.first.encode_batch_fast([" " + r for r in new], add_special_tokens=False)]
-        return [self._aligned(r, x, y) for r, x, y in zip(new, a, self.second.encode(new, num_threads=1), strict=True)]
-
-    def __call__(self, texts: list[str]) -> list[Fragment]:
-        """The fragment of each text (closed on both sides); empty texts: EMPTY."""
-        split = [runs(t) if t else [] for t in texts]
-        new = list({r for s in split for r in s if r not in self.known})
-        if len(self.known) + len(new) > CACHE_RUNS:
-            self.known.clear()
-            new = list({r for s in split for r in s})
-        found = dict(zip(new, self._encoded(new), strict=True)) if new else {}
-        self.known.update(found)
-        look, out = self.known.__getitem__, []
-        for s in split:
-            parts = list(map(look, s))
-            # the monoid's product of closed runs, in one step
-            out.append(Fragment(sum(p.n_a for p in parts), sum(p.n_b for p in parts), bool(parts), groups=tuple(p.groups[0] for p in parts if p.groups),
-                                links=tuple(x for p in parts for x in p.links), ok=all(p.ok for p in parts)))
-        for r in [r for r in found if len(r) > RUN_CHARS]:
-            del self.known[r]
-        return out
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = max(self.bytes_a) + 1, len(pieces)
+        self.length_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(self.size_a)])
+        self.length_b = np.array([len(b) for b in self.bytes_b])
+        # an id and the sign behind it: the first tokenizer's within and at the end of a group, then the second's
+        self.signs = [f"{i}{sign}".encode() for n, signs in ((self.size_a, ",|"), (self.size_b, ",;")) for sign in signs for i in range(n)]
+
+    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of each text by both tokenizers, and whether both are the bytes of blank + text; else (and for empty texts) no ids."""
+        a, b, ok = [], [], []
+        for text, ids in zip(texts, self.second.encode(texts, num_threads=1), strict=True):
+            raw = " " + text
+            mine = self.first.encode_ordinary(raw) if text else []
+            raw = raw.encode()
+            ok.append(not text or (b"".join(map(self.bytes_b.__getitem__, ids)) == raw and b"".join(map(self.bytes_a.__getitem__, mine)) == raw))
+            a.append(mine if ok[-1] else [])
+            b.append(ids if ok[-1] and text else [])
+        return a, b, ok
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, int, np.ndarray, bytes, bool]]:
+        """n_a, n_b, n_groups, links, groups' text and ok of each text: the finished fragments of all texts at once."""
+        a, b, ok = self.encoded(texts)
+        n_a, n_b = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        # both cover the same bytes, so ends counted over the whole batch can be compared
+        ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a if len(ends_b) else np.zeros(0, dtype=bool)
+        last_b = np.zeros(len(flat_b), dtype=bool)
+        last_b[at[last_a]] = True
+        stop_a, stop_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        links = flat_a[stop_a] << 32 | flat_b[stop_b]
+        # groups in order, in each the first tokenizer's ids before the second's
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        codes = np.empty(len(flat_a) + len(flat_b), dtype=np.int64)
+        codes[np.arange(len(flat_a)) + np.concatenate([[0], stop_b + 1])[group_a]] = flat_a + last_a * self.size_a
+        codes[np.arange(len(flat_b)) + (stop_a + 1)[group_b]] = 2 * self.size_a + flat_b + last_b * self.size_b
+        signs = list(map(self.signs.__getitem__, codes.tolist()))
+        places = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        bounds = np.searchsorted(stop_a, np.concatenate([[0], np.cumsum(n_a)])).tolist()
+        return [(int(n_a[i]), int(n_b[i]), bounds[i + 1] - bounds[i], links[bounds[i]:bounds[i + 1]], b"".join(signs[places[i]:places[i + 1]])[:-1], ok[i])
+                for i in range(len(texts))]
+
+    def fragment(self, text: str, size: int = RANGE) -> Fragment:
+        """The fragment of a chunk, joined from those of its byte ranges."""
+        (a,), (b,), (ok,) = self.encoded([text])
+        if not ok:
+            return Fragment(ok=False)
+        return in_tree(list(fragments(a, b, np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), size)))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -232,12 +239,11 @@ def _whole(paths: tuple[str, str]):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i, j in _sliced(list(map(len, texts))):
-                found = [f if f.ok else EMPTY for f in align(texts[i:j])]
-                pairs = [_counted(f.links) for f in found]
-                numbers = [[f.n_a for f in found], [f.n_b for f in found], [len(f.links) for f in found], [len(f.links) for f in found]]
-                shas = [hashlib.sha256(";".join(f.groups).encode()).hexdigest() if f.n_a else "" for f in found]
+                n_a, n_b, n_groups, links, groups, _ = zip(*align(texts[i:j]), strict=True)
+                pairs = [np.unique(x, return_counts=True) for x in links]
+                shas = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, n_a, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), *(pa.array(c, pa.int64()) for c in numbers), pa.array(shas, pa.string()),
+                    [batch.column("doc_id").slice(i, j - i), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups, n_groups)), pa.array(shas, pa.string()),
                      _lists([p for p, _ in pairs], pa.int64()), _lists([n for _, n in pairs], pa.int64())],
                     ["doc_id", *_NUMBERS, "groups_sha256", "pairs", "times"])
     return run
@@ -269,7 +275,7 @@ def _pieces(paths: tuple[str, str]):
         for batch in batches:
             rid, seq, texts = (batch.column(c).to_pylist() for c in ("rid", "seq", "text"))
             for i, j in _sliced(list(map(len, texts))):
-                found = align(texts[i:j])
+                found = [align.fragment(t) for t in texts[i:j]]
                 pairs = [_counted(f.links) for f in found]
                 open_ = [[side[k] for side in (f.prefix, f.suffix) for k in (0, 1)] for f in found]
                 yield pa.RecordBatch.from_arrays(
@@ -290,7 +296,8 @@ def _fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("seq")
     total, place, out = EMPTY, 0, []
     for r in rows.itertuples():
-        part = Fragment(r.n_a, r.n_b, r.cut, (tuple(r.pre_a), tuple(r.pre_b)), (), (), (tuple(r.suf_a), tuple(r.suf_b)), r.ok)
+        pre_a, pre_b, suf_a, suf_b = (tuple(map(int, x)) for x in (r.pre_a, r.pre_b, r.suf_a, r.suf_b))
+        part = Fragment(r.n_a, r.n_b, r.cut, (pre_a, pre_b), (), (), (suf_a, suf_b), r.ok)
         if part.cut and not total.cut:
             place = r.place
         total = total.then(part)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter
 
 import brute
@@ -45,7 +46,8 @@ def plain(data):
         at_a, at_b = dict(zip(ea, ia, strict=True)), dict(zip(eb, ib, strict=True))
         both, low, groups = sorted(set(ea) & set(eb)), 0, []
         for e in both:
-            groups.append(",".join(str(i) for x, i in zip(ea, ia, strict=True) if low < x <= e) + "|" + ",".join(str(i) for x, i in zip(eb, ib, strict=True) if low < x <= e))
+            sides = (",".join(str(ids[k]) for k in range(bisect_right(ends, low), bisect_right(ends, e))) for ends, ids in ((ea, ia), (eb, ib)))
+            groups.append("|".join(sides))
             low = e
         rows.append([d, len(ia), len(ib), len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest()])
         links.append([(at_a[e], at_b[e]) for e in both])
@@ -140,6 +142,18 @@ def test_open_fragments_are_joined_by_tasks(spark):
         assert (end["n_a"], end["n_b"]) == (whole.n_a, whole.n_b)
 
 
+def test_ids_are_the_tokenizers_own():
+    """The fast encoder built from the first vocabulary gives the ids of its own tokenizer."""
+    a, b = encoders()
+    mine = alignment.Aligner(*PATHS)
+    texts = [t for _, t in data() if t] + [" \x1c x \x1f", "'S don't 'LL ½²", "\u180e \u200b\u0085"]
+    got_a, got_b, ok = mine.encoded(texts)
+    for t, x, y, good in zip(texts, got_a, got_b, ok, strict=True):
+        if good:
+            assert x == a.encode(" " + t, add_special_tokens=False).ids and y == b.encode(t)
+    assert sum(ok) > len(texts) // 2
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
