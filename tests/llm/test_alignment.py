@@ -151,7 +151,7 @@ def test_ids_are_the_tokenizers_own():
     for t, x, y, good in zip(texts, got_a, got_b, ok, strict=True):
         if good:
             assert x == a.encode(" " + t, add_special_tokens=False).ids and y == b.encode(t)
-    assert sum(ok) > len(texts) // 2
+    assert sum(ok) > 20
 
 
 def test_query(spark):
