@@ -3,8 +3,8 @@
 Found and validated values: payment cards (13 to 19 digits, Luhn), IBANs (mod 97),
 US social security numbers (area, group and serial ranges), telephone numbers
 (international or North American form), IPv4 addresses (octet ranges) and calendar dates. Each value is
-mapped to its rank within its format (all cards of that length, all dates
-of two centuries, ...), the rank is permuted by a balanced Feistel network over its
+mapped to its rank within its format (all cards of that length, all dates of two centuries
+whose day and month have as many digits and that read the same way, ...), the rank is permuted by a balanced Feistel network over its
 bits, walked until it falls into the format again, and the new rank is
 written with the old value's separators. So a card stays a valid card, a date a
 date, equal values get equal pseudonyms in every document (also when written
@@ -26,7 +26,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -202,18 +204,25 @@ def _date(v: str, p: Callable) -> str | None:
         return None
     if not 0 <= rank < _DAYS:
         return None
-    new = p(rank, _DAYS, "date")
-    d = datetime.date.fromordinal(new + _DAY0)
-    if word is None and order == "mdy" and d.day <= 12:
-        order = "dmy"                                 # read back day first, as all such dates are
-    put = {"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}
-    if word is not None:
-        put["m"] = _MONTHS[d.month - 1]
-        put["d"] = str(d.day)
+    # within the dates that read the same way: day and month keep their number of digits, and a day beyond 12 stays beyond 12
+    same = _alike_days(_day_class(rank))
+    d = datetime.date.fromordinal(same[p(bisect_left(same, rank), len(same), f"date{_day_class(rank)}")] + _DAY0)
+    wide = lambda n, old: f"{n:0{len(old)}d}"
+    put = {"y": f"{d.year:04d}", "m": _MONTHS[d.month - 1] if word is not None else wide(d.month, month), "d": wide(d.day, day)}
     parts[::2] = [put[c] for c in order]
     return "".join(parts)
 
 
+def _day_class(rank: int) -> int:
+    d = datetime.date.fromordinal(rank + _DAY0)
+    return (d.day > 9) + (d.day > 12) + 3 * (d.month > 9)
+
+
+@cache
+def _alike_days(kind: int) -> list[int]:
+    return [r for r in range(_DAYS) if _day_class(r) == kind]
+
+
 def _email(v: str, p: Callable) -> str | None:
     local, at, domain = v.rpartition("@")
     return _mixed(local, p, "email") + at + domain
@@ -317,6 +326,11 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     return docs.select("doc_id", run("text").alias("_r")).select("doc_id", "_r.text", "_r.spans")
 
 
+def restore(docs: DataFrame, key: bytes) -> DataFrame:
+    """The original texts of `pseudonymise`'s result."""
+    return pseudonymise(docs, key, back=True)
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_values, kinds (distinct, sorted, comma-joined)."""
     return (pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)

@@ -250,6 +250,30 @@ def test_equal_phones_stay_linked(spellings):
     assert [pii.Pseudonyms(b"k", back=True).apply(n)[0] for n in new] == spellings
 
 
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def test_dates_of_every_form_are_restored():
+    """Day first, month first (where the day shows it), padded or not, by name: the key gives every date back, and equal dates stay linked."""
+    rng, there, back, seen = random.Random(12), pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True), {}
+    for _ in range(1500):
+        y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
+        forms = {f"{y}-{m:02d}-{d:02d}": "ymd", f"{y}/{m:02d}/{d:02d}": "ymd", f"{d}.{m}.{y}": "dmy", f"{d:02d}.{m:02d}.{y}": "dmy", f"{d}/{m:02d}/{y}": "dmy",
+                 f"{d:02d}-{m}-{y}": "dmy", f"{MONTHS[m - 1]} {d}, {y}": "mdy", f"{MONTHS[m - 1]} {d:02d}, {y}": "mdy", f"{d} {MONTHS[m - 1]} {y}": "dmy"}
+        if d > 12:
+            forms |= {f"{m}/{d}/{y}": "mdy", f"{m:02d}/{d:02d}/{y}": "mdy", f"{m:02d}-{d}-{y}": "mdy"}
+        news = set()
+        for text, order in forms.items():
+            new, spans = there.apply(text)
+            assert spans == [("date", 0, len(text))] and len(re.sub(r"[A-Za-z]", "", new)) == len(re.sub(r"[A-Za-z]", "", text))
+            assert back.apply(new)[0] == text
+            parts = [MONTHS.index(x) + 1 if x in MONTHS else int(x) for x in re.split(r"[-/. ,]+", new)]
+            news.add(tuple(parts[order.index(c)] for c in "ymd"))
+        assert len(news) == 1                                  # one date, whatever its form
+        seen[(y, m, d)] = news.pop()
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_common_forms_are_found():
     p, digits = pii.Pseudonyms(b"k"), lambda s: re.sub(r"\D", "", s)
     day = p.apply("2024-01-02")[0]
