@@ -50,7 +50,7 @@ def unscorable(vectors: DataFrame, vector_col: str = "embedding", dims: int | No
     return vectors.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "query_id",
+def knn(queries: DataFrame, vectors: DataFrame, k: int | str | None, query_key: str = "query_id",
         join_keys: tuple[str, ...] = ("collection",), where: dict | None = None,
         where_query: dict[str, str] | None = None, vector_col: str = "embedding", query_vector_col: str = "query_vector",
         order_tiebreak: str = "chunk_index", include: tuple[str, ...] = (), dims: int | None = None,
@@ -62,7 +62,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "
     where (P15): {metadata column: value} equality filter applied before scoring;
     where_query: {metadata column: query column} per-query equality filter.
     k is a number or the name of a query column (then max_k bounds it, by default the
-    largest k of the queries); k larger than the collection returns the whole collection (T2).
+    largest k of the queries); k larger than the collection, or None, returns the whole collection (T2).
     include (P17): extra vector-side columns to return.
     dims: vector length, for the unrolled, codegen'd distance; None uses the generic form.
     Vectors that are null, hold a null or have another length than the query's (or dims)
@@ -87,14 +87,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, query_key: str = "
     keep = [F.col("_q_" + query_key).alias(query_key)] + [F.col(c) for c in join_keys] + \
         [F.col("chunk_id"), F.col(order_tiebreak)] + [F.col(c) for c in include]
     kcol = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
-    if max_k is None:
+    if max_k is None and k is not None:
         max_k = (queries.agg(F.max(k)).first()[0] or 0) if isinstance(k, str) else k
     dist = (squared_l2_fixed(vector_col, "_q_" + query_vector_col, dims) if dims
             else squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)))
     scored = joined.select(*keep, dist.alias("distance"), kcol.alias("_k")).filter(F.col("distance").isNotNull())
     w = Window.partitionBy(query_key).orderBy("distance", order_tiebreak)
-    return (scored.withColumn("rank", F.row_number().over(w))
-                  .filter((F.col("rank") <= F.lit(int(max_k))) & (F.col("rank") <= F.col("_k"))).drop("_k"))
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    if k is None:
+        return ranked.drop("_k")
+    return (ranked.filter((F.col("rank") <= F.lit(int(max_k))) & (F.col("rank") <= F.col("_k"))).drop("_k"))
 
 
 def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding", digits: int = 6) -> DataFrame:

@@ -233,7 +233,7 @@ def q_knn_exact_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_knn_k_exceeds_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicewise.operators.retrieval import knn
     queries, vecs = _centroid_queries(spark, sf_dir)
-    return _knn_out(knn(queries, vecs, 1_000_000, dims=testdata.VECTOR_DIMS))
+    return _knn_out(knn(queries, vecs, None, dims=testdata.VECTOR_DIMS))
 
 
 def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,10 +248,32 @@ def q_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn_out(hits, F.col("label").cast("long").alias("label"))
 
 
+def _id_queries(spark: SparkSession, sf_dir: str):
+    """The stored vectors whose id is divisible by 50, as questions to their collections."""
+    from slicewise.session import cut_lineage
+    vecs = testdata.chunk_vectors(spark, sf_dir)
+    asked = vecs.filter(F.col("chunk_id") % 50 == 0).select("collection", F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return cut_lineage(asked), vecs
+
+
+def q_knn_ids_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicewise.operators.retrieval import knn
+    queries, vecs = _id_queries(spark, sf_dir)
+    return _knn_out(knn(queries, vecs, 8, dims=testdata.VECTOR_DIMS))
+
+
+def q_knn_ids_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 on every vector with an id divisible by 50: recall@8 against the exact neighbours."""
+    return _lsh_recall(*_id_queries(spark, sf_dir))
+
+
 def q_knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate neighbours; recall@8 of the LSH top-8 against the exact top-8."""
+    return _lsh_recall(*_centroid_queries(spark, sf_dir))
+
+
+def _lsh_recall(queries: DataFrame, vecs: DataFrame) -> DataFrame:
     from slicewise.operators.retrieval import knn, knn_lsh
-    queries, vecs = _centroid_queries(spark, sf_dir)
     exact = knn(queries, vecs, 8, dims=testdata.VECTOR_DIMS).select("query_id", "chunk_id")
     approx = knn_lsh(queries, vecs, 8, testdata.VECTOR_DIMS).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     j = exact.join(approx, ["query_id", "chunk_id"], "left")
@@ -284,6 +306,8 @@ def q_knn_unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({
+    "knn_ids_k8": q_knn_ids_k8,
+    "knn_ids_lsh": q_knn_ids_lsh,
     "knn_mixed_k": q_knn_mixed_k,
     "knn_unscorable": q_knn_unscorable,
     "knn_exact_k8": q_knn_exact_k8,

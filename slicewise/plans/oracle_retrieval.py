@@ -11,18 +11,24 @@ ex AS (SELECT collection, unnest(embedding) AS x, generate_subscripts(embedding,
 cen AS (SELECT collection, pos, round(avg(x::DOUBLE), 6) AS m FROM ex GROUP BY collection, pos),
 q AS (SELECT collection, collection AS query_id, list(m ORDER BY pos) AS qv FROM cen GROUP BY collection)"""
 
+# questions that are stored vectors themselves: every id divisible by 50
+BY_ID = """
+v AS (SELECT 'label_' || CAST(label AS VARCHAR) AS collection, vec_id AS chunk_id, vec_id AS chunk_index, label, embedding FROM embeddings),
+q AS (SELECT collection, chunk_id AS query_id, embedding AS qv FROM v WHERE chunk_id % 50 = 0)"""
+
 DIST = ("list_sum(list_transform(range(1, len(v.embedding) + 1), "
-        "lambda i: (v.embedding[i]::DOUBLE - q.qv[i]) * (v.embedding[i]::DOUBLE - q.qv[i])))")
+        "lambda i: (v.embedding[i]::DOUBLE - q.qv[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.qv[i]::DOUBLE)))")
 
 
-def knn_sql(k: int) -> str:
+def knn_sql(k: int | None, vectors: str = VECTORS) -> str:
+    """The k nearest, or with None the whole collection."""
     return f"""
-WITH {VECTORS},
+WITH {vectors},
 d AS (SELECT q.query_id, v.collection, v.chunk_id, v.chunk_index, {DIST} AS distance
       FROM v JOIN q ON q.collection = v.collection),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_index) AS rank FROM d)
 SELECT query_id, collection, CAST(rank AS BIGINT) AS rank, chunk_id, chunk_index, round(distance, 6) AS distance
-FROM r WHERE rank <= {k}"""
+FROM r {'' if k is None else f'WHERE rank <= {k}'}"""
 
 
 KNN_FILTERED_SQL = f"""
@@ -51,13 +57,13 @@ FROM r WHERE rank <= k"""
 KNN_UNSCORABLE_SQL = f"WITH {VECTORS}, h AS ({HOLES}) SELECT collection, chunk_id, reason FROM h WHERE reason IS NOT NULL"
 
 
-def knn_lsh_sql(k: int = 8, tables: int = 4, bucket_length: float = 0.5, probes: int = 1) -> str:
+def knn_lsh_sql(k: int = 8, tables: int = 4, bucket_length: float = 0.5, probes: int = 1, vectors: str = VECTORS) -> str:
     """Buckets by the same planes, summed in the same order."""
     w = PLANE_SQL.format(i="(i - 1)", t="t.t")
     dot = lambda v: (f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), lambda i: {v}[i]::DOUBLE * ({w})::DOUBLE)), "
                      "lambda a, x: a + x)")
     return f"""
-WITH {VECTORS},
+WITH {vectors},
 t AS (SELECT unnest(range({tables})) AS t),
 vb AS (SELECT v.collection, v.chunk_id, t.t, CAST(floor({dot('v.embedding')} / {bucket_length}) AS BIGINT) AS b FROM v CROSS JOIN t),
 qb AS (SELECT q.collection, q.query_id, t.t, CAST(floor({dot('q.qv')} / {bucket_length}) AS BIGINT) AS b FROM q CROSS JOIN t),
@@ -77,6 +83,8 @@ ORACLE_RETRIEVAL = {
     "knn_unscorable": KNN_UNSCORABLE_SQL,
     "knn_lsh": knn_lsh_sql(),
     "knn_exact_k8": knn_sql(8),
-    "knn_k_exceeds_size": knn_sql(1_000_000),
+    "knn_k_exceeds_size": knn_sql(None),
+    "knn_ids_k8": knn_sql(8, BY_ID),
+    "knn_ids_lsh": knn_lsh_sql(vectors=BY_ID),
     "knn_filtered": KNN_FILTERED_SQL,
 }

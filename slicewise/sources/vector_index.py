@@ -14,16 +14,16 @@ INDEX_COLUMNS = ["collection", "chunk_id", "doc_id", "chunk_index", "chunk_text"
 
 
 def upsert_frames(existing: DataFrame, new: DataFrame, key=("collection", "chunk_id")) -> tuple[DataFrame, DataFrame]:
-    """S8 as a frame: newest version per key wins; rows without a vector are rejected (not indexed).
+    """S8 as a frame: newest version per key wins, of equal versions the new row; rows without a vector are rejected (not indexed).
 
     Returns (merged index rows, rejected new rows).
     """
     rejected = new.filter(F.col("embedding").isNull())
     good = new.filter(F.col("embedding").isNotNull())
-    both = existing.unionByName(good, allowMissingColumns=True)
-    others = [c for c in both.columns if c not in key]
+    both = existing.withColumn("_new", F.lit(0)).unionByName(good.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    others = [c for c in both.columns if c not in (*key, "_new")]
     # one struct per row, so rows of one version never mix their columns
-    merged = both.groupBy(*key).agg(F.max_by(F.struct(*others), F.col("version")).alias("_row"))
+    merged = both.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct("version", "_new")).alias("_row"))
     return merged.select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]), rejected
 
 

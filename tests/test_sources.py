@@ -181,3 +181,14 @@ def test_render_matches_python_list_repr(spark):
                                     "path string, qa_index long, question string, answers array<string>")
     text = qa_text.render(qa_rows).collect()[0].value
     assert text == f"Q: Q?\nA: {items!r}\n\n"
+
+
+def test_upsert_of_an_equal_version_takes_the_new_row(spark):
+    from slicewise.sources import vector_index
+    shape = "collection string, chunk_id string, chunk_text string, embedding array<double>, version int"
+    old = spark.createDataFrame([("c", str(i), "old", [1.0], 0) for i in range(40)], shape)
+    new = spark.createDataFrame([("c", str(i), "new", [2.0], 0) for i in range(0, 40, 2)] + [("c", "1", "late", [3.0], -1)], shape)
+    for parts in (1, 5):
+        merged, _ = vector_index.upsert_frames(old.repartition(parts), new.repartition(parts))
+        got = {r.chunk_id: r.chunk_text for r in merged.collect()}
+        assert got == {str(i): "old" if i % 2 else "new" for i in range(40)}
