@@ -4,13 +4,14 @@ A document's set are its distinct shingles of `width` words (2 in op9, 5 in the
 become one representative, so exact copies never meet. Each representative
 has `TOKENS` minwise tokens.
 
-Chosen paths: each of `TREES` independent trees starts with all representatives in
+Chosen paths: each of `TREES` trees starts with all representatives in
 its root. A node picks `BRANCHES` token positions by a hash of its own name, and sends
 each member to one child per position, named by position and the member's token there. Two
 sets of similarity J stay together in a child with probability J per position; at
 J = 0.8 and two positions a pair survives any depth of one tree with probability
-0.9375 at least (1 - q for q = (0.2 + 0.8 q)^2), all four trees miss it with
-probability under 2e-5, and nearer pairs far less often.
+0.9375 at least (1 - q for q = (0.2 + 0.8 q)^2). The trees share the minwise tokens, so their misses are
+not independent: averaged over the equal tokens all four miss such a pair with probability of about 1.7e-4, nearer
+pairs far less often.
 
 Recursion ends in small nodes (up to `SMALL` members), which are compared exhaustively, token
 vector by token vector (4 bits a token); pairs with at least `AGREE` equal tokens (a pair of J = 0.8 has
