@@ -267,6 +267,36 @@ def q_knn_ids_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lsh_recall(*_id_queries(spark, sf_dir))
 
 
+def _stored_index(spark: SparkSession, vecs: DataFrame) -> str:
+    from slicewise.session import note_table
+    from slicewise.sources import inverted_file
+    path = note_table(inverted_file.scratch_path(spark))
+    inverted_file.build(vecs, path, testdata.VECTOR_DIMS)
+    return path
+
+
+def q_index_ids_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 on the stored inverted file: cells and rows out of reach are skipped, the answer is that of a scan."""
+    from slicewise.sources import inverted_file
+    queries, vecs = _id_queries(spark, sf_dir)
+    path = _stored_index(spark, vecs)
+    return _knn_out(inverted_file.search(spark, path, queries, 8, testdata.VECTOR_DIMS, exact=True))
+
+
+def q_index_recall_ids_k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 on the stored inverted file: rows returned, and whether recall@8 over all questions is at least 0.9."""
+    from slicewise.operators.retrieval import knn
+    from slicewise.sources import inverted_file
+    queries, vecs = _id_queries(spark, sf_dir)
+    path = _stored_index(spark, vecs)
+    inverted_file.calibrate(spark, path, 8, testdata.VECTOR_DIMS)
+    exact = knn(queries, vecs, 8, dims=testdata.VECTOR_DIMS).select("query_id", "chunk_id", F.lit(1).alias("_exact"))
+    approx = inverted_file.search(spark, path, queries, 8, testdata.VECTOR_DIMS).select("query_id", "chunk_id", F.lit(1).alias("_approx"))
+    both = exact.join(approx, ["query_id", "chunk_id"], "full")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("_exact").alias("n_exact"), F.count("_approx").alias("n_returned"),
+                    (F.count(F.col("_exact") + F.col("_approx")) >= 0.9 * F.count("_exact")).alias("recall_reached"))
+
+
 def q_knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate neighbours; recall@8 of the LSH top-8 against the exact top-8."""
     return _lsh_recall(*_centroid_queries(spark, sf_dir))
@@ -308,6 +338,8 @@ def q_knn_unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({
     "knn_ids_k8": q_knn_ids_k8,
     "knn_ids_lsh": q_knn_ids_lsh,
+    "index_ids_k8": q_index_ids_k8,
+    "index_recall_ids_k8": q_index_recall_ids_k8,
     "knn_mixed_k": q_knn_mixed_k,
     "knn_unscorable": q_knn_unscorable,
     "knn_exact_k8": q_knn_exact_k8,

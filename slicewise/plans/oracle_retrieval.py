@@ -78,6 +78,11 @@ SELECT ex8.query_id, CAST(count(*) AS BIGINT) AS n_exact, CAST(count(ap8.chunk_i
 FROM ex8 LEFT JOIN ap8 ON ap8.query_id = ex8.query_id AND ap8.chunk_id = ex8.chunk_id GROUP BY ex8.query_id"""
 
 
+# a search that goes on until it has k rows returns as many as the scan
+INDEX_RECALL_SQL = f"""
+WITH ranked AS ({knn_sql(8, BY_ID)})
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, count(*) AS n_returned, true AS recall_reached FROM ranked"""
+
 ORACLE_RETRIEVAL = {
     "knn_mixed_k": KNN_MIXED_SQL,
     "knn_unscorable": KNN_UNSCORABLE_SQL,
@@ -85,6 +90,8 @@ ORACLE_RETRIEVAL = {
     "knn_exact_k8": knn_sql(8),
     "knn_k_exceeds_size": knn_sql(None),
     "knn_ids_k8": knn_sql(8, BY_ID),
+    "index_ids_k8": knn_sql(8, BY_ID),
+    "index_recall_ids_k8": INDEX_RECALL_SQL,
     "knn_ids_lsh": knn_lsh_sql(vectors=BY_ID),
     "knn_filtered": KNN_FILTERED_SQL,
 }

@@ -92,6 +92,12 @@ def cut_lineage(df: DataFrame, eager: bool = True, owner: list[str] | None = Non
     return spark.read.parquet(path)
 
 
+def note_table(path: str) -> str:
+    """Note a table written elsewhere for `release_tables`."""
+    _MATERIALISED.append(path)
+    return path
+
+
 def release_tables(spark: SparkSession, owner: list[str] | None = None) -> int:
     """Delete the tables noted in `owner` (by default those noted for the process); call once their results are consumed."""
     jvm = spark.sparkContext._jvm
