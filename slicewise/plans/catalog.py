@@ -27,11 +27,25 @@ def _chunks(method: str, size: int, overlap: int) -> Query:
     return run
 
 
+def _chunks_by_fragments(method: str, size: int, overlap: int, fragment_chars: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from slicewise.operators.long_documents import split_long_text
+        docs = (testdata.corpus(spark, sf_dir).select("doc_id", "text")
+                .withColumn("chunk_size", F.lit(size)).withColumn("chunk_overlap", F.lit(overlap)))
+        out = split_long_text(docs, method, fragment_chars=fragment_chars)
+        return out.select("doc_id", F.col("chunk_index").cast("long"),
+                          F.length("chunk_text").cast("long").alias("chunk_chars"), "chunk_text")
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "chunk_lines_1000_200": _chunks(chunking.LINE_MERGE, 1000, 200),
     "chunk_lines_100_10": _chunks(chunking.LINE_MERGE, 100, 10),
     "chunk_recursive_150_15": _chunks(chunking.RECURSIVE, 150, 15),
 }
+# every document in fragments of a few pages, so that most of them span several
+QUERIES["chunk_lines_by_fragments"] = _chunks_by_fragments(chunking.LINE_MERGE, 100, 10, 8192)
+QUERIES["chunk_recursive_by_fragments"] = _chunks_by_fragments(chunking.RECURSIVE, 150, 15, 8192)
 FLAGSHIP = "flagship_strategy_ranking"
 
 

@@ -271,6 +271,8 @@ ORACLE: dict[str, str] = {
     "chunk_lines_1000_200": line_merge_sql(1000, 200),
     "chunk_lines_100_10": line_merge_sql(100, 10),
     "chunk_recursive_150_15": recursive_sql(150, 15),
+    "chunk_lines_by_fragments": line_merge_sql(100, 10),
+    "chunk_recursive_by_fragments": recursive_sql(150, 15),
     "resolve_experiments": resolve_sql(),
     "experiment_rejects": rejects_sql(),
     "chunk_matrix": chunk_matrix_sql(),
