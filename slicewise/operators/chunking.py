@@ -60,7 +60,7 @@ def recursive_leaves_sql(text_col: str, size_col: str, separators: list[str] | N
     seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
     seps = seps[:seps.index("") + 1] if "" in seps else seps
     if len(seps) > MAX_SEPARATORS:
-        raise ValueError(f"{len(seps)} separators; at most {MAX_SEPARATORS} are supported")
+        raise ValueError(f"{len(seps)} separators; one expression holds at most {MAX_SEPARATORS} (split_text takes any number)")
     t, size = f"`{text_col}`", f"`{size_col}`"
     state = (f"CASE WHEN length({t}) > 0 THEN array(named_struct('p', {t}, 'f', 0, 'o', true)) "
              f"ELSE CAST(array() AS array<struct<p string, f int, o boolean>>) END")
@@ -143,7 +143,11 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
 
     Output: the input columns except the text, plus chunk_index (int) and
     chunk_text (string), one row per chunk. A null or empty text has no chunks.
+    More separators than one expression holds take the splitter by fragments, which has no such limit.
     """
+    if method == RECURSIVE and len(separators or ()) > MAX_SEPARATORS:
+        from slicewise.operators.long_documents import split_long_text
+        return split_long_text(df, method, separators, text_col, size_col, overlap_col)
     keep = [c for c in df.columns if c != text_col]
     staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
     return exploded(_chunk_lists(staged, keep, size_col, overlap_col), keep)

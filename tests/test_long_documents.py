@@ -78,3 +78,11 @@ def test_one_long_document_uses_several_tasks(spark):
         got = long_documents.split_long_text(df, method, fragment_chars=100_000)
         want = rule(text, 1000, 200)
         assert [r.chunk_text for r in got.orderBy("chunk_index").collect()] == want
+
+
+def test_any_number_of_separators(spark):
+    seps = [f"<{i}>" for i in range(35)]
+    text = "".join(f"{'x' * 9}{s}" for s in seps) * 2
+    df = spark.createDataFrame([(1, text, 12, 3)], "doc_id long, text string, chunk_size int, chunk_overlap int")
+    got = chunking.split_text(df, chunking.RECURSIVE, seps).orderBy("chunk_index").collect()
+    assert [r.chunk_text for r in got] == rules.recursive(text, 12, 3, seps)
