@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from slicewise.functions.text import DEFAULT_SEPARATORS, java_literal, py_strip
 from slicewise.operators.merge_walk import merge_ranges
+from slicewise.operators.shared_tokens import walk_with_vectors
 
 # The walk reads one bigint per leaf: length * LEAF_SHIFT + flags, flags = depth*4 + good*2 + first.
 LEAF_SHIFT = 1 << 12
@@ -81,16 +82,24 @@ def recursive_leaves_sql(text_col: str, size_col: str, separators: list[str] | N
 
 
 # --------------------------------------------------------------------------- chunks
-def _ranges_to_chunks(pieces: Column, ranges: Column) -> Column:
-    """Join every range of pieces; strip merged ones; drop empty ones. Linear in the text."""
+def _ranges_to_chunks(pieces: Column, ranges: Column, vectors: Column | None = None, dims: int = 0) -> Column:
+    """Join every range of pieces; strip merged ones; drop empty ones. Linear in the text.
+
+    With `vectors` (`dims` numbers per range) a chunk is a struct of its text and its vector.
+    """
     n = (F.size(ranges) / 3).cast("int")
 
     def chunk(k: Column) -> Column:
         start = F.element_at(ranges, k * 3 + 1)
         joined = F.array_join(F.slice(pieces, start + 1, F.element_at(ranges, k * 3 + 2) - start), "")
-        return F.when(F.element_at(ranges, k * 3 + 3) == 1, py_strip(joined)).otherwise(joined)
+        text = F.when(F.element_at(ranges, k * 3 + 3) == 1, py_strip(joined)).otherwise(joined)
+        if vectors is None:
+            return text
+        return F.struct(text.alias("chunk_text"), F.slice(vectors, k * dims + 1, dims).alias("embedding"))
 
     cut = F.transform(F.sequence(F.lit(0), n - 1), chunk)
+    if vectors is not None:                                  # the walk with vectors lists no empty chunk
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<struct<chunk_text: string, embedding: array<double>>>"))
     return F.when(n > 0, F.filter(cut, lambda x: F.length(x) > 0)).otherwise(F.array().cast("array<string>"))
 
 
@@ -122,10 +131,19 @@ def leaves_for(method: str, separators: list[str] | None, text_col: str, size_co
     raise ValueError(f"no splitter is registered for method {method!r}")
 
 
-def _chunk_lists(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str) -> DataFrame:
+def with_codes(staged: DataFrame) -> DataFrame:
+    """+ _pieces, and _codes as the merge walk reads them."""
     codes = F.transform("_leaves", lambda x: F.length(x["p"]).cast("bigint") * LEAF_SHIFT + x["f"])
-    ranged = (staged.withColumn("_codes", codes).withColumn("_pieces", F.col("_leaves.p"))
-              .withColumn("_ranges", merge_ranges(F.col("_codes"), F.col(size_col), F.col(overlap_col))))
+    return staged.withColumn("_codes", codes).withColumn("_pieces", F.col("_leaves.p"))
+
+
+def _chunk_lists(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str, dims: int | None = None) -> DataFrame:
+    ranged = with_codes(staged)
+    if dims:
+        walk = walk_with_vectors(dims)(F.array_join("_pieces", ""), F.col("_codes"), F.col(size_col), F.col(overlap_col))
+        chunks = _ranges_to_chunks(F.col("_pieces"), F.col("_walk.ranges"), F.col("_walk.vectors"), dims)
+        return ranged.withColumn("_walk", walk).select(*keep, chunks.alias("chunks"))
+    ranged = ranged.withColumn("_ranges", merge_ranges(F.col("_codes"), F.col(size_col), F.col(overlap_col)))
     return ranged.select(*keep, _ranges_to_chunks(F.col("_pieces"), F.col("_ranges")).alias("chunks"))
 
 
@@ -168,15 +186,18 @@ def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
 
 
 def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
-                size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
-    """Chunk (document, strategy) rows in one pass over the corpus, one row per chunk."""
+                size_col: str = "chunk_size", overlap_col: str = "chunk_overlap", dims: int | None = None) -> DataFrame:
+    """Chunk (document, strategy) rows in one pass over the corpus, one row per chunk.
+
+    dims: also `embedding`, the chunk's lexical vector (X7) of that length, from one tokenisation per document.
+    """
     keep = [c for c in pairs.columns if c != text_col]
-    return exploded(pair_chunk_lists(pairs, strategies_rows, text_col, size_col, overlap_col), keep)
+    rows = exploded(pair_chunk_lists(pairs, strategies_rows, text_col, size_col, overlap_col, dims), keep)
+    return rows.select(*keep, "chunk_index", "chunk_text.chunk_text", "chunk_text.embedding") if dims else rows
 
 
-def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
-                     size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
-    """The input columns (text included) and `chunks`, the list of a row's chunk texts.
+def pair_leaves(pairs: DataFrame, strategies_rows: list, text_col: str = "text", size_col: str = "chunk_size") -> DataFrame:
+    """The rows that are chunked here, with the leaves that their strategy cuts (column _leaves).
 
     `pairs` carries the strategy columns (method, separators, chunk_size,
     chunk_overlap). `strategies_rows` are the configuration rows that may occur
@@ -197,5 +218,13 @@ def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "t
     chunkable = pairs.filter(F.col("method").isin([m for m, _ in shapes]))
     if leaves is None:
         leaves = F.lit(None).cast("array<struct<p: string, f: int>>")
-    staged = chunkable.withColumn("_leaves", leaves)
-    return _chunk_lists(staged.filter(F.col("_leaves").isNotNull()), pairs.columns, size_col, overlap_col)
+    return chunkable.withColumn("_leaves", leaves).filter(F.col("_leaves").isNotNull())
+
+
+def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "text", size_col: str = "chunk_size",
+                     overlap_col: str = "chunk_overlap", dims: int | None = None) -> DataFrame:
+    """The input columns (text included) and `chunks`, the list of a row's chunk texts (see `pair_leaves`).
+
+    dims: structs of chunk_text and embedding instead (see `chunk_pairs`).
+    """
+    return _chunk_lists(pair_leaves(pairs, strategies_rows, text_col, size_col), pairs.columns, size_col, overlap_col, dims)

@@ -16,15 +16,17 @@ and a correction over the shared tokens, which the join already has.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise.functions.text import tokens
+from slicewise.operators import chunking
+from slicewise.operators.shared_tokens import DocumentTokens, LastTokens, kept_ranges, within
 
 # Idf of a token present in one of the two texts / in both.
 IDF_ONE = math.log(1.5) + 1.0
@@ -64,7 +66,7 @@ def pair_cosine(pairs: DataFrame, key: str, left_id: str, right_id: str,
 
 def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[str],
                           doc_key: str = "doc_id") -> DataFrame:
-    """A11 for chunk rows apart from their documents (such as retrieved ones); `chunk_cosines`
+    """A11 for chunk rows apart from their documents (such as retrieved ones); `pair_chunk_cosines`
     scores the chunks of a whole corpus without a shuffle. Chunks are read once.
 
     chunks: chunk_keys (including doc_key) + chunk_text; docs: doc_key + text.
@@ -95,37 +97,58 @@ def chunk_document_cosine(chunks: DataFrame, docs: DataFrame, chunk_keys: list[s
     return per_chunk.join(totals, doc_key, "left").select(*chunk_keys, cos.alias("cosine_similarity"))
 
 
-_WORD = re.compile(r"\w{2,}")          # the vectoriser's tokens, as functions.text.TOKEN_PATTERN
+def span_cosines(document: DocumentTokens, cut: DocumentTokens, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A11 of ranges of the text `cut` with the whole text `document` (the same one, unless a splitter drops characters)."""
+    i2, v = IDF_ONE * IDF_ONE, len(cut.ids)
+    in_document = (document.counts if cut is document else
+                   np.array([document.counts[document.ids[t]] if t in document.ids else 0 for t in cut.ids], dtype=np.int64))
+    first, after, words = cut.spans(begin, end)
+    row, at = within(first, after)
+    keys = row * v + cut.tokens[at]                                        # (range, id) of every whole word
+    cut_known = [k * v + cut.ids[w] for k, w in words if w in cut.ids]     # and of parts of words that are words themselves
+    keys, n = np.unique(np.concatenate((keys, np.array(cut_known, dtype=np.int64))), return_counts=True)
+    row, m = (keys // v, in_document[keys % v]) if v else (keys, keys)
+    others = Counter((k, w) for k, w in words if w not in cut.ids)
+    if others:
+        row = np.concatenate((row, [k for k, _ in others]))
+        n = np.concatenate((n, list(others.values())))
+        m = np.concatenate((m, [document.counts[document.ids[w]] if w in document.ids else 0 for _, w in others]))
+
+    def per_range(x):
+        return np.bincount(row, weights=x, minlength=len(begin))
+
+    dot, na = per_range(n * m), per_range(np.where(m > 0, 1.0, i2) * n * n)
+    nb = i2 * int((document.counts * document.counts).sum()) + (1.0 - i2) * per_range(m * m)
+    some = (na > 0) & (nb > 0)
+    return np.divide(dot, np.sqrt(np.where(some, na * nb, 1.0)), out=np.zeros(len(begin)), where=some)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def chunk_cosines(texts: pd.Series, chunk_lists: pd.Series) -> pd.Series:
-    """A11 inside a document's row: the cosine of each of its chunks with the whole text.
+def _walk_with_cosines(texts: pd.Series, pieces: pd.Series, leaves: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
+    documents, cuts, out = LastTokens(), LastTokens(), []
+    for text, base, codes, sz, ov in zip(texts, pieces, leaves, size, overlap):
+        if codes is None or not len(codes):
+            out.append([])
+            continue
+        _, begin, end = kept_ranges(base, codes, int(sz), int(ov))
+        document = documents.of(text)
+        out.append(span_cosines(document, document if base == text else cuts.of(base), begin, end))
+    return pd.Series(out, dtype=object)
 
-    A chunk is born in its document's row, so no token row is ever shuffled.
+
+_walk_with_cosines = _walk_with_cosines.asNondeterministic()       # run once, not copied into filters on its result
+
+
+def pair_chunk_cosines(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
+                       size_col: str = "chunk_size", overlap_col: str = "chunk_overlap") -> DataFrame:
+    """A11 inside a document's row: the input columns and `cosines`, one per chunk of `chunking.pair_chunk_lists`.
+
+    No chunk text is built and no token row shuffled: the walk's ranges are counted over the
+    document's tokens, which are found once for all its strategies.
     """
-    i2, out = IDF_ONE * IDF_ONE, []
-    last, doc, total = None, Counter(), 0.0
-    for text, chunks in zip(texts, chunk_lists):
-        if text is not last and text != last:       # rows of one document (one per strategy) come together
-            last, doc = text, Counter(_WORD.findall((text or "").lower()))
-            total = float(sum(n * n for n in doc.values()))
-        scores = []
-        for chunk in chunks if chunks is not None else []:
-            dot = na = shared = 0.0
-            for token, n in Counter(_WORD.findall(chunk.lower())).items():
-                m = doc.get(token, 0)
-                if m:
-                    dot, na, shared = dot + n * m, na + n * n, shared + m * m
-                else:
-                    na += n * n * i2
-            nb = i2 * total + (1.0 - i2) * shared
-            scores.append(dot / math.sqrt(na * nb) if na > 0 and nb > 0 else 0.0)
-        out.append(scores)
-    return pd.Series(out)
-
-
-chunk_cosines = chunk_cosines.asNondeterministic()       # run once, not copied into filters on its result
+    rows = chunking.with_codes(chunking.pair_leaves(pairs, strategies_rows, text_col, size_col))
+    scores = _walk_with_cosines(F.col(text_col), F.array_join("_pieces", ""), F.col("_codes"), F.col(size_col), F.col(overlap_col))
+    return rows.select(*pairs.columns, scores.alias("cosines"))
 
 
 def text_pair_cosine(df: DataFrame, key: str, text_a: str, text_b: str) -> DataFrame:

@@ -85,6 +85,12 @@ def collection_chunks(spark: SparkSession, sf_dir: str, strategies: list[str] |
 
 def collection_chunk_lists(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> DataFrame:
     """The same before the chunks become rows: one row per (collection, document) with its text and `chunks`."""
+    joined, rows = collection_documents(spark, sf_dir, strategies)
+    return chunking.pair_chunk_lists(joined, rows).drop("method", "separators", "chunk_size", "chunk_overlap")
+
+
+def collection_documents(spark: SparkSession, sf_dir: str, strategies: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
+    """One row per (collection, document) with its text and strategy, and the strategies."""
     from slicewise.sources.tables import SHIPPED_STRATEGIES, STRATEGY_SCHEMA
     from slicewise.session import cut_lineage
     resolved, _ = resolved_experiments(spark, sf_dir)
@@ -96,9 +102,7 @@ def collection_chunk_lists(spark: SparkSession, sf_dir: str, strategies: list[st
         "separators").distinct())
     docs = testdata.corpus(spark, sf_dir).select(
         "doc_id", "file_type", "text", F.col("n_chars").alias("original_text_length"))
-    joined = docs.join(pairs, "file_type")
-    rows = [dict(zip(STRATEGY_SCHEMA.fieldNames(), r)) for r in SHIPPED_STRATEGIES]
-    return chunking.pair_chunk_lists(joined, rows).drop("method", "separators", "chunk_size", "chunk_overlap")
+    return docs.join(pairs, "file_type"), [dict(zip(STRATEGY_SCHEMA.fieldNames(), r)) for r in SHIPPED_STRATEGIES]
 
 
 def q_chunk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +211,8 @@ def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_chunk_vs_original_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 + A11: chunks per collection and mean TF-IDF cosine of chunk vs its document."""
-    from slicewise.operators.similarity import chunk_cosines
-    cos = collection_chunk_lists(spark, sf_dir).select("collection", chunk_cosines("text", "chunks").alias("c"))
+    from slicewise.operators.similarity import pair_chunk_cosines
+    cos = pair_chunk_cosines(*collection_documents(spark, sf_dir)).select("collection", F.col("cosines").alias("c"))
     per_doc = cos.filter(F.size("c") > 0).select("collection", F.size("c").alias("n"),
                                                  F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("s"))
     return per_doc.groupBy("collection").agg(

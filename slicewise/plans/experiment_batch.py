@@ -146,8 +146,11 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     # Every other (file type, strategy) pair once
     docs = corpus.select("doc_id", "file_type", "text")
     strategy_rows = [r.asDict() for r in strategies.select("method", "separators").distinct().collect()]
-    cols = ["collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "chunk_index", "chunk_text"]
-    chunks = (chunking.chunk_pairs(docs.join(pairs, "file_type"), strategy_rows)
+    # The built-in vectors come with the chunks, from one tokenisation of a document for all its strategies
+    lexical = b.embedder is lexical_embedder
+    cols = ["collection", "collection_id", "file_type", "chunking_strategy", "doc_id", "chunk_index", "chunk_text",
+            *(["embedding"] if lexical else [])]
+    chunks = (chunking.chunk_pairs(docs.join(pairs, "file_type"), strategy_rows, dims=LEXICAL_DIMS if lexical else None)
               .withColumn("chunk_index", F.col("chunk_index").cast("long")).select(*cols))
     if b.time_strategies:
         for name in [r[0] for r in pairs.filter(~outside).select("chunking_strategy").distinct().collect()]:
@@ -160,9 +163,10 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
                                  ["file_type", "chunking_strategy"])
         cut = prechunked.ingest(rows, "id", collection_col="collection_id").withColumnRenamed("collection", "collection_id")
         cut = cut.join(pairs.select("collection", "collection_id", "file_type", "chunking_strategy"), "collection_id")
+        cut = b.embedder(cut, "chunk_text") if lexical else cut
         chunks = chunks.unionByName(cut.withColumn("doc_id", F.lit(None).cast("long")).select(*cols))
     chunks = chunks.withColumn("chunk_id", chunk_id(F.col("collection_id"), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("chunk_index")))
-    index = b.embedder(chunks, "chunk_text")
+    index = chunks if lexical else b.embedder(chunks, "chunk_text")
     if checkpoint_index:
         # C4: one pass chunks (and embeds) every strategy of the batch; its wall time is shared
         index = b.timed("chunk_and_index_s", index)      # written once, read by retrieval, hit text and metrics
