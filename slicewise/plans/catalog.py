@@ -6,6 +6,7 @@ full; the matching DuckDB statement lives in `plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -556,6 +557,31 @@ def q_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("n_rejected", F.lit(0).cast("long")).alias("n_rejected")))
 
 
+def q_index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S9 on the versioned index: a re-embedding upsert, one collection cleared, compacted; the first snapshot read beside the last."""
+    from slicewise.functions.replies import embedding_envelope
+    from slicewise.session import checkpoint_dir, note_table
+    from slicewise.sources import versioned_index
+    from slicewise.sources.model_replies import embedding_responses
+    path = note_table(f"{checkpoint_dir(spark).rstrip('/')}/slicewise-tables/versions-{uuid.uuid4().hex}")
+    old = testdata.chunk_vectors(spark, sf_dir).select("collection", "chunk_id", "chunk_index", "embedding", F.lit(0).alias("version"))
+    env = embedding_responses(spark, sf_dir).select("chunk_id", embedding_envelope(F.col("body")).alias("e"))
+    new = (env.join(old.select("collection", "chunk_id", "chunk_index"), "chunk_id")
+           .select("collection", "chunk_id", "chunk_index", F.col("e.embedding").cast("array<float>").alias("embedding"),
+                   F.lit(1).alias("version")))
+    versioned_index.upsert(spark, path, old)
+    versioned_index.upsert(spark, path, new)
+    versioned_index.clear(spark, path, "label_5")
+    versioned_index.compact(spark, path)
+    n = F.count("*").cast("long")
+    first = versioned_index.read(spark, path, 1).groupBy("collection").agg(n.alias("n_before"))
+    last = versioned_index.read(spark, path).groupBy("collection").agg(
+        n.alias("n_chunks"), F.count_if(F.col("version") == 1).cast("long").alias("n_from_new"))
+    zero = F.lit(0).cast("long")
+    return first.join(last, "collection", "left").select(
+        "collection", "n_before", F.coalesce("n_chunks", zero).alias("n_chunks"), F.coalesce("n_from_new", zero).alias("n_from_new"))
+
+
 def q_index_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + A4: a previous run indexed the line-merge 100/10 collections; only the others are indexed now."""
     from slicewise.sources import vector_index
@@ -630,6 +656,7 @@ QUERIES.update({
     "context_assembly": q_context_assembly,
     "prompt_render": q_prompt_render,
     "index_upsert": q_index_upsert,
+    "index_versions": q_index_versions,
     "index_skip_existing": q_index_skip_existing,
     "qa_skip": q_qa_skip,
     "qa_append": _policy("append"),

@@ -15,6 +15,12 @@ SELECT collection, CAST(count(*) AS BIGINT) AS n_chunks,
        CAST(count(*) FILTER (WHERE label IN (3, 7)) AS BIGINT) AS n_rejected
 FROM old GROUP BY collection"""
 
+INDEX_VERSIONS_SQL = """
+SELECT 'label_' || CAST(label AS VARCHAR) AS collection, CAST(count(*) AS BIGINT) AS n_before,
+       CAST(count(*) FILTER (WHERE label <> 5) AS BIGINT) AS n_chunks,
+       CAST(count(*) FILTER (WHERE label NOT IN (3, 5, 7)) AS BIGINT) AS n_from_new
+FROM embeddings WHERE embedding IS NOT NULL GROUP BY label"""
+
 INDEX_SKIP_SQL = f"""
 WITH ch AS {all_chunks_sql()},
 ex AS (SELECT collection, CAST(count(*) AS BIGINT) AS n FROM ch WHERE chunking_strategy = 'simple_chunk_100_overlap_10'
@@ -95,6 +101,7 @@ ORACLE_MORE = {
     "long_type_names": LONG_NAMES_SQL,
     "union_results": UNION_SQL,
     "index_upsert": INDEX_UPSERT_SQL,
+    "index_versions": INDEX_VERSIONS_SQL,
     "index_skip_existing": INDEX_SKIP_SQL,
     "qa_skip": QA_SKIP_SQL,
     "qa_append": _policy_sql("append"),
