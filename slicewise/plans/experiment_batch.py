@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from types import ModuleType
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,8 +86,10 @@ class Batch:
     prechunked: DataFrame | None = None
     # C4: chunk every strategy once more by itself to time it (else one shared time is reported)
     time_strategies: bool = False
-    # a stored index (vector_index): its collections are used as they are, new ones are added to it
+    # a stored index: its collections are used as they are, new ones are added to it
     index_path: str | None = None
+    # how it is stored: vector_index, or versioned_index (an upsert rewrites nothing)
+    index_store: ModuleType = vector_index
     embedder_name: str = LEXICAL_EMBEDDER
     # Extra metrics, each answers -> DataFrame(query_id, <one metric column>), averaged per experiment
     metrics: list = field(default_factory=list)
@@ -135,7 +138,7 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     # Collections that the stored index holds are neither chunked nor embedded again
     pairs = resolved.select("collection", "collection_id", "file_type", "chunking_strategy", "method", "chunk_size",
                             "chunk_overlap", "separators").distinct()
-    old = vector_index.stored(spark, b.index_path) if b.index_path else None
+    old = b.index_store.stored(spark, b.index_path) if b.index_path else None
     if old is not None:
         old = old.withColumnRenamed("collection", "collection_id")
         present = b.keep(old.select("collection_id").distinct())
@@ -174,9 +177,9 @@ def run(spark: SparkSession, corpus: DataFrame, file_types: DataFrame, strategie
     b.frames["unscorable"] = unscorable(index, dims=dims).select("collection", "chunk_id", "reason")
     if b.index_path:
         new = index.withColumn("version", F.lit(0)).drop("collection").withColumnRenamed("collection_id", "collection")
-        vector_index.upsert(spark, b.index_path, new)
+        b.index_store.upsert(spark, b.index_path, new)
         names = resolved.select("collection", "collection_id", "file_type", "chunking_strategy").distinct()
-        index = (vector_index.stored(spark, b.index_path).withColumnRenamed("collection", "collection_id")
+        index = (b.index_store.stored(spark, b.index_path).withColumnRenamed("collection", "collection_id")
                  .drop("file_type", "chunking_strategy", "version").join(names, "collection_id"))
     b.frames["index"] = index
 

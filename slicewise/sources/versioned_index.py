@@ -116,7 +116,8 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, batch: tuple[str, int
     """Add a delta with the rows of `new` (collection, chunk_id, version, embedding, ...).
 
     Returns the rejected rows (computed when they are read). batch: (stream, number) of a micro-batch; one that is
-    not above the stream's last number was committed before and is skipped, so a replay adds nothing.
+    not above the stream's last number was committed before and is skipped, so a replay adds nothing. (A stream that starts
+    anew counts from 0 again: give it another name, such as its query id.)
     """
     clash = [c for c in RESERVED if c in new.columns]
     if clash:
@@ -216,3 +217,6 @@ def read(spark: SparkSession, path: str, snapshot: int | None = None, collection
         losers = pool.withColumn("_best", best).filter(F.col("_seq") != F.col("_best")).select(*KEY, "_seq")
         rows = rows.join(losers, [*KEY, "_seq"], "left_anti")
     return rows.select(*schema.fieldNames())
+
+
+stored = read                           # as vector_index names it

@@ -19,31 +19,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slicewise.operators import chunking
-from slicewise.operators.retrieval import with_lexical_embedding
+from slicewise.operators.retrieval import LEXICAL_DIMS
 from slicewise.session import checkpoint_dir
-from slicewise.sources import vector_index
+from slicewise.sources import vector_index, versioned_index
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def index_batch(spark: SparkSession, docs: DataFrame, pairs: DataFrame, strategy_rows: list, index_path: str,
-                version: int) -> None:
-    """Chunk, embed and upsert one batch of documents; documents already in a collection are skipped."""
+                version: int, versioned: bool = False) -> None:
+    """Chunk, embed and upsert one batch of documents; documents already in a collection are skipped.
+
+    versioned: the index is a `versioned_index`. A batch is committed there whole or not at all, so
+    one that is replayed finds its documents and adds nothing.
+    """
+    store = versioned_index if versioned else vector_index
     joined = docs.select("doc_id", F.col("source").alias("file_type"), "text").join(pairs, "file_type")
-    old = vector_index.stored(spark, index_path)
+    old = store.stored(spark, index_path)
     if old is not None:
         joined = joined.join(old.select("collection", "doc_id").distinct(), ["collection", "doc_id"], "left_anti")
-    chunks = chunking.chunk_pairs(joined, strategy_rows).select(
+    chunks = chunking.chunk_pairs(joined, strategy_rows, dims=LEXICAL_DIMS).select(
         "collection", "doc_id", F.col("chunk_index").cast("long"), "chunk_text",
         F.sha2(F.concat_ws("\u0001", "collection", F.col("doc_id").cast("string"),
-                           F.col("chunk_index").cast("string")), 256).alias("chunk_id"))
-    rows = with_lexical_embedding(chunks, "chunk_text").withColumn("version", F.lit(version))
-    vector_index.upsert(spark, index_path, rows)
+                           F.col("chunk_index").cast("string")), 256).alias("chunk_id"), "embedding")
+    store.upsert(spark, index_path, chunks.withColumn("version", F.lit(version)))
 
 
 def start(spark: SparkSession, source_dir: str, pairs: DataFrame, strategy_rows: list, index_path: str,
-          available_now: bool = True, max_files_per_trigger: int = 64) -> StreamingQuery:
-    """Start the incremental indexer; `pairs` = resolved (collection, file_type, strategy columns)."""
+          available_now: bool = True, max_files_per_trigger: int = 64, versioned: bool = False) -> StreamingQuery:
+    """Start the incremental indexer; `pairs` = resolved (collection, file_type, strategy columns).
+
+    versioned: the index at `index_path` is a `versioned_index`: a micro-batch adds files and rewrites none.
+    """
     stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     # one stream state per (source, index) pair, in the shared checkpoint folder
@@ -51,7 +58,7 @@ def start(spark: SparkSession, source_dir: str, pairs: DataFrame, strategy_rows:
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/slicewise-streams/incremental-index-{key}"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        index_batch(spark, batch, pairs, strategy_rows, index_path, int(batch_id))
+        index_batch(spark, batch, pairs, strategy_rows, index_path, int(batch_id), versioned)
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

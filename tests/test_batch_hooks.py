@@ -117,3 +117,16 @@ def test_stored_collections_are_not_chunked_again(spark, tmp_path):
     assert results[0] == results[1] and results[0][0].n_chunks > 2
     assert [df.count() for df in embedded] == [results[0][0].n_chunks, 0]
     assert b.frames["skipped"].count() == 1
+
+
+def test_batches_on_a_versioned_index(spark, tmp_path):
+    from slicewise.sources import vector_index, versioned_index
+    docs, types, exps, qa, _ = _small(spark)
+    exps = exps.filter("experiment_id = 'plain'")
+    results = []
+    for store, path in [(vector_index, "plain"), (versioned_index, "versioned"), (versioned_index, "versioned")]:
+        b = experiment_batch.Batch(index_path=str(tmp_path / path), index_store=store)
+        r = experiment_batch.run(spark, docs, types, strategies_table(spark), exps, qa, b)
+        results.append(r.drop("chunk_times_s", "evaluation_times_s", "total_times_s").collect())
+    assert results[0] == results[1] == results[2] and results[0][0].n_chunks > 2
+    assert b.frames["skipped"].count() == 1
