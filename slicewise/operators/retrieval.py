@@ -5,8 +5,8 @@ embedder used when no model vectors are supplied (X7).
 Plan: the query side (at most a few questions per experiment, materialised by
 the callers) is joined on the collection, so each chunk meets only the questions of its own
 collection; Spark broadcasts it while its size is below
-`spark.sql.autoBroadcastJoinThreshold` and splits skewed collections otherwise.
-Distances are native array expressions inside whole-stage codegen.
+`spark.sql.autoBroadcastJoinThreshold` and splits skewed collections otherwise. Both sides are joined
+as blocks of rows, which are scored by matrix products (`block_search`).
 `row_number() <= max_k` over (query) becomes a WindowGroupLimit that
 keeps max_k rows per query per partition before the shuffle, so skewed
 collections send only max_k candidates each, also when k is a column.
@@ -14,10 +14,12 @@ collections send only max_k candidates each, also when k is a column.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewise.functions.text import tokens
+from slicewise.operators.block_search import nearest
 
 # Dimensions of the built-in lexical embedding; name written to output metadata.
 LEXICAL_DIMS = 64
@@ -83,20 +85,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str | None, query_key:
         cond.append(lengths[0] == lengths[1])
     else:
         v, q = v.filter(lengths[0] == dims), q.filter(lengths[1] == dims)
-    joined = v.join(q, cond)
     keep = [F.col("_q_" + query_key).alias(query_key)] + [F.col(c) for c in join_keys] + \
         [F.col("chunk_id"), F.col(order_tiebreak)] + [F.col(c) for c in include]
-    kcol = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
-    if max_k is None and k is not None:
-        max_k = (queries.agg(F.max(k)).first()[0] or 0) if isinstance(k, str) else k
-    dist = (squared_l2_fixed(vector_col, "_q_" + query_vector_col, dims) if dims
-            else squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)))
-    scored = joined.select(*keep, dist.alias("distance"), kcol.alias("_k")).filter(F.col("distance").isNotNull())
     w = Window.partitionBy(query_key).orderBy("distance", order_tiebreak)
-    ranked = scored.withColumn("rank", F.row_number().over(w))
     if k is None:
-        return ranked.drop("_k")
-    return (ranked.filter((F.col("rank") <= F.lit(int(max_k))) & (F.col("rank") <= F.col("_k"))).drop("_k"))
+        dist = (squared_l2_fixed(vector_col, "_q_" + query_vector_col, dims) if dims
+                else squared_l2(F.col(vector_col), F.col("_q_" + query_vector_col)))
+        scored = v.join(q, cond).select(*keep, dist.alias("distance")).filter(F.col("distance").isNotNull())
+        return scored.withColumn("rank", F.row_number().over(w))
+    if max_k is None:
+        max_k = (queries.agg(F.max(k)).first()[0] or 0) if isinstance(k, str) else k
+    on = [(c, "_q_" + c) for c in join_keys] + [(c, "_q_" + qcol) for c, qcol in (where_query or {}).items()]
+    wanted = F.col("_q_" + k) if isinstance(k, str) else F.lit(k)
+    asked = q.select("_q_" + query_key, *{b: None for _, b in on}, "_q_" + query_vector_col,
+                     F.when(wanted > max_k, F.lit(int(max_k))).otherwise(wanted).cast("long").alias("_k"))
+    rows = v.select(*{c: None for c in (*(a for a, _ in on), "chunk_id", order_tiebreak, *include, vector_col)})
+    scored = nearest(rows, asked, on, "_k", [order_tiebreak], vector_col, "_q_" + query_vector_col).select(*keep, "distance", "_k")
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked.filter((F.col("rank") <= F.lit(int(max_k))) & (F.col("rank") <= F.col("_k"))).drop("_k")
 
 
 def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding", digits: int = 6) -> DataFrame:
@@ -178,24 +184,41 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, dims: int, bucket_le
     """Approximate top-k: exact distances to the vectors that share a bucket of some random projection.
 
     A vector has one bucket per table; a query looks into its own and `probes` neighbours on
-    either side. Collection, table and bucket are the join key, only ids are carried through it,
-    and vectors are joined back once the candidates are known and distinct. Fewer than k
+    either side. Collection, table and bucket are the join key of the blocks that are scored; a pair
+    that shares several buckets is scored in the first table that brings it together. Fewer than k
     candidates give fewer rows; `probes` and `num_tables` trade work for recall.
 
     Output: query_key, join_keys, chunk_id, chunk_index, distance (squared), rank.
     """
     keys = list(join_keys)
     ok = lambda c: (F.size(c) == dims) & F.forall(c, lambda x: x.isNotNull())
-    v = vectors.filter(ok("embedding"))
-    q = queries.filter(ok("query_vector"))
-    stored = (v.withColumn("_b", F.explode(_buckets("embedding", dims, num_tables, bucket_length)))
-              .select(*keys, F.col("_b.t").alias("_t"), F.col("_b.bucket").alias("_bucket"), "chunk_id"))
+    v = vectors.filter(ok("embedding") & F.col("chunk_id").isNotNull())
+    q = queries.filter(ok("query_vector") & F.col(query_key).isNotNull())
+    hashed = lambda df, c: df.withColumn("_h", _buckets(c, dims, num_tables, bucket_length)).withColumn("_b", F.explode("_h"))
+    stored = hashed(v, "embedding").select(*keys, "chunk_id", "chunk_index", "embedding", F.col("_b.t").alias("_t"),
+                                           F.col("_b.bucket").alias("_bucket"), F.col("_h.bucket").alias("_h"))
     near = F.explode(F.sequence(F.col("_b.bucket") - probes, F.col("_b.bucket") + probes))
-    asked = (q.withColumn("_b", F.explode(_buckets("query_vector", dims, num_tables, bucket_length)))
-             .select(*keys, F.col("_b.t").alias("_t"), near.alias("_bucket"), query_key))
-    found = stored.join(asked, [*keys, "_t", "_bucket"]).select(query_key, *keys, "chunk_id").distinct()
-    scored = (found.join(q.select(query_key, *keys, "query_vector"), [query_key, *keys])
-              .join(v.select(*keys, "chunk_id", "chunk_index", "embedding"), [*keys, "chunk_id"])
-              .select(query_key, *keys, "chunk_id", "chunk_index", squared_l2_fixed("embedding", "query_vector", dims).alias("distance")))
+    asked = hashed(q, "query_vector").select(*[F.col(c).alias("_q_" + c) for c in keys], F.col(query_key).alias("_q_" + query_key), "query_vector",
+                                             F.col("_b.t").alias("_q_t"), near.alias("_q_bucket"), F.col("_h.bucket").alias("_q_h"),
+                                             F.lit(k).cast("long").alias("_k"))
+    on = [*((c, "_q_" + c) for c in keys), ("_t", "_q_t"), ("_bucket", "_q_bucket")]
+    scored = (nearest(stored, asked, on, "_k", ["chunk_index"], rule=_first_shared(num_tables, probes))
+              .select(F.col("_q_" + query_key).alias(query_key), *keys, "chunk_id", "chunk_index", "distance"))
     w = Window.partitionBy(query_key).orderBy("distance", "chunk_index")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _first_shared(num_tables: int, probes: int):
+    """Pairs that no earlier table has brought together, so a pair is scored once however many buckets it shares."""
+    def rule(v_rows, q_rows):
+        table = v_rows.field("_t")[0].as_py()
+        mine = v_rows.field("_h").flatten().to_numpy().reshape(-1, num_tables)
+        asked = q_rows.field("_q_h").flatten().to_numpy().reshape(-1, num_tables)
+
+        def counts(a: int, b: int):
+            new = np.ones((b - a, len(mine)), dtype=bool)
+            for t in range(table):
+                new &= np.abs(asked[a:b, None, t] - mine[None, :, t]) > probes
+            return new
+        return counts
+    return rule

@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slicewise.operators.retrieval import squared_l2_fixed
+from slicewise.operators.block_search import nearest
 from slicewise.session import checkpoint_dir, cut_lineage
 
 MAX_QUANTISER_BYTES = 64 << 20        # centroids go to every task
 TRAIN_ROWS_PER_CELL = 64              # the quantiser is learnt from so many rows per cell, drawn by hash
+EVERY = 1 << 31                       # more rows than a block holds
 ROWS_PER_FILE = 1 << 20               # a cell with more rows is written by several tasks
 CALIBRATION_ROWS = 256                # stored vectors, drawn by hash, that `calibrate` asks for
 MIN_RECALL = 0.95                     # what `calibrate` aims at
@@ -171,13 +172,23 @@ def _probes(spark: SparkSession, path: str, queries: DataFrame, centroids: np.nd
     return asked.withColumn("place", F.row_number().over(w)).withColumn("rows_before", before)
 
 
-def _scored(probes: DataFrame, vectors: DataFrame, dims: int, within: Column | None = None) -> DataFrame:
-    """Every vector of the probed cells with its distance to the question (squared, as everywhere)."""
-    p = probes.select(*[F.col(c).alias("_p_" + c) for c in probes.columns])
-    on = (F.col("collection") == F.col("_p_collection")) & (F.col("cell") == F.col("_p_cell"))
-    hits = vectors.join(p, on if within is None else on & within)
-    return hits.select(F.col("_p_query_id").alias("query_id"), "collection", "chunk_id", "chunk_index", "cell",
-                       squared_l2_fixed("embedding", "_p_query_vector", dims).alias("distance"))
+def _scored(probes: DataFrame, vectors: DataFrame, dims: int, k: int | None = None, within: bool = False) -> DataFrame:
+    """Vectors of the probed cells with their distance to the question (squared, as everywhere); with k, the k nearest of each block.
+
+    within: only vectors whose distance to the centroid lies between the probe's `low` and `high`.
+    """
+    # a cell's questions together, so that they meet its vectors as blocks
+    p = (probes.select(*[F.col(c).alias("_p_" + c) for c in ("query_id", "collection", "cell", "query_vector", *(("low", "high") if within else ()))])
+         .repartition("_p_collection", "_p_cell").withColumn("_k", F.lit(k if k else EVERY).cast("long")))
+    v = vectors.filter(F.size("embedding") == dims).select("collection", "cell", "chunk_id", "chunk_index", "to_centroid", "embedding")
+    hits = nearest(v, p, [("collection", "_p_collection"), ("cell", "_p_cell")], "_k", ["chunk_index", "chunk_id"],
+                   query_vector_col="_p_query_vector", rule=_within if within else None)
+    return hits.select(F.col("_p_query_id").alias("query_id"), "collection", "chunk_id", "chunk_index", "cell", "distance")
+
+
+def _within(v_rows, q_rows):
+    to_centroid, low, high = (x.to_numpy(zero_copy_only=False) for x in (v_rows.field("to_centroid"), q_rows.field("_p_low"), q_rows.field("_p_high")))
+    return lambda a, b: (to_centroid[None, :] >= low[a:b, None]) & (to_centroid[None, :] <= high[a:b, None])
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -224,7 +235,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, dims: int
     if probes is None:
         probes = spark.read.parquet(f"{path}/probes").first()["probes"]
     plan = _probes(spark, path, asked, centroids)
-    return _top(_scored(plan.filter(_near(probes, k)), _vectors(spark, path), dims), k).drop("cell")
+    return _top(_scored(plan.filter(_near(probes, k)), _vectors(spark, path), dims, k), k).drop("cell")
 
 
 def _near(probes: int, k: int) -> Column:
@@ -234,10 +245,9 @@ def _near(probes: int, k: int) -> Column:
 def _search_exact(spark: SparkSession, path: str, asked: DataFrame, k: int, dims: int, probes: int) -> DataFrame:
     vectors = _vectors(spark, path)
     plan = cut_lineage(_probes(spark, path, asked, quantiser(spark, path)))
-    first = cut_lineage(_top(_scored(plan.filter(_near(probes, k)), vectors, dims), k))
+    first = cut_lineage(_top(_scored(plan.filter(_near(probes, k)), vectors, dims, k), k))
     reach = remaining_probes(plan, first, _near(probes, k), k)
-    within = (F.col("to_centroid") >= F.col("_p_low")) & (F.col("to_centroid") <= F.col("_p_high"))
-    return _top(first.drop("rank").unionByName(_scored(reach, vectors, dims, within)), k)
+    return _top(first.drop("rank").unionByName(_scored(reach, vectors, dims, k, within=True)), k)
 
 
 def remaining_probes(plan: DataFrame, first: DataFrame, near: Column, k: int) -> DataFrame:
