@@ -180,7 +180,8 @@ def _scored(probes: DataFrame, vectors: DataFrame, dims: int, k: int | None = No
     # a cell's questions together, so that they meet its vectors as blocks
     p = (probes.select(*[F.col(c).alias("_p_" + c) for c in ("query_id", "collection", "cell", "query_vector", *(("low", "high") if within else ()))])
          .repartition("_p_collection", "_p_cell").withColumn("_k", F.lit(k if k else EVERY).cast("long")))
-    v = vectors.filter(F.size("embedding") == dims).select("collection", "cell", "chunk_id", "chunk_index", "to_centroid", "embedding")
+    # only the folders of probed cells are read
+    v = vectors.filter(F.size("embedding") == dims).join(probes.select("collection", "cell").distinct(), ["collection", "cell"], "left_semi").select("collection", "cell", "chunk_id", "chunk_index", "to_centroid", "embedding")
     hits = nearest(v, p, [("collection", "_p_collection"), ("cell", "_p_cell")], "_k", ["chunk_index", "chunk_id"],
                    query_vector_col="_p_query_vector", rule=_within if within else None)
     return hits.select(F.col("_p_query_id").alias("query_id"), "collection", "chunk_id", "chunk_index", "cell", "distance")
