@@ -1,9 +1,9 @@
 """Chunking: one document row -> many chunk rows.
 
-Plan shape: map-side only. A document never leaves its partition: pieces
-come from native `split`/`transform`, the greedy merge walk returns ranges of
-pieces, chunk texts are joined from their pieces (so the time is linear in the
-document) and stripped natively, and `posexplode` yields the rows. No exchange is needed, so skew in file types
+Plan shape: map-side only. A document never leaves its partition: one Arrow UDF
+(`shared_tokens.walk_pieces`) cuts it into leaves, merges them by the greedy walk and
+returns the text in pieces from one chunk's end to the next and the chunks as ranges of pieces; chunk texts
+are joined from these (so the time is linear in the document) and stripped natively, and `posexplode` yields the rows. Registered splitters cut their leaves natively. No exchange is needed, so skew in file types
 or strategies costs nothing here.
 
 Semantics (both splitters keep the separator at the start of the following
@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions.text import DEFAULT_SEPARATORS, java_literal, py_strip
-from slicewise.operators.merge_walk import merge_ranges
-from slicewise.operators.shared_tokens import walk_with_vectors
+from slicewise.operators.shared_tokens import walk_pieces
 
 # The walk reads one bigint per leaf: length * LEAF_SHIFT + flags, flags = depth*4 + good*2 + first.
 LEAF_SHIFT = 1 << 12
@@ -131,20 +130,21 @@ def leaves_for(method: str, separators: list[str] | None, text_col: str, size_co
     raise ValueError(f"no splitter is registered for method {method!r}")
 
 
-def with_codes(staged: DataFrame) -> DataFrame:
-    """+ _pieces, and _codes as the merge walk reads them."""
-    codes = F.transform("_leaves", lambda x: F.length(x["p"]).cast("bigint") * LEAF_SHIFT + x["f"])
-    return staged.withColumn("_codes", codes).withColumn("_pieces", F.col("_leaves.p"))
+def walk_columns(rows: DataFrame, text_col: str, size_col: str, overlap_col: str) -> list[Column]:
+    """What the walk reads of a row: its text and shape; the leaves of a registered splitter, joined and as codes; size and overlap."""
+    if "_leaves" in rows.columns:
+        pieces = F.array_join(F.col("_leaves.p"), "")
+        codes = F.transform("_leaves", lambda x: F.length(x["p"]).cast("bigint") * LEAF_SHIFT + x["f"])
+    else:
+        pieces, codes = F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")
+    return [F.col(text_col), F.col("_shape"), pieces, codes, F.col(size_col), F.col(overlap_col)]
 
 
-def _chunk_lists(staged: DataFrame, keep: list[str], size_col: str, overlap_col: str, dims: int | None = None) -> DataFrame:
-    ranged = with_codes(staged)
-    if dims:
-        walk = walk_with_vectors(dims)(F.array_join("_pieces", ""), F.col("_codes"), F.col(size_col), F.col(overlap_col))
-        chunks = _ranges_to_chunks(F.col("_pieces"), F.col("_walk.ranges"), F.col("_walk.vectors"), dims)
-        return ranged.withColumn("_walk", walk).select(*keep, chunks.alias("chunks"))
-    ranged = ranged.withColumn("_ranges", merge_ranges(F.col("_codes"), F.col(size_col), F.col(overlap_col)))
-    return ranged.select(*keep, _ranges_to_chunks(F.col("_pieces"), F.col("_ranges")).alias("chunks"))
+def _chunk_lists(rows: DataFrame, shapes: list, keep: list[str], text_col: str, size_col: str, overlap_col: str, dims: int | None = None) -> DataFrame:
+    walk = walk_pieces(shapes, dims)(*walk_columns(rows, text_col, size_col, overlap_col))
+    vectors = F.col("_walk.vectors") if dims else None
+    chunks = _ranges_to_chunks(F.col("_walk.pieces"), F.col("_walk.ranges"), vectors, dims or 0)
+    return rows.withColumn("_walk", walk).select(*keep, chunks.alias("chunks"))
 
 
 def exploded(lists: DataFrame, keep: list[str]) -> DataFrame:
@@ -167,8 +167,11 @@ def split_text(df: DataFrame, method: str, separators: list[str] | None = None,
         from slicewise.operators.long_documents import split_long_text
         return split_long_text(df, method, separators, text_col, size_col, overlap_col)
     keep = [c for c in df.columns if c != text_col]
-    staged = df.withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
-    return exploded(_chunk_lists(staged, keep, size_col, overlap_col), keep)
+    if method in CUSTOM_SPLITTERS:
+        staged = df.withColumn("_shape", F.lit(None).cast("int")).withColumn("_leaves", leaves_for(method, separators, text_col, size_col))
+        return exploded(_chunk_lists(staged, [], keep, text_col, size_col, overlap_col), keep)
+    staged, shapes = df.withColumn("_shape", F.lit(0)), [walk_separators(method, separators)]
+    return exploded(_chunk_lists(staged, shapes, keep, text_col, size_col, overlap_col), keep)
 
 
 def _shapes(strategies_rows: list) -> list[tuple[str, tuple | None]]:
@@ -196,35 +199,57 @@ def chunk_pairs(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
     return rows.select(*keep, "chunk_index", "chunk_text.chunk_text", "chunk_text.embedding") if dims else rows
 
 
-def pair_leaves(pairs: DataFrame, strategies_rows: list, text_col: str = "text", size_col: str = "chunk_size") -> DataFrame:
-    """The rows that are chunked here, with the leaves that their strategy cuts (column _leaves).
+def walk_separators(method: str, separators: list[str] | None) -> list[str] | None:
+    """How the walk cuts a built-in shape: None for lines, else the recursive splitter's separators."""
+    if method == LINE_MERGE:
+        return None
+    if method != RECURSIVE:
+        raise ValueError(f"no splitter is registered for method {method!r}")
+    seps = list(separators) if separators else list(DEFAULT_SEPARATORS)
+    seps = seps[:seps.index("") + 1] if "" in seps else seps
+    if len(seps) > MAX_SEPARATORS:
+        raise ValueError(f"{len(seps)} separators; a strategy of a batch holds at most {MAX_SEPARATORS} (split_text takes any number)")
+    return seps
+
+
+def pair_shapes(pairs: DataFrame, strategies_rows: list, text_col: str = "text", size_col: str = "chunk_size") -> tuple[DataFrame, list]:
+    """The rows that are chunked here with the shape of their strategy (column _shape), and how each shape is cut.
 
     `pairs` carries the strategy columns (method, separators, chunk_size,
     chunk_overlap). `strategies_rows` are the configuration rows that may occur
-    in `pairs`; each (method, separators) shape becomes one branch of a CASE
-    that yields the leaves, so the corpus is scanned once whatever the number
-    of strategies. `outside` rows are skipped (see sources.prechunked), and an
+    in `pairs`; each (method, separators) shape becomes one branch of a CASE,
+    so the corpus is scanned once whatever the number of strategies. Rows of a registered
+    splitter have no shape, but the leaves that it cuts (column _leaves).
+    `outside` rows are skipped (see sources.prechunked), and an
     empty separator list means the default one, as null does.
     """
     shapes = _shapes(strategies_rows)
-    leaves = None
+    shape, leaves, known, cut = F.lit(None).cast("int"), None, F.lit(False), []
     for method, seps in shapes:
         cond = F.col("method") == method
         if method != LINE_MERGE:
             cond = cond & ((F.coalesce(F.size("separators"), F.lit(0)) <= 0) if seps is None
                            else (F.col("separators") == F.array(*[F.lit(x) for x in seps])))
-        expr = leaves_for(method, list(seps) if seps else None, text_col, size_col)
-        leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
-    chunkable = pairs.filter(F.col("method").isin([m for m, _ in shapes]))
+        if method in CUSTOM_SPLITTERS:
+            expr = leaves_for(method, list(seps) if seps else None, text_col, size_col)
+            leaves = F.when(cond, expr) if leaves is None else leaves.when(cond, expr)
+        else:
+            shape = F.when(cond, F.lit(len(cut))).otherwise(shape)
+            cut.append(walk_separators(method, list(seps) if seps else None))
+        known = known | F.coalesce(cond, F.lit(False))
+    # a null text has no lines
+    some = known & ((F.col("method") != LINE_MERGE) | F.col(text_col).isNotNull())
+    rows = pairs.filter(F.col("method").isin([m for m, _ in shapes])).filter(some).withColumn("_shape", shape)
     if leaves is None:
-        leaves = F.lit(None).cast("array<struct<p: string, f: int>>")
-    return chunkable.withColumn("_leaves", leaves).filter(F.col("_leaves").isNotNull())
+        return rows, cut
+    return rows.withColumn("_leaves", leaves).filter(F.col("_shape").isNotNull() | F.col("_leaves").isNotNull()), cut
 
 
 def pair_chunk_lists(pairs: DataFrame, strategies_rows: list, text_col: str = "text", size_col: str = "chunk_size",
                      overlap_col: str = "chunk_overlap", dims: int | None = None) -> DataFrame:
-    """The input columns (text included) and `chunks`, the list of a row's chunk texts (see `pair_leaves`).
+    """The input columns (text included) and `chunks`, the list of a row's chunk texts (see `pair_shapes`).
 
     dims: structs of chunk_text and embedding instead (see `chunk_pairs`).
     """
-    return _chunk_lists(pair_leaves(pairs, strategies_rows, text_col, size_col), pairs.columns, size_col, overlap_col, dims)
+    rows, shapes = pair_shapes(pairs, strategies_rows, text_col, size_col)
+    return _chunk_lists(rows, shapes, pairs.columns, text_col, size_col, overlap_col, dims)

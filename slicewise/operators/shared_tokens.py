@@ -5,21 +5,22 @@ document's characters, so its tokens are a range of the document's tokens plus a
 words that its ends cut. The document is lower-cased, tokenised and hashed once (its rows, one per
 strategy, come together and share the result); a chunk costs two searches and a count over its range.
 
-Runs with the merge walk in one Arrow UDF: the walk knows the ranges. Texts go to the
-worker once per (document, strategy), with the codes of their pieces.
+Runs with the cut into leaves and the merge walk in one Arrow UDF: the walk knows the ranges. Texts go to the
+worker once per (document, strategy), and no piece smaller than a part of a chunk comes back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slicewise.operators.merge_walk import walk_document
+from slicewise.operators.merge_walk import leaf_codes, walk_document
 
 _WORD = re.compile(r"\w{2,}")          # the vectoriser's tokens, as functions.text.TOKEN_PATTERN
 # Capitals whose lower case depends on their neighbours (sigma) or is longer (dotted I): with one of them
@@ -84,6 +85,7 @@ def within(first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
+@lru_cache(maxsize=1 << 16)
 def token_bucket(token: str, dims: int) -> int:
     """retrieval.token_buckets of one token."""
     return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dims
@@ -111,25 +113,53 @@ class LastTokens:
         return self.tokens
 
 
-def walk_with_vectors(dims: int):
-    """UDF (pieces joined, codes, size, overlap) -> ranges of the chunks and their vectors, `dims` numbers each.
+def walked(shapes: list, texts: pa.Array, shape: pa.Array, pieces: pa.Array, codes: pa.Array, size: pa.Array, overlap: pa.Array):
+    """Per row (text, what its leaves tile, the walk's rows, their begins and ends), or None where there is no leaf.
+
+    shapes: the separators of each built-in shape; a row without one brings the leaves of a registered splitter.
+    """
+    for k, text in enumerate(texts):
+        text, s = text.as_py(), shape[k].as_py()
+        if s is None:
+            base, leaves = pieces[k].as_py(), codes[k].as_py()
+        else:
+            base, leaves = text, leaf_codes(text or "", shapes[s], size[k].as_py())
+        yield (text, base, *kept_ranges(base, leaves, size[k].as_py(), overlap[k].as_py())) if leaves else None
+
+
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def walk_pieces(shapes: list, dims: int | None = None):
+    """UDF (text, shape, pieces joined, codes, size, overlap) -> the text cut where chunks begin and end, the chunks as
+    (first piece, piece after the last, strip); with `dims` also their vectors, `dims` numbers each.
 
     The vectors are those of `retrieval.with_lexical_embedding`.
     """
-    def run(base: pd.Series, leaves: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.DataFrame:
-        last, ranges, vectors = LastTokens(), [], []
-        for text, codes, sz, ov in zip(base, leaves, size, overlap):
-            if codes is None or not len(codes):
-                ranges.append([])
-                vectors.append([])
-                continue
-            rows, begin, end = kept_ranges(text, codes, int(sz), int(ov))
-            out = last.of(text).bucket_counts(begin, end, dims)
-            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            np.divide(out, norm, out=out, where=norm > 0)
-            ranges.append(rows.ravel())
-            vectors.append(out.ravel())
-        return pd.DataFrame({"ranges": pd.Series(ranges, dtype=object), "vectors": pd.Series(vectors, dtype=object)})
-
-    schema = T.StructType([T.StructField("ranges", T.ArrayType(T.IntegerType())), T.StructField("vectors", T.ArrayType(T.DoubleType()))])
-    return F.pandas_udf(run, schema).asNondeterministic()       # as the walk: run once, not copied into filters
+    def run(texts: pa.Array, shape: pa.Array, given: pa.Array, codes: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
+        last, at, pieces, ranges, vectors = LastTokens(), [0], [], [], []
+        for row in walked(shapes, texts, shape, given, codes, size, overlap):
+            places = np.zeros(0, dtype=np.int64) if row is None else np.unique(np.concatenate(row[3:]))
+            if len(places):
+                _, base, rows, begin, end = row
+                cuts = places.tolist()
+                pieces += [base[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                ranges.append(np.stack([np.searchsorted(places, begin), np.searchsorted(places, end), rows[:, 2]], axis=1).ravel())
+            else:
+                ranges.append(places)
+            at.append(len(pieces))
+            if dims:
+                out = last.of(base).bucket_counts(begin, end, dims) if len(places) else np.zeros((0, dims))
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                np.divide(out, norm, out=out, where=norm > 0)
+                vectors.append(out.ravel())
+        columns = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(pieces, pa.string())), _lists(ranges, pa.int32())]
+        return pa.StructArray.from_arrays(columns + ([_lists(vectors, pa.float64())] if dims else []), ["pieces", "ranges", "vectors"][:3 if dims else 2])
+
+    fields = [T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("ranges", T.ArrayType(T.IntegerType()))]
+    if dims:
+        fields.append(T.StructField("vectors", T.ArrayType(T.DoubleType())))
+    # filters on the chunks must not be pushed below the walk: the optimizer would copy it into them
+    return F.arrow_udf(run, T.StructType(fields)).asNondeterministic()

@@ -19,14 +19,14 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise.functions.text import tokens
 from slicewise.operators import chunking
-from slicewise.operators.shared_tokens import DocumentTokens, LastTokens, kept_ranges, within
+from slicewise.operators.shared_tokens import DocumentTokens, LastTokens, walked, within
 
 # Idf of a token present in one of the two texts / in both.
 IDF_ONE = math.log(1.5) + 1.0
@@ -123,20 +123,18 @@ def span_cosines(document: DocumentTokens, cut: DocumentTokens, begin: np.ndarra
     return np.divide(dot, np.sqrt(np.where(some, na * nb, 1.0)), out=np.zeros(len(begin)), where=some)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _walk_with_cosines(texts: pd.Series, pieces: pd.Series, leaves: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    documents, cuts, out = LastTokens(), LastTokens(), []
-    for text, base, codes, sz, ov in zip(texts, pieces, leaves, size, overlap):
-        if codes is None or not len(codes):
-            out.append([])
-            continue
-        _, begin, end = kept_ranges(base, codes, int(sz), int(ov))
-        document = documents.of(text)
-        out.append(span_cosines(document, document if base == text else cuts.of(base), begin, end))
-    return pd.Series(out, dtype=object)
+def _walk_with_cosines(shapes: list):
+    def run(texts: pa.Array, shape: pa.Array, pieces: pa.Array, leaves: pa.Array, size: pa.Array, overlap: pa.Array) -> pa.Array:
+        documents, cuts, out, at = LastTokens(), LastTokens(), [np.zeros(0)], [0]
+        for row in walked(shapes, texts, shape, pieces, leaves, size, overlap):
+            if row is not None:
+                text, base, _, begin, end = row
+                document = documents.of(text)
+                out.append(span_cosines(document, document if base == text else cuts.of(base), begin, end))
+            at.append(at[-1] + (len(out[-1]) if row is not None else 0))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(out)))
 
-
-_walk_with_cosines = _walk_with_cosines.asNondeterministic()       # run once, not copied into filters on its result
+    return F.arrow_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()       # run once, not copied into filters on its result
 
 
 def pair_chunk_cosines(pairs: DataFrame, strategies_rows: list, text_col: str = "text",
@@ -146,8 +144,8 @@ def pair_chunk_cosines(pairs: DataFrame, strategies_rows: list, text_col: str =
     No chunk text is built and no token row shuffled: the walk's ranges are counted over the
     document's tokens, which are found once for all its strategies.
     """
-    rows = chunking.with_codes(chunking.pair_leaves(pairs, strategies_rows, text_col, size_col))
-    scores = _walk_with_cosines(F.col(text_col), F.array_join("_pieces", ""), F.col("_codes"), F.col(size_col), F.col(overlap_col))
+    rows, shapes = chunking.pair_shapes(pairs, strategies_rows, text_col, size_col)
+    scores = _walk_with_cosines(shapes)(*chunking.walk_columns(rows, text_col, size_col, overlap_col))
     return rows.select(*pairs.columns, scores.alias("cosines"))
 
 
