@@ -35,7 +35,7 @@ from slicewise.session import cut_lineage
 
 FRAGMENT_CHARS = 1 << 20
 MIN_FRAGMENTS_PER_HEAD = 16           # a fragment is at least so many chunk sizes long
-ROWS_PER_YIELD = 16                   # fragments handed to Arrow at a time
+CHARS_PER_YIELD = 4 << 20             # text handed to Arrow at a time
 
 # flags of a leaf, and of a leaf in the look-ahead
 GOOD, FIRST, DEPTH = 1, 2, 4
@@ -165,22 +165,42 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
+def _frames(rows: Iterator[tuple[int, tuple]], schema: str) -> Iterator[pd.DataFrame]:
+    """Frames of many rows (size, row): one per row would cost far more than the row's work."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n + 64
+        if size >= CHARS_PER_YIELD:
+            yield _frame(held, schema)
+            held, size = [], 0
+    if held:
+        yield _frame(held, schema)
+
+
+def _documents(batches) -> Iterator[list]:
+    """The rows of one document after the other; batches come sorted by document and fragment."""
+    held: list = []
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if held and held[-1][0] != r[0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
 def _cut(seps: list[str], fragment_chars: int, text_col: str, size_col: str, overlap_col: str):
-    def run(batches):
+    def found(batches):
         for batch in batches:
             for row, text, size, overlap in zip(batch["_row"], batch[text_col], batch[size_col], batch[overlap_col]):
                 if not text:
                     continue
                 limit = max(fragment_chars, MIN_FRAGMENTS_PER_HEAD * int(size))
-                held = []
                 for k, (a, b, c, depth, first) in enumerate(fragments(text, seps, limit)):
-                    held.append((row, k, a, b, len(text), int(size), int(overlap), c, depth, first, text[a:b]))
-                    if len(held) == ROWS_PER_YIELD:
-                        yield _frame(held, CUT_SCHEMA)
-                        held = []
-                if held:
-                    yield _frame(held, CUT_SCHEMA)
-    return run
+                    yield b - a, (row, k, a, b, len(text), int(size), int(overlap), c, depth, first, text[a:b])
+    return lambda batches: _frames(found(batches), CUT_SCHEMA)
 
 
 CUT_SCHEMA = "_row long, _frag int, a long, b long, n long, size int, overlap int, sep int, depth int, first boolean, text string"
@@ -192,30 +212,27 @@ MAP_SCHEMA = "_row long, _frag int, a long, b long, entries array<long>, exits a
 
 
 def _find_leaves(seps: list[str], all_good: bool):
-    def run(batches):
+    def found(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 starts, flags = leaves(r.text, seps, r.sep, r.depth, r.first, r.size, all_good)
                 pos = np.asarray(starts, dtype=np.int64) + r.a
                 # what the fragment before may look at: leaves within chunk_size, and two more
                 head = min(len(pos), int(np.searchsorted(pos, r.a + r.size, side="right")) + 2)
-                yield _frame([(r[0], r[1], r.a, r.b, r.n, r.size, r.overlap, r.text, pos, flags, head)], LEAF_SCHEMA)
-    return run
+                yield r.b - r.a + 16 * len(pos), (r[0], r[1], r.a, r.b, r.n, r.size, r.overlap, r.text, pos, flags, head)
+    return lambda batches: _frames(found(batches), LEAF_SCHEMA)
 
 
-def look_ahead(heads: pd.DataFrame) -> pd.DataFrame:
+def look_ahead(rows: list) -> list[tuple]:
     """What follows each fragment of one document (rows: _frag, a, b, n, size, head_pos, head_flags, last_flag, whole, head_text)."""
-    heads = heads.sort_values("_frag")
-    rows = list(heads.itertuples(index=False))
-    last = heads["last_flag"].tolist()
     out = []
     # behind the document: its end, which starts a new run
     pos, code, text = np.array([rows[-1].n]), np.array([NEW_RUN]), ""
     for k in range(len(rows) - 1, -1, -1):
         r = rows[k]
-        before = last[k - 1] if k else -1
+        before = rows[k - 1].last_flag if k else -1
         keep = int(np.searchsorted(pos, r.b + r.size, side="right")) + 2
-        out.append((heads["_row"].iloc[0], heads["_frag"].iloc[k], before, pos[:keep], code[:keep], text[:r.size]))
+        out.append((r[0], r[1], before, pos[:keep], code[:keep], text[:r.size]))
         own = np.asarray(r.head_flags, dtype=np.int64)
         own_code = (own & GOOD) + NEW_RUN * _new_runs(own, before)
         own_pos = np.asarray(r.head_pos, dtype=np.int64)
@@ -225,30 +242,40 @@ def look_ahead(heads: pd.DataFrame) -> pd.DataFrame:
             pos, code = own_pos, own_code
         # a head's text is chunk_size characters or the whole fragment
         text = (r.head_text + text)[:r.size]
-    return _frame(out, TAIL_SCHEMA)
+    return out
 
 
-def _maps(batches):
+def _tails(batches):
+    return _frames(((len(t[5]) + 16 * len(t[3]), t) for rows in _documents(batches) for t in look_ahead(rows)), TAIL_SCHEMA)
+
+
+def _map_rows(batches):
     for batch in batches:
         for r in batch.itertuples(index=False):
             pos, good, new, n = _joined(r)
             _, nxt = steps(pos, good, new, n, r.size, r.overlap)
             places = min(n, max(1, int(np.searchsorted(pos[:n], r.a + r.size, side="right"))))
-            yield _frame([(r[0], r[1], r.a, r.b, pos[:places], pos[leaving(nxt, n)[:places]])], MAP_SCHEMA)
+            yield 16 * places, (r[0], r[1], r.a, r.b, pos[:places], pos[leaving(nxt, n)[:places]])
+
 
+def _maps(batches):
+    return _frames(_map_rows(batches), MAP_SCHEMA)
 
-def compose(maps: pd.DataFrame) -> pd.DataFrame:
+
+def compose(maps: list) -> Iterator[tuple]:
     """The place where the walk enters each fragment of one document that it enters."""
-    out, at = [], 0
-    maps = maps.sort_values("_frag")
-    for row, frag, b, entries, exits in zip(maps["_row"], maps["_frag"], maps["b"], maps["entries"], maps["exits"]):
-        if at < b:
-            out.append((row, frag, at))
-            at = int(exits[int(np.searchsorted(entries, at))])
-    return _frame(out, ENTRY_SCHEMA)
+    at = 0
+    for r in maps:
+        if at < r.b:
+            yield r[0], r[1], at
+            at = int(r.exits[int(np.searchsorted(r.entries, at))])
 
 
-def _chunks(batches):
+def _entries(batches):
+    return _frames(((0, e) for maps in _documents(batches) for e in compose(maps)), ENTRY_SCHEMA)
+
+
+def _chunk_rows(batches):
     for batch in batches:
         for r in batch.itertuples(index=False):
             pos, good, new, n = _joined(r)
@@ -263,7 +290,11 @@ def _chunks(batches):
                 if piece:
                     found.append(piece)
                 j = int(nxt[j])
-            yield _frame([(r[0], r[1], k, piece) for k, piece in enumerate(found)], CHUNK_SCHEMA)
+            yield from ((len(piece), (r[0], r[1], k, piece)) for k, piece in enumerate(found))
+
+
+def _chunks(batches):
+    return _frames(_chunk_rows(batches), CHUNK_SCHEMA)
 
 
 def split_long_text(df: DataFrame, method: str, separators: list[str] | None = None, text_col: str = "text",
@@ -288,9 +319,10 @@ def split_long_text(df: DataFrame, method: str, separators: list[str] | None = N
     heads = frags.select("_row", "_frag", "a", "b", "n", "size", F.slice("pos", F.lit(1), F.col("head")).alias("head_pos"),
                          F.slice("flags", F.lit(1), F.col("head")).alias("head_flags"), F.element_at("flags", -1).alias("last_flag"),
                          (F.col("head") == F.size("pos")).alias("whole"), F.substring("text", F.lit(1), F.col("size")).alias("head_text"))
-    tails = cut_lineage(heads.groupBy("_row").applyInPandas(look_ahead, TAIL_SCHEMA))
+    # a document's heads come together and in order, many documents to a task
+    tails = cut_lineage(heads.repartition("_row").sortWithinPartitions("_row", "_frag").mapInPandas(_tails, TAIL_SCHEMA))
     maps = frags.drop("text").join(tails.drop("tail_text"), ["_row", "_frag"]).mapInPandas(_maps, MAP_SCHEMA)
-    entries = maps.groupBy("_row").applyInPandas(compose, ENTRY_SCHEMA)
+    entries = maps.repartition("_row").sortWithinPartitions("_row", "_frag").mapInPandas(_entries, ENTRY_SCHEMA)
     chunks = cut_lineage(frags.join(tails, ["_row", "_frag"]).join(entries, ["_row", "_frag"])
                          .mapInPandas(_chunks, CHUNK_SCHEMA))
     counts = chunks.groupBy("_row", "_frag").agg(F.count("*").alias("_n"))
