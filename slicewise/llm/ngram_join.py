@@ -13,8 +13,9 @@ A document's set are its distinct shingles (`width` words); two documents link w
    most k combinations, so D of them leave one that both sides hold: of two prefixes the one that ends
    first in the common order has all its tokens within reach of the other.
 3. Representatives that share a signature are candidates. In lists longer than `SMALL` each member meets `PIVOTS`
-   pivots; in shorter ones all pairs meet but those that pivots have already connected; last, members outside
-   a long list's largest cluster meet all its members, block by block.
+   pivots; in its shorter ones it meets up to `PIVOTS` members in all, however many
+   it shares a list with; then all pairs of the shorter lists meet but those that are connected by now, and one pair of any two
+   clusters goes on; last, members outside a long list's largest cluster meet all its members, block by block.
    A candidate must pass a bound on full sets: both sides' tokens counted in about n / 4 buckets, the
    overlap is at most the sum of the smaller counts.
 4. Verification: candidates' clusters meet in blocks on their full shingle sets, computed from the whole texts. In a
@@ -38,7 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -305,6 +306,20 @@ def _list_pairs(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _hooks(rows: DataFrame, similarity: int) -> DataFrame:
+    """Of the lists in rows (sig, rep, n) up to PIVOTS pairs per rep, of sizes that allow a link: the members it meets whose hashes are smallest."""
+    pivots = rows.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", F.col("n").alias("m"))).alias(f"p{i}") for i in range(PIVOTS)])
+
+    def fits(p: str) -> Column:
+        m = F.col(f"{p}.m")
+        return (F.col(f"{p}.rep") != F.col("rep")) & (100 * F.least("n", m) >= similarity * F.greatest("n", m))
+
+    names = [f"p{i}" for i in range(PIVOTS)]
+    met = rows.join(pivots, "sig").groupBy("rep").agg(*[F.min(F.when(fits(p), F.col(p))).alias(p) for p in names])
+    pairs = met.select("rep", F.explode(F.array(*[F.col(f"{p}.rep") for p in names])).alias("pivot")).filter("pivot IS NOT NULL")
+    return pairs.select(*_ordered("rep", "pivot")).distinct()
+
+
 def _candidates(scratch: Scratch, reps: DataFrame, similarity: int) -> DataFrame:
     """rep, cluster of every representative with a candidate partner."""
     counts = reps.select("rep", "n", "hist")
@@ -325,10 +340,17 @@ def _candidates(scratch: Scratch, reps: DataFrame, similarity: int) -> DataFrame
         mine = dense.groupBy("rep").agg(F.max(F.struct("size", "node")).alias("x")).select("rep", "x.node")
         stars = mine.join(pivots, "node").filter("rep <> pivot").select(*_ordered("rep", "pivot"))
         clusters = components(scratch, possible(stars.distinct()))
-    small = (_named(live.filter(F.col("size") <= SMALL).select("sig", "rep", "n"), clusters).select("sig", "rep", "n", "comp")
-             .repartition("sig").sortWithinPartitions("sig"))
-    pairs = scratch.keep(possible(small.mapInArrow(_list_pairs(similarity), "a long, b long").distinct()), "pairs")
-    clusters = components(scratch, pairs if clusters is None else _stars(clusters).unionByName(pairs))
+    few = live.filter(F.col("size") <= SMALL).select("sig", "rep", "n")
+    hooks = scratch.keep(possible(_hooks(few, similarity)), "hooks")
+    clusters = components(scratch, hooks if clusters is None else _stars(clusters).unionByName(hooks))
+    scratch.drop(hooks)
+    small = _named(few, clusters).select("sig", "rep", "n", "comp").repartition("sig").sortWithinPartitions("sig")
+    pairs = possible(small.mapInArrow(_list_pairs(similarity), "a long, b long").distinct())
+    # a pair for each two clusters that are still apart
+    for end in ("a", "b"):
+        pairs = _named(pairs.withColumnRenamed(end, "rep"), clusters).drop("rep").withColumnRenamed("comp", end)
+    pairs = scratch.keep(pairs.select(*_ordered("a", "b")).distinct(), "pairs")
+    clusters = components(scratch, _stars(clusters).unionByName(pairs))
     scratch.drop(pairs)
     if has_dense:
         mixed = _stragglers(scratch, dense, clusters)

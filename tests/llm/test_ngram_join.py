@@ -90,6 +90,22 @@ def test_frequent_tokens_lose_no_link(spark, monkeypatch):
     assert joined(spark, data) == plain(data)
 
 
+def test_pairs_of_short_lists_grow_with_members_not_with_their_square(spark, monkeypatch):
+    """Near copies that all meet in short lists are connected by a few pairs each; links between clusters stay."""
+    counts, rng = [], random.Random(5)
+
+    def counted(scratch, edges, real=ngram_join.components):
+        counts.append(edges.count())
+        return real(scratch, edges)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    monkeypatch.setattr(ngram_join, "SMALL", 200)
+    texts = [edited([f"{g}w{i}" for i in range(300)], k % 5, rng, f"{g}_{k}") for g in "ab" for k in range(80)]
+    data = list(enumerate(texts))
+    assert joined(spark, data) == plain(data)
+    assert 0 < max(counts) <= 2 * ngram_join.PIVOTS * len(data)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(9, 120), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10 ** 6), st.sampled_from([80, 90, 95]), st.floats(0, 1))
 def test_linked_sets_share_a_signature(n, less, more, seed, similarity, frequent):
