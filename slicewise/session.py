@@ -21,10 +21,14 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # texts are long: batches by rows alone would take much memory in the Python workers
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # and so do batches of the Parquet reader in the JVM
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.session.timeZone": "UTC",
     # JSON replies from models may repeat a key; the last one wins (as in Python's json).
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
+# a Parquet writer holds a row group in memory; Parquet's own default is 128 MB for each task
+_ROW_GROUP = ("parquet.block.size", str(16 << 20))
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -47,6 +51,8 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if key not in given and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
+    if _ROW_GROUP[0] not in given and spark.sparkContext._jsc.hadoopConfiguration().get(_ROW_GROUP[0]) is None:
+        spark.conf.set(*_ROW_GROUP)
     # Python workers look for this package where the driver found it (on a cluster: also ship it with --py-files)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
