@@ -302,16 +302,18 @@ def _block_links(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _family(compare):
-    """For each straggler the members that `compare` finds, one per other component, as pairs."""
+    """For each straggler the members that `compare` finds, as pairs that join two components: one for every component that a block's earlier pairs have not joined to its own."""
     def links(key, asks: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asks) and len(members):
-            comp, rep = members["comp"].to_numpy(), members["rep"].to_numpy()
-            for r, c, hits in zip(asks["rep"], asks["comp"], compare(asks, members), strict=True):
-                near = np.flatnonzero((comp != c) & hits)
+            rep, n = members["rep"].to_numpy(), len(members)
+            top = np.unique(np.concatenate([members["comp"], asks["comp"]]), return_inverse=True)[1]       # components, as joined so far
+            for i, (r, hits) in enumerate(zip(asks["rep"], compare(asks, members), strict=True), n):
+                near = np.flatnonzero((top[:n] != top[i]) & hits)
                 if len(near):
-                    first = near[np.unique(comp[near], return_index=True)[1]]
+                    first = near[np.unique(top[near], return_index=True)[1]]
                     out.append(pd.DataFrame({"a": np.minimum(r, rep[first]), "b": np.maximum(r, rep[first])}))
+                    top[np.isin(top, top[first])] = top[i]
         return _pairs_frame(out)
     return links
 
@@ -339,7 +341,7 @@ def _blocks(clusters: DataFrame) -> DataFrame:
 
 
 def _families(scratch: Scratch, mixed: DataFrame, payload: DataFrame, compare) -> DataFrame:
-    """Pairs of stragglers and members of their families (named by main component); payload: rep and what `compare` reads."""
+    """Pairs of stragglers and members of their families (named by main component), in each block too few for a cycle; payload: rep and what `compare` reads."""
     family = scratch.keep(mixed.select(F.col("main").alias("family"), "rep", "comp").distinct(), "families")
     per = (family.groupBy("family").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("family")).cast("long")).alias("m"))
            .select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("mb_n"), F.ceil(F.col("m") / BLOCK).cast("int").alias("sb_n")))

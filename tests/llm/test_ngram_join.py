@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,6 +107,39 @@ def test_pairs_of_short_lists_grow_with_members_not_with_their_square(spark, mon
     assert 0 < max(counts) <= 2 * ngram_join.PIVOTS * len(data)
 
 
+def test_stragglers_of_one_family_are_joined_by_a_forest():
+    """Stragglers that are all alike cost a block one pair for each component it joins; those that are not alike stay apart."""
+    reps = np.arange(60)
+    members = pd.DataFrame({"rep": reps, "comp": np.where(reps < 10, 0, reps)})
+    kind = reps % 2
+
+    def compare(asks, members):
+        return (kind[members["rep"]] == kind[r] for r in asks["rep"])
+
+    pairs = near_dedup._family(compare)((0, 0, 0), members[reps >= 10], members)
+    assert len(pairs) == 50 and (kind[pairs["a"]] == kind[pairs["b"]]).all()
+    top = list(members["comp"])
+    for a, b in pairs.itertuples(index=False):
+        top = [top[a] if x == top[b] else x for x in top]
+    assert len(set(top)) == 1                                           # the main component holds both kinds
+
+
+def test_stragglers_cost_pairs_in_proportion_to_their_number(spark, monkeypatch):
+    """Near copies of one text that their pivots leave apart enter the components' joins as a forest for each block, not as all pairs."""
+    counts, rng = [], random.Random(6)
+
+    def counted(scratch, edges, real=near_dedup.components):
+        counts.append(edges.count())
+        return real(scratch, edges)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "_possible_pairs", lambda similarity: lambda batches: (b.select(["a", "b"]).slice(0, 0) for b in batches))      # no pivot helps
+    data = [(i, edited([f"w{k}" for k in range(300)], i % 5, rng, i)) for i in range(120)]
+    assert joined(spark, data) == plain(data)
+    assert len(data) // 2 < max(counts) < 4 * len(data)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(9, 120), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10 ** 6), st.sampled_from([80, 90, 95]), st.floats(0, 1))
 def test_linked_sets_share_a_signature(n, less, more, seed, similarity, frequent):
