@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,26 @@ _WORD = re.compile(r"\w{2,}")          # the vectoriser's tokens, as functions.t
 CONTEXT_CAPITALS = ("Σ", "İ")
 
 
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """By code point, whether `re` takes it for a word character."""
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in re.finditer(r"\w+", "".join(map(chr, range(len(table))))):
+        table[m.start():m.end()] = True
+    return table
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of `_WORD` begin and end, found without a match object for each."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    word = np.zeros(len(points) + 2, dtype=np.int8)
+    word[1:-1] = _word_characters()[points]
+    turns = np.flatnonzero(np.diff(word))
+    starts, ends = turns[::2], turns[1::2]
+    some = ends - starts > 1
+    return starts[some], ends[some]
+
+
 class DocumentTokens:
     """Tokens of a text with their places; `spans` finds those of any ranges of its characters."""
 
@@ -38,8 +59,7 @@ class DocumentTokens:
         words = _WORD.findall(self.lower)
         self.ids = {word: i for i, word in enumerate(dict.fromkeys(words))}
         self.tokens = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
-        places = np.array([m.span() for m in _WORD.finditer(self.lower)], dtype=np.int64).reshape(-1, 2)
-        self.starts, self.ends = places[:, 0].copy(), places[:, 1].copy()
+        self.starts, self.ends = word_places(self.lower)
         self.counts = np.bincount(self.tokens, minlength=len(self.ids))     # by id
         self.of_dims: dict[int, np.ndarray] = {}                            # dims -> bucket of every token
 
@@ -85,7 +105,7 @@ def within(first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 18)           # above the words that a corpus' documents share; about 60 MB when full
 def token_bucket(token: str, dims: int) -> int:
     """retrieval.token_buckets of one token."""
     return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dims
@@ -93,8 +113,9 @@ def token_bucket(token: str, dims: int) -> int:
 
 def kept_ranges(base: str, codes, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The walk's (start, end, strip) rows of chunks that are not empty, and where these begin and end in `base`."""
+    codes = np.asarray(codes, dtype=np.int64)
     rows = np.array(walk_document(codes, size, overlap), dtype=np.int64).reshape(-1, 3)
-    places = np.concatenate(([0], np.cumsum(np.asarray(codes, dtype=np.int64) >> 12)))
+    places = np.concatenate(([0], np.cumsum(codes >> 12)))
     begin, end = places[rows[:, 0]], places[rows[:, 1]]
     keep = np.array([not strip or not base[a:b].isspace() for a, b, strip in
                      zip(begin.tolist(), end.tolist(), rows[:, 2].tolist())], dtype=bool) & (end > begin)

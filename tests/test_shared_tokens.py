@@ -107,3 +107,19 @@ def test_plan_runs_the_walk_once(spark, pairs):
     for df in (chunking.chunk_pairs(pairs, STRATEGIES, dims=8), similarity.pair_chunk_cosines(pairs, STRATEGIES)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_word_places_are_those_of_the_pattern():
+    odd = "".join(map(chr, [*range(0x3000), *range(0xD7F0, 0xD810), *range(0xFE00, 0x10500), 0x1D518, 0x10FFFF]))
+    for text in [*filter(None, TEXTS), "", odd, odd[::-1], "_", "__", "a_", " ab", "ab "]:
+        starts, ends = shared_tokens.word_places(text)
+        assert list(zip(starts.tolist(), ends.tolist())) == [m.span() for m in WORD.finditer(text)]
+
+
+def test_words_of_a_large_vocabulary_are_hashed_once():
+    words = [f"w{i}" for i in range(100_000)]
+    shared_tokens.token_bucket.cache_clear()
+    for _ in range(2):
+        for word in words:
+            shared_tokens.token_bucket(word, LEXICAL_DIMS)
+    assert shared_tokens.token_bucket.cache_info().misses == len(words)
